@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skriva.llm import decontaminate, quality
+from skriva.llm import bpe, decontaminate, neardup, pii, quality
 from skriva.llm.common import Scratch, table
 
 
@@ -20,9 +20,29 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
 
 
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group stays."""
+    return neardup.keep_first(docs, Scratch(spark, "neardup"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to format-preserving pseudonyms; texts keep their lengths."""
+    return pii.pseudonymise(docs, pii.SAMPLE_KEY)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("neardup", neardup_stage),
     ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("bpe", bpe_stage),
 ]
 
 #: The pipeline pseudonymises and tokenises, which SQL cannot express; tests/llm compares it with a brute-force version.

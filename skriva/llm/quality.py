@@ -97,7 +97,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(
-    labelled: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, cost: float = 10.0
+    labelled: DataFrame, scratch: Scratch, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, cost: float = 10.0
 ) -> DataFrame:
     """One row (stratum, rule, cutoff, n_good, false_rejections, tail) per certified rule.
 
@@ -110,8 +110,9 @@ def certified_cutoffs(
         for r, (_, _, step, size) in RULES.items()
     ]))
     rows = labelled.where(~base_failed()).select(F.col(stratum).alias("stratum"), "quality", parts.alias("x"))
-    counts = rows.groupBy("stratum", "x.rule", "x.step", "x.bin").agg(
-        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    counts = scratch.keep(rows.groupBy("stratum", "x.rule", "x.step", "x.bin").agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")), "counts")
+    n_strata = max(1, counts.select(F.coalesce("stratum", F.lit(""))).distinct().count())
     # A score in bin b exceeds exactly the cutoffs step * c with c < b.
     key = ["stratum", "rule"]
     above = Window.partitionBy(*key).orderBy(F.col("bin").desc())
@@ -121,9 +122,8 @@ def certified_cutoffs(
         F.sum("good").over(above).alias("k"), F.sum("bad").over(above).alias("hit"),
         F.sum("good").over(whole).alias("n_good"), F.sum("bad").over(whole).alias("n_bad"),
     ).where("c >= 0")
-    level = F.lit(delta) / (n_rules * F.greatest(F.col("n_strata"), F.lit(1)))
-    strata = labelled.where(~base_failed()).agg(F.count_distinct(F.coalesce(F.col(stratum), F.lit(""))).alias("n_strata"))
-    tested = at.join(F.broadcast(strata)).withColumn("tail", binomial_tail(F.col("k"), F.col("n_good"), alpha / n_rules))
+    level = delta / (n_rules * n_strata)
+    tested = at.withColumn("tail", binomial_tail(F.col("k"), F.col("n_good"), alpha / n_rules))
     gain = F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - cost * F.col("k") / F.greatest(F.col("n_good"), F.lit(1))
     passed = tested.where((F.col("tail") <= level) & (F.col("n_good") > 0)).withColumn("gain", gain).where("gain > 0")
     best = passed.groupBy(*key).agg(F.max_by(
@@ -150,15 +150,15 @@ def one_label(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, **risk) -> DataFrame:
     """(doc_id, lang, statistics, base_failed, kept) for every row of docs. The statistics are written once and read twice."""
     stats = scratch.keep(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
-    cutoffs = scratch.keep(certified_cutoffs(stats.join(one_label(labels), "doc_id"), **risk).coalesce(1), "cutoffs")
+    cutoffs = scratch.keep(certified_cutoffs(stats.join(one_label(labels), "doc_id"), scratch, **risk).coalesce(1), "cutoffs")
     return with_verdict(stats, cutoffs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """The rows of docs that pass, with their own columns. Cutoffs come from the labelled rows in a first pass."""
-    held = docs.select("doc_id", "lang", "text").join(one_label(labels), "doc_id")
+    held = docs.select("doc_id", "lang", "text").join(one_label(labels).hint("merge"), "doc_id")
     scratch = Scratch(docs.sparkSession, "quality")
-    cutoffs = scratch.keep(certified_cutoffs(with_stats(held), **risk).coalesce(1), "cutoffs")
+    cutoffs = scratch.keep(certified_cutoffs(with_stats(held), scratch, **risk).coalesce(1), "cutoffs")
     body = docs.select(F.struct(*docs.columns).alias("__row"), "lang", "text")
     return with_verdict(with_stats(body), cutoffs).where("kept").select("__row.*")
 
