@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package also where the driver found it through sys.path alone. On a cluster the
+    package itself is shipped (--py-files) or installed."""
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

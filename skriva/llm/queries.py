@@ -2,11 +2,19 @@
 
 from .bpe import op1_byte_bpe
 from .decontaminate import op6_decontaminate
+from .lmscore import op7_lm_score
 from .neardup import op3_minhash_neardup
+from .packing import op2_pack_tokens
 from .pii import op4_pii_pseudonyms
 from .quality import op5_quality_rules
 from .urlfilter import op9_url_filter
 from .wrapper import op8_html_wrapper
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_neardup, op4_pii_pseudonyms, op5_quality_rules, op6_decontaminate, op8_html_wrapper, op9_url_filter)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_pack_tokens, op3_minhash_neardup, op4_pii_pseudonyms, op5_quality_rules, op6_decontaminate, op7_lm_score,
+        op8_html_wrapper, op9_url_filter,
+    )
+}
 ORACLES: dict[str, str] = {}
