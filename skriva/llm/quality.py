@@ -156,11 +156,13 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, **risk) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """The rows of docs that pass, with their own columns. Cutoffs come from the labelled rows in a first pass."""
-    held = docs.select("doc_id", "lang", "text").join(one_label(labels).hint("merge"), "doc_id")
     scratch = Scratch(docs.sparkSession, "quality")
-    cutoffs = scratch.keep(certified_cutoffs(with_stats(held), scratch, **risk).coalesce(1), "cutoffs")
-    body = docs.select(F.struct(*docs.columns).alias("__row"), "lang", "text")
-    return with_verdict(with_stats(body), cutoffs).where("kept").select("__row.*")
+    stats = scratch.keep(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
+    cutoffs = scratch.keep(certified_cutoffs(stats.join(one_label(labels), "doc_id"), scratch, **risk).coalesce(1), "cutoffs")
+    # Statistics are cheaper to compute again than texts are to shuffle. The column that is not deterministic keeps the
+    # optimizer from pushing the filter through, which would repeat the expressions many times.
+    body = with_stats(docs.select(F.struct(*docs.columns).alias("__row"), "lang", "text")).withColumn("__at", F.monotonically_increasing_id())
+    return with_verdict(body, cutoffs).where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
