@@ -5,9 +5,11 @@ per set; 24 bands of 5 minima give candidates, and the low 4 bits of all minima,
 estimate corrected for chance agreement. Pairs that the estimate does not rule out are confirmed on the full sets.
 
 A pair of similarity 0.85 shares no band with a probability below 1e-6, and falls below the estimate's margin (five standard
-deviations) about as rarely. Equal sets are one node from the start, so thousands of copies cost one row. Within a bucket no pairs
-are spelled out: all members are compared with the smallest one (a star), components are formed, and only pairs that still
-lie in different components are compared, in further stars while these pay, and at last pair by pair.
+deviations) about as rarely. A parity sketch of each set (2048 bits, each the parity of the shingles that fall on it) bounds
+the symmetric difference of two sets from below, so it rules pairs out without error. Equal sets are one node from the
+start, so thousands of copies cost one row. Within a bucket no pairs are spelled out: all members are compared with the one
+whose buckets are fullest (a star around the likely original), components are formed, and of what still lies in different
+components only the pairs that pass both filters leave the join, each from the first bucket that both share.
 
 Edge cases: with fewer than five words the whole word sequence is the one shingle; without words, or for a null text, the set
 is empty, linked with nothing and kept. Rows that share a doc_id are one document: it is linked if any of its texts is.
@@ -35,6 +37,8 @@ PER_LONG = 64 // BITS
 PERCENT = 85
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 0.16
+#: Longs of the parity sketch.
+PARITY = 32
 MEMO = 300_000
 
 
@@ -96,8 +100,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return best >> np.uint64(32)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Each bit is the parity of the shingles that fall on it."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp_hi, fp_lo (of the whole set), sig array<long>, bands array<long>; the last two null without words."""
+    """doc_id, n_shingles, fp_hi, fp_lo (of the whole set), and arrays of longs sig, bands and odd, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -105,7 +115,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                n, hi, lo, sig, bands = [], [], [], [], []
+                n, hi, lo, sig, bands, odd = [], [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
@@ -115,7 +125,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if not len(s):
                         sig.append(None)
                         bands.append(None)
+                        odd.append(None)
                         continue
+                    odd.append(parity(s))
                     m = minima(s)
                     low = (m & np.uint64((1 << BITS) - 1)).reshape(-1, PER_LONG)
                     sig.append(np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64))
@@ -127,10 +139,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append((h ^ (h >> np.uint64(32))).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                     pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "sig", "bands"])
+                     pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())),
+                     pa.array(odd, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "sig", "bands", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp_hi long, fp_lo long, sig array<long>, bands array<long>")
+    schema = "doc_id long, n_shingles long, fp_hi long, fp_lo long, sig array<long>, bands array<long>, odd array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -159,14 +173,29 @@ def estimate(x: str, y: str) -> Column:
     return (agree - chance) / (1 - chance)
 
 
+def possible(x: str, y: str) -> Column:
+    """Neither filter rules out the pair of nodes whose columns end in x and y."""
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    differ = F.lit(0)
+    for i in range(PARITY):
+        differ = differ + F.bit_count(F.get(f"odd_{x}", F.lit(i)).bitwiseXOR(F.get(f"odd_{y}", F.lit(i))))
+    # intersection / union >= p means: symmetric difference <= (1 - p) / (1 + p) of the sum of sizes.
+    sizes = 100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)
+    return sizes & (estimate(f"sig_{x}", f"sig_{y}") >= PERCENT / 100 - MARGIN) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n_x + n_y))
+
+
+def side(nodes: DataFrame, x: str, *more: str) -> DataFrame:
+    named = [F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("odd").alias(f"odd_{x}")]
+    return nodes.select(*named, *(F.col(c).alias(f"{c}_{x}") for c in more))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).where(estimate("sig_a", "sig_b") >= PERCENT / 100 - MARGIN)
+    near = pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(possible("a", "b"))
     near = scratch.keep(near.select("a", "b").distinct(), f"near-{label}")
+    # By shuffle at every size: the documents with candidates grow with the corpus.
     wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    full = scratch.keep(sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), f"sets-{label}")
+    full = scratch.keep(sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")), f"sets-{label}")
     both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
@@ -182,12 +211,17 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
     patience: pairs left per bucket row above which another round of stars comes before the pairs themselves."""
     rows = scratch.keep(signatures(docs), "signatures")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = some.groupBy("fp_hi", "fp_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("r"))
-    nodes = scratch.keep(nodes.select(F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands", "fp_hi", "fp_lo"), "nodes")
+    nodes = some.groupBy("fp_hi", "fp_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands", "odd")).alias("r"))
+    nodes = scratch.keep(nodes.select(F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands", "r.odd", "fp_hi", "fp_lo"), "nodes")
     spots = nodes.select("node", F.explode("bands").alias("band"))
-    full = spots.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    spots = scratch.keep(spots.join(full, "band"), "spots")
-    stars = spots.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    full = spots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    spots = scratch.keep(spots.join(full, "band"), "shared")
+    # The original of many near copies shares most buckets with most of them.
+    weight = spots.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = spots.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
+    spots = scratch.keep(spots.join(centres, "band"), "spots")
+    scratch.drop("shared")
+    stars = spots.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     edges = confirmed(stars, nodes, docs, scratch, "0")
     labels = scratch.keep(components(edges, scratch, "cc-0"), "labels-0")
     at, before = 0, None
@@ -208,11 +242,13 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
             pairs = mixed.join(drawn, "band").where("c <> p.c").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
             last = False
         else:
-            x = mixed.join(nodes.select("node", "sig"), "node").select("band", "node", "c", "pivot", "sig")
-            x, y = (x.select("band", *(F.col(n).alias(f"{n}_{s}") for n in ("node", "c", "pivot", "sig"))) for s in "xy")
-            differ = (F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & (F.col("node_x") != F.col("pivot_x"))
-            pairs = x.join(y, (x["band"] == y["band"]) & differ & (estimate("sig_x", "sig_y") >= PERCENT / 100 - MARGIN))
-            pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+            rows_ = mixed.select("band", "node", "c", "pivot").join(nodes.select("node", "n_shingles", "sig", "odd", "bands"), "node")
+            x, y = side(rows_, "x", "band", "c", "bands"), side(rows_, "y", "band", "c", "bands", "pivot")
+            differ = (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
+            # Every pair once: in the first band of both that agree.
+            firsts = F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+            pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y") & (F.get(firsts, F.lit(0)) == F.col("band_x")))
+            pairs = scratch.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"pairs-{at}")
             last = True
         more = confirmed(pairs, nodes, docs, scratch, str(at))
         edges = edges.unionByName(more)
@@ -229,7 +265,7 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
 def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs without the documents that follow another one in their group."""
     gone = link(docs, scratch).where("NOT kept").select("doc_id").distinct()
-    return docs.join(scratch.keep(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(scratch.keep(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
