@@ -7,6 +7,7 @@ from .neardup import op3_minhash_neardup
 from .packing import op2_pack_tokens
 from .pii import op4_pii_pseudonyms
 from .quality import op5_quality_rules
+from .repeats import op10_repeats
 from .urlfilter import op9_url_filter
 from .wrapper import op8_html_wrapper
 
@@ -14,7 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_pack_tokens, op3_minhash_neardup, op4_pii_pseudonyms, op5_quality_rules, op6_decontaminate, op7_lm_score,
-        op8_html_wrapper, op9_url_filter,
+        op8_html_wrapper, op9_url_filter, op10_repeats,
     )
 }
 ORACLES: dict[str, str] = {}
