@@ -1,13 +1,14 @@
 """Benchmark decontamination (native): a hash set of normalised benchmark n-grams against every training token window.
 
 Words are runs of [0-9a-z] and non-ASCII characters after A-Z is lower-cased. An item's windows are its 10-word runs; an
-item of 1 to 9 words is one window of its own length. The scan hashes each document window and looks it up; hits are then
-verified word by word. The scan may fold case more widely than the rule (`lower` is cheaper than folding A-Z alone and can only
-add candidates); verification uses the exact rule.
-
-Edge cases: null or wordless texts have n_words 0 and are never hit; items without words have no windows; repeated items or
-rows are counted per distinct id; an empty benchmark leaves every document clean. A repeated doc_id is judged row by row
-for n_words, its hits are those of any row with the same id and text. Extra columns are ignored.
+item of 1 to 9 words is one window of its own length. One scan joins the hash of every document window with the broadcast
+set of benchmark windows and verifies a hit by its words within that join; one more key, the empty window, brings every
+document through with its word count. So the text is read once and never shuffled. While the set is too large to broadcast,
+the same join runs by shuffle.
+
+Edge cases: null or wordless texts have n_words 0 and are never hit; items without words have no windows; repeated items
+count once per distinct id; items without an id mark words but are not listed; an empty benchmark leaves every document clean.
+Repeated documents are judged row by row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, small, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same gaps before lower-casing.
+#: The same before lower-casing.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDTH = 10
@@ -29,72 +31,55 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def scan_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
+def folded(text: Column) -> Column:
+    """A-Z lower-cased. `lower` does that much faster than `translate`, and is the same where no other capital occurs."""
+    other_capital = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
+    return F.when(other_capital, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def runs(array: str, width: int) -> Column:
+def starts(array: str, width: int) -> Column:
     """The start positions of all width-word runs."""
     n = F.size(array)
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def window_hashes(array: str, width: int) -> Column:
-    return F.transform(runs(array, width), lambda p: F.xxhash64(F.slice(array, p + 1, width)))
-
-
-def bench_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct windows: h (of the folded words), len, words (exact), window_id."""
-    w = bench.select(words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    size = F.least(F.size("w"), F.lit(width))
-    w = w.select("w", size.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("p"))
-    w = w.select("len", F.slice("w", F.col("p") + 1, F.col("len")).alias("words")).distinct()
-    return w.select(
-        F.xxhash64(F.transform("words", F.lower)).alias("h"), "len", "words", F.sha2(F.concat_ws(" ", "words"), 256).alias("window_id"))
+def windows_of(array: str, width: int) -> Column:
+    """All width-word runs as strings; words hold no space, so joining them loses nothing."""
+    return F.transform(starts(array, width), lambda p: F.array_join(F.slice(array, p + 1, width), " "))
 
 
 def item_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(window_id, item_id), distinct."""
-    w = bench.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """(window, len, item_id), distinct."""
+    w = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(width))
     w = w.select("item_id", "w", size.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("p"))
-    return w.select(F.sha2(F.concat_ws(" ", F.slice("w", F.col("p") + 1, F.col("len"))), 256).alias("window_id"), "item_id").distinct()
-
-
-def candidates(docs: DataFrame, windows: DataFrame, n_windows: int, lengths: list[int]) -> DataFrame:
-    """(doc_id, p, h, len) of document windows whose hash is in the set. The document side is never shuffled while the set
-    is small enough to broadcast; else both sides are shuffled by the hash, whose hot values Spark can split."""
-    out = None
-    for n in lengths:
-        d = docs.select("doc_id", scan_words(F.col("text")).alias("w"))
-        d = d.select("doc_id", F.posexplode(window_hashes("w", n)).alias("p", "h"))
-        keys = windows.where(F.col("len") == n).select("h").distinct()
-        d = d.join(small(keys, n_windows, 16), "h").withColumn("len", F.lit(n))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return w.select(F.array_join(F.slice("w", F.col("p") + 1, F.col("len")), " ").alias("window"), "len", "item_id").distinct()
 
 
 def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Verified hits per document id: (doc_id, hits array<struct<p, len, window_id>>) and the (doc_id, item_id) pairs."""
-    windows = scratch.keep(bench_windows(bench.select("text"), width), "windows")
+    """(row, doc_id, n_words, hits array<struct<p, len, h>>), one row per row of docs, and the benchmark's (h, item_id)."""
+    owned = scratch.keep(item_windows(bench, width).withColumn("h", F.xxhash64("window")), "windows")
     # At most `width` rows, whatever the benchmark holds.
-    sizes = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}
-    lengths, n_windows = sorted(sizes) or [width], sum(sizes.values())
-    found = candidates(docs, windows, n_windows, lengths)
-    # A document has at most one candidate per position and length, so the list is bounded by its own text.
-    spots = found.groupBy("doc_id").agg(F.collect_set(F.struct("p", "len", "h")).alias("spots"))
-    spots = scratch.keep(spots, "spots")
-    texts = docs.select("doc_id", "text").join(spots, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "spots")
-    seen = texts.select("doc_id", F.explode("spots").alias("s"), "w").select(
-        "doc_id", "s.p", "s.len", "s.h", F.slice("w", F.col("s.p") + 1, F.col("s.len")).alias("words"))
-    sure = seen.join(small(windows.select("h", "len", "words", "window_id"), n_windows, 400), ["h", "len", "words"]).select(
-        "doc_id", "p", "len", "window_id")
-    sure = scratch.keep(sure.distinct(), "sure")
-    scratch.drop("spots")
-    hits = sure.groupBy("doc_id").agg(F.collect_list(F.struct("p", "len", "window_id")).alias("hits"))
-    owners = item_windows(bench.select("item_id", "text"), width)
-    pairs = sure.select("doc_id", "window_id").distinct().join(small(owners, n_windows * 4, 100), "window_id").select("doc_id", "item_id").distinct()
-    return hits, pairs
+    sizes = {r["len"]: r["count"] for r in owned.groupBy("len").agg(F.count_distinct("window").alias("count")).collect()}
+    lengths = sorted(sizes)
+    keys = owned.select("h", "window", "len").distinct()
+    empty = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("len"))
+    keys = keys.unionByName(empty.select(F.xxhash64("window").alias("h"), "window", "len"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", folded(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select("row", "doc_id", F.array_remove(F.split("t", GAP), "").alias("w"))
+    runs = F.concat(F.array(F.lit("")), *[windows_of("w", n) for n in lengths])
+    d = d.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(runs).alias("at", "s"))
+    d = d.withColumn("h", F.xxhash64("s"))
+    found = d.join(small(keys, sum(sizes.values()), 200), "h").where(F.col("s") == F.col("window"))
+    # Where in the list of runs the first one of each length stands.
+    first, before = F.lit(0), F.lit(1)
+    for n in lengths:
+        first = F.when(F.col("len") == n, before).otherwise(first)
+        before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+    # At most one hit per position and length, so the list is bounded by the document's own text.
+    hit = F.when(F.col("len") > 0, F.struct((F.col("at") - first).alias("p"), "len", "h"))
+    rows = found.groupBy("row", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
+    return scratch.keep(rows, "scan"), owned.select("h", "item_id")
 
 
 def hit_words(hits: str = "hits") -> Column:
@@ -105,36 +90,43 @@ def hit_words(hits: str = "hits") -> Column:
 
 def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    hits, pairs = scan(docs, bench, scratch)
-    items = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = hits.select("doc_id", F.size(hit_words()).cast("long").alias("n_hit")).join(items, "doc_id", "left")
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
-    out = counted.join(found, "doc_id", "left")
+    rows, owned = scan(docs, bench, scratch)
+    # Each document's distinct windows first, so that a window met often is joined once per document.
+    met = rows.where(F.size("hits") > 0).select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["h"]))).alias("h"))
+    owned = owned.where("item_id IS NOT NULL")
+    pairs = met.join(small(owned, owned.count(), 24), "h").select("row", "item_id").distinct()
+    items = pairs.groupBy("row").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    out = rows.withColumn("n_hit", F.size(hit_words()).cast("long")).join(items, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        items.alias("items"))
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items.alias("items"))
 
 
 def remove(docs: DataFrame, bench: DataFrame, scratch: Scratch, whole: bool = False, max_share: float = 0.5) -> DataFrame:
-    """docs without benchmark text: hit words are cut out of the text with the gaps between them (spans). With ``whole``, or
-    where more than max_share of the words are hit, the document is removed."""
-    hits, _ = scan(docs, bench, scratch)
-    found = hits.select(F.col("doc_id").alias("__id"), hit_words().alias("__p"))
-    out = docs.join(found, docs["doc_id"] == F.col("__id"), "left")
-    dirty = out.where("__id IS NOT NULL")
+    """docs without benchmark text: hit words are cut out with the gaps before them. With ``whole``, or where more than
+    max_share of the words are hit, the document is removed. Rows that share a doc_id are cut each by the hits of all of them
+    whose word count agrees."""
+    rows, _ = scan(docs, bench, scratch)
+    found = rows.where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("n_words").alias("__n"), hit_words().alias("__p"))
+    found = found.groupBy("__id", "__n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__p")))).alias("__p"))
     if whole:
-        return out.where("__id IS NULL").select(*docs.columns)
-    dirty = dirty.withColumn("__w", F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)))
-    dirty = dirty.withColumn("__g", F.split("text", RAW_WORD)).where(F.size("__p") <= max_share * F.size("__w"))
-    # Gap i stands before word i. A cut word takes the gap before it along, unless a kept word must stay apart from it.
-    dirty = dirty.withColumn("__m", F.transform("__w", lambda w, i: F.array_contains("__p", i)))
-    kept = F.transform("__w", lambda w, i: F.when(F.get("__m", i), F.lit("")).otherwise(F.concat(F.get("__g", i), w)))
-    dirty = dirty.withColumn("text", F.concat(F.array_join(kept, ""), F.element_at("__g", -1)))
+        ids = found.select("__id").distinct().hint("merge")
+        return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
+    # By shuffle at every size: the ids of hit documents grow with the corpus.
+    few = found.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__n", "__p"))).alias("__by_n")).hint("merge")
+    out = docs.join(few, docs["doc_id"] == few["__id"], "left")
+    out = out.withColumn("__w", F.when(F.col("__id").isNotNull(), F.array_remove(F.split("text", RAW_GAP), "")))
+    out = out.withColumn("__p", F.try_element_at("__by_n", F.size("__w")))
+    out = out.where(F.col("__p").isNull() | (F.size("__p") <= max_share * F.size("__w")))
+    out = out.withColumn("__g", F.when(F.col("__p").isNotNull(), F.split("text", RAW_WORD, -1)))
+    # Gap i stands before word i, the last gap behind all words.
+    kept = F.transform("__w", lambda w, i: F.when(F.array_contains("__p", i), F.lit("")).otherwise(F.concat(F.get("__g", i), w)))
+    text = F.when(F.col("__p").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at("__g", -1)))
+    out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast("long"))
-    return out.where("__id IS NULL").select(*docs.columns).unionByName(dirty.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col("__p").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
