@@ -1,4 +1,10 @@
 """All queries of the engine and their SQL twins, gathered from the plan modules."""
 
+from . import documents
+
+MODULES = (documents,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
