@@ -202,7 +202,7 @@ def pilot_sample(cases: DataFrame, quotas: dict[str, int], per_paper: int) -> Da
                 out.append((r.case_id, r.paper_id, r.stratum))
         return pd.DataFrame(out, columns=["case_id", "paper_id", "stratum"])
 
-    return few.select("case_id", "paper_id", "stratum", "m").groupBy(F.lit(0)).applyInPandas(choose, "case_id long, paper_id string, stratum string")
+    return few.select(F.lit(0).alias("all"), "case_id", "paper_id", "stratum", "m").groupBy("all").applyInPandas(choose, "case_id long, paper_id string, stratum string")
 
 
 def balanced_folds(papers: DataFrame, folds: int = 5) -> DataFrame:
@@ -218,4 +218,4 @@ def balanced_folds(papers: DataFrame, folds: int = 5) -> DataFrame:
             out.append((r.paper_id, i))
         return pd.DataFrame(out, columns=["paper_id", "fold"])
 
-    return papers.groupBy(F.lit(0)).applyInPandas(assign, "paper_id string, fold int")
+    return papers.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(assign, "paper_id string, fold int")

@@ -1,8 +1,8 @@
 """All queries of the engine and their SQL twins, gathered from the plan modules."""
 
-from . import documents
+from . import documents, evaluation, ranking, streams, tables
 
-MODULES = (documents,)
+MODULES = (documents, ranking, evaluation, tables, streams)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
