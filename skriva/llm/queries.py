@@ -4,6 +4,7 @@ from .bpe import op1_byte_bpe
 from .decontaminate import op6_decontaminate
 from .lmscore import op7_lm_score
 from .neardup import op3_minhash_neardup
+from .oracles import ORACLES  # noqa: F401
 from .packing import op2_pack_tokens
 from .pii import op4_pii_pseudonyms
 from .quality import op5_quality_rules
@@ -18,4 +19,3 @@ QUERIES = {
         op8_html_wrapper, op9_url_filter, op10_repeats,
     )
 }
-ORACLES: dict[str, str] = {}
