@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import table
 
@@ -302,11 +303,9 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "tokens") ->
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))]))
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, column])
 
+    docs = docs.drop(column)
     names = docs.columns
-    clash = [c for c in names if c == column]
-    docs = docs.drop(*clash)
-    names = docs.columns
-    schema = docs.schema.add(column, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(column, ArrayType(IntegerType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -320,7 +319,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, column: str = "tokens") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     names = tokens.columns
-    return tokens.mapInArrow(run, tokens.schema.add("decoded", "string"))
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", StringType())]))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
             break
     sets_ = nodes.select("fp_hi", "fp_lo", "node").join(labels, "node", "left").select("fp_hi", "fp_lo", F.coalesce("component", "node").alias("c"))
     out = rows.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(scratch.keep(sets_, "classes"), ["fp_hi", "fp_lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
