@@ -43,8 +43,8 @@ SPAN = LENGTH - GRAM + 1  # anchors' candidates in a window; offsets run from 0
 SLOT_BITS, BLOCK_BITS = 28, 20
 HOT = 50_000
 PLACE_BITS = 24
-#: Bytes handled at once; positions must fit into PLACE_BITS.
-CHUNK = 4 << 20
+#: Bytes handled at once: their hashes stay in the processor's cache. Positions must fit into PLACE_BITS.
+CHUNK = 1 << 17
 M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -361,7 +361,7 @@ def union(pieces: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def cut(docs: DataFrame, scratch: Scratch, hot: int = HOT, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs; with ``kept`` also the bytes kept and the spans."""
-    found = scratch.keep(marked_ranges(docs, scratch, hot), "ranges")
+    found = marked_ranges(docs, scratch, hot)
     # A document's ranges are bounded by its own length.
     per_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "end")).alias("pieces"))
     rows = docs.select("doc_id", "text").join(per_doc.hint("merge"), "doc_id", "left")
