@@ -17,8 +17,8 @@ def chunk_spans(pages: DataFrame, key: str = "doc_id", text: str = "text", size:
     spans come from one row, so the number is a position in an array and nothing is shuffled."""
     step = size - overlap
     others = [c for c in pages.columns if c != text]
-    df = pages.withColumn("__t", T.strip(F.coalesce(text, F.lit("")))).where("__t <> ''")
-    n = F.length("__t")
+    df = pages.withColumn("__t", T.strip(F.coalesce(text, F.lit("")))).where("__t <> ''").withColumn("__n", F.length("__t"))
+    n = F.col("__n")
     count = F.when(n <= size, F.lit(1)).otherwise(1 + F.ceil((n - size) / F.lit(float(step)))).cast("int")
     spans = F.transform(
         F.sequence(F.lit(0), count - 1),

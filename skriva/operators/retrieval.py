@@ -4,6 +4,11 @@ Queries: (query_id, query[, scope]). Chunks: (scope, chunk_id, position, text ..
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +16,7 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..functions import vectors as V
 from ..schemas import DEFAULTS, Params
+from ..session import written
 
 #: Scores are compared after rounding, so that ties do not depend on the order of a sum.
 PLACES = 9
@@ -34,11 +40,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return df.select("scope", "chunk_id", "position", "terms", F.size("terms").cast("long").alias("doc_len"))
 
 
-def term_counts(indexed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(scope, chunk_id, position, doc_len, term, tf). ``wanted`` (term) prunes before anything is shuffled."""
-    t = indexed.select("scope", "chunk_id", "position", "doc_len", F.explode("terms").alias("term"))
-    if wanted is not None:
-        t = t.join(wanted, "term", "left_semi")
+def term_counts(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scope, chunk_id, position, doc_len, term, tf) of the wanted terms, which prune before anything is shuffled. The empty term
+    stands once for every chunk, so that the same table gives a scope's size and average length."""
+    own = F.concat(F.array(F.lit("")), "terms")
+    t = indexed.select("scope", "chunk_id", "position", "doc_len", F.explode(own).alias("term"))
+    t = t.join(wanted, "term", "left_semi")
     return t.groupBy("scope", "chunk_id", "position", "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -55,11 +62,13 @@ def bm25(queries: DataFrame, chunks: DataFrame, params: Params = DEFAULTS) -> Da
     if params.k1 <= 0 or not 0 <= params.b <= 1:
         raise ValueError("k1 must be positive and b within 0..1")
     indexed, q = postings(chunks), query_terms(queries)
-    stats = indexed.groupBy("scope").agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("doc_len"), F.lit(1.0)).alias("avg_len"))
     # Broadcast only what is counted small; the batch of queries is the caller's, not the corpus's.
     few = q.count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda df: df)
-    counts = term_counts(indexed, hint(q.select("term").distinct()))
+    terms = q.select("term").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("term")))
+    # Read three times below; tokenising the chunks again would cost more.
+    counts = written(term_counts(indexed, hint(terms)))
+    stats = counts.where("term = ''").groupBy("scope").agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("doc_len"), F.lit(1.0)).alias("avg_len"))
     df = counts.groupBy("scope", "term").agg(F.count("*").cast("double").alias("df"))
     weights = hint(q.join(df, ["scope", "term"]).join(stats, "scope"))
     hits = counts.join(weights, ["scope", "term"])
@@ -108,6 +117,47 @@ def sparse_cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return hit.groupBy("query_id", "chunk_id", "position").agg(F.round(F.sum(F.col("wq") * F.col("weight")), PLACES).alias("score")).where("score > 0")
 
 
+def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int, dimensions: int = 256) -> DataFrame:
+    """SC6 for a stated set of queries (query_id, query): the k best of every Arrow batch of chunks, scored by one matrix product. The best
+    k of all are among them, so a rank over the result is exact. The query matrix (queries x dimensions) is what is shipped."""
+    asked = queries.select("query_id", T.eval_tokens(F.coalesce("query", F.lit(""))).alias("t")).collect()
+    ids = np.array([r["query_id"] for r in asked])
+
+    def dense(lists: list[list[str]], memo: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(lists), dimensions))
+        for row, tokens in zip(out, lists, strict=True):
+            for t in tokens:
+                if t not in memo:
+                    if len(memo) > 500_000:
+                        memo.clear()
+                    memo[t] = int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dimensions
+                row[memo[t]] += 1
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(norms == 0, 1, norms)
+
+    q = dense([r["t"] for r in asked], {}).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            scores = np.round(dense(batch.column("t").to_pylist(), memo) @ q, PLACES)
+            position = batch.column("position").to_numpy(zero_copy_only=False)
+            rows, columns = [], []
+            for j in range(len(ids)):
+                best = np.lexsort((position, -scores[:, j]))[:k]
+                best = best[scores[best, j] > 0]
+                rows.append(best)
+                columns.append(np.full(len(best), j))
+            if rows:
+                i, j = np.concatenate(rows), np.concatenate(columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[j], pa.int64()), batch.column("chunk_id").take(pa.array(i)), pa.array(position[i], pa.int64()), pa.array(scores[i, j], pa.float64())],
+                    names=["query_id", "chunk_id", "position", "score"])
+
+    tokens = chunks.select("chunk_id", "position", T.eval_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return tokens.mapInArrow(run, "query_id long, chunk_id string, position long, score double")
+
+
 def rrf(rankings: list[DataFrame], k: int = DEFAULTS.rrf_k) -> DataFrame:
     """AGG3, JN4, SET1: (query_id, chunk_id, position, score) = sum of 1 / (k + rank); the union form needs one shuffle."""
     all_ = rankings[0].select("query_id", "chunk_id", "position", "rank")

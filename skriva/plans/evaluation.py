@@ -23,13 +23,12 @@ def gold(spark, sf_dir):
     probe = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     q = q.select("query_id", "query", probe.alias("term"))
     c = chunks(spark, sf_dir).select("chunk_id", "text")
-    words = c.withColumn("n", F.col("text"))
-    words = T.normalised(words, "n").select("chunk_id", "text", F.array_distinct(T.terms(F.col("n"))).alias("t"))
+    words = T.normalised(c, "text").select("chunk_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     # The questions are a stated set; their count decides whether they are broadcast.
     probed = q.where("term IS NOT NULL")
     few = probed.count() <= R.BROADCAST_ROWS
-    wanted = F.broadcast(probed) if few else probed
-    hits = words.select("chunk_id", "text", F.explode("t").alias("term")).join(wanted, "term").where(F.contains("text", "query"))
+    near = words.join(F.broadcast(probed) if few else probed, "term").select("chunk_id", "query_id", "query")
+    hits = near.join(c, "chunk_id").where(F.contains("text", "query"))
     short = c.join(F.broadcast(q.where("term IS NULL")), F.contains("text", "query"))
     found = hits.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
     return found.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("relevant"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..session import table
@@ -54,9 +53,7 @@ def vector_threshold(spark, sf_dir):
 
 
 def _hashed(spark, sf_dir):
-    q = R.hashed_vectors(questions(spark, sf_dir).withColumnRenamed("query", "text"), ["query_id"])
-    c = R.hashed_vectors(chunks(spark, sf_dir), ["chunk_id", "position"])
-    return R.sparse_cosine(q, c)
+    return R.hashed_topk(questions(spark, sf_dir), chunks(spark, sf_dir), 20)
 
 
 def hashing_cosine(spark, sf_dir):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +22,13 @@ def session(name: str = "skriva", master: str | None = None, **settings: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder (spark.checkpoint.dir; a temporary one only where that is unset): for what a plan
+    reads several times, and costs more to compute than to read."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/skriva"
+    path = f"{shared.rstrip('/')}/skriva-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -234,3 +234,12 @@ def test_engine(spark):
     q = spark.createDataFrame([(1, "brown fox"), (2, "sleepy dogs")], "query_id long, query string")
     assert engine.search(q, c, 1).where("query_id = 2").first().chunk_id == "2_page_1_chunk_1"
     assert engine.ask_context(q, c).count() >= 2 and engine.compare(c, "fox").count() == 0
+
+
+def test_matrix_and_relational_cosine_agree(spark):
+    c = spark.createDataFrame([("a", f"c{i}", i, t, None, i) for i, t in enumerate(["red green blue", "green green", "", "red yellow"])], CHUNKS)
+    q = spark.createDataFrame([(1, "red green"), (2, "nothing here"), (3, "")], "query_id long, query string")
+    wide = retrieval.hashed_topk(q, c, 10)
+    narrow = retrieval.sparse_cosine(retrieval.hashed_vectors(q.withColumnRenamed("query", "text"), ["query_id"]), retrieval.hashed_vectors(c, ["chunk_id", "position"]))
+    cols = ("query_id", "chunk_id", "position", F.round("score", 7))
+    assert rows(wide, *cols) == rows(narrow, *cols)
