@@ -43,7 +43,8 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes: dict[int, bytes] = {i: b for b, i in ranks.items()}
-        self.tails = {b[i:] for b in ranks for i in range(len(b))}
+        #: Every ending of a token, with its id if it is a token itself, else -1.
+        self.tails = {t: ranks.get(t, -1) for b in ranks for t in (b[i:] for i in range(len(b)))}
         self._last_merge: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
         self.first = lru_cache(maxsize=None)(self.reachable)  # at most one entry per token
@@ -109,16 +110,19 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Extend the piece; no earlier entry changes."""
         v, piece, last = self.vocabulary, self.piece + more, self.last
-        ranks, tails, known, first = v.ranks, v.tails, v._fits.get, v.first
+        tails, known, first = v.tails.get, v._fits.get, v.first
         for end in range(len(last) + 1, len(piece) + 1):
-            ends = []  # the tokens that end here, short ones first
-            for start in range(end - 1, -1, -1):
-                tail = piece[start:end]
-                if tail not in tails:
+            ends, start = [], end - 1  # the tokens that end here, short ones first
+            while start >= 0:
+                token = tails(piece[start:end])
+                if token is None:
                     break
-                if tail in ranks:
-                    ends.append((start, ranks[tail]))
-            for start, token in reversed(ends):
+                ends.append(token)
+                start -= 1
+            for token in reversed(ends):
+                start += 1
+                if token < 0:
+                    continue
                 if start == 0:
                     if first(token):
                         break
