@@ -36,11 +36,6 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-METRICS = {
-    "recall_at_6": F.avg, "precision_at_6": F.avg, "mrr": F.avg, "candidate_recall_at_20": F.avg,
-}
-
-
 def metric_columns(places: int = 6) -> list[Column]:
     """AGG6: macro means over answerable cases, micro ratios over all; an empty denominator gives 0."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
@@ -186,7 +181,7 @@ def compare_modes(runs: DataFrame) -> DataFrame:
 
 def pilot_sample(cases: DataFrame, quotas: dict[str, int], per_paper: int) -> DataFrame:
     """TOP10: greedy sample with exact quotas per stratum and a cap per paper. The choice is a sequence, so it runs in one task; it reads
-    only per_paper * quota candidates per stratum, which the window keeps by hash order."""
+    no more candidates of a stratum than all quotas together could block (each pick blocks at most one more row) plus its own quota."""
     order = W.partitionBy("stratum", "paper_id").orderBy(F.sha2(F.col("case_id").cast("string"), 256))
     few = cases.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_paper)
     top = W.partitionBy("stratum").orderBy(F.sha2(F.concat_ws(":", "paper_id", "case_id"), 256))
