@@ -36,7 +36,7 @@ SECRET = re.compile(r"\b(?:[a-z0-9]+[_-])?(?:token|secret|api[ _-]?key|key|passw
 NUMBER = re.compile(
     r"""
       (?P<ip>   (?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
-    | (?P<date> (?<![\d./-])(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?![./-]?\d))
+    | (?P<date> (?<![\d./-])(?:\d{4}(?P<s1>[./-])\d\d(?P=s1)\d\d|\d\d(?P<s2>[./-])\d\d(?P=s2)\d{4})(?![./-]?\d))
     | (?P<ssn>  (?<![\d-])\d{3}-\d\d-\d{4}(?!-?\d))
     | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))
     | (?P<iban> (?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
@@ -44,6 +44,7 @@ NUMBER = re.compile(
     """,
     re.X,
 )
+KINDS = ("ip", "date", "ssn", "phone", "iban", "card")
 LOCAL = re.compile(r"[\w.%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}")
 #: Letters outside ASCII are permuted among these.
@@ -196,7 +197,8 @@ class Pseudonyms:
 
     def date(self, v: str) -> tuple[str, str] | None:
         a, b, c = re.split(r"[./-]", v)
-        orders = [("%Y-%m-%d", (a, b, c))] if "-" in v else [("dmy", (c, b, a)), ("mdy", (c, a, b))]
+        year_first = len(a) == 4
+        orders = [("ymd", (a, b, c))] if year_first else [("dmy", (c, b, a)), ("mdy", (c, a, b))]
         for name, (y, m, d) in orders:
             try:
                 day = datetime.date(int(y), int(m), int(d)).toordinal()
@@ -205,13 +207,11 @@ class Pseudonyms:
             if not FIRST <= day <= LAST:
                 return None
             new = datetime.date.fromordinal(FIRST + self.permute("date", LAST - FIRST + 1, day - FIRST))
-            if "-" in v:
-                return "date", new.isoformat()
             # Day first unless only month first was possible; the pseudonym keeps to the same reading.
             while name == "mdy" and new.day <= 12:
                 new = datetime.date.fromordinal(FIRST + self.permute("date", LAST - FIRST + 1, new.toordinal() - FIRST))
-            parts = (new.day, new.month) if name == "dmy" else (new.month, new.day)
-            return "date", f"{parts[0]:02d}{v[2]}{parts[1]:02d}{v[5]}{new.year:04d}"
+            parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            return "date", (v[4] if year_first else v[2]).join(parts[k] for k in name)
         return None
 
     def iban(self, v: str) -> tuple[str, str] | None:
@@ -272,7 +272,8 @@ def finds(text: str, p: Pseudonyms) -> list[tuple[int, int, str, str]]:
                 floor = at + 1
             at = text.find("@", at + 1)
         for m in NUMBER.finditer(text):
-            found = getattr(p, m.lastgroup)(m.group())
+            kind = next(k for k in KINDS if m[k] is not None)
+            found = getattr(p, kind)(m.group())
             if found:
                 out.append((m.start(), m.end(), *found))
     out.sort(key=lambda x: (x[0], -x[1]))

@@ -109,7 +109,7 @@ def test_packing_is_lossless(spark, folder, library):
         assert [x for _, part in sorted(got.get(i, [])) for x in part] == (library.encode_ordinary(t) + [50256] if t else [])
 
 
-CASES = ["4111 1111 1111 1111", "2023-02-28", "31.12.1999", "12/31/1999", "DE89 3704 0044 0532 0130 00", "123-45-6789", "+49 170 555 1234", "+1 (017) 555-7713", "97.51.17.173",
+CASES = ["4111 1111 1111 1111", "2023-02-28", "1999/12/31", "28-02-2023", "31.12.1999", "12/31/1999", "DE89 3704 0044 0532 0130 00", "123-45-6789", "+49 170 555 1234", "+1 (017) 555-7713", "97.51.17.173",
          "9807915762804490", "und.34@mail7.example.com", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', 'API_KEY: "sk-ABCdef1234567890ABCD"', "ÉTÉ.1@example.org"]
 
 
