@@ -134,11 +134,51 @@ def request_validation(spark, sf_dir):
     return validate(m, {"paired_bounds": F.col("a").isNull() == F.col("b").isNull(), "ordered_bounds": F.coalesce(F.col("a") <= F.col("b"), F.lit(True))}, "id")
 
 
+def _tasks(spark, sf_dir):
+    """Orders as tasks."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("dedup_key"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("completed_at"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate").cast("timestamp")).alias("cleaned_at"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderdate").cast("timestamp")).alias("deleted_at"), F.lit(0).alias("attempt_count"))
+
+
+def expired_files(spark, sf_dir):
+    return S.expired(_tasks(spark, sf_dir), F.expr("TIMESTAMP '1998-01-01 00:00:00'"), 30).select("task_id", "dedup_key")
+
+
+def active_duplicates(spark, sf_dir):
+    return S.active_duplicate(_tasks(spark, sf_dir)).select("dedup_key", "task_id", "status")
+
+
+def checkpoint_upsert(spark, sf_dir):
+    """Line items as checkpoints (order, line): odd lines come again with a later version."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("long").alias("step"), F.lit(1).cast("long").alias("version"), F.round("l_quantity", 2).alias("state"))
+    new = rows.where("step % 2 = 1").withColumn("version", F.lit(2).cast("long")).withColumn("state", F.round(F.col("state") + 1, 2))
+    # A table may hold a key several times already; the largest state of a version stands for it.
+    one = lambda df: df.groupBy("task_id", "step", "version").agg(F.max("state").alias("state"))
+    return S.upsert(one(rows), one(new), ["task_id", "step"], "version").select("task_id", "step", "version", "state")
+
+
+def cascade_delete(spark, sf_dir):
+    """Line items left when the deleted tasks' rows go with them."""
+    gone = _tasks(spark, sf_dir).where("deleted_at IS NOT NULL").select(F.col("task_id").alias("l_orderkey"))
+    return S.without(table(spark, sf_dir, "lineitem"), gone, ["l_orderkey"]).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+def state_transitions(spark, sf_dir):
+    """A claim of every task: pending ones start to run, all others stay."""
+    t = S.transition(_tasks(spark, sf_dir), {"running": ["pending"]}, F.lit("running"))
+    return t.groupBy("status", "changed").agg(F.count("*").alias("n"), F.sum("attempt_count").cast("long").alias("attempts"))
+
+
 QUERIES = {f.__name__: f for f in (
     history_budget, previous_user_turn, conversation_search, message_page, conversation_archive, task_page, task_count, active_parent_join, event_sequence, events_after_cursor,
-    latest_state, until_terminal, stale_keys, trace_rollup, usage_deltas, json_props, sse_round_trip, lenient_json, request_validation)}
+    latest_state, until_terminal, stale_keys, trace_rollup, usage_deltas, json_props, sse_round_trip, lenient_json, request_validation,
+    expired_files, active_duplicates, checkpoint_upsert, cascade_delete, state_transitions)}
 
 SEQ = "seq AS (SELECT user_id AS key, event_id, ts, event_type, value, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"
+TASKS = """t AS (SELECT o_orderkey AS task_id, o_custkey AS dedup_key, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders)"""
 STRIP = r"regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '')"
 
 ORACLES = {
@@ -168,4 +208,9 @@ round_even((sum(event_id % 1000)::DOUBLE * 0.4::DOUBLE + sum(event_id % 77)::DOU
     "sse_round_trip": f"WITH {SEQ} SELECT key, sequence, event_type AS event, coalesce(props, '') AS data FROM seq",
     "request_validation": """WITH m AS (SELECT conv_id || '-' || turn AS key, CASE WHEN turn % 3 <> 0 THEN turn END AS a, CASE WHEN turn % 4 <> 0 THEN 3 END AS b FROM conversations)
 SELECT key, 'paired_bounds' AS rule FROM m WHERE (a IS NULL) <> (b IS NULL) UNION ALL SELECT key, 'ordered_bounds' FROM m WHERE a > b""",
+    "expired_files": f"WITH {TASKS} SELECT task_id, dedup_key FROM t WHERE status = 'completed' AND created_at <= TIMESTAMP '1997-12-02 00:00:00' AND task_id % 7 <> 0",
+    "active_duplicates": f"WITH {TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY created_at DESC, task_id DESC) AS k FROM t WHERE status <> 'completed' AND task_id % 11 <> 0) SELECT dedup_key, task_id, status FROM r WHERE k = 1",
+    "checkpoint_upsert": "SELECT l_orderkey AS task_id, l_linenumber::BIGINT AS step, (1 + l_linenumber % 2)::BIGINT AS version, round(max(l_quantity) + l_linenumber % 2, 2) AS state FROM lineitem GROUP BY l_orderkey, l_linenumber",
+    "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0) GROUP BY l_returnflag",
+    "state_transitions": f"WITH {TASKS} SELECT CASE WHEN status = 'pending' THEN 'running' ELSE status END AS status, status = 'pending' AS changed, count(*) AS n, count(*) FILTER (status = 'pending') AS attempts FROM t GROUP BY ALL",
 }
