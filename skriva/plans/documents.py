@@ -173,6 +173,39 @@ def compare_gaps(spark, sf_dir):
     return out.groupBy("dimension").agg(F.count("*").alias("documents"))
 
 
+def page_counts(spark, sf_dir):
+    """AGG33 over synthetic pages: configured for every third document, pages of lines, last page of any chunk."""
+    c = chunks(spark, sf_dir).select("doc_id", (1 + F.floor(F.col("char_start") / PAGE)).cast("int").alias("page_start"), (1 + F.floor((F.col("char_end") - 1) / PAGE)).cast("int").alias("page_end"))
+    p = paged_lines(spark, sf_dir).select("doc_id", "page").distinct()
+    conf = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 2).alias("page_count"))
+    return C.page_count(c, p, conf).select("doc_id", F.col("page_count").cast("long").alias("page_count"))
+
+
+def unknown_sections(spark, sf_dir):
+    """FLT3: every language asked for every source; the pairs that no document has."""
+    c = chunks(spark, sf_dir).select(F.col("lang").alias("scope"), "section")
+    asked = c.select("scope").distinct().crossJoin(F.broadcast(c.select("section").distinct()))
+    return C.unknown_sections(asked, c.where("section <> 'src3' OR scope = 'en'")).select("scope", "section")
+
+
+def parsing_summary(spark, sf_dir):
+    """AGG14 over synthetic pages: two columns where a page has an even number of lines."""
+    p = paged_lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
+    p = p.withColumn("extraction_method", F.when(F.col("chars") == 0, "empty").when(F.col("page") % 5 == 0, "legacy_fallback").otherwise("layout")).withColumn("n_removed", F.lit(1))
+    return C.parsing_summary(p.withColumn("column_layout", F.when(F.col("n_blocks") % 2 == 0, "double_column").otherwise("single_column")))
+
+
+def citation_merge(spark, sf_dir):
+    """AGG23: lines as branch notes: texts in order without repeats, their words' first letters as items, blank ones failed."""
+    from ..operators import evidence as V_
+
+    lines = C.lines(table(spark, sf_dir, "documents")).where("line < 6")
+    n = lines.select(F.col("doc_id").alias("report_id"), F.col("line").alias("position"), F.concat(F.lit("q"), F.col("line").cast("string")).alias("question"), F.substring("text", 1, 20).alias("text"),
+                     F.array(F.substring("text", 1, 1)).alias("items"), (F.length("text") < 20).alias("failed"))
+    m = V_.merged_notes(n)
+    return m.select("report_id", "text", F.array_join("items", ",").alias("items"), F.array_join("gaps", ",").alias("gaps"), "branches", "failed_branches")
+
+
 def mock_embed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", V.mock_embed()(F.col("text")).alias("embedding"))
@@ -180,7 +213,7 @@ def mock_embed(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     chunk_spans, terms_freq, page_overlap_filter, running_offsets, line_dedup_margin, section_ranges, heading_lines, range_join_section, interval_overlap, metadata_regex,
-    dedup_key, hash_split, split_leakage, paragraph_mapping, greedy_selection, compare_matrix, compare_gaps, mock_embed)}
+    dedup_key, hash_split, split_leakage, paragraph_mapping, greedy_selection, compare_matrix, compare_gaps, mock_embed, page_counts, unknown_sections, parsing_summary, citation_merge)}
 
 SIGNATURE = r"trim(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '\s+', ' ', 'g'))"
 PAGED = LINES + f", paged AS (SELECT *, 1 + char_start // {PAGE} AS page FROM lines)"
@@ -251,4 +284,15 @@ ANTI JOIN cells USING (doc_id, dimension) GROUP BY dimension""",
     "heading_lines": PAGED and rf"""WITH {PAGED}, h AS (SELECT doc_id, line, page, trim(regexp_replace(regexp_extract(text, '(?i)^\s*((?:\d+(?:\.\d+)*|[一二三四五六七八九十]+)[.、]?\s+[^\n]{{2,90}}|(?:abstract|摘要|introduction|引言|background|背景|method(?:ology)?|方法|experiments?|实验|results?|结果|discussion|讨论|limitations?|局限|conclusion|结论|references|参考文献))\s*$', 1), '\s+', ' ', 'g')) AS name FROM paged),
 f AS (SELECT *, lag(name) OVER w AS a, lag(page) OVER w AS b FROM h WHERE name <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line))
 SELECT doc_id, line, page, name FROM f WHERE NOT coalesce(a = name AND b = page, false)""",
+    "page_counts": f"""WITH {SPANS}, {LINES}, a AS (SELECT doc_id, max(1 + (char_end - 1) // {PAGE}) AS a FROM chunks GROUP BY doc_id), b AS (SELECT doc_id, count(DISTINCT 1 + char_start // {PAGE}) AS b FROM lines GROUP BY doc_id)
+SELECT d.doc_id, greatest(coalesce(a, 0), coalesce(b, 0), CASE WHEN d.doc_id % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS page_count FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
+    "unknown_sections": f"WITH {SPANS}, s AS (SELECT DISTINCT lang AS scope FROM chunks), r AS (SELECT DISTINCT source AS section FROM chunks) SELECT scope, section FROM s CROSS JOIN r WHERE section <> '' EXCEPT SELECT lang, source FROM chunks WHERE source <> 'src3' OR lang = 'en'",
+    "parsing_summary": f"""WITH {LINES}, p AS (SELECT doc_id, 1 + char_start // {PAGE} AS page, count(*) AS n, sum(length(text)) AS c FROM lines GROUP BY ALL)
+SELECT count(*) AS total_pages, count(*) FILTER (c > 0 AND page % 5 <> 0) AS layout_pages, 0::BIGINT AS legacy_pages, count(*) FILTER (c > 0 AND page % 5 = 0) AS fallback_pages, count(*) FILTER (c = 0) AS empty_pages,
+ count(*) FILTER (n % 2 = 1) AS single_column_pages, count(*) FILTER (n % 2 = 0) AS double_column_pages, sum(n)::BIGINT AS blocks_retained, count(*) AS header_footer_blocks_removed FROM p""",
+    "citation_merge": f"""WITH {LINES}, n AS (SELECT doc_id, line, substr(text, 1, 20) AS t, substr(text, 1, 1) AS i, length(text) < 20 AS f FROM lines WHERE line < 6),
+t AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT doc_id, t, min(line) AS line FROM n WHERE t <> '' GROUP BY ALL) GROUP BY doc_id),
+i AS (SELECT doc_id, string_agg(i, ',' ORDER BY line) AS items FROM (SELECT doc_id, i, min(line) AS line FROM n GROUP BY ALL) GROUP BY doc_id),
+g AS (SELECT doc_id, coalesce(string_agg('q' || line, ',' ORDER BY line) FILTER (f), '') AS gaps, count(*) AS branches, count(*) FILTER (f) AS failed_branches FROM n GROUP BY doc_id)
+SELECT doc_id AS report_id, coalesce(text, '') AS text, items, gaps, branches, failed_branches FROM g LEFT JOIN t USING (doc_id) LEFT JOIN i USING (doc_id)""",
 }
