@@ -169,3 +169,24 @@ def test_scores_against_plain_counting(spark, folder):
         else:
             assert out[i].loss_target == pytest.approx(loss(i, marked), rel=1e-5) and out[i].loss_background == pytest.approx(loss(i, words), rel=1e-5)
     assert max(out[i].score for i in range(40) if i % 3) < min(out[i].score for i in range(0, 40, 3))
+
+
+def test_scores_keep_words_apart_that_share_high_hash_bits(spark, folder):
+    import xxhash
+
+    met = {}
+    for i in range(5000):  # two words with the same 18 high bits
+        w = f"w{i}"
+        other = met.setdefault(xxhash.xxh3_64_intdigest(w.encode()) >> 46, w)
+        if other != w:
+            break
+    docs = [(0, f"{other} {other} a", "en", "a"), (1, f"{other} b", "en", "a"), (2, f"{w} c", "en", "a"), (3, "d", "en", "a"), (4, None, "en", "a")]
+    d = table(spark, folder(docs), "documents").repartition(2)
+    target = spark.createDataFrame([(0,)], "doc_id long")
+    found = [{r.doc_id: r for r in lmscore.score(d, target, Scratch(spark, "t"), size).collect()} for size in (1, 1000)]
+    prior, n = lmscore.UNIGRAM_PRIOR, lmscore.WORDS
+    for out in found:  # in chunks of one document as in one chunk
+        # Neither word of document 2 occurs in the target (3 words), while document 1's first one does.
+        assert out[2].loss_target == pytest.approx(-math.log(prior / (3 + prior * n)))
+        assert out[1].loss_target < out[2].loss_target and out[4].n_words == 0 and out[4].score is None
+        assert all(out[i].loss_background == pytest.approx(found[0][i].loss_background) for i in range(4))
