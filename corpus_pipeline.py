@@ -21,8 +21,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays."""
-    return neardup.keep_first(docs, Scratch(spark, "neardup"))
+    """The document with the smallest id of each near-duplicate group (similarity 0.8 or more) stays."""
+    return neardup.keep_first(docs, Scratch(spark, "neardup"), neardup.STAGE_PERCENT)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

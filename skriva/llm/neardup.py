@@ -1,10 +1,10 @@
-"""Near-duplicate detection by b-bit MinHash.
+"""Near-duplicate detection by b-bit MinHash, from a similarity given in percent on.
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; words are runs without white space). 128 minima are taken
-per set; 24 bands of 5 minima give candidates, and the low 4 bits of all minima, packed into eight longs, give a similarity
+per set; bands of them (24 of 5 from 85 percent on, 27 of 4 from 80) give candidates, and the low 4 bits of all minima, packed into eight longs, give a similarity
 estimate corrected for chance agreement. Pairs that the estimate does not rule out are confirmed on the full sets.
 
-A pair of similarity 0.85 shares no band with a probability below 1e-6, and falls below the estimate's margin (five standard
+A pair at the threshold shares no band with a probability below 1e-6, and falls below the estimate's margin (five standard
 deviations) about as rarely. A parity sketch of each set (2048 bits, each the parity of the shingles that fall on it) bounds
 the symmetric difference of two sets from below, so it rules pairs out without error. Equal sets are one node from the
 start, so thousands of copies cost one row. Within a bucket no pairs are spelled out: all members are compared with the one
@@ -18,6 +18,7 @@ A null doc_id is never linked, has a null component and is kept. Extra columns a
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,17 +32,37 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .components import components
 
-LANES, BANDS, ROWS, BITS = 128, 24, 5, 4
+LANES, BITS = 128, 4
+#: How often a pair at the threshold may share no band.
+MISSED = 1e-6
 PER_LONG = 64 // BITS
-#: 100 * intersection >= PERCENT * union.
+#: Documents are linked where 100 * intersection >= percent * union.
 PERCENT = 85
-#: Five standard deviations of the estimate at the threshold.
-MARGIN = 0.16
+#: The same for stages that drop near copies.
+STAGE_PERCENT = 80
 #: Longs of the parity sketch.
 PARITY = 32
 MEMO = 300_000
 
 
+@lru_cache
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, minima a band): the most minima with which bands within the lanes miss a pair at the threshold rarely enough."""
+    p = percent / 100
+    for rows in range(LANES, 1, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(p**rows))) if 0 < p**rows < 1 else 1
+        if bands * rows <= LANES:
+            return bands, rows
+    return LANES, 1
+
+
+def margin(percent: int) -> float:
+    """Five standard deviations of the estimate at the threshold."""
+    chance = 1 / 2**BITS
+    agree = percent / 100 * (1 - chance) + chance
+    return 5 * math.sqrt(agree * (1 - agree) / LANES) / (1 - chance)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, with a memo of bounded size."""
 
@@ -106,11 +127,12 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, fp_hi, fp_lo (of the whole set), and arrays of longs sig, bands and odd, null without words."""
+    n_bands, n_rows = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(1, BANDS + 1, dtype=np.uint64)
+        salt = np.arange(1, n_bands + 1, dtype=np.uint64)
         shifts = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -131,9 +153,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     m = minima(s)
                     low = (m & np.uint64((1 << BITS) - 1)).reshape(-1, PER_LONG)
                     sig.append(np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64))
-                    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS)
+                    rows = m[: n_bands * n_rows].reshape(n_bands, n_rows)
                     h = salt.copy()
-                    for j in range(ROWS):
+                    for j in range(n_rows):
                         h = _fold(h, rows[:, j])
                     h = (h ^ (h >> STEP)) * MIX
                     bands.append((h ^ (h >> np.uint64(32))).view(np.int64))
@@ -173,15 +195,15 @@ def estimate(x: str, y: str) -> Column:
     return (agree - chance) / (1 - chance)
 
 
-def possible(x: str, y: str) -> Column:
+def possible(x: str, y: str, percent: int) -> Column:
     """Neither filter rules out the pair of nodes whose columns end in x and y."""
     n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
     differ = F.lit(0)
     for i in range(PARITY):
         differ = differ + F.bit_count(F.get(f"odd_{x}", F.lit(i)).bitwiseXOR(F.get(f"odd_{y}", F.lit(i))))
     # intersection / union >= p means: symmetric difference <= (1 - p) / (1 + p) of the sum of sizes.
-    sizes = 100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)
-    return sizes & (estimate(f"sig_{x}", f"sig_{y}") >= PERCENT / 100 - MARGIN) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n_x + n_y))
+    sizes = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
+    return sizes & (estimate(f"sig_{x}", f"sig_{y}") >= percent / 100 - margin(percent)) & ((100 + percent) * differ <= (100 - percent) * (n_x + n_y))
 
 
 def side(nodes: DataFrame, x: str, *more: str) -> DataFrame:
@@ -189,9 +211,9 @@ def side(nodes: DataFrame, x: str, *more: str) -> DataFrame:
     return nodes.select(*named, *(F.col(c).alias(f"{c}_{x}") for c in more))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, label: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    near = pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(possible("a", "b"))
+    near = pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(possible("a", "b", percent))
     near = scratch.keep(near.select("a", "b").distinct(), f"near-{label}")
     # By shuffle at every size: the documents with candidates grow with the corpus.
     wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
@@ -199,17 +221,17 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    sure = both.where(100 * shared >= PERCENT * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
+    sure = both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
     sure = scratch.keep(sure, f"sure-{label}")
     scratch.drop(f"near-{label}", f"sets-{label}")
     return sure
 
 
-def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def link(docs: DataFrame, scratch: Scratch, patience: int = 50, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Linked from a similarity of ``percent`` on.
 
     patience: pairs left per bucket row above which another round of stars comes before the pairs themselves."""
-    rows = scratch.keep(signatures(docs), "signatures")
+    rows = scratch.keep(signatures(docs, percent), "signatures")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = some.groupBy("fp_hi", "fp_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands", "odd")).alias("r"))
     nodes = scratch.keep(nodes.select(F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands", "r.odd", "fp_hi", "fp_lo"), "nodes")
@@ -222,7 +244,7 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
     spots = scratch.keep(spots.join(centres, "band"), "spots")
     scratch.drop("shared")
     stars = spots.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    edges = confirmed(stars, nodes, docs, scratch, "0")
+    edges = confirmed(stars, nodes, docs, scratch, "0", percent)
     labels = scratch.keep(components(edges, scratch, "cc-0"), "labels-0")
     at, before = 0, None
     while True:
@@ -247,10 +269,10 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
             differ = (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
             # Every pair once: in the first band of both that agree.
             firsts = F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-            pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y") & (F.get(firsts, F.lit(0)) == F.col("band_x")))
+            pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y", percent) & (F.get(firsts, F.lit(0)) == F.col("band_x")))
             pairs = scratch.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"pairs-{at}")
             last = True
-        more = confirmed(pairs, nodes, docs, scratch, str(at))
+        more = confirmed(pairs, nodes, docs, scratch, str(at), percent)
         edges = edges.unionByName(more)
         labels = scratch.keep(components(edges, scratch, f"cc-{at}"), f"labels-{at}")
         if last:
@@ -262,12 +284,12 @@ def link(docs: DataFrame, scratch: Scratch, patience: int = 50) -> DataFrame:
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keep_first(docs: DataFrame, scratch: Scratch, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs without the documents that follow another one in their group."""
-    gone = link(docs, scratch).where("NOT kept").select("doc_id").distinct()
+    gone = link(docs, scratch, percent=percent).where("NOT kept").select("doc_id").distinct()
     return docs.join(scratch.keep(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return link(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    return link(table(spark, sf_dir, "documents"), Scratch(spark, "op3"), percent=PERCENT)

@@ -66,6 +66,26 @@ def test_near_duplicates(spark, folder, texts):
     assert len(set(want.values())) < len(texts)
 
 
+def test_stage_drops_near_copies_from_a_similarity_of_80_percent(spark, folder):
+    words = [f"u{i}" for i in range(100)]
+    docs = {}
+    for k, gap in enumerate((11, 13)):  # two single words replaced: 10 of 96 shingles differ, 86 / 106; three: 81 / 111
+        one = [f"{k}{w}" for w in words]
+        two = list(one)
+        for at in (20, 20 + gap) if k == 0 else (20, 33, 46):
+            two[at] = "other"
+        docs |= {2 * k: " ".join(one), 2 * k + 1: " ".join(two)}
+    sets = {i: shingles(t) for i, t in docs.items()}
+    assert 80 <= 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 85 and 100 * len(sets[2] & sets[3]) / len(sets[2] | sets[3]) < 80
+    d = folder([(i, t, "en", "a") for i, t in docs.items()])
+    assert sorted(r.doc_id for r in corpus_pipeline.neardup_stage(spark, table(spark, d, "documents"), d).collect()) == [0, 2, 3]
+    assert all(r.kept for r in neardup.link(table(spark, d, "documents"), Scratch(spark, "t")).collect())
+    assert neardup.layout(85) == (24, 5)
+    for percent in (80, 85):
+        bands, rows = neardup.layout(percent)
+        assert bands * rows <= neardup.LANES and (1 - (percent / 100) ** rows) ** bands < 1e-6
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(50)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(30)]
