@@ -8,6 +8,10 @@ written; different values of a format never meet; lengths, separators and letter
 Kinds: card (Luhn-valid, the pseudonym too), account (other runs of 12 to 19 digits), iban, phone, ssn, ip, date, email (the
 local part), secret (a value of 16 or more characters assigned to a key, token, secret or password).
 
+Numbers that stand next to each other are told apart: an unbroken run of 12 to 19 digits is a number of its own; so are shorter runs
+with 12 to 19 digits in all; among more, the longest Luhn-valid ones that end with a run, else as many as fit. An IBAN ends at
+the last space where its check digits fit. (So in such rows the undoing may, by chance, see other borders.)
+
 Edge cases: a null text stays null, without finds; repeated rows get equal results; numbers that fail validation (dates like
 2023-02-30, octets above 255) stay as they are; other columns pass through. A pseudonym may, with probability 1/N, equal its value.
 """
@@ -40,10 +44,11 @@ NUMBER = re.compile(
     | (?P<ssn>  (?<![\d-])\d{3}-\d\d-\d{4}(?!-?\d))
     | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))
     | (?P<iban> (?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-    | (?P<card> (?<!\d)\d(?:[ -]?\d){11,18}(?![ -]?\d))
+    | (?P<card> (?<!\d)\d(?:[ -]?\d){11})
     """,
     re.X,
 )
+DIGITS = re.compile(r"[ -]?(\d+)")
 KINDS = ("ip", "date", "ssn", "phone", "iban", "card")
 LOCAL = re.compile(r"[\w.%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}")
@@ -251,6 +256,38 @@ class Pseudonyms:
         return recased(v, new)
 
 
+def number_at(text: str, start: int) -> tuple[int, int]:
+    """(start, end) of the card or account in the row of digits, spaces and hyphens from start on, empty if none begins here."""
+    runs, at, seen = [], start, 0
+    while seen < 64 and (m := DIGITS.match(text, at)):  # further digits decide nothing here
+        runs.append(m.span(1))
+        at, seen = m.end(), seen + m.end() - m.start(1)
+    digits = lambda i, j: "".join(text[a:b] for a, b in runs[i:j])
+    alone = next((i for i, (a, b) in enumerate(runs) if b - a >= 12), len(runs))
+    if not alone:
+        a, b = runs[0]
+        return (a, b) if b - a <= 19 else (b, b)
+    # Shorter runs up to the next one that stands alone.
+    runs = runs[:alone]
+    if len(digits(0, alone)) > 19:  # a date is no part of a row
+        alone = next((i for i in range(1, alone) if (m := NUMBER.match(text, runs[i][0])) and m["date"]), alone)
+    fits = lambda i: [j for j in range(i + 1, alone + 1) if 12 <= len(digits(i, j)) <= 19]
+    ends = fits(0)
+    if not ends:
+        return runs[0][1], runs[0][1]
+    best = ends[-1]
+    if best < alone:
+        valid = [j for j in ends if luhn(digits(0, j))]
+        # No card begins here: what comes before the next one, if any, is no part of it.
+        later = next((i for i in range(1, best) if any(luhn(digits(i, j)) for j in fits(i))), None) if not valid else None
+        best = valid[-1] if valid else best
+        if later is not None:
+            if len(digits(0, later)) < 12:
+                return runs[later - 1][1], runs[later - 1][1]
+            best = later
+    return runs[0][0], runs[best - 1][1]
+
+
 def finds(text: str, p: Pseudonyms) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym), in order and without overlaps; whole texts are scanned."""
     out: list[tuple[int, int, str, str]] = []
@@ -271,11 +308,23 @@ def finds(text: str, p: Pseudonyms) -> list[tuple[int, int, str, str]]:
             else:
                 floor = at + 1
             at = text.find("@", at + 1)
-        for m in NUMBER.finditer(text):
+        at = 0
+        while m := NUMBER.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
-            found = getattr(p, kind)(m.group())
+            start, at = m.span()
+            found = None
+            if kind == "card":
+                start, at = number_at(text, start)
+                found = p.card(text[start:at]) if start < at else None
+            elif kind == "iban":
+                while at > start and not (found := p.iban(text[start:at])):
+                    at = text.rfind(" ", start, at)
+                if not found:  # go on behind the letters
+                    at = start + 2
+            else:
+                found = getattr(p, kind)(m.group())
             if found:
-                out.append((m.start(), m.end(), *found))
+                out.append((start, at, *found))
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, floor = [], 0
     for x in out:

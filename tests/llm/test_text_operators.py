@@ -136,6 +136,25 @@ def test_pseudonyms_link_and_validate():
         assert not pii.finds(clean, p), clean
 
 
+CARD, IBAN = "4111111111111111", "DE89370400440532013000"
+ROWS_OF_NUMBERS = {
+    "7536784127813050 4845168114407329": ["7536784127813050", "4845168114407329"], f"{CARD} {CARD}": [CARD, CARD], f"{CARD}-123": [CARD], f"7 {CARD}": [CARD],
+    "4111 1111 1111 1111 5500 0000 0000 0004": ["4111 1111 1111 1111", "5500 0000 0000 0004"], "2023 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+    f"{CARD} 2023-02-28": [CARD, "2023-02-28"], "4111-1111-1111-1111 2023-02-28 7": ["4111-1111-1111-1111", "2023-02-28"], f"{'1' * 20} {CARD}": [CARD],
+    f"{IBAN} 2023": [IBAN], "DE89 3704 0044 0532 0130 00 BIC COBADEFF": ["DE89 3704 0044 0532 0130 00"], f"{IBAN} {IBAN}": [IBAN, IBAN],
+    f"{IBAN} {CARD} {CARD}": [IBAN, CARD, CARD], f"NR12 {CARD} ABCDEF": [CARD], "AB12 CDEF GHIJ KLMN OPQR": [], "1 2 3 4 5 6 7 8 9": []}
+
+
+@pytest.mark.parametrize("text", ROWS_OF_NUMBERS)
+def test_numbers_in_a_row_are_all_found(text):
+    p = pii.Pseudonyms(b"k")
+    found = pii.finds(f"x {text} y", p)
+    assert [f"x {text} y"[a:b] for a, b, _, _ in found] == ROWS_OF_NUMBERS[text]
+    for a, b, kind, new in found:
+        alone = f"x {text} y"[a:b]
+        assert [(kind, new)] == [x[2:] for x in pii.finds(alone, p)] and new != alone
+
+
 @pytest.mark.parametrize("n", [1, 2, 10, 97, 1000])
 def test_feistel_is_a_permutation(n):
     f = pii.Feistel(b"k", "t", n)
