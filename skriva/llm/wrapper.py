@@ -2,8 +2,8 @@
 
 Every page is parsed into blocks of text and a skeleton: the tree of its block elements, keyed by tag and class, with like siblings
 folded into one node. Skeletons of one host are aligned by simple tree matching and merged into the host's wrapper, so each
-wrapper node stands for one slot of all its pages. Slot statistics over all pages then tell constant nodes (the same text
-wherever they occur: template) from varying ones (content). Slots inside menus, headers, footers, sidebars, notices,
+wrapper node stands for one slot of all its pages. Slot statistics over all different pages then tell constant nodes (the same
+text wherever they occur, on most pages and in most layouts: template) from varying ones (content). Slots inside menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments (known by tag, role or class) never count; of the rest an article or main element that
 holds text wins, else all varying slots are content.
 
@@ -296,10 +296,10 @@ def induce(skeletons: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
 
 
 def parsed(pages: DataFrame, texts: bool) -> DataFrame:
-    """Per page: page_id, url, host, skeleton (hash), nodes, and with ``texts`` the block texts, else the tree and, per node
-    with text, its text's hash and length."""
+    """Per page: page_id, url, host, skeleton (hash), nodes, and with ``texts`` the block texts, else the tree, the hash of all
+    text and, per node with text, its text's hash and length."""
     schema = "page_id long, url string, host string, skeleton long, nodes array<int>, "
-    schema += "texts array<string>" if texts else "hashes array<long>, chars array<int>, tree string"
+    schema += "texts array<string>" if texts else "hashes array<long>, chars array<int>, tree string, page long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +321,8 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
                         slots.append([(n, "\n".join(t)) for n, t in own.items()])
                     columns += [pa.array([[n for n, _ in s] for s in slots], pa.list_(pa.int32())),
                                 pa.array([[skeleton_hash(t) for _, t in s] for s in slots], pa.list_(pa.int64())),
-                                pa.array([[len(t) for _, t in s] for s in slots], pa.list_(pa.int32())), pa.array(trees)]
+                                pa.array([[len(t) for _, t in s] for s in slots], pa.list_(pa.int32())), pa.array(trees),
+                                pa.array([skeleton_hash("\n".join(t for _, t in p.blocks)) for p in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
@@ -331,10 +332,10 @@ def decide(group: pd.DataFrame) -> pd.DataFrame:
     """The content nodes of one host's wrapper, from its tree and one row of statistics per node (bounded by the tree)."""
     parents, keys = json.loads(group["tree"].iloc[0])
     size = len(parents)
-    chars, pages, kinds = [0] * size, [0] * size, [0] * size
-    for node, c, n, k in zip(group["node"], group["chars"], group["pages"], group["kinds"], strict=True):
+    chars, pages, kinds, layouts = [0] * size, [0] * size, [0] * size, [0] * size
+    for node, c, n, k, m in zip(group["node"], group["chars"], group["pages"], group["kinds"], group["layouts"], strict=True):
         if node >= 0:
-            chars[int(node)], pages[int(node)], kinds[int(node)] = int(c), int(n), int(k)
+            chars[int(node)], pages[int(node)], kinds[int(node)], layouts[int(node)] = int(c), int(n), int(k), int(m)
     below = list(chars)
     for i in range(size - 1, 0, -1):
         below[parents[i]] += below[i]
@@ -344,7 +345,9 @@ def decide(group: pd.DataFrame) -> pd.DataFrame:
     mass = sum(below[i] for i in articles if not under(parents[i], articles))
     tops = articles if articles and (not mains or 2 * mass >= sum(below[i] for i in mains)) else mains or {0}
     inside = [i for i in range(size) if under(i, tops)]
-    constant = {i for i in inside if pages[i] >= 3 and kinds[i] == 1}
+    # The same text on most of the host's different pages and in most of its layouts; copies of a page count once.
+    most = lambda n, k: 2 * n > int(group[k].iloc[0])
+    constant = {i for i in inside if pages[i] >= 3 and kinds[i] == 1 and most(pages[i], "all_pages") and most(layouts[i], "all_layouts")}
     heaviest = max(inside, key=lambda i: chars[i])
     if heaviest in constant:  # copies of one page: constancy tells nothing
         constant = set()
@@ -357,13 +360,19 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     seen = scratch.keep(parsed(pages, texts=False), "seen")
     skeletons = seen.groupBy("host", F.col("skeleton").alias("tree_hash")).agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
     maps, trees = induce(scratch.keep(skeletons, "skeletons"), scratch)
-    slots = seen.select("host", "skeleton", F.explode(F.arrays_zip("nodes", "hashes", "chars")).alias("x"))
-    # Equal texts of a slot first, so that copies count once.
-    slots = slots.groupBy("host", "skeleton", "x.nodes", "x.hashes").agg(F.count("*").alias("n"), F.sum("x.chars").alias("c"))
-    slots = slots.join(maps, ["host", "skeleton"]).select("host", F.get("map", "nodes").alias("node"), "hashes", "n", "c")
-    stats = slots.groupBy("host", "node", "hashes").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    stats = stats.groupBy("host", "node").agg(F.sum("c").alias("chars"), F.sum("n").alias("pages"), F.count("*").alias("kinds"))
-    stats = trees.join(stats, "host", "left").select("host", "tree", F.coalesce("node", F.lit(-1)).alias("node"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("chars", "pages", "kinds")))
+    # Copies first, so that they count once; (skeleton, page, nodes) settles the other columns.
+    different = seen.groupBy("host", "skeleton", "page", "nodes").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars"))
+    slots = different.select("host", "skeleton", "page", "n", F.explode(F.arrays_zip("nodes", "hashes", "chars")).alias("x"))
+    slots = slots.join(maps, ["host", "skeleton"]).select("host", F.get("map", "x.nodes").alias("node"), "page", "x.hashes", (F.col("n") * F.col("x.chars")).alias("c"))
+    stats = slots.groupBy("host", "node", "page").agg(F.sum("c").alias("c"), F.min("hashes").alias("lo"), F.max("hashes").alias("hi"))
+    kinds = F.when(F.min("lo") == F.max("hi"), 1).otherwise(2)  # one or more
+    stats = stats.groupBy("host", "node").agg(F.sum("c").alias("chars"), F.count("*").alias("pages"), kinds.alias("kinds"))
+    layouts = maps.select("host", F.explode("map").alias("node")).groupBy("host", "node").agg(F.count("*").alias("layouts"))
+    counted = ("chars", "pages", "kinds", "layouts")
+    stats = trees.join(stats.join(layouts, ["host", "node"]), "host", "left")
+    stats = stats.select("host", "tree", F.coalesce("node", F.lit(-1)).alias("node"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counted))
+    stats = stats.join(maps.groupBy("host").agg(F.count("*").alias("all_layouts")), "host")
+    stats = stats.join(different.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages")), "host")
     content = stats.groupBy("host").applyInPandas(lambda g: decide(g), "host string, content array<int>")
     roles = maps.join(content, "host")
     # For each node of a page's skeleton: does it belong to the content?

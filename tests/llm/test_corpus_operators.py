@@ -162,6 +162,16 @@ def test_wrapper_drops_all_but_the_article(spark, folder):
     assert out[102] == "Only 2\ntext 2" and out[203] == "Same\nSame text"
 
 
+def test_copies_of_a_page_and_shared_headings_make_no_template(spark, folder):
+    page = "<body><article><h1>Title {i}</h1><p>Much varying text {i}</p>{more}<div class='x'>Same line</div></article></body>"
+    more = {0: "<blockquote>Only here</blockquote>", 1: "<h2>Ingredients</h2>", 2: "<h2>Ingredients</h2>", 3: "<h2>Ingredients</h2>"}
+    kept = {0: "Only here", 1: "Ingredients", 2: "Ingredients", 3: "Ingredients"}
+    pages = [(10 * i + k, f"https://a.example.com/{i}/{k}", page.replace("{i}", str(i)).replace("{more}", more.get(i, ""))) for i in range(10) for k in range(3 if i == 0 else 1)]
+    out = {r.page_id: r.text for r in wrapper.extract(table(spark, folder(pages=pages), "pages"), Scratch(spark, "t")).collect()}
+    for n, text in out.items():
+        assert text.split("\n") == [f"Title {n // 10}", f"Much varying text {n // 10}", *([kept[n // 10]] if n // 10 in kept else [])]
+
+
 def test_tree_matching():
     a, b = ([-1, 0, 1, 1], ["#", "body", "p", "div"]), ([-1, 0, 1, 1, 1, 4], ["#", "body", "ul", "p", "div", "p"])
     assert wrapper.match(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
