@@ -13,7 +13,8 @@ of all (host, skeleton) pairs are small enough to broadcast.
 
 Edge cases: null or blank html gives an empty text of 0 characters; a url without host puts the page in the host ''; unclosed
 tags end with their parent, an unclosed comment or script with the page; elements nested deeper than DEPTH count to their ancestor
-there (their text stays); pages whose content slots are all empty fall back to everything outside the excluded zones;
+there (their text stays); pages whose content slots are all empty fall back to everything outside the excluded zones, and then to the text of zones known by
+their class or id only;
 where a host's pages are mere copies of one article, constancy marks nothing. Repeated pages are treated row by row.
 """
 
@@ -57,21 +58,43 @@ CHROME = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = re.compile(r"[a-z]+")
 CONTENT = frozenset(["article", "main"])
-
-
-def read_attributes(rest: str) -> tuple[str, bool]:
-    """The class words (for the node's key) and whether the element is an excluded zone."""
-    names, out = [], False
+WHOLE = frozenset(["html", "body", *CONTENT])
+# First words of class names that tell a state of the element, not what it is.
+STATES = frozenset("has no not with without is hide show".split())
+#: Words that name a part of an article as well as one of the page.
+HEADS = frozenset("header masthead banner".split())
+#: How an element is excluded: not, by the words of its class or id (its text stands in if nothing else does), or for good.
+IN, WORDED, OUT = 0, 1, 2
+
+
+def marks(value: str, article: bool) -> bool:
+    """Do the words of a class or id mark an excluded zone? Inside an article, its own header does not."""
+    for token in value.split():
+        words = WORDS.findall(token)
+        # What has or lacks a sidebar is none; a token of one word is what it says.
+        if not words or (len(words) > 1 and words[0] in STATES):
+            continue
+        found = CHROME.intersection(words)
+        if article and len(words) > 1:
+            found -= HEADS
+        if found:
+            return True
+    return False
+
+
+def read_attributes(rest: str, article: bool = False) -> tuple[str, int]:
+    """The class words (for the node's key) and whether the element is an excluded zone; article: whether it is inside one."""
+    names, out = [], IN
     for m in ATTRIBUTE.finditer(rest):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
             if kind == "class":
                 names = sorted(set(value.split()))
-            out = out or not CHROME.isdisjoint(WORDS.findall(value))
+            out = max(out, WORDED if marks(value, article) else IN)
         elif kind == "role":
-            out = out or value in ROLES
+            out = max(out, OUT if value in ROLES else IN)
         elif kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
-            out = True
+            out = OUT
     return ".".join(re.sub(r"\d+", "#", n) for n in names), out
 
 
@@ -79,20 +102,27 @@ class Page:
     """The blocks (node, text) outside excluded zones, and the skeleton: parents and keys of its nodes."""
 
     def __init__(self, source: str | None):
-        self.parents, self.keys, self.out = [-1], ["#"], [False]
+        self.parents, self.keys = [-1], ["#"]
         self.children: list[dict[str, int]] = [{}]
         self.blocks: list[tuple[int, str]] = []
         self.text: list[str] = []
+        # The text of zones excluded by their words alone.
+        self.spare: list[str] = []
+        self.content = False
         # Open elements: tag, node, excluded.
-        self.stack: list[tuple[str, int, bool]] = [("#", 0, False)]
+        self.stack: list[tuple[str, int, int]] = [("#", 0, IN)]
         if source:
             self.parse(source)
         self.flush()
+        if not self.blocks:
+            self.blocks = [(0, t) for t in self.spare]
 
     def flush(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
-            if words:
+            if words and self.stack[-1][2] == WORDED:
+                self.spare.append(words)
+            elif words:
                 self.blocks.append((self.stack[-1][1], words))
             self.text = []
 
@@ -135,15 +165,18 @@ class Page:
         return end.end()
 
     def say(self, text: str) -> None:
-        if not self.stack[-1][2]:
+        if self.stack[-1][2] != OUT:
             self.text.append(html.unescape(text) if "&" in text else text)
 
     def inline(self, name: str, rest: str) -> None:
         """Inline elements make no node; only an excluded one must be followed to its end."""
         if rest and (len(rest) > 5):
-            _, out = read_attributes(rest)
-            if out and not self.stack[-1][2]:
-                self.stack.append((name, self.stack[-1][1], True))
+            _, out = read_attributes(rest, self.inside())
+            if out and self.stack[-1][2] != OUT:
+                self.stack.append((name, self.stack[-1][1], OUT))
+
+    def inside(self) -> bool:
+        return any(t in CONTENT for t, _, _ in self.stack)
 
     def open(self, name: str, rest: str) -> None:
         self.flush()
@@ -152,10 +185,15 @@ class Page:
         if name in IMPLIED:
             self.end_implied(*IMPLIED[name])
         _, parent, out = self.stack[-1]
-        names, chrome = read_attributes(rest) if rest else ("", False)
-        if name == "header":  # a header inside an article may hold its headline
-            chrome = chrome or not any(t in CONTENT for t, _, _ in self.stack)
-        out = out or chrome or name in NEVER
+        names, chrome = read_attributes(rest, self.inside()) if rest else ("", IN)
+        if name in WHOLE and chrome == WORDED and names not in CHROME:  # class and id say more of these than what they are
+            chrome = IN
+        if name in CONTENT and out == WORDED and chrome == IN and (name == "main" or not self.content):
+            out = IN  # what holds the page's main or first article is no zone; later articles may be comments
+        if name == "header" and not self.inside():  # a header inside an article may hold its headline
+            chrome = OUT
+        out = max(out, chrome, OUT if name in NEVER else IN)
+        self.content |= name in CONTENT and out == IN
         node = parent
         if not out and len(self.stack) <= DEPTH:
             key = f"{name}.{names}" if names else name

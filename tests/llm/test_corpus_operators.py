@@ -172,6 +172,17 @@ def test_copies_of_a_page_and_shared_headings_make_no_template(spark, folder):
         assert text.split("\n") == [f"Title {n // 10}", f"Much varying text {n // 10}", *([kept[n // 10]] if n // 10 in kept else [])]
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<body class='has-sidebar'><p>Text</p></body>", ["Text"]), ("<div class='content no-sidebar'><p>Text</p></div>", ["Text"]),
+    ("<article class='post comment-open'><p>Text</p></article>", ["Text"]), ("<html class='nav-open'><main id='search-main'><p>Text</p></main></html>", ["Text"]),
+    ("<article><div class='article-header'><h1>Head</h1></div><p>Text</p></article>", ["Head", "Text"]),
+    ("<div class='modal-page'><nav>Menu</nav><article><p>Text</p></article></div>", ["Text"]), ("<div class='page-banner'><p>Text</p></div>", ["Text"]),
+    ("<p>Text</p><div class='site-footer'>Foot</div><div class='sidebar'>Side</div><div role='navigation'>Menu</div>", ["Text"]),
+    ("<article><p>Text</p></article><div class='comments'><article class='reply'>Nice</article></div>", ["Text"]), ("<nav>Menu</nav><footer>Foot</footer>", [])])
+def test_zones_keep_the_page_and_its_article(source, want):
+    assert [t for _, t in wrapper.Page(source).blocks] == want
+
+
 def test_tree_matching():
     a, b = ([-1, 0, 1, 1], ["#", "body", "p", "div"]), ([-1, 0, 1, 1, 1, 4], ["#", "body", "ul", "p", "div", "p"])
     assert wrapper.match(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
