@@ -171,8 +171,8 @@ def marked(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0
 
 
-def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool) -> DataFrame:
-    """(h, doc, place, back, bytes): anchors that may repeat; bytes start ``back`` before the anchor and end with the last window."""
+def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool, only_hot: bool = False) -> DataFrame:
+    """(h, doc, place, back, bytes): anchors that may repeat and stand in no hot slot, or in one if only_hot; bytes start ``back`` before the anchor and end with the last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, hot = tables.value
@@ -181,7 +181,7 @@ def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool) -> DataFrame:
             s = slots(h)
             keep = marked(twice, s)
             if any_hot:
-                keep &= ~marked(hot, s)
+                keep &= marked(hot, s) == only_hot
             h, place, first, last = h[keep], place[keep], first[keep], last[keep]
             text = np.searchsorted(ends, first, side="right")
             base = offsets[text] - (ends - np.diff(ends, prepend=0))[text]
@@ -258,17 +258,17 @@ def later(rows: list[Row]) -> Iterator[tuple[int, int, int]]:
                     yield doc, place - high, place - low + LENGTH
 
 
-def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Row]]]:
-    """The rows of each hash; they arrive sorted by it."""
+def by_hash(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tuple[int, list[Row]]]:
+    """The rows of each hash with ``least`` or more; they arrive sorted by it."""
     key, rows = None, []
     for batch in batches:
         for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "place", "back", "bytes")), strict=True):
             if h != key:
-                if len(rows) > 1:
+                if len(rows) >= least:
                     yield key, rows
                 key, rows = h, []
             rows.append(tuple(row))
-    if len(rows) > 1:
+    if key is not None and len(rows) >= least:
         yield key, rows
 
 
@@ -295,11 +295,36 @@ def ranges(rows: DataFrame) -> DataFrame:
     return sorted_by_hash(rows).mapInArrow(run, "doc long, start long, end long")
 
 
-def maximal_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def hot_repeats(docs: DataFrame, tables: Broadcast, scratch: Scratch) -> DataFrame:
+    """maximal_repeats of the anchors in hot slots: equal contents (back, bytes) are one row of the tree, and a join that Spark can
+    split brings their places back. So a task gathers an anchor's different contents, however often each occurs."""
+    rows = gathered(docs, tables, True, only_hot=True).withColumn("content", F.sha2("bytes", 256))
+    rows = scratch.keep(rows, "hot")
+    contents = rows.groupBy("h", "back", "bytes").agg(F.count("*").alias("doc")).withColumn("place", F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, group in by_hash(batches, 1):
+            found = [(len(r[3]), [r], r[2]) for r in group if r[0] > 1]
+            if len(group) > 1:
+                found += [(high + right, members, high) for right, _, high, members in repeat_groups(group)]
+            out: list[tuple] = []
+            for i, (size, members, shift) in enumerate(found):
+                out += [(h, i, size, r[2], hashlib.sha256(r[3]).hexdigest(), shift) for r in members]
+                if len(out) > 50_000 or (out and i == len(found) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["h", "repeat", "length", "back", "content", "shift"])
+                    out = []
+
+    members = sorted_by_hash(contents.select("h", "doc", "place", "back", "bytes")).mapInArrow(run, "h long, repeat long, length long, back long, content string, shift long")
+    both = members.join(rows.select("h", F.col("back").cast("long").alias("back"), "content", "doc", "place"), ["h", "back", "content"])
+    return both.select("h", "repeat", "length", "doc", (F.col("place") - F.col("shift")).alias("start"))
+
+
+def maximal_repeats(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(h, repeat, length, doc, start): every maximal repeat around an anchor with all of its occurrences. Repeats longer than the
-    bytes around one anchor show as one group per anchor. Anchors met more than HOT times are left to ``marked_ranges``."""
-    twice, hot = survey(docs, scratch, HOT)
-    rows = gathered(docs, docs.sparkSession.sparkContext.broadcast((twice, hot)), bool(hot.any()))
+    bytes around one anchor show as one group per anchor."""
+    twice, crowded = survey(docs, scratch, hot)
+    tables = docs.sparkSession.sparkContext.broadcast((twice, crowded))
+    rows = gathered(docs, tables, bool(crowded.any()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, group in by_hash(batches):
@@ -313,7 +338,8 @@ def maximal_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["h", "repeat", "length", "doc", "start"])
 
-    return sorted_by_hash(rows).mapInArrow(run, "h long, repeat long, length long, doc long, start long")
+    found = sorted_by_hash(rows).mapInArrow(run, "h long, repeat long, length long, doc long, start long")
+    return found.unionByName(hot_repeats(docs, tables, scratch)) if crowded.any() else found
 
 
 def hot_ranges(docs: DataFrame, tables: Broadcast, scratch: Scratch) -> DataFrame:

@@ -268,6 +268,22 @@ def test_maximal_repeats_list_all_occurrences(spark, folder):
         assert n >= 100 and len({body[d][s : s + n] for d, s in places}) == 1 and len(places) > 1
 
 
+def test_maximal_repeats_of_hot_anchors(spark, folder):
+    rnd = random.Random(78)
+    parts = [prose(40, rnd) for _ in range(4)]
+    texts = [" ".join(rnd.choice(parts) if rnd.random() < 0.7 else prose(15, rnd) for _ in range(3)) for _ in range(30)]
+    docs = table(spark, folder([(i, t, "en", "a") for i, t in enumerate([*texts, texts[0]])]), "documents")
+
+    def groups(hot):
+        out = collections.defaultdict(set)
+        for r in repeats.maximal_repeats(docs, Scratch(spark, "t"), hot).collect():
+            out[r.h, r.repeat, r.length].add((r.doc, r.start))
+        return sorted((h, n, sorted(places)) for (h, _, n), places in out.items())
+
+    want = groups(repeats.HOT)
+    assert want and groups(2) == want and groups(8) == want
+
+
 def test_pipeline_against_brute_force(spark, folder):
     import public_tokenizers as P
 
