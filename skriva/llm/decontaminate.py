@@ -56,8 +56,10 @@ def item_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
     return w.select(F.array_join(F.slice("w", F.col("p") + 1, F.col("len")), " ").alias("window"), "len", "item_id").distinct()
 
 
-def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n_words, hits array<struct<p, len, h>>), one row per row of docs, and the benchmark's (h, item_id)."""
+def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n_words, hits array<struct<p, len, h>>), one row per row of docs, and the benchmark's (h, item_id). With
+    ``keyed`` the rows also have the text's hash, as key."""
+    ids = ["row", "doc_id", *(["key"] if keyed else [])]
     owned = scratch.keep(item_windows(bench, width).withColumn("h", F.xxhash64("window")), "windows")
     # At most `width` rows, whatever the benchmark holds.
     sizes = {r["len"]: r["count"] for r in owned.groupBy("len").agg(F.count_distinct("window").alias("count")).collect()}
@@ -65,10 +67,10 @@ def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH
     keys = owned.select("h", "window", "len").distinct()
     empty = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("len"))
     keys = keys.unionByName(empty.select(F.xxhash64("window").alias("h"), "window", "len"))
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", folded(F.coalesce("text", F.lit(""))).alias("t"))
-    d = d.select("row", "doc_id", F.array_remove(F.split("t", GAP), "").alias("w"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), folded(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select(*ids, F.array_remove(F.split("t", GAP), "").alias("w"))
     runs = F.concat(F.array(F.lit("")), *[windows_of("w", n) for n in lengths])
-    d = d.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(runs).alias("at", "s"))
+    d = d.select(*ids, F.size("w").alias("n_words"), F.posexplode(runs).alias("at", "s"))
     d = d.withColumn("h", F.xxhash64("s"))
     found = d.join(small(keys, sum(sizes.values()), 200), "h").where(F.col("s") == F.col("window"))
     # Where in the list of runs the first one of each length stands.
@@ -78,7 +80,7 @@ def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH
         before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
     # At most one hit per position and length, so the list is bounded by the document's own text.
     hit = F.when(F.col("len") > 0, F.struct((F.col("at") - first).alias("p"), "len", "h"))
-    rows = found.groupBy("row", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
+    rows = found.groupBy(*ids, "n_words").agg(F.collect_list(hit).alias("hits"))
     return scratch.keep(rows, "scan"), owned.select("h", "item_id")
 
 
@@ -105,19 +107,18 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch) -> DataFr
 
 def remove(docs: DataFrame, bench: DataFrame, scratch: Scratch, whole: bool = False, max_share: float = 0.5) -> DataFrame:
     """docs without benchmark text: hit words are cut out with the gaps before them. With ``whole``, or where more than
-    max_share of the words are hit, the document is removed. Rows that share a doc_id are cut each by the hits of all of them
-    whose word count agrees."""
-    rows, _ = scan(docs, bench, scratch)
-    found = rows.where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("n_words").alias("__n"), hit_words().alias("__p"))
-    found = found.groupBy("__id", "__n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__p")))).alias("__p"))
+    max_share of the words are hit, the document is removed. Every row is cut by the hits of its own text, also where rows share
+    a doc_id or have none."""
+    rows, _ = scan(docs, bench, scratch, keyed=True)
+    found = rows.where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), hit_words().alias("__p"))
+    # Rows that agree in id and text have the same hits. By shuffle at every size: the ids of hit documents grow with the corpus.
+    few = found.groupBy("__id", "__k").agg(F.first("__p").alias("__p")).hint("merge")
+    docs_ = docs.withColumn("__text", F.xxhash64("text"))
+    same = docs_["doc_id"].eqNullSafe(few["__id"]) & (docs_["__text"] == few["__k"])
     if whole:
-        ids = found.select("__id").distinct().hint("merge")
-        return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
-    # By shuffle at every size: the ids of hit documents grow with the corpus.
-    few = found.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__n", "__p"))).alias("__by_n")).hint("merge")
-    out = docs.join(few, docs["doc_id"] == few["__id"], "left")
-    out = out.withColumn("__w", F.when(F.col("__id").isNotNull(), F.array_remove(F.split("text", RAW_GAP), "")))
-    out = out.withColumn("__p", F.try_element_at("__by_n", F.size("__w")))
+        return docs_.join(few, same, "left_anti").select(*docs.columns)
+    out = docs_.join(few, same, "left")
+    out = out.withColumn("__w", F.when(F.col("__p").isNotNull(), F.array_remove(F.split("text", RAW_GAP), "")))
     out = out.where(F.col("__p").isNull() | (F.size("__p") <= max_share * F.size("__w")))
     out = out.withColumn("__g", F.when(F.col("__p").isNotNull(), F.split("text", RAW_WORD, -1)))
     # Gap i stands before word i, the last gap behind all words.

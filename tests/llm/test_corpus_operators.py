@@ -137,6 +137,18 @@ def test_removal_of_benchmark_spans(spark, folder):
     assert sorted(r.doc_id for r in whole) == [3, 4]
 
 
+def test_removal_goes_row_by_row(spark, folder):
+    hit, clean = prose(12, random.Random(5)), [prose(40, random.Random(i)) for i in (6, 7, 8)]
+    texts = [(None, f"{clean[0]}\n{hit}"), (1, f"{clean[1]}\n{hit}"), (1, f"{clean[2]} {prose(12, random.Random(10))}"), (1, f"{clean[1]}\n{hit}"), (None, None)]
+    docs = table(spark, folder([(i, t, "en", "a") for i, t in texts], benchmark=[(1, hit)]), "documents")
+    bench = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    order = lambda rows: sorted(map(str, rows))
+    got = [(r.doc_id, r.text) for r in decontaminate.remove(docs, bench, Scratch(spark, "t")).collect()]
+    assert order(got) == order([(None, clean[0]), (1, clean[1]), texts[2], (1, clean[1]), (None, None)])
+    got = [(r.doc_id, r.text) for r in decontaminate.remove(docs, bench, Scratch(spark, "t"), whole=True).collect()]
+    assert order(got) == order([texts[2], (None, None)])
+
+
 def test_large_benchmarks_join_by_shuffle(spark, folder, monkeypatch):
     bench = [(i, prose(14)) for i in range(30)] + [(99, "uniqueword")]
     d = folder([(i, prose(40) + " " + bench[i % 31][1] + " " + prose(5), "en", "a") for i in range(60)], benchmark=bench)
