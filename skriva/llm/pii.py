@@ -5,15 +5,20 @@ format: each kind's values are numbered 0..N-1, a Feistel network over two halve
 cycle keeps the result below N. The same value gives the same pseudonym in every document, in whatever layout it is
 written; different values of a format never meet; lengths, separators and letter case stay. Who holds the key can undo it.
 
-Kinds: card (Luhn-valid, the pseudonym too), account (other runs of 12 to 19 digits), iban, phone, ssn, ip, date, email (the
-local part), secret (a value of 16 or more characters assigned to a key, token, secret or password).
+Strings of more than WIDE free characters are not numbered: there the two halves are sequences of characters, each shifted within
+its own alphabet by a stream as long as the half, so values of any length change as a whole, in time linear in their length.
 
-Numbers that stand next to each other are told apart: an unbroken run of 12 to 19 digits is a number of its own; so are shorter runs
-with 12 to 19 digits in all; among more, the longest Luhn-valid ones that end with a run, else as many as fit. An IBAN ends at
-the last space where its check digits fit. (So in such rows the undoing may, by chance, see other borders.)
+Kinds: card (12 to 19 digits, Luhn-valid, the pseudonym too), iban, phone, ssn, ip, date, email (the local part), secret (a value of 16
+or more characters assigned to a key, token, secret or password).
+
+Numbers that stand next to each other are told apart: an unbroken run of 12 to 19 digits is a number of its own; of shorter runs the
+longest row that is Luhn-valid and ends with a run is one. An IBAN ends at the last space where its check digits fit. (So in such
+rows the undoing may, by chance, see other borders.)
 
 Edge cases: a null text stays null, without finds; repeated rows get equal results; numbers that fail validation (dates like
-2023-02-30, octets above 255) stay as they are; other columns pass through. A pseudonym may, with probability 1/N, equal its value.
+2023-02-30, octets above 255, digits whose Luhn sum fails) stay as they are; other columns pass through, but one named like the spans
+is replaced. Characters without an alphabet (punctuation, rare scripts) keep their place. A pseudonym may, with probability 1/N, equal its
+value.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,8 +58,10 @@ DIGITS = re.compile(r"[ -]?(\d+)")
 KINDS = ("ip", "date", "ssn", "phone", "iban", "card")
 LOCAL = re.compile(r"[\w.%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}")
-#: Letters outside ASCII are permuted among these.
-LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+#: Strings with more free characters than this are permuted by characters instead of by number.
+WIDE = 32
+#: Ranges of code points whose small letters, or letters without case, are permuted among themselves.
+SCRIPTS = [(0x61, 0x7B), (0xDF, 0x180), (0x370, 0x400), (0x430, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0xA000), (0xAC00, 0xD7A4)]
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -63,12 +71,14 @@ class Feistel:
     def __init__(self, key: bytes, kind: str, n: int):
         self.n, self.a = n, max(1, math.isqrt(n - 1) + 1)
         self.b = -(-n // self.a)
-        self.hasher = hashlib.blake2b(f"{kind}/{n}".encode(), key=hashlib.sha256(key).digest(), digest_size=32)
+        self.width = (self.a.bit_length() + 7) // 8
+        self.hasher = hashlib.shake_256(hashlib.sha256(key).digest() + hashlib.sha256(kind.encode()).digest() + n.to_bytes(self.width * 2 + 1, "big"))
 
     def _mask(self, i: int, half: int) -> int:
+        """As wide as a half and 16 bytes more, so that its remainder is even."""
         h = self.hasher.copy()
-        h.update(b"%d:%d" % (i, half))
-        return int.from_bytes(h.digest(), "big")
+        h.update(bytes([i]) + half.to_bytes(self.width, "big"))
+        return int.from_bytes(h.digest(self.width + 16), "big")
 
     def _once(self, x: int) -> int:
         left, right = divmod(x, self.b)
@@ -101,6 +111,37 @@ class Feistel:
         return self._walk(self._back, x)
 
 
+def shifted(key: bytes, kind: str, values: np.ndarray, sizes: np.ndarray, undo: bool) -> np.ndarray:
+    """A keyed permutation of sequences: values[i] stays in 0..sizes[i]-1. A Feistel network over the two halves of the sequence."""
+    start = hashlib.shake_256(hashlib.sha256(key).digest() + hashlib.sha256(kind.encode()).digest() + sizes.astype("<u4").tobytes())
+    cut, out = len(values) // 2, values.astype(np.int64)
+    halves = (slice(0, cut), slice(cut, len(values)))
+    for i in range(ROUNDS)[:: -1 if undo else 1]:
+        to, by = halves[i % 2], halves[1 - i % 2]
+        h = start.copy()
+        h.update(bytes([i]) + out[by].astype("<u4").tobytes())
+        stream = np.frombuffer(h.digest(8 * len(out[to])), "<u8") % sizes[to].astype(np.uint64)
+        out[to] = (out[to] + (-1 if undo else 1) * stream.astype(np.int64)) % sizes[to]
+    return out
+
+
+@lru_cache(maxsize=1)
+def letters() -> dict[str, str]:
+    """Character -> its alphabet: of letters that survive a change of case and back, or of those without case."""
+    out = dict.fromkeys("0123456789", "0123456789")
+    for low, high in SCRIPTS:
+        found = [c for c in map(chr, range(low, high)) if c.isalpha() and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c]
+        for cased in (True, False):
+            alphabet = "".join(c for c in found if (c.upper() != c) == cased)
+            out |= dict.fromkeys(alphabet, alphabet)
+    return out
+
+
+def lowered(text: str) -> str:
+    """Capitals as small letters, where that can be undone."""
+    return "".join(c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in text)
+
+
 def luhn_digit(body: str) -> str:
     """The digit that makes body + digit pass."""
     total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(body)))
@@ -133,7 +174,7 @@ class Pseudonyms:
         self._network = lru_cache(maxsize=4096)(lambda kind, n: Feistel(key, kind, n))
 
     def permute(self, kind: str, n: int, x: int) -> int:
-        f = self._network(kind, n)
+        f = self._network(kind, n)  # n is bounded: WIDE characters, or the digits of a number
         return f.backward(x) if self.undo else f.forward(x)
 
     def digits(self, kind: str, digits: str) -> str:
@@ -142,6 +183,13 @@ class Pseudonyms:
     def mixed(self, kind: str, text: str, alphabet: Callable[[str], str]) -> str:
         """Permute in mixed radix: every character within its own alphabet ('' keeps it)."""
         sets = [alphabet(c) for c in text]
+        free = [i for i, s in enumerate(sets) if s]
+        if len(free) > WIDE:
+            values, sizes = np.array([sets[i].index(text[i]) for i in free], np.int64), np.array([len(sets[i]) for i in free], np.int64)
+            chars = list(text)
+            for i, v in zip(free, shifted(self.key, kind, values, sizes, self.undo).tolist(), strict=True):
+                chars[i] = sets[i][v]
+            return "".join(chars)
         n, x = 1, 0
         for c, s in zip(text, sets, strict=True):
             if s:
@@ -157,16 +205,12 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     # Each kind returns the pseudonym, or None where validation fails.
-    def card(self, v: str) -> tuple[str, str]:
+    def card(self, v: str) -> tuple[str, str] | None:
         d = "".join(c for c in v if c.isdigit())
-        if luhn(d):
-            body = self.digits("card", d[:-1])
-            return "card", relay(v, body + luhn_digit(body), str.isdigit)
-        # The permutation of such numbers must not leave them: walk on past Luhn-valid ones.
-        new = self.digits("account", d)
-        while luhn(new):
-            new = self.digits("account", new)
-        return "account", relay(v, new, str.isdigit)
+        if not luhn(d):
+            return None
+        body = self.digits("card", d[:-1])
+        return "card", relay(v, body + luhn_digit(body), str.isdigit)
 
     def phone(self, v: str) -> tuple[str, str] | None:
         d = "".join(c for c in v if c.isdigit())
@@ -228,16 +272,8 @@ class Pseudonyms:
         return "iban", relay(v, s[:2] + f"{check:02d}" + bban, lambda c: c != " ")
 
     def email(self, local: str) -> str:
-        low = local.lower() if len(local.lower()) == len(local) else local
-
-        def alphabet(c: str) -> str:
-            if "a" <= c <= "z":
-                return "abcdefghijklmnopqrstuvwxyz"
-            if "0" <= c <= "9":
-                return "0123456789"
-            return LATIN if c in LATIN else ""
-
-        return recased(local, self.mixed("email", low, alphabet))
+        known = letters()
+        return recased(local, self.mixed("email", lowered(local), lambda c: known.get(c, "")))
 
     def secret(self, v: str) -> str:
         low = v.lower()
@@ -257,35 +293,23 @@ class Pseudonyms:
 
 
 def number_at(text: str, start: int) -> tuple[int, int]:
-    """(start, end) of the card or account in the row of digits, spaces and hyphens from start on, empty if none begins here."""
+    """(start, end) of the card that begins with the row of digits, spaces and hyphens at start; empty if none does, and then end is
+    where to go on."""
     runs, at, seen = [], start, 0
-    while seen < 64 and (m := DIGITS.match(text, at)):  # further digits decide nothing here
+    while seen < 20 and (m := DIGITS.match(text, at)):  # further digits are part of no card that begins here
         runs.append(m.span(1))
         at, seen = m.end(), seen + m.end() - m.start(1)
-    digits = lambda i, j: "".join(text[a:b] for a, b in runs[i:j])
-    alone = next((i for i, (a, b) in enumerate(runs) if b - a >= 12), len(runs))
-    if not alone:
-        a, b = runs[0]
-        return (a, b) if b - a <= 19 else (b, b)
-    # Shorter runs up to the next one that stands alone.
-    runs = runs[:alone]
-    if len(digits(0, alone)) > 19:  # a date is no part of a row
-        alone = next((i for i in range(1, alone) if (m := NUMBER.match(text, runs[i][0])) and m["date"]), alone)
-    fits = lambda i: [j for j in range(i + 1, alone + 1) if 12 <= len(digits(i, j)) <= 19]
-    ends = fits(0)
-    if not ends:
-        return runs[0][1], runs[0][1]
-    best = ends[-1]
-    if best < alone:
-        valid = [j for j in ends if luhn(digits(0, j))]
-        # No card begins here: what comes before the next one, if any, is no part of it.
-        later = next((i for i in range(1, best) if any(luhn(digits(i, j)) for j in fits(i))), None) if not valid else None
-        best = valid[-1] if valid else best
-        if later is not None:
-            if len(digits(0, later)) < 12:
-                return runs[later - 1][1], runs[later - 1][1]
-            best = later
-    return runs[0][0], runs[best - 1][1]
+    first = runs[0]
+    if first[1] - first[0] >= 12:  # a number of its own
+        return first if first[1] - first[0] <= 19 and luhn(text[slice(*first)]) else (first[1], first[1])
+    best, digits = None, ""
+    for a, b in runs:
+        if b - a >= 12 or len(digits) + b - a > 19:
+            break
+        digits += text[a:b]
+        if len(digits) >= 12 and luhn(digits):
+            best = b
+    return (first[0], best) if best else (first[1], first[1])
 
 
 def finds(text: str, p: Pseudonyms) -> list[tuple[int, int, str, str]]:
@@ -347,6 +371,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind",
 
 def pseudonymise(docs: DataFrame, key: bytes, spans: str | None = None, undo: bool = False) -> DataFrame:
     """docs with pseudonyms in the text; with ``spans``, also an array of (start, end, kind) in code points under that name."""
+    docs = docs.drop(spans) if spans else docs
     names = docs.columns
     where = names.index("text")
 
