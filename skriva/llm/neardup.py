@@ -7,9 +7,15 @@ estimate corrected for chance agreement. Pairs that the estimate does not rule o
 A pair at the threshold shares no band with a probability below 1e-6, and falls below the estimate's margin (five standard
 deviations) about as rarely. A parity sketch of each set (2048 bits, each the parity of the shingles that fall on it) bounds
 the symmetric difference of two sets from below, so it rules pairs out without error. Equal sets are one node from the
-start, so thousands of copies cost one row. Within a bucket no pairs are spelled out: all members are compared with the one
-whose buckets are fullest (a star around the likely original), components are formed, and of what still lies in different
-components only the pairs that pass both filters leave the join, each from the first bucket that both share.
+start, so thousands of copies cost one row. Shingles are known by 64-bit hashes, so sets and their sizes are exact up to collisions.
+
+1. All members of a bucket are compared with the one whose buckets are fullest (a star around the likely original), and components
+   are formed. Buckets of one component are done.
+2. Of the other buckets, those of at most CROWD members compare their members; only pairs that pass both filters leave the join.
+3. The members of larger ones, which may have nothing but boilerplate in common, are not paired there. Their sets are ordered by
+   rising frequency; two similar sets share one of their first (rarest) shingles, 8 percent of the smaller and 15 percent of the larger
+   set at a threshold of 85. So an equi-join on these finds every pair, whatever the bucket's size; its
+   frequent keys are split, and what the largest component of a key has in common is left out.
 
 Edge cases: with fewer than five words the whole word sequence is the one shingle; without words, or for a null text, the set
 is empty, linked with nothing and kept. Rows that share a doc_id are one document: it is linked if any of its texts is.
@@ -29,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 from .components import components
 
 LANES, BITS = 128, 4
@@ -43,6 +49,12 @@ STAGE_PERCENT = 80
 #: Longs of the parity sketch.
 PARITY = 32
 MEMO = 300_000
+#: Buckets with more members in different components than this are not compared member by member.
+CROWD = 200
+#: Rows of one key that go to one task, before it is split.
+SPLIT = 500
+#: The most frequent shingles that are ordered by frequency are at most this many (16 bytes each are broadcast).
+FREQUENT = 1 << 21
 
 
 @lru_cache
@@ -169,17 +181,17 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles array<long>."""
+def sets(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, shingles array<long>, and the long columns named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64())), *map(part.column, more)], names=["doc_id", "shingles", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, shingles array<long>" + "".join(f", {c} long" for c in more))
 
 
 def estimate(x: str, y: str) -> Column:
@@ -227,56 +239,122 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     return sure
 
 
-def link(docs: DataFrame, scratch: Scratch, patience: int = 50, percent: int = PERCENT) -> DataFrame:
+def dealt(rows: DataFrame, n: str = "n") -> DataFrame:
+    """rows, one per key with n members, repeated for each part of the key."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / SPLIT).cast("int"))))
+
+
+def salt(n: str, node: str = "node") -> Column:
+    """The part of a key with n members to which a member belongs."""
+    return F.pmod(F.xxhash64(node), F.floor((F.col(n) - 1) / SPLIT) + 1).cast("int")
+
+
+def buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, salt, node, n, pivot): the members of all buckets of two nodes or more. A bucket of many members is split by salt."""
+    spots = nodes.select("node", F.explode("bands").alias("band"))
+    full = scratch.keep(spots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    # At most one in SPLIT rows of spots.
+    large = full.where(F.col("n") > SPLIT).withColumnRenamed("n", "many")
+    spots = spots.join(small(large, large.count(), 16), "band", "left").withColumn("salt", F.when(F.col("many").isNull(), F.lit(0)).otherwise(salt("many")))
+    spots = scratch.keep(spots.drop("many").join(dealt(full), ["band", "salt"]), "shared")
+    # The original of many near copies shares most buckets with most of them.
+    weight = spots.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = spots.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"), F.max("n").alias("n"))
+    spots = scratch.keep(spots.join(dealt(centres).drop("n"), ["band", "salt"]), "spots")
+    scratch.drop("shared", "full")
+    return spots
+
+
+def prefixes(full: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, node, c, size, pos, short): the first shingles of each set (node, c, shingles), the rarest first; short: among those that
+    a similar set of this size or more must share."""
+    table_ = full.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = table_.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                for node, c, s in zip(part.column("node").to_pylist(), part.column("c").to_pylist(), part.column("shingles"), strict=True):
+                    s, n = s.values.to_numpy(), len(s)
+                    at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                    rank = np.where(known[at] == s, times[at], 0) if len(known) else np.zeros(n, np.int64)
+                    # Sets of n and m >= n shingles share percent * m or more; of equal size, 2 * percent / (100 + percent) of both.
+                    first = n - -(-percent * n // 100) + 1
+                    s = s[np.lexsort((s, rank))[:first]]
+                    short = np.arange(first) <= n - -(-2 * percent * n // (100 + percent))
+                    for column, values in zip(out, (s, np.full(first, node), np.full(first, c), np.full(first, n), np.arange(first), short), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["shingle", "node", "c", "size", "pos", "short"])
+
+    return full.select("node", "c", "shingles").mapInArrow(run, "shingle long, node long, c long, size long, pos long, short boolean")
+
+
+def crowded_pairs(crowd: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): every pair of the nodes (node, c) of different components that may be similar enough, by their rarest shingles."""
+    texts = docs.select("doc_id", "text").join(crowd.select(F.col("node").alias("doc_id"), "c").hint("merge"), "doc_id")
+    # A doc_id may stand on several rows; the node's set is one of theirs, and any of them may be linked.
+    full = sets(texts, "c").select(F.col("doc_id").alias("node"), "c", "shingles").where(F.size("shingles") > 0)
+    full = scratch.keep(full, "crowd")
+    often = full.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > CROWD)
+    often = scratch.keep(often, "often")
+    # Any order of the shingles finds all pairs; beyond FREQUENT only the most frequent ones are told apart.
+    powers = sorted(((r["p"], r["count"]) for r in often.groupBy(F.floor(F.log2("k")).alias("p")).count().collect()), reverse=True)
+    total, least = 0, 0
+    for p, count in powers:
+        total += count
+        if total > FREQUENT:
+            least = 1 << (p + 1)
+            break
+    chosen = often.where(F.col("k") >= least).toArrow()
+    known, times = chosen.column("shingle").to_numpy(), chosen.column("k").to_numpy()
+    order = np.argsort(known)
+    rows = scratch.keep(prefixes(full, percent, (known[order], times[order])), "prefixes")
+    same = rows.groupBy("shingle", "c").agg(F.count("*").alias("k"))
+    keys = same.groupBy("shingle").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("k"))
+    keys = scratch.keep(keys.where("k > most").select("shingle", "major", (F.col("k") - F.col("most")).alias("n")), "keys")
+    # Members outside the largest component against all members.
+    rows = rows.join(keys, "shingle")
+    x = rows.where("c <> major").select("shingle", salt("n").alias("salt"), *(F.col(k).alias(f"{k}_x") for k in ("node", "c", "size", "pos", "short")))
+    y = dealt(rows).select("shingle", "salt", (F.col("c") == F.col("major")).alias("main"), *(F.col(k).alias(f"{k}_y") for k in ("node", "c", "size", "pos", "short")))
+    left, right = F.struct("size_x", "node_x"), F.struct("size_y", "node_y")
+    room = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+    pairs = x.join(y, ["shingle", "salt"]).where((F.col("c_x") != F.col("c_y")) & (F.col("main") | (F.col("node_x") < F.col("node_y"))))
+    pairs = pairs.where(F.when(left < right, F.col("short_x")).otherwise(F.col("short_y")))
+    pairs = pairs.where((100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")) & ((100 + percent) * room >= percent * (F.col("size_x") + F.col("size_y"))))
+    found = scratch.keep(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "crowd-pairs")
+    scratch.drop("crowd", "often", "prefixes", "keys")
+    return found
+
+
+def link(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Linked from a similarity of ``percent`` on.
 
-    patience: pairs left per bucket row above which another round of stars comes before the pairs themselves."""
+    crowd: buckets with more members in different components go by their rarest shingles."""
     rows = scratch.keep(signatures(docs, percent), "signatures")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = some.groupBy("fp_hi", "fp_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands", "odd")).alias("r"))
     nodes = scratch.keep(nodes.select(F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands", "r.odd", "fp_hi", "fp_lo"), "nodes")
-    spots = nodes.select("node", F.explode("bands").alias("band"))
-    full = spots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    spots = scratch.keep(spots.join(full, "band"), "shared")
-    # The original of many near copies shares most buckets with most of them.
-    weight = spots.groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = spots.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
-    spots = scratch.keep(spots.join(centres, "band"), "spots")
-    scratch.drop("shared")
+    spots = buckets(nodes, scratch)
     stars = spots.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     edges = confirmed(stars, nodes, docs, scratch, "0", percent)
     labels = scratch.keep(components(edges, scratch, "cc-0"), "labels-0")
-    at, before = 0, None
-    while True:
-        mixed = spots.where("n > 2").join(labels, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("c"))
-        # Buckets of one component need nothing more.
-        open_ = mixed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        mixed = scratch.keep(mixed.join(open_, "band").select("band", "node", "pivot", "c", "m"), f"mixed-{at}")
-        same = mixed.groupBy("band", "c").agg(F.count("*").alias("k"), F.max("m").alias("m"))
-        left, members = same.agg(F.sum(F.col("k") * (F.col("m") - F.col("k"))) / 2, F.sum("k")).first()
-        if not left:
-            break
-        at += 1
-        if left > patience * members and (before is None or left < 0.8 * before):
-            before = left
-            # The next star's centre is drawn by a hash, another one each round.
-            drawn = mixed.groupBy("band").agg(F.max_by(F.struct("node", "c"), F.xxhash64("node", F.lit(at))).alias("p"))
-            pairs = mixed.join(drawn, "band").where("c <> p.c").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-            last = False
-        else:
-            rows_ = mixed.select("band", "node", "c", "pivot").join(nodes.select("node", "n_shingles", "sig", "odd", "bands"), "node")
-            x, y = side(rows_, "x", "band", "c", "bands"), side(rows_, "y", "band", "c", "bands", "pivot")
-            differ = (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
-            # Every pair once: in the first band of both that agree.
-            firsts = F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-            pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y", percent) & (F.get(firsts, F.lit(0)) == F.col("band_x")))
-            pairs = scratch.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"pairs-{at}")
-            last = True
-        more = confirmed(pairs, nodes, docs, scratch, str(at), percent)
-        edges = edges.unionByName(more)
-        labels = scratch.keep(components(edges, scratch, f"cc-{at}"), f"labels-{at}")
-        if last:
-            break
+    mixed = spots.where("n > 2").join(labels, "node", "left").select("band", "salt", "n", "node", "pivot", F.coalesce("component", "node").alias("c"))
+    # Buckets of one component need nothing more.
+    open_ = mixed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n")).where("lo < hi").drop("lo", "hi")
+    mixed = scratch.keep(mixed.join(dealt(open_).drop("n"), ["band", "salt"]), "mixed")
+    rows_ = mixed.where(F.col("n") <= crowd).select("band", "node", "c", "pivot").join(nodes.select("node", "n_shingles", "sig", "odd", "bands"), "node")
+    x, y = side(rows_, "x", "band", "c", "bands"), side(rows_, "y", "band", "c", "bands", "pivot")
+    differ = (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
+    pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y", percent))
+    pairs = scratch.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+    many = scratch.keep(mixed.where(F.col("n") > crowd).select("node", "c").distinct(), "many")
+    if not many.isEmpty():
+        pairs = pairs.unionByName(crowded_pairs(many, docs, scratch, percent)).distinct()
+    more = confirmed(pairs, nodes, docs, scratch, "1", percent)
+    if not more.isEmpty():
+        labels = scratch.keep(components(edges.unionByName(more), scratch, "cc-1"), "labels-1")
     sets_ = nodes.select("fp_hi", "fp_lo", "node").join(labels, "node", "left").select("fp_hi", "fp_lo", F.coalesce("component", "node").alias("c"))
     out = rows.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(scratch.keep(sets_, "classes"), ["fp_hi", "fp_lo"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
