@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times this row size stay below BROADCAST_BYTES.
@@ -60,6 +60,11 @@ def fits_broadcast(n_rows: int, row_bytes: int) -> bool:
     return n_rows * row_bytes <= BROADCAST_BYTES
 
 
+def measured(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """Hint a broadcast if the sum of row_bytes over all rows of df (a written table, read once more for it) allows one."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(0).cast("long") + row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast if the counted size allows one; else leave the join to a shuffle."""
     return F.broadcast(df) if fits_broadcast(n_rows, row_bytes) else df

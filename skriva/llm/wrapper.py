@@ -1,21 +1,24 @@
 """HTML main-text extraction by wrapper induction.
 
 Every page is parsed into blocks of text and a skeleton: the tree of its block elements, keyed by tag and class, with like siblings
-folded into one node. Skeletons of one host are aligned by simple tree matching and merged into the host's wrapper, so each
-wrapper node stands for one slot of all its pages. Slot statistics over all different pages then tell constant nodes (the same
-text wherever they occur, on most pages and in most layouts: template) from varying ones (content). Slots inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (known by tag, role or class) never count; of the rest an article or main element that
-holds text wins, else all varying slots are content.
+folded into one node. Skeletons of one site (a host's pages that begin with the same framing element) are merged by simple tree matching into the site's
+wrapper, and every skeleton is aligned with it, so each wrapper node stands for one slot of all the site's pages. Statistics over all
+different pages then tell constant nodes (a text that stands in its slot on most pages and in most layouts: template) from varying ones
+(content). An article or main element that holds text bounds the content; else all varying slots of the page are content.
+
+Menus, headers, footers, sidebars, adverts, forms, cookie notices and reader comments that their tag, role or a whole class name tells never
+count. Class names that may as well name a part of an article (related, social, notice, ...) exclude a zone outside an article only; below one the
+wrapper must find the slot constant. Headings in an article are never template.
 
 Only distinct skeletons are aligned, in groups of at most FAN trees per task, level by level, so a host with a third of all
-pages costs no more than its distinct layouts. Statistics are plain aggregates. The html itself is never shuffled while the roles
-of all (host, skeleton) pairs are small enough to broadcast.
+pages costs no more than its distinct layouts, and its frames are separate tasks. Statistics are plain aggregates. The html itself is never
+shuffled while the roles of all (site, skeleton) pairs are measured small enough to broadcast.
 
 Edge cases: null or blank html gives an empty text of 0 characters; a url without host puts the page in the host ''; unclosed
-tags end with their parent, an unclosed comment or script with the page; elements nested deeper than DEPTH count to their ancestor
-there (their text stays); pages whose content slots are all empty fall back to everything outside the excluded zones, and then to the text of zones known by
-their class or id only;
-where a host's pages are mere copies of one article, constancy marks nothing. Repeated pages are treated row by row.
+elements end with their parent, an unclosed comment, script, style or textarea with the page; an svg, video, title or the like that is never
+closed hides nothing; elements nested deeper than DEPTH count to their ancestor there (their text stays); pages whose content slots are
+all empty fall back to everything outside the excluded zones, and then to the text of zones known by their class or id only; where
+a site's pages are mere copies of one article (less than a tenth of the text varies), constancy marks nothing. Repeated pages are treated row by row.
 """
 
 from __future__ import annotations
@@ -31,55 +34,69 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
+from .common import Scratch, measured, table
 
 DEPTH, FAN = 48, 64
 TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+)|[\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas audio video head".split())
+RAW = frozenset("script style textarea".split())
+#: Inline elements without text of the page; what is never closed hides nothing.
+UNSEEN = frozenset("title template iframe svg select option optgroup datalist button canvas audio video".split())
 NEVER = frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup"
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-ENDS_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption".split())
+ENDS_P = BLOCK - frozenset("html body head td th tr tbody thead tfoot caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that frame a page.
+FRAME = frozenset("article center div main section table".split())
 #: Opening one of these ends an open one of the second, up to one of the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-# Words in class or id, and roles, that mark an excluded zone.
-CHROME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
-    " footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notification notices pager pagination popup promo promoted"
-    " related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget header".split())
+# Words in class or id, and roles, that mark an excluded zone; the second ones may name a part of an article as well.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle breadcrumb breadcrumbs comment comments consent cookie cookies"
+    " disqus footer gdpr nav navbar navigation pagination sidebar".split())
+MAYBE = frozenset(
+    "banner form header login masthead menu modal newsletter notice notices notification notifications pager popup promo promoted related respond search"
+    " share sharing signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that say nothing of their own beside those.
+PLAIN = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container desktop fixed global group icon icons inner item items left"
+    " link links list main message mobile module outer page panel policy post posts primary reader region right row secondary section site slot sticky stories"
+    " story text thread top unit user users wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = re.compile(r"[a-z]+")
+NOT_WORDS = re.compile(r"[^\W\d_a-z]")
 CONTENT = frozenset(["article", "main"])
 WHOLE = frozenset(["html", "body", *CONTENT])
-# First words of class names that tell a state of the element, not what it is.
-STATES = frozenset("has no not with without is hide show".split())
 #: Words that name a part of an article as well as one of the page.
 HEADS = frozenset("header masthead banner".split())
-#: How an element is excluded: not, by the words of its class or id (its text stands in if nothing else does), or for good.
-IN, WORDED, OUT = 0, 1, 2
+#: How an element is excluded: not, perhaps (if its slot is constant), by the words of its class or id (its text stands in if
+#: nothing else does), or for good.
+IN, PERHAPS, WORDED, OUT = 0, 1, 2, 3
 
 
-def marks(value: str, article: bool) -> bool:
-    """Do the words of a class or id mark an excluded zone? Inside an article, its own header does not."""
+def marks(value: str, article: bool) -> int:
+    """What the words of a class or id mark. A name counts as a whole: all of its words must be known."""
+    found = IN
     for token in value.split():
-        words = WORDS.findall(token)
-        # What has or lacks a sidebar is none; a token of one word is what it says.
-        if not words or (len(words) > 1 and words[0] in STATES):
+        words = frozenset(WORDS.findall(token))
+        told = words & (SURE | MAYBE)
+        if not told or not words <= SURE | MAYBE | PLAIN or NOT_WORDS.search(token):
             continue
-        found = CHROME.intersection(words)
-        if article and len(words) > 1:
-            found -= HEADS
-        if found:
-            return True
-    return False
+        if article:
+            told -= HEADS
+        if told & SURE or (told and not article):
+            return WORDED
+        if told:
+            found = PERHAPS
+    return found
 
 
 def read_attributes(rest: str, article: bool = False) -> tuple[str, int]:
@@ -90,16 +107,17 @@ def read_attributes(rest: str, article: bool = False) -> tuple[str, int]:
         if kind in ("class", "id"):
             if kind == "class":
                 names = sorted(set(value.split()))
-            out = max(out, WORDED if marks(value, article) else IN)
+            out = max(out, marks(value, article))
         elif kind == "role":
             out = max(out, OUT if value in ROLES else IN)
-        elif kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
+        elif kind == "hidden" or (kind == "style" and "display:none" in value.replace(" ", "")):
             out = OUT
     return ".".join(re.sub(r"\d+", "#", n) for n in names), out
 
 
 class Page:
-    """The blocks (node, text) outside excluded zones, and the skeleton: parents and keys of its nodes."""
+    """The blocks (node, text) outside excluded zones, and the skeleton: parents and keys of its nodes. The key of a node that is
+    perhaps excluded ends in "?"."""
 
     def __init__(self, source: str | None):
         self.parents, self.keys = [-1], ["#"]
@@ -109,8 +127,11 @@ class Page:
         # The text of zones excluded by their words alone.
         self.spare: list[str] = []
         self.content = False
-        # Open elements: tag, node, excluded.
-        self.stack: list[tuple[str, int, int]] = [("#", 0, IN)]
+        # Open elements: tag, node, excluded, inside an article; and how many of a tag are open.
+        self.stack: list[tuple[str, int, int, bool]] = [("#", 0, IN, False)]
+        self.opened: dict[str, int] = {}
+        # Where the next end tag of a name stands.
+        self.ends: dict[str, int] = {}
         if source:
             self.parse(source)
         self.flush()
@@ -143,7 +164,8 @@ class Page:
             if m[1]:
                 self.close(name)
             elif name in RAW:
-                at = self.skip(source, name, at, m[3])
+                self.text.append(" ")
+                at = self.end_of(source, name, at)[1]
             elif name in VOID or (m[3].endswith("/") and name not in BLOCK):
                 if name in BLOCK:
                     self.flush()
@@ -151,65 +173,82 @@ class Page:
                     self.text.append(" ")
             elif name in BLOCK:
                 self.open(name, m[3])
+            elif name in UNSEEN:
+                if self.end_of(source, name, at)[0] < size:  # it ends with its parent at the latest
+                    self.text.append(" ")
+                    self.push(name, self.stack[-1][1], OUT)
             else:
                 self.inline(name, m[3])
 
-    def skip(self, source: str, name: str, at: int, rest: str) -> int:
-        """Behind the end of an element whose content is no text. A head may lack its end tag: it then ends at the body."""
-        if rest.endswith("/") and name in ("svg", "math"):
-            return at
-        end = re.compile(rf"</{name}\b[^>]*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(source, at)
-        if end is None:
-            return at if name in ("head", "option", "button", "object", "noscript", "select") else len(source)
-        self.text.append(" ")
-        return end.end()
+    def end_of(self, source: str, name: str, at: int) -> tuple[int, int]:
+        """Where the next end tag of this name begins and ends; the end of the page if there is none. Found once for all before it."""
+        start, behind = self.ends.get(name, (-1, -1))
+        if start < at:
+            m = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+            start, behind = self.ends[name] = m.span() if m else (len(source), len(source))
+        return start, behind
 
     def say(self, text: str) -> None:
+        if self.stack[-1][0] == "head" and text.strip():  # its end tag may be left out
+            self.pop_to(len(self.stack) - 1)
         if self.stack[-1][2] != OUT:
             self.text.append(html.unescape(text) if "&" in text else text)
 
+    def push(self, name: str, node: int, out: int) -> None:
+        self.stack.append((name, node, out, self.stack[-1][3] or name in CONTENT))
+        self.opened[name] = self.opened.get(name, 0) + 1
+
+    def pop_to(self, i: int) -> None:
+        for name, *_ in self.stack[i:]:
+            self.opened[name] -= 1
+        del self.stack[i:]
+
     def inline(self, name: str, rest: str) -> None:
         """Inline elements make no node; only an excluded one must be followed to its end."""
-        if rest and (len(rest) > 5):
-            _, out = read_attributes(rest, self.inside())
-            if out and self.stack[-1][2] != OUT:
-                self.stack.append((name, self.stack[-1][1], OUT))
-
-    def inside(self) -> bool:
-        return any(t in CONTENT for t, _, _ in self.stack)
+        if self.stack[-1][0] == "head" and name != "noscript":
+            self.pop_to(len(self.stack) - 1)
+        if rest and len(rest) > 5:
+            _, out = read_attributes(rest, True)
+            if out >= WORDED and self.stack[-1][2] != OUT:
+                self.push(name, self.stack[-1][1], OUT)
 
     def open(self, name: str, rest: str) -> None:
         self.flush()
+        if self.stack[-1][0] == "head":
+            self.pop_to(len(self.stack) - 1)
         if name in ENDS_P:
             self.end_implied({"p"}, BLOCK - {"p"})
         if name in IMPLIED:
             self.end_implied(*IMPLIED[name])
-        _, parent, out = self.stack[-1]
-        names, chrome = read_attributes(rest, self.inside()) if rest else ("", IN)
-        if name in WHOLE and chrome == WORDED and names not in CHROME:  # class and id say more of these than what they are
+        _, parent, out, inside = self.stack[-1]
+        names, chrome = read_attributes(rest, inside) if rest else ("", IN)
+        if name in WHOLE and chrome in (PERHAPS, WORDED) and not set(names.split(".")) & SURE:  # class and id say more of these than what they are
             chrome = IN
         if name in CONTENT and out == WORDED and chrome == IN and (name == "main" or not self.content):
             out = IN  # what holds the page's main or first article is no zone; later articles may be comments
-        if name == "header" and not self.inside():  # a header inside an article may hold its headline
+        if name == "header" and not inside:  # a header inside an article may hold its headline
             chrome = OUT
-        out = max(out, chrome, OUT if name in NEVER else IN)
+        perhaps, chrome = chrome == PERHAPS, IN if chrome == PERHAPS else chrome
+        out = max(out, chrome, OUT if name in NEVER or name == "head" else IN)
         self.content |= name in CONTENT and out == IN
         node = parent
         if not out and len(self.stack) <= DEPTH:
-            key = f"{name}.{names}" if names else name
+            key = (f"{name}.{names}" if names else name) + "?" * perhaps
             node = self.children[parent].get(key)
             if node is None:
                 node = self.children[parent][key] = len(self.keys)
                 self.parents.append(parent)
                 self.keys.append(key)
                 self.children.append({})
-        self.stack.append((name, node, out))
+        self.push(name, node, out)
 
     def end_implied(self, names: set[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self.opened.get(n) for n in names):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i][0]
             if tag in names:
-                del self.stack[i:]
+                self.pop_to(i)
                 return
             if tag in stop:
                 return
@@ -217,12 +256,15 @@ class Page:
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
+        if not self.opened.get(name):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == name:
-                if name not in BLOCK and not self.stack[i][2]:
-                    return
-                self.flush()
-                del self.stack[i:]
+                if name in BLOCK:
+                    self.flush()
+                else:
+                    self.text.append(" ")
+                self.pop_to(i)
                 return
             if name not in BLOCK and self.stack[i][0] in BLOCK:
                 return
@@ -230,6 +272,10 @@ class Page:
     def skeleton(self) -> str:
         return json.dumps([self.parents, self.keys], separators=(",", ":"))
 
+    def frame(self) -> int:
+        """The first element that frames the page, as a hash. Pages of a host with the same frame are one site."""
+        return skeleton_hash(next((k for k in self.keys if re.split(r"[.?]", k)[0] in FRAME), ""))
+
 
 def skeleton_hash(skeleton: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(skeleton.encode()), "big", signed=True)
@@ -299,45 +345,56 @@ def merge(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> lis
 
 
 def fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Merge the trees of one group (host, part): each row's map into the merged tree, which the first row carries."""
+    """Merge the trees of one group (host, frame, part) into one; the most frequent ones come first."""
     group = group.sort_values(["n", "tree_hash"], ascending=[False, True])
     trees = [json.loads(t) for t in group["tree"]]
     whole = (list(trees[0][0]), list(trees[0][1]))
-    maps = [list(range(len(whole[0]))), *(merge(whole, (t[0], t[1])) for t in trees[1:])]
+    for t in trees[1:]:
+        merge(whole, (t[0], t[1]))
     text = json.dumps([whole[0], whole[1]], separators=(",", ":"))
-    return pd.DataFrame({
-        "host": group["host"], "from_hash": group["tree_hash"], "map": maps, "n": group["n"], "tree_hash": skeleton_hash(text),
-        "tree": [text, *[None] * (len(trees) - 1)]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "tree_hash": [skeleton_hash(text)], "tree": [text], "n": [group["n"].sum()]})
 
 
-FOLDED = "host string, from_hash long, map array<int>, n long, tree_hash long, tree string"
+SITE = ["host", "frame"]
 
 
-def induce(skeletons: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """skeletons: (host, tree_hash, tree, n), distinct. Returns (host, skeleton, map) from the nodes of a skeleton to those of
-    the host's wrapper, and the wrappers (host, tree)."""
-    # The whole map so far, and the trees still to be merged.
-    whole = skeletons.select("host", F.col("tree_hash").alias("skeleton"), F.col("tree_hash").alias("at"), F.lit(None).cast("array<int>").alias("map"))
+def induce(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
+    """skeletons: (host, frame, tree_hash, tree, n), distinct. Returns the wrappers (host, frame, tree), one per site."""
     trees, level = skeletons, 0
     while True:
-        sizes = trees.groupBy("host").agg(F.count("*").alias("trees"))
-        parted = trees.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("tree_hash", F.lit(level)), F.ceil(F.col("trees") / FAN)))
-        done = scratch.keep(parted.groupBy("host", "part").applyInPandas(lambda g: fold(g), FOLDED), f"fold-{level}")
-        step = done.select("host", F.col("from_hash").alias("at"), F.col("map").alias("next"), F.col("tree_hash").alias("to"))
-        through = F.when(F.col("map").isNull(), F.col("next")).otherwise(F.transform("map", lambda i: F.get("next", i)))
-        whole = whole.join(step, ["host", "at"]).select("host", "skeleton", F.col("to").alias("at"), through.alias("map"))
-        whole = scratch.keep(whole, f"map-{level}")
-        trees = done.where("tree IS NOT NULL").groupBy("host", "tree_hash").agg(F.sum("n").alias("n"), F.first("tree").alias("tree"))
+        sizes = trees.groupBy(*SITE).agg(F.count("*").alias("trees"))
+        parted = trees.join(sizes, SITE).withColumn("part", F.pmod(F.xxhash64("tree_hash", F.lit(level)), F.ceil(F.col("trees") / FAN)))
+        done = parted.groupBy(*SITE, "part").applyInPandas(lambda g: fold(g), "host string, frame long, tree_hash long, tree string, n long")
+        # Parts that came to the same tree are one.
+        trees = scratch.keep(done.groupBy(*SITE, "tree_hash").agg(F.first("tree").alias("tree"), F.sum("n").alias("n")), f"fold-{level}")
         level += 1
-        if trees.groupBy("host").count().where("count > 1").isEmpty():
-            return whole.select("host", "skeleton", "map"), trees.select("host", "tree")
+        if trees.groupBy(*SITE).count().where("count > 1").isEmpty():
+            return trees.select(*SITE, F.col("tree").alias("wrapper"))
+
+
+def aligned(rows: DataFrame) -> DataFrame:
+    """(host, frame, skeleton, map): of each skeleton (tree) the node of its site's wrapper for every node, -1 where none matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, whole = None, None
+        for batch in batches:
+            maps = []
+            for wrapper, tree in zip(batch.column("wrapper").to_pylist(), batch.column("tree").to_pylist(), strict=True):
+                if wrapper != text:
+                    text, whole = wrapper, json.loads(wrapper)
+                own = json.loads(tree)
+                found = match(whole, own)
+                maps.append([found.get(v, -1) for v in range(len(own[0]))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*SITE, "tree_hash")), pa.array(maps, pa.list_(pa.int32()))], names=[*SITE, "skeleton", "map"])
+
+    return rows.select(*SITE, "tree_hash", "tree", "wrapper").mapInArrow(run, "host string, frame long, skeleton long, map array<int>")
 
 
 def parsed(pages: DataFrame, texts: bool) -> DataFrame:
-    """Per page: page_id, url, host, skeleton (hash), nodes, and with ``texts`` the block texts, else the tree, the hash of all
-    text and, per node with text, its text's hash and length."""
-    schema = "page_id long, url string, host string, skeleton long, nodes array<int>, "
-    schema += "texts array<string>" if texts else "hashes array<long>, chars array<int>, tree string, page long"
+    """Per page: page_id, url, host, frame, skeleton (hash), and per block its node and the hash of its text; with ``texts`` the block texts,
+    else the blocks' lengths, the tree and the hash of all text."""
+    schema = "page_id long, url string, host string, frame long, skeleton long, nodes array<int>, hashes array<long>, "
+    schema += "texts array<string>" if texts else "chars array<int>, tree string, page long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,78 +402,89 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
                 part = batch.slice(i, 256)
                 found = [Page(h) for h in part.column("html").to_pylist()]
                 trees = [p.skeleton() for p in found]
-                columns = [part.column("page_id"), part.column("url"), pa.array([host_of(u) for u in part.column("url").to_pylist()]),
-                           pa.array([skeleton_hash(t) for t in trees], pa.int64())]
+                lists = lambda of, kind: pa.array([[of(n, t) for n, t in p.blocks] for p in found], pa.list_(kind))
+                columns = [
+                    part.column("page_id"), part.column("url"), pa.array([host_of(u) for u in part.column("url").to_pylist()]), pa.array([p.frame() for p in found], pa.int64()),
+                    pa.array([skeleton_hash(t) for t in trees], pa.int64()), lists(lambda n, _: n, pa.int32()), lists(lambda _, t: skeleton_hash(t), pa.int64())]
                 if texts:
-                    columns += [pa.array([[n for n, _ in p.blocks] for p in found], pa.list_(pa.int32())),
-                                pa.array([[t for _, t in p.blocks] for p in found], pa.list_(pa.string()))]
+                    columns.append(lists(lambda _, t: t, pa.string()))
                 else:
-                    slots = []
-                    for p in found:
-                        own: dict[int, list[str]] = {}
-                        for n, t in p.blocks:
-                            own.setdefault(n, []).append(t)
-                        slots.append([(n, "\n".join(t)) for n, t in own.items()])
-                    columns += [pa.array([[n for n, _ in s] for s in slots], pa.list_(pa.int32())),
-                                pa.array([[skeleton_hash(t) for _, t in s] for s in slots], pa.list_(pa.int64())),
-                                pa.array([[len(t) for _, t in s] for s in slots], pa.list_(pa.int32())), pa.array(trees),
-                                pa.array([skeleton_hash("\n".join(t for _, t in p.blocks)) for p in found], pa.int64())]
+                    columns += [lists(lambda _, t: len(t), pa.int32()), pa.array(trees), pa.array([skeleton_hash("\n".join(t for _, t in p.blocks)) for p in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
 def decide(group: pd.DataFrame) -> pd.DataFrame:
-    """The content nodes of one host's wrapper, from its tree and one row of statistics per node (bounded by the tree)."""
-    parents, keys = json.loads(group["tree"].iloc[0])
+    """The content nodes of one site's wrapper, and those where constant texts are template. From its tree and one row per node: its
+    characters on all different pages, and how many of them stand in constant texts (bounded by the tree)."""
+    parents, keys = json.loads(group["wrapper"].iloc[0])
     size = len(parents)
-    chars, pages, kinds, layouts = [0] * size, [0] * size, [0] * size, [0] * size
-    for node, c, n, k, m in zip(group["node"], group["chars"], group["pages"], group["kinds"], group["layouts"], strict=True):
+    chars, constant = [0] * size, [0] * size
+    for node, c, k in zip(group["node"], group["chars"], group["constant"], strict=True):
         if node >= 0:
-            chars[int(node)], pages[int(node)], kinds[int(node)], layouts[int(node)] = int(c), int(n), int(k), int(m)
-    below = list(chars)
+            chars[int(node)], constant[int(node)] = int(c), int(k)
+    below, same = list(chars), list(constant)
     for i in range(size - 1, 0, -1):
         below[parents[i]] += below[i]
-    under = lambda i, tops: i in tops or (parents[i] >= 0 and under(parents[i], tops))
-    articles = {i for i in range(size) if keys[i].split(".")[0] == "article" and below[i]}
-    mains = {i for i in range(size) if keys[i].split(".")[0] == "main" and below[i]}
-    mass = sum(below[i] for i in articles if not under(parents[i], articles))
-    tops = articles if articles and (not mains or 2 * mass >= sum(below[i] for i in mains)) else mains or {0}
-    inside = [i for i in range(size) if under(i, tops)]
-    # The same text on most of the host's different pages and in most of its layouts; copies of a page count once.
-    most = lambda n, k: 2 * n > int(group[k].iloc[0])
-    constant = {i for i in inside if pages[i] >= 3 and kinds[i] == 1 and most(pages[i], "all_pages") and most(layouts[i], "all_layouts")}
-    heaviest = max(inside, key=lambda i: chars[i])
-    if heaviest in constant:  # copies of one page: constancy tells nothing
-        constant = set()
-    content = [i for i in inside if i not in constant]
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "content": [content]})
+        same[parents[i]] += same[i]
+    tag = [re.split(r"[.?]", k)[0] for k in keys]
+
+    def under(tops: set[int]) -> set[int]:
+        out: set[int] = set()
+        for i in range(size):  # parents come before children
+            if i in tops or parents[i] in out:
+                out.add(i)
+        return out
+
+    articles, mains = ({i for i in range(size) if tag[i] == t and below[i]} for t in ("article", "main"))
+    nested = {i for i in articles if parents[i] in under(articles)}
+    mass = sum(below[i] for i in articles - nested)
+    inside = under(articles if articles and (not mains or 2 * mass >= sum(below[i] for i in mains)) else mains or {0})
+    whole, varying = sum(chars[i] for i in inside), sum(chars[i] - constant[i] for i in inside)
+    if 10 * varying < whole:  # copies of one page: constancy tells nothing
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [sorted(inside)], "template": [[]]})
+    # What is perhaps no part of the article goes where all it holds is constant.
+    gone = under({i for i in inside if keys[i].endswith("?") and same[i] == below[i]})
+    articles_ = under(articles | mains)
+    template = [i for i in inside if constant[i] and not (tag[i] in HEADINGS and i in articles_)]
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [sorted(inside - gone)], "template": [template]})
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, text, n_chars per row of pages."""
     seen = scratch.keep(parsed(pages, texts=False), "seen")
-    skeletons = seen.groupBy("host", F.col("skeleton").alias("tree_hash")).agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
-    maps, trees = induce(scratch.keep(skeletons, "skeletons"), scratch)
-    # Copies first, so that they count once; (skeleton, page, nodes) settles the other columns.
-    different = seen.groupBy("host", "skeleton", "page", "nodes").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes"), F.first("chars").alias("chars"))
-    slots = different.select("host", "skeleton", "page", "n", F.explode(F.arrays_zip("nodes", "hashes", "chars")).alias("x"))
-    slots = slots.join(maps, ["host", "skeleton"]).select("host", F.get("map", "x.nodes").alias("node"), "page", "x.hashes", (F.col("n") * F.col("x.chars")).alias("c"))
-    stats = slots.groupBy("host", "node", "page").agg(F.sum("c").alias("c"), F.min("hashes").alias("lo"), F.max("hashes").alias("hi"))
-    kinds = F.when(F.min("lo") == F.max("hi"), 1).otherwise(2)  # one or more
-    stats = stats.groupBy("host", "node").agg(F.sum("c").alias("chars"), F.count("*").alias("pages"), kinds.alias("kinds"))
-    layouts = maps.select("host", F.explode("map").alias("node")).groupBy("host", "node").agg(F.count("*").alias("layouts"))
-    counted = ("chars", "pages", "kinds", "layouts")
-    stats = trees.join(stats.join(layouts, ["host", "node"]), "host", "left")
-    stats = stats.select("host", "tree", F.coalesce("node", F.lit(-1)).alias("node"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counted))
-    stats = stats.join(maps.groupBy("host").agg(F.count("*").alias("all_layouts")), "host")
-    stats = stats.join(different.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages")), "host")
-    content = stats.groupBy("host").applyInPandas(lambda g: decide(g), "host string, content array<int>")
-    roles = maps.join(content, "host")
-    # For each node of a page's skeleton: does it belong to the content?
-    roles = scratch.keep(roles.select("host", "skeleton", F.transform("map", lambda i: F.array_contains("content", i)).alias("role")), "roles")
-    out = parsed(pages, texts=True).join(small(roles, roles.count(), 600), ["host", "skeleton"], "left")
-    chosen = F.filter(F.arrays_zip("nodes", "texts"), lambda x: F.coalesce(F.get("role", x["nodes"]), F.lit(True)))
+    skeletons = seen.groupBy(*SITE, F.col("skeleton").alias("tree_hash")).agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
+    skeletons = scratch.keep(skeletons, "skeletons")
+    wrappers = induce(skeletons, scratch)
+    maps = scratch.keep(aligned(skeletons.join(wrappers, SITE)), "maps")
+    # Copies of a page count once; (skeleton, page, nodes) settles the other columns.
+    blocks = F.arrays_zip("nodes", "hashes", "chars")
+    different = seen.groupBy(*SITE, "skeleton", "page", "nodes").agg(F.first(F.array_distinct(blocks)).alias("blocks"))
+    slots = different.select(*SITE, "skeleton", F.explode("blocks").alias("x")).groupBy(*SITE, "skeleton", "x").agg(F.count("*").alias("pages"))
+    slots = slots.join(maps, [*SITE, "skeleton"]).select(*SITE, F.get("map", "x.nodes").alias("node"), F.col("x.hashes").alias("hash"), "x.chars", "pages")
+    texts = slots.groupBy(*SITE, "node", "hash").agg(F.sum("pages").alias("pages"), F.count("*").alias("layouts"), F.sum(F.col("pages") * F.col("chars")).alias("chars"))
+    sizes = different.groupBy(*SITE, "skeleton").agg(F.count("*").alias("n")).groupBy(*SITE).agg(F.sum("n").alias("all_pages"), F.count("*").alias("all_layouts"))
+    texts = texts.join(sizes, SITE).where("node >= 0")
+    # On most of the site's different pages and in most of its layouts.
+    texts = texts.withColumn("constant", F.expr("pages >= 3 AND 2 * pages > all_pages AND 2 * layouts > all_layouts"))
+    texts = scratch.keep(texts.select(*SITE, "node", "hash", "chars", "constant"), "texts")
+    stats = texts.groupBy(*SITE, "node").agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("constant"), F.col("chars")).otherwise(0)).alias("constant"))
+    stats = wrappers.join(stats, SITE, "left").select(*SITE, "wrapper", F.coalesce("node", F.lit(-1)).alias("node"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("chars", "constant")))
+    decided = stats.groupBy(*SITE).applyInPandas(lambda g: decide(g), "host string, frame long, content array<int>, template array<int>")
+    # A constant text stands on most pages of its site, so a site has no more of them than two of its pages have blocks.
+    fixed = texts.where("constant").groupBy(*SITE).agg(F.collect_list(F.struct("node", "hash")).alias("fixed"))
+    roles = maps.join(decided, SITE).join(fixed, SITE, "left")
+    # For each node of a page's skeleton: does it belong to the content? And which texts in it are template?
+    role = F.transform("map", lambda i: (i < 0) | F.array_contains("content", i))
+    here = F.filter(F.coalesce("fixed", F.array().cast("array<struct<node:int,hash:bigint>>")), lambda x: F.array_contains("template", x["node"]) & F.array_contains("map", x["node"]))
+    drop = F.transform(here, lambda x: F.struct((F.array_position("map", x["node"]) - 1).cast("int").alias("nodes"), x["hash"].alias("hashes")))
+    roles = scratch.keep(roles.select(*SITE, "skeleton", role.alias("role"), drop.alias("drop")), "roles")
+    roles = measured(roles, F.size("role") + 16 * F.size("drop") + F.octet_length("host") + 64)
+    out = parsed(pages, texts=True).join(roles, [*SITE, "skeleton"], "left")
+    blocks = F.arrays_zip("nodes", "hashes", "texts")
+    constant = lambda x: F.array_contains("drop", F.struct(x["nodes"].alias("nodes"), x["hashes"].alias("hashes")))
+    chosen = F.filter(blocks, lambda x: F.coalesce(F.get("role", x["nodes"]), F.lit(True)) & ~F.coalesce(constant(x), F.lit(False)))
     out = out.withColumn("__t", F.transform(chosen, lambda x: x["texts"]))
     out = out.withColumn("text", F.array_join(F.when(F.size("__t") > 0, F.col("__t")).otherwise(F.col("texts")), "\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, pieces string, hits string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, h string, pieces string, hits string, n_words string, finds string, decoded string, kept string, target string, tokens string, key string"
 
 
 @pytest.fixture(scope="session")
@@ -9,11 +9,14 @@ def folder(spark, tmp_path_factory):
 
     def make(documents=(), labels=(), benchmark=(), pages=()):
         d = str(tmp_path_factory.mktemp("data"))
-        rows = [(i, t, lang, src, len(t) if t is not None else None, "extra", "extra", "extra", "extra") for i, t, lang, src in documents]
+        rows = [(i, t, lang, src, len(t) if t is not None else None, *["extra"] * 11) for i, t, lang, src in documents]
         spark.createDataFrame(rows, DOCS).write.parquet(f"{d}/documents.parquet")
-        spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-        spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-        spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+        more = lambda rows, names: [(*r, *["extra"] * len(names.split())) for r in rows]
+        for name, rows, columns, extra in (
+            ("labels", labels, "doc_id long, quality int, toxic int", "text lang n_words kept target"), ("benchmark", benchmark, "item_id long, text string", "h window len doc_id n_words row"),
+            ("pages", pages, "page_id long, url string, html string", "host path text n_chars frame skeleton rule"),
+        ):
+            spark.createDataFrame(more(rows, extra), ", ".join([columns, *(f"{c} string" for c in extra.split())])).write.parquet(f"{d}/{name}.parquet")
         return d
 
     return make
