@@ -11,8 +11,9 @@ start, so thousands of copies cost one row. Shingles are known by 64-bit hashes,
 
 1. All members of a bucket are compared with the one whose buckets are fullest (a star around the likely original), and components
    are formed. Buckets of one component are done.
-2. Of the other buckets, those of at most CROWD members compare their members; only pairs that pass both filters leave the join.
-3. The members of larger ones, which may have nothing but boilerplate in common, are not paired there. Their sets are ordered by
+2. In the other buckets the members outside the largest component, if they are at most CROWD, are compared with all members; only pairs that
+   pass both filters leave the join, and large buckets are split.
+3. The members of buckets with more of them, which may have nothing but boilerplate in common, are not paired there. Their sets are ordered by
    rising frequency; two similar sets share one of their first (rarest) shingles, 8 percent of the smaller and 15 percent of the larger
    set at a threshold of 85. So an equi-join on these finds every pair, whatever the bucket's size; its
    frequent keys are split, and what the largest component of a key has in common is left out.
@@ -49,7 +50,7 @@ STAGE_PERCENT = 80
 #: Longs of the parity sketch.
 PARITY = 32
 MEMO = 300_000
-#: Buckets with more members in different components than this are not compared member by member.
+#: Buckets with more members outside their largest component than this are not compared member by member.
 CROWD = 200
 #: Rows of one key that go to one task, before it is split.
 SPLIT = 500
@@ -223,20 +224,27 @@ def side(nodes: DataFrame, x: str, *more: str) -> DataFrame:
     return nodes.select(*named, *(F.col(c).alias(f"{c}_{x}") for c in more))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, label: str, percent: int) -> DataFrame:
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that neither filter rules out."""
+    return pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(possible("a", "b", percent)).select("a", "b").distinct()
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, c, shingles of the wanted nodes (node, c). By shuffle at every size: the documents with candidates grow with the corpus."""
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id"), "c").hint("merge"), "doc_id")
+    return sets(texts, "c").select(F.col("doc_id").alias("node"), "c", "shingles")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    near = pairs.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(possible("a", "b", percent))
-    near = scratch.keep(near.select("a", "b").distinct(), f"near-{label}")
-    # By shuffle at every size: the documents with candidates grow with the corpus.
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    full = scratch.keep(sets(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")), f"sets-{label}")
-    both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
-    both = both.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
+    both = both.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    sure = both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
-    sure = scratch.keep(sure, f"sure-{label}")
-    scratch.drop(f"near-{label}", f"sets-{label}")
-    return sure
+    return both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.lit(None).cast("long"))
 
 
 def dealt(rows: DataFrame, n: str = "n") -> DataFrame:
@@ -291,12 +299,8 @@ def prefixes(full: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarr
     return full.select("node", "c", "shingles").mapInArrow(run, "shingle long, node long, c long, size long, pos long, short boolean")
 
 
-def crowded_pairs(crowd: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(a, b): every pair of the nodes (node, c) of different components that may be similar enough, by their rarest shingles."""
-    texts = docs.select("doc_id", "text").join(crowd.select(F.col("node").alias("doc_id"), "c").hint("merge"), "doc_id")
-    # A doc_id may stand on several rows; the node's set is one of theirs, and any of them may be linked.
-    full = sets(texts, "c").select(F.col("doc_id").alias("node"), "c", "shingles").where(F.size("shingles") > 0)
-    full = scratch.keep(full, "crowd")
+def crowded_pairs(full: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): every pair of the sets (node, c, shingles) of different components that may be similar enough, by their rarest shingles."""
     often = full.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > CROWD)
     often = scratch.keep(often, "often")
     # Any order of the shingles finds all pairs; beyond FREQUENT only the most frequent ones are told apart.
@@ -324,35 +328,42 @@ def crowded_pairs(crowd: DataFrame, docs: DataFrame, scratch: Scratch, percent:
     pairs = pairs.where(F.when(left < right, F.col("short_x")).otherwise(F.col("short_y")))
     pairs = pairs.where((100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")) & ((100 + percent) * room >= percent * (F.col("size_x") + F.col("size_y"))))
     found = scratch.keep(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "crowd-pairs")
-    scratch.drop("crowd", "often", "prefixes", "keys")
+    scratch.drop("often", "prefixes", "keys")
     return found
 
 
 def link(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Linked from a similarity of ``percent`` on.
 
-    crowd: buckets with more members in different components go by their rarest shingles."""
+    crowd: buckets with more members outside their largest component go by their rarest shingles."""
     rows = scratch.keep(signatures(docs, percent), "signatures")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = some.groupBy("fp_hi", "fp_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands", "odd")).alias("r"))
     nodes = scratch.keep(nodes.select(F.col("r.doc_id").alias("node"), "r.n_shingles", "r.sig", "r.bands", "r.odd", "fp_hi", "fp_lo"), "nodes")
     spots = buckets(nodes, scratch)
     stars = spots.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    edges = confirmed(stars, nodes, docs, scratch, "0", percent)
+    stars = scratch.keep(near(stars, nodes, percent), "stars")
+    edges = scratch.keep(confirmed(stars, scratch.keep(full_sets(ends(stars), docs), "sets-0"), percent), "edges-0")
     labels = scratch.keep(components(edges, scratch, "cc-0"), "labels-0")
+    scratch.drop("sets-0", "stars")
     mixed = spots.where("n > 2").join(labels, "node", "left").select("band", "salt", "n", "node", "pivot", F.coalesce("component", "node").alias("c"))
-    # Buckets of one component need nothing more.
-    open_ = mixed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n")).where("lo < hi").drop("lo", "hi")
-    mixed = scratch.keep(mixed.join(dealt(open_).drop("n"), ["band", "salt"]), "mixed")
-    rows_ = mixed.where(F.col("n") <= crowd).select("band", "node", "c", "pivot").join(nodes.select("node", "n_shingles", "sig", "odd", "bands"), "node")
-    x, y = side(rows_, "x", "band", "c", "bands"), side(rows_, "y", "band", "c", "bands", "pivot")
-    differ = (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
-    pairs = x.join(y, (x["band_x"] == y["band_y"]) & differ & possible("x", "y", percent))
-    pairs = scratch.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    many = scratch.keep(mixed.where(F.col("n") > crowd).select("node", "c").distinct(), "many")
+    # Buckets of one component need nothing more; of the others what the largest component has in common needs nothing.
+    keys = mixed.groupBy("band", "c").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    keys = keys.groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("major"), (F.sum("k") - F.max("k")).alias("out"), F.max("n").alias("n")).where("out > 0")
+    mixed = scratch.keep(mixed.join(dealt(keys).drop("n"), ["band", "salt"]), "mixed")
+    few = mixed.where(F.col("out") <= crowd).join(nodes.select("node", "n_shingles", "sig", "odd"), "node")
+    x = side(dealt(few.where("c <> major").drop("salt")), "x", "band", "c", "salt", "pivot")
+    y = side(few.withColumn("main", F.col("c") == F.col("major")), "y", "band", "c", "salt", "pivot", "main")
+    differ = (F.col("main_y") | (F.col("x") < F.col("y"))) & (F.col("c_x") != F.col("c_y")) & (F.col("x") != F.col("pivot_y")) & (F.col("y") != F.col("pivot_y"))
+    pairs = x.join(y, (x["band_x"] == y["band_y"]) & (x["salt_x"] == y["salt_y"]) & differ & possible("x", "y", percent))
+    pairs = scratch.keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    many = scratch.keep(mixed.where(F.col("out") > crowd).select("node", "c").distinct(), "many")
+    wanted = ends(pairs).unionByName(many).groupBy("node").agg(F.max("c").alias("c"))
+    full = scratch.keep(full_sets(wanted, docs), "sets-1")
     if not many.isEmpty():
-        pairs = pairs.unionByName(crowded_pairs(many, docs, scratch, percent)).distinct()
-    more = confirmed(pairs, nodes, docs, scratch, "1", percent)
+        pairs = pairs.unionByName(near(crowded_pairs(full.where("c IS NOT NULL"), scratch, percent), nodes, percent)).distinct()
+    more = scratch.keep(confirmed(pairs, full, percent), "edges-1")
+    scratch.drop("sets-1", "mixed", "spots")
     if not more.isEmpty():
         labels = scratch.keep(components(edges.unionByName(more), scratch, "cc-1"), "labels-1")
     sets_ = nodes.select("fp_hi", "fp_lo", "node").join(labels, "node", "left").select("fp_hi", "fp_lo", F.coalesce("component", "node").alias("c"))
