@@ -3,8 +3,8 @@
 Words are runs of [0-9a-z] and non-ASCII characters after A-Z is lower-cased. An item's windows are its 10-word runs; an
 item of 1 to 9 words is one window of its own length. One scan joins the hash of every document window with the broadcast
 set of benchmark windows and verifies a hit by its words within that join; one more key, the empty window, brings every
-document through with its word count. So the text is read once and never shuffled. While the set is too large to broadcast,
-the same join runs by shuffle.
+document through with its word count. So the text is read once and never shuffled. Very long texts are scanned in blocks of words that overlap by
+a window. The set's bytes are measured; where they are too many to broadcast, the same join runs by shuffle.
 
 Edge cases: null or wordless texts have n_words 0 and are never hit; items without words have no windows; repeated items
 count once per distinct id; items without an id mark words but are not listed; an empty benchmark leaves every document clean.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
+from .common import Scratch, measured, small, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
@@ -24,6 +24,8 @@ RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDTH = 10
+#: Words of a document whose windows are spelled out at once.
+BLOCK = 4096
 
 
 def words(text: Column) -> Column:
@@ -37,23 +39,19 @@ def folded(text: Column) -> Column:
     return F.when(other_capital, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def starts(array: str, width: int) -> Column:
-    """The start positions of all width-word runs."""
-    n = F.size(array)
-    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-
-
-def windows_of(array: str, width: int) -> Column:
-    """All width-word runs as strings; words hold no space, so joining them loses nothing."""
-    return F.transform(starts(array, width), lambda p: F.array_join(F.slice(array, p + 1, width), " "))
+def windows_of(array: str, width: int, most: int) -> Column:
+    """The width-word runs that start at the first ``most`` words, as strings; words hold no space, so joining them loses nothing."""
+    starts = F.when(F.size(array) >= width, F.sequence(F.lit(0), F.least(F.size(array) - width, F.lit(most - 1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda p: F.array_join(F.slice(array, p + 1, width), " "))
 
 
 def item_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
     """(window, len, item_id), distinct."""
     w = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(width))
-    w = w.select("item_id", "w", size.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("p"))
-    return w.select(F.array_join(F.slice("w", F.col("p") + 1, F.col("len")), " ").alias("window"), "len", "item_id").distinct()
+    w = w.select("item_id", "w", size.alias("len"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda p: F.array_join(F.slice("w", p + 1, F.col("len")), " "))
+    return w.select(F.explode(windows).alias("window"), "len", "item_id").distinct()
 
 
 def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -62,24 +60,25 @@ def scan(docs: DataFrame, bench: DataFrame, scratch: Scratch, width: int = WIDTH
     ids = ["row", "doc_id", *(["key"] if keyed else [])]
     owned = scratch.keep(item_windows(bench, width).withColumn("h", F.xxhash64("window")), "windows")
     # At most `width` rows, whatever the benchmark holds.
-    sizes = {r["len"]: r["count"] for r in owned.groupBy("len").agg(F.count_distinct("window").alias("count")).collect()}
-    lengths = sorted(sizes)
+    lengths = sorted(r["len"] for r in owned.select("len").distinct().collect())
     keys = owned.select("h", "window", "len").distinct()
     empty = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("len"))
-    keys = keys.unionByName(empty.select(F.xxhash64("window").alias("h"), "window", "len"))
+    keys = scratch.keep(keys.unionByName(empty.select(F.xxhash64("window").alias("h"), "window", "len")), "keys")
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), folded(F.coalesce("text", F.lit(""))).alias("t"))
     d = d.select(*ids, F.array_remove(F.split("t", GAP), "").alias("w"))
-    runs = F.concat(F.array(F.lit("")), *[windows_of("w", n) for n in lengths])
-    d = d.select(*ids, F.size("w").alias("n_words"), F.posexplode(runs).alias("at", "s"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK)), lambda b: F.struct(b.alias("b"), F.slice("w", b + 1, BLOCK + width - 1).alias("w")))
+    d = d.select(*ids, F.size("w").alias("n_words"), F.explode(blocks).alias("x")).select(*ids, "n_words", "x.b", "x.w")
+    runs = F.concat(F.when(F.col("b") == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), *[windows_of("w", n, BLOCK) for n in lengths])
+    d = d.select(*ids, "n_words", "b", F.size("w").alias("size"), F.posexplode(runs).alias("at", "s"))
     d = d.withColumn("h", F.xxhash64("s"))
-    found = d.join(small(keys, sum(sizes.values()), 200), "h").where(F.col("s") == F.col("window"))
+    found = d.join(measured(keys, F.octet_length("window") + 64), "h").where(F.col("s") == F.col("window"))
     # Where in the list of runs the first one of each length stands.
-    first, before = F.lit(0), F.lit(1)
+    first, before = F.lit(0), F.when(F.col("b") == 0, 1).otherwise(0)
     for n in lengths:
         first = F.when(F.col("len") == n, before).otherwise(first)
-        before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+        before = before + F.greatest(F.least(F.col("size") - (n - 1), F.lit(BLOCK)), F.lit(0))
     # At most one hit per position and length, so the list is bounded by the document's own text.
-    hit = F.when(F.col("len") > 0, F.struct((F.col("at") - first).alias("p"), "len", "h"))
+    hit = F.when(F.col("len") > 0, F.struct((F.col("b") + F.col("at") - first).alias("p"), "len", "h"))
     rows = found.groupBy(*ids, "n_words").agg(F.collect_list(hit).alias("hits"))
     return scratch.keep(rows, "scan"), owned.select("h", "item_id")
 
@@ -122,7 +121,8 @@ def remove(docs: DataFrame, bench: DataFrame, scratch: Scratch, whole: bool = Fa
     out = out.where(F.col("__p").isNull() | (F.size("__p") <= max_share * F.size("__w")))
     out = out.withColumn("__g", F.when(F.col("__p").isNotNull(), F.split("text", RAW_WORD, -1)))
     # Gap i stands before word i, the last gap behind all words.
-    kept = F.transform("__w", lambda w, i: F.when(F.array_contains("__p", i), F.lit("")).otherwise(F.concat(F.get("__g", i), w)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__w") - 1), F.col("__p"))
+    kept = F.transform(left, lambda i: F.concat(F.get("__g", i), F.get("__w", i)))
     text = F.when(F.col("__p").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at("__g", -1)))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
