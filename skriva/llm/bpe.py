@@ -314,7 +314,8 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "tokens") ->
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, column: str = "tokens") -> DataFrame:
-    """tokens with its ids turned back into a string column ``decoded``; ids that are no tokens raise."""
+    """tokens with its ids turned back into a string column ``decoded`` (one of that name is replaced); ids that are no tokens raise."""
+    tokens = tokens.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)

@@ -8,7 +8,7 @@ further correction. Of the certified cutoffs the one that rejects most bad docum
 ties go to the lenient one. With too few labels in a stratum nothing is certified, and no rule rejects there.
 
 Edge cases: a null text has no words and fails the base rules; a null language is a stratum of its own; label rows that
-repeat a doc_id count once (the worst quality); unlabelled documents are judged by the cutoffs of their stratum. Extra columns
+repeat a doc_id count once (the worst quality), and so do rows of a labelled document (its least statistics); unlabelled documents are judged by the cutoffs of their stratum. Extra columns
 stay untouched. An empty table gives an empty result; without labels only the base rules act.
 """
 
@@ -147,22 +147,26 @@ def one_label(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
+def cutoffs_of(stats: DataFrame, labels: DataFrame, scratch: Scratch, **risk) -> DataFrame:
+    """The certified cutoffs. Each labelled document is one trial, however many rows it has."""
+    columns = ["lang", *STATS, "n_lines"]
+    once = stats.join(one_label(labels), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*columns)).alias("s")).select("quality", "s.*")
+    return scratch.keep(certified_cutoffs(once, scratch, **risk).coalesce(1), "cutoffs")
+
+
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, **risk) -> DataFrame:
     """(doc_id, lang, statistics, base_failed, kept) for every row of docs. The statistics are written once and read twice."""
     stats = scratch.keep(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
-    cutoffs = scratch.keep(certified_cutoffs(stats.join(one_label(labels), "doc_id"), scratch, **risk).coalesce(1), "cutoffs")
-    return with_verdict(stats, cutoffs)
+    return with_verdict(stats, cutoffs_of(stats, labels, scratch, **risk))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """The rows of docs that pass, with their own columns. Cutoffs come from the labelled rows in a first pass."""
+    """The rows of docs that pass, with their own columns. Rows and statistics are written once: the cutoffs read the statistics alone,
+    the verdict all."""
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.keep(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
-    cutoffs = scratch.keep(certified_cutoffs(stats.join(one_label(labels), "doc_id"), scratch, **risk).coalesce(1), "cutoffs")
-    # Statistics are cheaper to compute again than texts are to shuffle. The column that is not deterministic keeps the
-    # optimizer from pushing the filter through, which would repeat the expressions many times.
-    body = with_stats(docs.select(F.struct(*docs.columns).alias("__row"), "lang", "text")).withColumn("__at", F.monotonically_increasing_id())
-    return with_verdict(body, cutoffs).where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
+    rows = scratch.keep(with_stats(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "lang", "text")).drop("text"), "stats")
+    cutoffs = cutoffs_of(rows.drop("__row"), labels, scratch, **risk)
+    return with_verdict(rows, cutoffs).where("kept").select("__row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

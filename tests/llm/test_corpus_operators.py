@@ -276,6 +276,53 @@ def test_parser_survives_anything(source):
     assert all(t == " ".join(t.split()) and t for _, t in page.blocks)
 
 
+def test_long_texts_are_scanned_in_blocks(spark, folder, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 16)
+    rnd = random.Random(33)
+    bench = [(i, prose(14, rnd)) for i in range(6)] + [(7, "two words"), (8, "one"), (9, prose(9, rnd))]
+    docs = [(i, " ".join(rnd.choice([prose(rnd.randint(1, 30), rnd), rnd.choice(bench)[1]]) for _ in range(rnd.randint(0, 9))), "en", "a") for i in range(60)]
+    d = folder(docs, benchmark=bench)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), Scratch(spark, "t")).collect()}
+    for i, text, _, _ in docs:
+        w, hit, items = text.split(), set(), set()
+        for item, t in bench:
+            b = t.split()
+            k = min(10, len(b))
+            for p in range(len(w) - k + 1):
+                if any(w[p : p + k] == b[q : q + k] for q in range(len(b) - k + 1)):
+                    hit |= set(range(p, p + k))
+                    items.add(item)
+        assert got[i] == (len(w), len(hit), len(items))
+
+
+def test_benchmarks_of_long_words_are_measured(spark, folder):
+    """Few windows, but of more bytes than may be broadcast."""
+    rnd = random.Random(34)
+    word = lambda: "".join(rnd.choices("漢字語文書物本", k=60_000))
+    bench = [(i, " ".join(word() for _ in range(10))) for i in range(45)]
+    d = folder([(i, f"before {t} behind", "en", "a") for i, t in bench[:3]] + [(50, "clean", "en", "a")], benchmark=bench)
+    docs = table(spark, d, "documents")
+    found = decontaminate.contamination(docs, table(spark, d, "benchmark"), Scratch(spark, "t"))
+    assert {r.doc_id: r.n_hit for r in found.select("doc_id", "n_hit").collect()} == {0: 10, 1: 10, 2: 10, 50: 0}
+
+
+def test_very_long_urls(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    deep, host = "/en/" + "a/" * 500_000, "x." * 100_000 + "example.com"
+    urls = [(1, f"http://{host}/en/", None), (2, f"http://example.com{deep}", None), (3, f"http://{host}{deep}", None), (4, f"http://net{'/' * 300_000}", None)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string, html string"), rules).drop("url", "host", "path").collect()}
+    assert got == {1: ("example.com/en", "block"), 2: ("example.com/en", "block"), 3: ("example.com/en", "block"), 4: (None, "allow")}
+
+
+def test_labelled_rows_count_once(spark, folder):
+    docs = [(1, prose(80) + " #" * 100, "en", "a")] * 500 + [(2, prose(80), "en", "a")]
+    d = folder(docs, labels=[(1, 1, 0), (2, 1, 0)])
+    stats = quality.with_stats(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    assert quality.cutoffs_of(stats, table(spark, d, "labels"), Scratch(spark, "t"), alpha=0.5, delta=0.9).collect() == []
+    out = corpus_pipeline.quality_stage(spark, table(spark, d, "documents"), d)
+    assert out.columns == table(spark, d, "documents").columns and [r.doc_id for r in out.collect()] == [2]
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en", "block"), ("example.com", "", "allow"), ("b.example.com", "/en/x", "allow"), ("net", "/a/b", "block"), ("net", "/a/b", "allow"), (None, "/", "block"), ("org", None, "block")]
 
 
