@@ -16,12 +16,15 @@ serves is one row with its bytes around it (at most 2 * LENGTH - GRAM).
    occurrence are marked. Rows with wholly equal bytes count as one, so thousands of copies do not enlarge the tree.
 4. Marked ranges join their documents (by shuffle at every size) and are cut out.
 
-An anchor met more than HOT times is not gathered in a task: its windows are hashed one by one (128 bits), the first place of each
-is found by an aggregate with map-side combining, and a join that Spark can split marks the others.
-
-Edge cases: null counts as empty; texts under LENGTH bytes lose nothing and count as no source; rows that share a doc_id are
-one place, so that equal ones do not mark each other, and all of them are cut by the ranges of all; a null doc_id is neither cut
-nor a source. Very long texts are cut into overlapping spans. An empty table gives an empty result. Extra columns are ignored.
+An anchor met more than HOT times is split by its context before it is gathered: the windows that start lo to hi bytes before it are equal
+only where the lo bytes before it and the LENGTH - hi bytes from it on are. So a hot anchor's rows become parts (a band of window starts, and the
+hash of that context), each of which holds all its equal windows and gets a tree of its own; parts that are still hot are split
+again, down to bands of one window, whose rows are all equal and need only the first of them. The result does not depend on HOT.
+
+Edge cases: null counts as empty; texts under LENGTH bytes lose nothing and count as no source; rows that share a doc_id and the
+text are one place, so that equal ones do not mark each other; other texts under the same doc_id are documents of their own, in the order of
+their hashes; a null doc_id is neither cut nor a source. Very long texts are cut into overlapping spans. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, measured, table
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # anchors' candidates in a window; offsets run from 0 to SPAN - 1
 SLOT_BITS, BLOCK_BITS = 28, 20
 HOT = 50_000
+#: Parts of a hot anchor's window starts.
+BANDS = 4
 PLACE_BITS = 24
 #: Bytes handled at once: their hashes stay in the processor's cache. Positions must fit into PLACE_BITS.
 CHUNK = 1 << 17
@@ -93,24 +97,30 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[p[first]], p[first], at[first], at[last]
 
 
-def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts laid end to end in chunks: bytes, ends, doc ids, offsets in the text. Longer texts overlap by LENGTH - 1 bytes."""
-    held: list[tuple[int, int, bytes]] = []
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's hash, key; together they tell which rows are one document."""
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end in chunks: bytes, ends, doc ids, keys, offsets in the text. Longer texts overlap by LENGTH - 1 bytes."""
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
-    def chunk() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
-        return raw, np.cumsum([len(x[2]) for x in held]), np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+    def chunk() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+        return raw, np.cumsum([len(x[3]) for x in held]), *(np.array([x[i] for x in held], np.int64) for i in range(3))
 
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary())
+        ids, keys, texts = batch.column("doc_id"), batch.column("key"), batch.column("text").cast(pa.binary())
         for i in range(batch.num_rows):
             doc, text = ids[i].as_py(), texts[i].as_py()
             if doc is None or text is None or len(text) < LENGTH:
                 continue
+            key = keys[i].as_py()
             for at in range(0, len(text) - LENGTH + 1, CHUNK):
                 part = text[at : at + CHUNK + LENGTH - 1]
-                held.append((doc, at, part))
+                held.append((doc, key, at, part))
                 size += len(part)
                 if size >= CHUNK:
                     yield chunk()
@@ -139,7 +149,7 @@ def survey(docs: DataFrame, scratch: Scratch, hot: int) -> tuple[np.ndarray, np.
             values = [(s[cuts[b] : cuts[b + 1]] & (width - 1)).astype("<u4").tobytes() for b in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(values, pa.binary())], names=["block", "slots"])
 
-        for raw, ends, _, _ in spans(batches):
+        for raw, ends, *_ in spans(batches):
             held.append(slots(anchors(raw, ends)[0]))
             size += len(held[-1])
             if size > 2_000_000:
@@ -159,7 +169,7 @@ def survey(docs: DataFrame, scratch: Scratch, hot: int) -> tuple[np.ndarray, np.
             bits = [np.packbits(c > k).tobytes() for k in (1, hot)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array(bits[:1], pa.binary()), pa.array(bits[1:], pa.binary())], names=["block", "twice", "hot"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "block int, slots binary").repartition(min(block, 64), "block")
+    sent = keyed(docs).mapInArrow(send, "block int, slots binary").repartition(block, "block")
     found = scratch.keep(sent.mapInArrow(merge, "block int, twice binary, hot binary"), "slots")
     out = np.zeros((2, block, width // 8), np.uint8)
     for r in found.collect():  # at most one row per block: 2 * SLOTS / 8 bytes
@@ -171,12 +181,16 @@ def marked(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0
 
 
+ROW = "h long, doc long, key long, place long, back int, bytes binary"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+
+
 def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool, only_hot: bool = False) -> DataFrame:
-    """(h, doc, place, back, bytes): anchors that may repeat and stand in no hot slot, or in one if only_hot; bytes start ``back`` before the anchor and end with the last window."""
+    """ROW: anchors that may repeat and stand in no hot slot, or in one if only_hot; bytes start ``back`` before the anchor and end with the last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, hot = tables.value
-        for raw, ends, docs_, offsets in spans(batches):
+        for raw, ends, docs_, keys, offsets in spans(batches):
             h, place, first, last = anchors(raw, ends)
             s = slots(h)
             keep = marked(twice, s)
@@ -192,10 +206,46 @@ def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool, only_hot: bool =
                 data = raw[np.repeat(first[cut] - bounds[:-1], size[cut]) + np.arange(bounds[-1])]
                 column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype("<i4")), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cut].view(np.int64)), pa.array(docs_[text[cut]]), pa.array(place[cut] + base[cut]), pa.array((place - first)[cut].astype(np.int32)), column],
-                    names=["h", "doc", "place", "back", "bytes"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, place long, back int, bytes binary")
+                    [pa.array(h[cut].view(np.int64)), pa.array(docs_[text[cut]]), pa.array(keys[text[cut]]), pa.array(place[cut] + base[cut]),
+                     pa.array((place - first)[cut].astype(np.int32)), column], names=NAMES)
+
+    return keyed(docs).mapInArrow(run, ROW)
+
+
+def parted(rows: DataFrame, lo: int, hi: int) -> list[tuple[int, int, DataFrame]]:
+    """(lo, hi, ROW) for BANDS parts of the window starts lo..hi before the anchors of rows: h is the hash of the anchor and of all bytes that equal
+    windows of the band share, and the bytes are cut to those of the band's windows."""
+    cuts = sorted({lo + (hi + 1 - lo) * i // BANDS for i in range(BANDS + 1)})
+    out = []
+    for a, b in zip(cuts, [c - 1 for c in cuts[1:]], strict=False):
+        right = F.octet_length("bytes") - F.col("back")
+        left, ahead = F.least(F.col("back"), F.lit(b)), F.least(right, F.lit(LENGTH - a))
+        some = rows.where((F.col("back") >= a) & (right >= LENGTH - b) & (left + ahead >= LENGTH))
+        shared = F.substring("bytes", F.col("back") - a + 1, F.lit(LENGTH + a - b))
+        out.append((a, b, some.select(
+            F.xxhash64("h", F.lit(a), shared).alias("h"), "doc", "key", "place", left.alias("back"), F.substring("bytes", F.col("back") - left + 1, left + ahead).alias("bytes"))))
+    return out
+
+
+def hot_parts(docs: DataFrame, tables: Broadcast, scratch: Scratch, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The rows of anchors in hot slots, as ROW: parts of at most ``hot`` rows each, for the tree; and the rows of single windows that are
+    still hotter."""
+    todo, cool, single = [(0, SPAN - 1, gathered(docs, tables, True, only_hot=True))], [], []
+    while todo:
+        lo, hi, rows = todo.pop()
+        rows = scratch.keep(rows, f"part-{lo}-{hi}")
+        # At most one in ``hot`` rows.
+        crowded = scratch.keep(rows.groupBy("h").count().where(F.col("count") > hot).select("h"), f"crowded-{lo}-{hi}")
+        crowded = measured(crowded, 16)
+        cool.append(rows.join(crowded, "h", "left_anti"))
+        rest = rows.join(crowded, "h", "left_semi")
+        if crowded.isEmpty():
+            continue
+        if lo == hi:
+            single.append(rest)
+        else:
+            todo += parted(rest, lo, hi)
+    return cool, single
 
 
 # --- The interval tree of one anchor hash -------------------------------------------------------------------------------
@@ -219,14 +269,14 @@ def intervals(common: list[int], floor: int) -> Iterator[tuple[int, int, int, in
             stack.append((value, first))
 
 
-Row = tuple[int, int, int, bytes]  # doc, place, back, bytes
+Row = tuple[int, int, int, int, bytes]  # doc, key, place, back, bytes
 
 
 def repeat_groups(rows: list[Row]) -> Iterator[tuple[int, int, int, list[Row]]]:
     """(right, least offset, greatest offset, occurrences) of each maximal repeat group of different rows of one anchor hash: windows
     that start so many bytes before the anchor are equal in all of its rows, and in no others."""
-    rights = [r[3][r[2] :] for r in rows]
-    lefts = [r[3][r[2] - 1 :: -1] if r[2] else b"" for r in rows]
+    rights = [r[4][r[3] :] for r in rows]
+    lefts = [r[4][r[3] - 1 :: -1] if r[3] else b"" for r in rows]
     order = sorted(range(len(rows)), key=rights.__getitem__)
     by_left = sorted(range(len(rows)), key=lefts.__getitem__)
     rank = [0] * len(rows)
@@ -243,26 +293,31 @@ def repeat_groups(rows: list[Row]) -> Iterator[tuple[int, int, int, list[Row]]]:
                 yield right, low, high, [rows[x] for x in members[k : m + 1]]
 
 
-def later(rows: list[Row]) -> Iterator[tuple[int, int, int]]:
-    """(doc, start, end) of bytes under windows that an earlier place has too; rows: all of one anchor hash."""
+def later(rows: list[Row]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, key, start, end) of bytes under windows that an earlier place has too; rows: all of one anchor hash. All windows of a row
+    hold its anchor, so those marked make up one range."""
     first: dict[tuple[int, bytes], Row] = {}
+    marks: dict[tuple[int, int, int], tuple[int, int]] = {}
     for row in sorted(rows):
-        if first.setdefault((row[2], row[3]), row)[:2] != row[:2]:
-            doc, place, back, data = row
-            yield doc, place - back, place - back + len(data)
+        if first.setdefault((row[3], row[4]), row)[:3] != row[:3]:
+            doc, key, place, back, data = row
+            marks[row[:3]] = (place - back, place - back + len(data))
     if len(first) > 1:
         for _, low, high, found in repeat_groups(list(first.values())):
-            least = min(found)[:2]
-            for doc, place, _, _ in found:
-                if (doc, place) != least:
-                    yield doc, place - high, place - low + LENGTH
+            least = min(found)[:3]
+            for row in found:
+                if row[:3] != least:
+                    a, b = marks.get(row[:3], (row[2], row[2]))
+                    marks[row[:3]] = (min(a, row[2] - high), max(b, row[2] - low + LENGTH))
+    for (doc, key, _), (a, b) in marks.items():
+        yield doc, key, a, b
 
 
 def by_hash(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tuple[int, list[Row]]]:
     """The rows of each hash with ``least`` or more; they arrive sorted by it."""
     key, rows = None, []
     for batch in batches:
-        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "place", "back", "bytes")), strict=True):
+        for h, *row in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
             if h != key:
                 if len(rows) >= least:
                     yield key, rows
@@ -277,10 +332,10 @@ def sorted_by_hash(rows: DataFrame) -> DataFrame:
 
 
 def ranges(rows: DataFrame) -> DataFrame:
-    """(doc, start, end): marked ranges, overlapping."""
+    """(doc, key, start, end): marked ranges, overlapping."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         for _, group in by_hash(batches):
             out += later(group)
             if len(out) > 50_000:
@@ -288,88 +343,95 @@ def ranges(rows: DataFrame) -> DataFrame:
                 out = []
         yield batch_of(out)
 
-    def batch_of(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "end"])
+    def batch_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "key", "start", "end"])
 
-    return sorted_by_hash(rows).mapInArrow(run, "doc long, start long, end long")
+    return sorted_by_hash(rows).mapInArrow(run, "doc long, key long, start long, end long")
 
 
-def hot_repeats(docs: DataFrame, tables: Broadcast, scratch: Scratch) -> DataFrame:
-    """maximal_repeats of the anchors in hot slots: equal contents (back, bytes) are one row of the tree, and a join that Spark can
-    split brings their places back. So a task gathers an anchor's different contents, however often each occurs."""
-    rows = gathered(docs, tables, True, only_hot=True).withColumn("content", F.sha2("bytes", 256))
-    rows = scratch.keep(rows, "hot")
-    contents = rows.groupBy("h", "back", "bytes").agg(F.count("*").alias("doc")).withColumn("place", F.lit(0).cast("long"))
+def later_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for rows of hot single windows: the first of each comes from an aggregate with map-side combining."""
+    place = F.struct("doc", "key", "place")
+    firsts = scratch.keep(rows.groupBy("h", "bytes").agg(F.min(place).alias("first")), "firsts")
+    both = rows.join(measured(firsts, 2 * LENGTH), ["h", "bytes"]).where(place > F.col("first"))
+    start = F.col("place") - F.col("back")
+    # The windows of one anchor make up one range.
+    return both.groupBy("doc", "key", "place").agg(F.min(start).alias("start"), (F.max(start) + LENGTH).alias("end")).drop("place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, group in by_hash(batches, 1):
-            found = [(len(r[3]), [r], r[2]) for r in group if r[0] > 1]
-            if len(group) > 1:
-                found += [(high + right, members, high) for right, _, high, members in repeat_groups(group)]
-            out: list[tuple] = []
-            for i, (size, members, shift) in enumerate(found):
-                out += [(h, i, size, r[2], hashlib.sha256(r[3]).hexdigest(), shift) for r in members]
-                if len(out) > 50_000 or (out and i == len(found) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["h", "repeat", "length", "back", "content", "shift"])
-                    out = []
-
-    members = sorted_by_hash(contents.select("h", "doc", "place", "back", "bytes")).mapInArrow(run, "h long, repeat long, length long, back long, content string, shift long")
-    both = members.join(rows.select("h", F.col("back").cast("long").alias("back"), "content", "doc", "place"), ["h", "back", "content"])
-    return both.select("h", "repeat", "length", "doc", (F.col("place") - F.col("shift")).alias("start"))
 
+def every(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
-def maximal_repeats(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """(h, repeat, length, doc, start): every maximal repeat around an anchor with all of its occurrences. Repeats longer than the
-    bytes around one anchor show as one group per anchor."""
+
+def all_rows(docs: DataFrame, scratch: Scratch, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """ROW of all anchors that may repeat, hot ones in parts; and the rows of hot single windows, if any."""
     twice, crowded = survey(docs, scratch, hot)
     tables = docs.sparkSession.sparkContext.broadcast((twice, crowded))
     rows = gathered(docs, tables, bool(crowded.any()))
+    if not crowded.any():
+        return rows, None
+    cool, single = hot_parts(docs, tables, scratch, hot)
+    return every([rows, *cool]), every(single) if single else None
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """(h, repeat, length, doc, key, start): the maximal repeat groups of each anchor hash with all of their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, group in by_hash(batches):
             places: dict[tuple[int, bytes], list[Row]] = {}
-            for row in group:
-                places.setdefault((row[2], row[3]), []).append(row)
-            found = [(len(same[0][3]), [(r[0], r[1] - r[2]) for r in same]) for same in places.values() if len(same) > 1]
+            for row in sorted(set(group)):
+                places.setdefault((row[3], row[4]), []).append(row)
+            found = [(len(same[0][4]), [(r[0], r[1], r[2] - r[3]) for r in same]) for same in places.values() if len(same) > 1]
             for right, _, high, members in repeat_groups([same[0] for same in places.values()]):
-                found.append((high + right, [(r[0], r[1] - high) for m in members for r in places[m[2], m[3]]]))
-            out = [(h, i, size, doc, start) for i, (size, where) in enumerate(found) for doc, start in where]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["h", "repeat", "length", "doc", "start"])
-
-    found = sorted_by_hash(rows).mapInArrow(run, "h long, repeat long, length long, doc long, start long")
-    return found.unionByName(hot_repeats(docs, tables, scratch)) if crowded.any() else found
+                found.append((high + right, [(r[0], r[1], r[2] - high) for m in members for r in places[m[3], m[4]]]))
+            for i, (size, where) in enumerate(found):
+                columns = [np.full(len(where), h), np.full(len(where), i), np.full(len(where), size), *np.array(where, np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "repeat", "length", "doc", "key", "start"])
 
+    return sorted_by_hash(rows).mapInArrow(run, "h long, repeat long, length long, doc long, key long, start long")
 
-def hot_ranges(docs: DataFrame, tables: Broadcast, scratch: Scratch) -> DataFrame:
-    """The same for anchors in hot slots, window by window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot = tables.value
-        for raw, ends, docs_, offsets in spans(batches):
-            h, _, first, last = anchors(raw, ends)
-            keep = marked(hot, slots(h))
-            text = np.searchsorted(ends, first, side="right")
-            base = offsets[text] - (ends - np.diff(ends, prepend=0))[text]
-            data, out = raw.tobytes(), []
-            for t, a, b, add in zip(text[keep].tolist(), first[keep].tolist(), last[keep].tolist(), base[keep].tolist(), strict=True):
-                out += [(xxhash.xxh3_128_digest(data[s : s + LENGTH]), t, s + add) for s in range(a, b + 1)]
-            for i in range(0, len(out), 50_000):
-                w, t, s = zip(*out[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(docs_[list(t)]), pa.array(s, pa.int64())], names=["w", "doc", "start"])
 
-    windows = scratch.keep(docs.select("doc_id", "text").mapInArrow(run, "w binary, doc long, start long"), "windows")
-    firsts = windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"))
-    both = windows.join(firsts, "w").where(F.struct("doc", "start") > F.col("first"))
-    return both.select("doc", "start", (F.col("start") + LENGTH).alias("end"))
+def maximal_repeats(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(repeat, length, doc, key, start): groups of equal strings of LENGTH bytes and more with all of their occurrences, none of which can be made
+    longer without losing one. Groups of neighbouring anchors that have the same occurrences and overlap are one repeat, however
+    long; no group is gathered for that (its occurrences are compared by a sum of hashes)."""
+    rows, single = all_rows(docs, scratch, hot)
+    found = groups(rows)
+    if single is not None:
+        windows = single.distinct().select("h", F.xxhash64("bytes").alias("repeat"), F.lit(LENGTH).cast("long").alias("length"), "doc", "key", (F.col("place") - F.col("back")).alias("start"))
+        found = found.unionByName(windows)
+    found = scratch.keep(found, "groups")
+    group, at = ["h", "repeat", "length"], F.struct("doc", "key", "start")
+    firsts = found.groupBy(*group).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    shift = F.xxhash64("doc", "key", F.col("start") - F.col("first.start"))
+    told = found.join(firsts, group).groupBy(*group).agg(
+        F.first("first").alias("first"), F.first("n").alias("n"), F.sum(shift.cast("decimal(38,0)")).alias("sum"), F.bit_xor(shift).alias("xor"))
+    same = ["first.doc", "first.key", "n", "sum", "xor"]
+    # Of groups alike in place and occurrences the windows follow each other, so a gap ends a repeat.
+    end = F.col("first.start") + F.col("length")
+    order = Window.partitionBy(*same).orderBy("first.start", F.col("length").desc(), "h", "repeat")
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # Overlapping by all but one byte of a window, so that no window between them is left out.
+    told = told.withColumn("new", F.coalesce(F.col("first.start") > reach - LENGTH + 1, F.lit(True)).cast("int"))
+    told = told.withColumn("island", F.sum("new").over(order))
+    whole = told.groupBy(F.col("first.doc").alias("d"), F.col("first.key").alias("k"), "n", "sum", "xor", "island").agg(
+        F.min(F.struct(F.col("first.start").alias("start"), (-F.col("length")).alias("length"), "h", "repeat")).alias("head"), F.max(end).alias("end"))
+    heads = whole.select(
+        F.col("head.h").alias("h"), F.col("head.repeat").alias("repeat"), (-F.col("head.length")).alias("length"), (F.col("end") - F.col("head.start")).alias("whole"),
+        F.xxhash64("d", "k", "n", "sum", "xor", "island").alias("name"))
+    out = found.join(heads, group).select(F.col("name").alias("repeat"), F.col("whole").alias("length"), "doc", "key", "start")
+    return out
 
 
 def marked_ranges(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    twice, crowded = survey(docs, scratch, hot)
-    tables = docs.sparkSession.sparkContext.broadcast((twice, crowded))
-    found = ranges(gathered(docs, tables, bool(crowded.any())))
-    return found.unionByName(hot_ranges(docs, tables, scratch)) if crowded.any() else found
+    rows, single = all_rows(docs, scratch, hot)
+    found = ranges(rows)
+    return found if single is None else found.unionByName(later_windows(single, scratch))
 
 
 def union(pieces: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -388,9 +450,9 @@ def union(pieces: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def cut(docs: DataFrame, scratch: Scratch, hot: int = HOT, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs; with ``kept`` also the bytes kept and the spans."""
     found = marked_ranges(docs, scratch, hot)
-    # A document's ranges are bounded by its own length.
-    per_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "end")).alias("pieces"))
-    rows = docs.select("doc_id", "text").join(per_doc.hint("merge"), "doc_id", "left")
+    # At most one range per anchor (and part of a hot one), so a document's ranges are bounded by its own length.
+    per_doc = found.groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_set(F.struct("start", "end")).alias("pieces"))
+    rows = keyed(docs).join(per_doc.hint("merge"), ["doc_id", "key"], "left")
     starts, ends = F.transform("pieces", lambda x: x["start"]), F.transform("pieces", lambda x: x["end"])
     rows = rows.select("doc_id", "text", starts.alias("starts"), ends.alias("ends"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * kept

@@ -353,7 +353,7 @@ def brute_cut(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
+@pytest.mark.parametrize("hot", [50_000, 20, 1])
 def test_repeats(spark, folder, hot, monkeypatch):
     rnd = random.Random(hot)
     parts = [prose(40, rnd) for _ in range(6)] + ["aaaaaaaa" * 40, "abc" * 90, "é漢" * 70]
@@ -381,33 +381,53 @@ def test_interval_tree(strings):
     assert got == want
 
 
+def found_groups(spark, docs, hot):
+    out = collections.defaultdict(set)
+    for r in repeats.maximal_repeats(docs, Scratch(spark, "t"), hot).collect():
+        out[r.repeat, r.length].add((r.doc, r.start))
+    return sorted((n, sorted(places)) for (_, n), places in out.items())
+
+
 def test_maximal_repeats_list_all_occurrences(spark, folder):
-    passage = prose(60, random.Random(77))
-    docs = [(i, f"{prose(12)} {passage} {prose(12)}", "en", "a") for i in range(5)]
-    rows = repeats.maximal_repeats(table(spark, folder(docs), "documents"), Scratch(spark, "t")).collect()
-    groups = collections.defaultdict(set)
-    for r in rows:
-        groups[r.h, r.repeat, r.length].add((r.doc, r.start))
-    body = {i: t.encode() for i, t, _, _ in docs}
-    assert any(len(g) == 5 for g in groups.values())
-    for (_, _, n), places in groups.items():
-        assert n >= 100 and len({body[d][s : s + n] for d, s in places}) == 1 and len(places) > 1
-
-
-def test_maximal_repeats_of_hot_anchors(spark, folder):
+    """Passages of 120 to 900 bytes between texts of their own: each is one group, as long as it is, with all of its places."""
+    rnd = random.Random(77)
+    passages = [prose(k, random.Random(k)).strip() for k in (40, 80, 160, 300)]
+    texts = [f"{prose(12, rnd)}~{i}~" + f"~{prose(9, rnd)}~{i}~".join(p for k, p in enumerate(passages) if i % (k + 1) == 0) + f"~{i}~{prose(12, rnd)}" for i in range(13)]
+    body = {i: t.encode() for i, t in enumerate(texts)}
+    want = []
+    for p in passages:
+        places = sorted((i, t.find(p.encode())) for i, t in body.items() if p.encode() in t)
+        # A passage grows by the separators that all of its places share.
+        a, b = 0, len(p)
+        while len({body[i][s - a - 1] for i, s in places}) == 1:
+            a += 1
+        while len({body[i][s + b] for i, s in places}) == 1:
+            b += 1
+        want.append((a + b, [(i, s - a) for i, s in places]))
+    for hot in (repeats.HOT, 3):
+        got = found_groups(spark, table(spark, folder([(i, t, "en", "a") for i, t in enumerate(texts)]), "documents"), hot)
+        for n, places in got:
+            assert n >= 100 and len({body[d][s : s + n] for d, s in places}) == 1 and len(places) > 1
+        assert [g for g in want if g not in got] == [] and max(n for n, _ in got) > 1000
+
+
+def test_maximal_repeats_cover_what_is_removed(spark, folder):
     rnd = random.Random(78)
     parts = [prose(40, rnd) for _ in range(4)]
     texts = [" ".join(rnd.choice(parts) if rnd.random() < 0.7 else prose(15, rnd) for _ in range(3)) for _ in range(30)]
     docs = table(spark, folder([(i, t, "en", "a") for i, t in enumerate([*texts, texts[0]])]), "documents")
-
-    def groups(hot):
-        out = collections.defaultdict(set)
-        for r in repeats.maximal_repeats(docs, Scratch(spark, "t"), hot).collect():
-            out[r.h, r.repeat, r.length].add((r.doc, r.start))
-        return sorted((h, n, sorted(places)) for (h, _, n), places in out.items())
-
-    want = groups(repeats.HOT)
-    assert want and groups(2) == want and groups(8) == want
+    seen = collections.Counter(t.encode()[s : s + 100] for t in [*texts, texts[0]] for s in range(len(t) - 99))
+    want = {(i, s) for i, t in enumerate([*texts, texts[0]]) for s in range(len(t) - 99) if seen[t.encode()[s : s + 100]] > 1}
+    for hot in (repeats.HOT, 8, 2):
+        assert {(d, s + k) for n, places in found_groups(spark, docs, hot) for d, s in places for k in range(n - 99)} == want
+
+
+def test_rows_that_share_an_id_are_cut_by_themselves(spark, folder):
+    passage, a, b = prose(40, random.Random(5)), prose(60, random.Random(6)), prose(60, random.Random(7))
+    docs = [(1, passage, "en", "a"), (2, f"{passage} {a}", "en", "a"), (2, f"{b} and more", "en", "a"), (2, f"{b} and more", "en", "a"), (3, "short", "en", "a")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.cut(table(spark, folder(docs), "documents"), Scratch(spark, "t")).collect())
+    long = len(b) + 9
+    assert got == sorted([(1, len(passage), 0), (2, len(passage) + 1 + len(a), len(passage)), (2, long, 0), (2, long, 0), (3, 5, 0)])
 
 
 def test_pipeline_against_brute_force(spark, folder):
