@@ -22,11 +22,11 @@ class Engine:
 
     def chunk(self, documents: DataFrame, scope: str | None = None, section: str | None = None) -> DataFrame:
         c = C.chunk_spans(self.ingest(documents), size=self.params.chunk_size, overlap=self.params.chunk_overlap)
-        c = c.withColumn("chunk_id", C.chunk_id(F.col("doc_id"), F.lit(1), F.col("chunk_index"))).withColumn("position", F.col("doc_id").cast("long") * 1_000_000 + F.col("chunk_index"))
+        c = c.withColumn("chunk_id", C.chunk_id(F.col("doc_id"), F.lit(1), F.col("chunk_index"))).withColumn("position", C.position(F.col("doc_id"), F.col("chunk_index")))
         return c.withColumn("scope", F.col(scope).cast("string") if scope else F.lit("all")).withColumn("section", F.col(section) if section else F.lit(None).cast("string")).withColumn("page_start", F.lit(1)).withColumn("page_end", F.lit(1))
 
-    def search(self, queries: DataFrame, chunks: DataFrame, top_k: int = 8, vectors: tuple = ()) -> DataFrame:
-        return retrieval.search(queries, chunks, top_k, list(vectors), self.params)
+    def search(self, queries: DataFrame, chunks: DataFrame, top_k: int = 8, vectors: tuple = (), section: str | None = None, pages: tuple[int, int] | None = None) -> DataFrame:
+        return retrieval.search(queries, chunks, top_k, list(vectors), self.params, section, pages)
 
     def ask_context(self, queries: DataFrame, chunks: DataFrame, min_score: float = 0.0) -> DataFrame:
         """Ranked evidence after the score filter, within the token budget."""

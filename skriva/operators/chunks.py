@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,13 +38,36 @@ def chunk_id(paper: Column, page: Column, index: Column) -> Column:
     return F.format_string("%s_page_%d_chunk_%d", F.coalesce(paper.cast("string"), F.lit("paper_unknown")), page, index)
 
 
+def position(document: Column, index: Column) -> Column:
+    """The order of chunks over all documents. A text of the greatest size that a row can hold has fewer than 2 ** 21 chunks; document numbers go up to
+    2 ** 42 (others are to be numbered first)."""
+    return document.cast("long") * (1 << 21) + index
+
+
+LINE = "line int, text string, char_start long, char_end long, n_lines int"
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines as blocks: key, line (from 0), text, char_start and char_end inside the document."""
-    df = docs.withColumn("__p", F.split(F.coalesce(text, F.lit("")), "\n", -1))
-    df = df.select(key, F.posexplode("__p").alias("line", "text"))
-    order = W.partitionBy(key).orderBy("line")
-    start = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("char_start", start.cast("long")).withColumn("char_end", (F.col("char_start") + F.length("text")).cast("long"))
+    """Lines as blocks: key, line (from 0), text, char_start and char_end inside the document, n_lines. Offsets follow from the text alone, so
+    they are running sums inside an Arrow batch and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                keys, texts = (c.slice(i, 256) for c in batch.columns)
+                parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+                flat, row = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+                counts = pc.list_value_length(parts).to_numpy()
+                first = np.cumsum(counts) - counts
+                size = pc.utf8_length(flat).to_numpy().astype(np.int64)
+                before = np.cumsum(size + 1) - size - 1
+                start = before - before[first][row]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(row)), pa.array((np.arange(len(row)) - first[row]).astype(np.int32)), flat, pa.array(start), pa.array(start + size), pa.array(counts[row].astype(np.int32))],
+                    names=[key, "line", "text", "char_start", "char_end", "n_lines"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {LINE}")
 
 
 def running_offsets(blocks: DataFrame, key: list[str], order: str, text: str = "text", separator: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,8 +21,13 @@ from ..session import written
 
 #: Scores are compared after rounding, so that ties do not depend on the order of a sum.
 PLACES = 9
-#: Queries are broadcast up to this many rows of terms.
-BROADCAST_ROWS = 200_000
+#: Queries are broadcast up to this many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, row_bytes: Column) -> bool:
+    """Is df, measured row by row, small enough to broadcast?"""
+    return (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def in_scope(section: Column, wanted: Column) -> Column:
@@ -34,19 +40,48 @@ def overlaps_pages(start: Column, end: Column, low: Column, high: Column) -> Col
     return F.coalesce((F.coalesce(start, end) <= high) & (F.coalesce(end, start) >= low), F.lit(False))
 
 
+def scoped(chunks: DataFrame, section: str | None = None, pages: tuple[int, int] | None = None) -> DataFrame:
+    """FLT1-2: the chunks of a section and a range of pages; statistics are then those of what is left."""
+    out = chunks.where(in_scope(F.col("section"), F.lit(section)))
+    return out.where(overlaps_pages(F.col("page_start"), F.col("page_end"), F.lit(pages[0]), F.lit(pages[1]))) if pages else out
+
+
+def counted(rows: DataFrame, key: list[str], whole: bool = False) -> DataFrame:
+    """(key..., doc_len, term, tf) from (key..., terms): counted inside the Arrow batch, so no token is shuffled. With ``whole`` the empty term
+    stands once for every row, so that the same table gives a scope's size and average length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                terms = part.column("terms")
+                row, code = pc.list_parent_indices(terms).to_numpy(), terms.flatten().dictionary_encode()
+                words = code.dictionary
+                n = np.bincount(row, minlength=part.num_rows)
+                found, tf = np.unique(row.astype(np.int64) * (len(words) + 1) + code.indices.to_numpy(), return_counts=True)
+                at, word = found // (len(words) + 1), found % (len(words) + 1)
+                if whole:
+                    words = pa.concat_arrays([words, pa.array([""], words.type)])
+                    at, word = np.concatenate([at, np.arange(part.num_rows)]), np.concatenate([word, np.full(part.num_rows, len(words) - 1)])
+                    tf = np.concatenate([tf, np.ones(part.num_rows, np.int64)])
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(take) for k in key), pa.array(n[at].astype(np.int64)), words.take(pa.array(word)), pa.array(tf.astype(np.int64))], names=[*key, "doc_len", "term", "tf"])
+
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key]
+    return rows.select(*key, "terms").mapInArrow(run, ", ".join([*kinds, "doc_len long, term string, tf long"]))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(scope, chunk_id, position, terms, doc_len) per chunk; row by row."""
+    """(scope, chunk_id, position, doc_len, term, tf) of every term of every chunk, and of the empty term; row by row."""
     df = T.normalised(chunks.select("scope", "chunk_id", "position", "text"), "text").withColumn("terms", T.terms(F.col("text")))
-    return df.select("scope", "chunk_id", "position", "terms", F.size("terms").cast("long").alias("doc_len"))
+    return counted(df, ["scope", "chunk_id", "position"], whole=True)
 
 
-def term_counts(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(scope, chunk_id, position, doc_len, term, tf) of the wanted terms, which prune before anything is shuffled. The empty term
-    stands once for every chunk, so that the same table gives a scope's size and average length."""
-    own = F.concat(F.array(F.lit("")), "terms")
-    t = indexed.select("scope", "chunk_id", "position", "doc_len", F.explode(own).alias("term"))
-    t = t.join(wanted, "term", "left_semi")
-    return t.groupBy("scope", "chunk_id", "position", "doc_len", "term").agg(F.count("*").alias("tf"))
+def index(chunks: DataFrame) -> DataFrame:
+    """The postings as a written table in the order of terms: built once, read by every search over the same chunks. A frequent term spreads
+    over several parts."""
+    return written(postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -57,17 +92,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """SC4, AGG1-2, JN2: (query_id, scope, chunk_id, position, score) with score > 0. Statistics come from each scope alone."""
+def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS, indexed: DataFrame | None = None) -> DataFrame:
+    """SC4, AGG1-2, JN2: (query_id, scope, chunk_id, position, score) with score > 0. Statistics come from each scope alone. ``indexed``: the index of
+    the chunks, where there is one."""
     if params.k1 <= 0 or not 0 <= params.b <= 1:
         raise ValueError("k1 must be positive and b within 0..1")
-    indexed, q = postings(chunks), query_terms(queries)
-    # Broadcast only what is counted small; the batch of queries is the caller's, not the corpus's.
-    few = q.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
+    q = query_terms(queries)
+    # Broadcast only what is measured small; the batch of queries is the caller's, not the corpus's.
     terms = q.select("term").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("term")))
-    # Read three times below; tokenising the chunks again would cost more.
-    counts = written(term_counts(indexed, hint(terms)))
+    hint = F.broadcast if fits(q, F.octet_length("term") + F.octet_length("scope") + 64) else (lambda df: df)
+    # The wanted terms prune before anything is shuffled.
+    counts = (postings(chunks) if indexed is None else indexed).join(hint(terms), "term", "left_semi")
+    counts = counts if indexed is not None else written(counts)
     stats = counts.where("term = ''").groupBy("scope").agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("doc_len"), F.lit(1.0)).alias("avg_len"))
     df = counts.groupBy("scope", "term").agg(F.count("*").cast("double").alias("df"))
     weights = hint(q.join(df, ["scope", "term"]).join(stats, "scope"))
@@ -86,14 +122,18 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "score", key: str
     return df.where(F.col("rank") <= k) if k else df
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, block: int = 1) -> DataFrame:
+def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """JN3: (query_id, vec_id, position, score) of every query against every vector, in blocks of the query set.
 
-    queries: (query_id, q). The queries are a stated set; they are broadcast while their count allows, else split by block."""
+    queries: (query_id, q). The queries are a stated set; they are broadcast while their measured size allows, else split into blocks."""
     q = queries.select("query_id", V.unit(F.col("q")).alias("q"))
     v = vectors.select("vec_id", "position", V.unit(F.col("embedding")).alias("v"))
-    few = q.count() <= BROADCAST_ROWS // 10
-    pairs = v.crossJoin(F.broadcast(q) if few else q)
+    if fits(q, 8 * F.size("q") + 64):
+        pairs = v.crossJoin(F.broadcast(q))
+    else:  # blocks of queries meet blocks of vectors, each pair of blocks in one task
+        parts = 64
+        v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = v.join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "block")
     return pairs.select("query_id", "vec_id", "position", F.round(V.dot(F.col("q"), F.col("v")), PLACES).alias("score"))
 
 
@@ -117,42 +157,61 @@ def sparse_cosine(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return hit.groupBy("query_id", "chunk_id", "position").agg(F.round(F.sum(F.col("wq") * F.col("weight")), PLACES).alias("score")).where("score > 0")
 
 
-def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int, dimensions: int = 256) -> DataFrame:
-    """SC6 for a stated set of queries (query_id, query): the k best of every Arrow batch of chunks, scored by one matrix product. The best
-    k of all are among them, so a rank over the result is exact. The query matrix (queries x dimensions) is what is shipped."""
-    asked = queries.select("query_id", T.eval_tokens(F.coalesce("query", F.lit(""))).alias("t")).collect()
-    ids = np.array([r["query_id"] for r in asked])
-
-    def dense(lists: list[list[str]], memo: dict[str, int]) -> np.ndarray:
-        out = np.zeros((len(lists), dimensions))
-        for row, tokens in zip(out, lists, strict=True):
-            for t in tokens:
-                if t not in memo:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    memo[t] = int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dimensions
-                row[memo[t]] += 1
+def hashed_topk(queries: DataFrame, chunks: DataFrame, k: int, dimensions: int = 256, block: int = 4096) -> DataFrame:
+    """SC6 for a stated set of queries (query_id, query): the k best of every Arrow batch of chunks, scored by matrix products. The best
+    k of all are among them, so a rank over the result is exact. The queries' vectors are counted as a table and shipped, ``block`` queries at
+    a time (block x dimensions numbers each)."""
+    tokens = queries.select("query_id", F.explode(T.eval_tokens(F.coalesce("query", F.lit("")))).alias("t"))
+    slots = tokens.groupBy("query_id", V.slot(F.col("t"), dimensions).alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    slots = written(slots)
+    names = [r["query_id"] for r in slots.select("query_id").distinct().orderBy("query_id").collect()]
+    frames = [_hashed_block(slots, chunks, names[i : i + block], k, dimensions) for i in range(0, len(names), block)]
+    out = frames[0] if frames else _hashed_block(slots, chunks, [], k, dimensions)
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _hashed_block(slots: DataFrame, chunks: DataFrame, names: list, k: int, dimensions: int) -> DataFrame:
+    ids = np.array(names, np.int64)
+    q = np.zeros((dimensions, len(ids)))
+    some = slots.where(F.col("query_id").between(names[0], names[-1])).toArrow() if names else None
+    if some is not None:
+        q[some.column("slot").to_numpy(), np.searchsorted(ids, some.column("query_id").to_numpy())] = some.column("n").to_numpy()
+        q /= np.sqrt((q * q).sum(axis=0, keepdims=True))
+
+    def dense(lists: pa.Array, memo: dict[str, int]) -> np.ndarray:
+        code = lists.flatten().dictionary_encode()
+        for t in code.dictionary.to_pylist():
+            if t not in memo:
+                if len(memo) > 500_000:
+                    memo.clear()
+                memo[t] = int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dimensions
+        slot = np.array([memo.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
+        for j in np.flatnonzero(slot < 0):  # the memo was emptied on the way
+            slot[j] = int(hashlib.sha256(code.dictionary[int(j)].as_py().encode()).hexdigest()[:8], 16) % dimensions
+        out = np.bincount(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * dimensions + slot[code.indices.to_numpy()], minlength=len(lists) * dimensions).astype(float).reshape(len(lists), dimensions)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1, norms)
 
-    q = dense([r["t"] for r in asked], {}).T
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in batches:
-            scores = np.round(dense(batch.column("t").to_pylist(), memo) @ q, PLACES)
-            position = batch.column("position").to_numpy(zero_copy_only=False)
-            rows, columns = [], []
-            for j in range(len(ids)):
-                best = np.lexsort((position, -scores[:, j]))[:k]
-                best = best[scores[best, j] > 0]
-                rows.append(best)
-                columns.append(np.full(len(best), j))
-            if rows:
-                i, j = np.concatenate(rows), np.concatenate(columns)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[j], pa.int64()), batch.column("chunk_id").take(pa.array(i)), pa.array(position[i], pa.int64()), pa.array(scores[i, j], pa.float64())],
-                    names=["query_id", "chunk_id", "position", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                scores = np.round(dense(batch.column("t"), memo) @ q, PLACES)
+                position = batch.column("position").to_numpy(zero_copy_only=False)
+                rows, columns = [], []
+                for j in range(len(ids)):
+                    best = np.lexsort((position, -scores[:, j]))[:k]
+                    best = best[scores[best, j] > 0]
+                    rows.append(best)
+                    columns.append(np.full(len(best), j))
+                if rows:
+                    i, j = np.concatenate(rows), np.concatenate(columns)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[j], pa.int64()), batch.column("chunk_id").take(pa.array(i)), pa.array(position[i], pa.int64()), pa.array(scores[i, j], pa.float64())],
+                        names=["query_id", "chunk_id", "position", "score"])
 
     tokens = chunks.select("chunk_id", "position", T.eval_tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return tokens.mapInArrow(run, "query_id long, chunk_id string, position long, score double")
@@ -192,10 +251,14 @@ def rank_changes(reranked: DataFrame) -> DataFrame:
     return reranked.groupBy("query_id").agg(F.count_if(F.col("base_rank") != F.col("rank")).alias("rank_changes"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 8, vectors: list[DataFrame] = (), params: Params = DEFAULTS) -> DataFrame:
-    """The search façade: BM25, fused with vector rankings where given; top_k with snippet."""
+def search(
+    queries: DataFrame, chunks: DataFrame, top_k: int = 8, vectors: list[DataFrame] = (), params: Params = DEFAULTS, section: str | None = None, pages: tuple[int, int] | None = None
+) -> DataFrame:
+    """The search façade: BM25 over the chunks in scope, fused with vector rankings where given; top_k with snippet."""
+    chunks = scoped(chunks, section, pages) if section or pages else chunks
     lexical = ranked(bm25(queries, chunks, params), max(top_k, params.candidates))
-    scored = rrf([lexical, *vectors], params.rrf_k) if vectors else lexical.drop("rank")
+    inside = [v.join(chunks.select("chunk_id"), "chunk_id", "left_semi") for v in vectors] if section or pages else vectors
+    scored = rrf([lexical, *inside], params.rrf_k) if vectors else lexical.drop("rank")
     top = ranked(scored, top_k)
     q = queries.select("query_id", "query").withColumn("qt", F.array_distinct(T.terms(F.col("query"))))
     out = top.join(chunks.select("chunk_id", "text"), "chunk_id").join(q, "query_id")

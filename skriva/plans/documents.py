@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import compare as P
 from ..operators import evaluate as E
+from ..operators import retrieval as R
 from ..operators import store as S
 from ..session import table
 
@@ -33,7 +34,7 @@ lines AS (SELECT doc_id, lang, source, line, text,
 def chunks(spark, sf_dir):
     """scope, chunk_id, position and section for retrieval, with the chunk's own columns."""
     df = C.chunk_spans(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
-    return df.withColumn("chunk_id", C.chunk_id(F.col("doc_id"), F.lit(1), F.col("chunk_index"))).withColumn("position", F.col("doc_id") * 1_000_000 + F.col("chunk_index")).withColumn(
+    return df.withColumn("chunk_id", C.chunk_id(F.col("doc_id"), F.lit(1), F.col("chunk_index"))).withColumn("position", C.position(F.col("doc_id"), F.col("chunk_index"))).withColumn(
         "scope", F.lit("all")).withColumn("section", F.col("source"))
 
 
@@ -49,7 +50,8 @@ def chunk_spans(spark, sf_dir):
 
 def terms_freq(spark, sf_dir):
     docs = T.normalised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    t = docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # Counted in the row; only partial sums by term are shuffled.
+    t = R.counted(docs.select("doc_id", T.terms(F.col("text")).alias("terms")), ["doc_id"])
     return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -60,9 +62,7 @@ def page_overlap_filter(spark, sf_dir):
     # Every third chunk lacks its start, every fifth its end: a missing one is taken from the other.
     k = F.pmod(F.col("doc_id") + F.col("chunk_index"), F.lit(15))
     c = c.select("chunk_id", F.when(k % 3 != 0, first).alias("page_start"), F.when(k % 5 != 0, last).alias("page_end"))
-    from ..operators.retrieval import overlaps_pages
-
-    return c.where(overlaps_pages(F.col("page_start"), F.col("page_end"), F.lit(2), F.lit(3)))
+    return c.where(R.overlaps_pages(F.col("page_start"), F.col("page_end"), F.lit(2), F.lit(3)))
 
 
 def running_offsets(spark, sf_dir):
@@ -73,10 +73,8 @@ def running_offsets(spark, sf_dir):
 
 def line_dedup_margin(spark, sf_dir):
     """Lines as blocks, the first and last of a document its margins; those that recur on enough documents go."""
-    from pyspark.sql import Window as W
-
-    b = C.lines(table(spark, sf_dir, "documents")).withColumn("lines", F.count("*").over(W.partitionBy("doc_id")))
-    zone = F.when(F.col("line") == 0, "top").when(F.col("line") == F.col("lines") - 1, "bottom")
+    b = C.lines(table(spark, sf_dir, "documents"))
+    zone = F.when(F.col("line") == 0, "top").when(F.col("line") == F.col("n_lines") - 1, "bottom")
     found = C.repeated_margins(b, "doc_id", zone, share=0.0005)
     return found.select("zone", "signature", F.col("pages").cast("long").alias("pages"))
 

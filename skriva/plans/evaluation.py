@@ -9,7 +9,7 @@ from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..session import table
 from .documents import chunks
-from .ranking import FLAT, TOKENS, questions
+from .ranking import FLAT, TOKENS, indexed, lexical, questions
 
 
 def gold(spark, sf_dir):
@@ -23,14 +23,14 @@ def gold(spark, sf_dir):
     probe = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     q = q.select("query_id", "query", probe.alias("term"))
     c = chunks(spark, sf_dir).select("chunk_id", "text")
-    words = T.normalised(c, "text").select("chunk_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    # The questions are a stated set; their count decides whether they are broadcast.
-    probed = q.where("term IS NOT NULL")
-    few = probed.count() <= R.BROADCAST_ROWS
-    near = words.join(F.broadcast(probed) if few else probed, "term").select("chunk_id", "query_id", "query")
-    hits = near.join(c, "chunk_id").where(F.contains("text", "query"))
-    short = c.join(F.broadcast(q.where("term IS NULL")), F.contains("text", "query"))
-    found = hits.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
+    # The questions are a stated set; their size decides whether they are broadcast.
+    probed, short = q.where("term IS NOT NULL"), q.where("term IS NULL")
+    hint = F.broadcast if R.fits(q, F.octet_length("query") + 64) else (lambda df: df)
+    near = indexed(spark, sf_dir).select("chunk_id", "term").join(hint(probed), "term").select("chunk_id", "query_id", "query")
+    hits = near.join(c, "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
+    found = hits
+    if not short.isEmpty():
+        found = hits.unionByName(c.join(hint(short), F.contains("text", "query")).select("query_id", "chunk_id"))
     return found.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("relevant"))
 
 
@@ -40,7 +40,7 @@ def cases(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    return R.ranked(R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir)), 20).where("score >= 25")
+    return lexical(spark, sf_dir, 20).where("score >= 25")
 
 
 def observations(spark, sf_dir):
@@ -82,7 +82,7 @@ def _grid(spark):
 
 
 def _replayed(spark, sf_dir):
-    s = R.ranked(R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir)), 20).select("query_id", "chunk_id", "rank", "score")
+    s = lexical(spark, sf_dir, 20).select("query_id", "chunk_id", "rank", "score")
     return E.replay(s, cases(spark, sf_dir).select("query_id", "relevant"), _grid(spark))
 
 
@@ -110,7 +110,7 @@ def gate_failures(spark, sf_dir):
 
 
 def threshold_midpoints(spark, sf_dir):
-    s = R.ranked(R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir)), 3).withColumn("score", F.round("score", 1))
+    s = lexical(spark, sf_dir, 3).withColumn("score", F.round("score", 1))
     return E.thresholds(s).select(F.round("threshold", 6).alias("threshold"))
 
 

@@ -15,8 +15,22 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _lexical(spark, sf_dir, k):
-    return R.ranked(R.bm25(questions(spark, sf_dir), chunks(spark, sf_dir)), k)
+_INDEXES: dict = {}
+
+
+def indexed(spark, sf_dir):
+    """The index of the documents' chunks: built once in a session, shared by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = R.index(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
+def lexical(spark, sf_dir, k):
+    return R.ranked(R.bm25(questions(spark, sf_dir), None, indexed=indexed(spark, sf_dir)), k)
+
+
+
 
 
 def _score(name="score", places=6):
@@ -24,7 +38,7 @@ def _score(name="score", places=6):
 
 
 def bm25_topk(spark, sf_dir):
-    return _lexical(spark, sf_dir, 6).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
+    return lexical(spark, sf_dir, 6).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
 
 
 def bm25_scoped(spark, sf_dir):
@@ -52,21 +66,21 @@ def vector_threshold(spark, sf_dir):
     return s.select("query_id", "passed", _score("best"))
 
 
-def _hashed(spark, sf_dir):
+def hashed(spark, sf_dir):
     return R.hashed_topk(questions(spark, sf_dir), chunks(spark, sf_dir), 20)
 
 
 def hashing_cosine(spark, sf_dir):
-    return R.ranked(_hashed(spark, sf_dir), 6).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
+    return R.ranked(hashed(spark, sf_dir), 6).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
 
 
 def rrf_fusion(spark, sf_dir):
-    fused = R.rrf([_lexical(spark, sf_dir, 20), R.ranked(_hashed(spark, sf_dir), 20)])
+    fused = R.rrf([lexical(spark, sf_dir, 20), R.ranked(hashed(spark, sf_dir), 20)])
     return R.ranked(fused, 20).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", _score(places=9))
 
 
 def _reranked(spark, sf_dir):
-    return R.overlap_rerank(questions(spark, sf_dir), _lexical(spark, sf_dir, 20), chunks(spark, sf_dir))
+    return R.overlap_rerank(questions(spark, sf_dir), lexical(spark, sf_dir, 20), chunks(spark, sf_dir))
 
 
 def overlap_rerank(spark, sf_dir):
@@ -82,25 +96,25 @@ def answerability_gate(spark, sf_dir):
 
 
 def evidence_ids(spark, sf_dir):
-    return E.evidence_ids(_lexical(spark, sf_dir, 5), F.col("query_id") + 1).select("evidence_id", "query_id", "chunk_id")
+    return E.evidence_ids(lexical(spark, sf_dir, 5), F.col("query_id") + 1).select("evidence_id", "query_id", "chunk_id")
 
 
 def neighbor_context(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    hits = _lexical(spark, sf_dir, 3).drop("scope").join(c.select("chunk_id", "doc_id", "chunk_index", "section"), "chunk_id")
+    hits = lexical(spark, sf_dir, 3).drop("scope").join(c.select("chunk_id", "doc_id", "chunk_index", "section"), "chunk_id")
     out = E.neighbours(hits, c, "doc_id")
     return out.select("query_id", "hit_id", "relation", "chunk_id", F.substring("text", 1, 600).alias("text"))
 
 
 def snippet(spark, sf_dir):
-    top = _lexical(spark, sf_dir, 3).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    top = lexical(spark, sf_dir, 3).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     q = questions(spark, sf_dir).select("query_id", F.array_distinct(T.terms(F.col("query"))).alias("qt"))
     return top.join(q, "query_id").select("query_id", "chunk_id", T.snippet(F.col("text"), F.col("qt"), 200).alias("snippet"))
 
 
 def evidence_budget(spark, sf_dir):
     """Whole passages under 700 tokens; the truncated one shows its length."""
-    hits = _lexical(spark, sf_dir, 6).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    hits = lexical(spark, sf_dir, 6).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
     out = E.evidence_budget(hits, 700)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "whole", F.length("text").cast("long").alias("n_chars"))
 
@@ -116,7 +130,7 @@ def citation_whitelist(spark, sf_dir):
 
 def report_quality(spark, sf_dir):
     """A report per question: a section cites the top 3 and an unknown id for every seventh question, another section has no citation."""
-    top = E.evidence_ids(_lexical(spark, sf_dir, 3), F.col("query_id") + 1)
+    top = E.evidence_ids(lexical(spark, sf_dir, 3), F.col("query_id") + 1)
     ev = top.select(F.col("query_id").alias("report_id"), "evidence_id", "chunk_id", F.lit("body").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
     c = chunks(spark, sf_dir).select("chunk_id", F.lit("body").alias("section"), F.when(F.col("chunk_index") <= 5, 1).otherwise(2).alias("page_start"), F.lit(1).alias("page_end"))
     ids = ev.groupBy("report_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("ids"))
