@@ -151,7 +151,8 @@ def reading_order(blocks: DataFrame, width: Column, key: list[str]) -> DataFrame
     region = W.partitionBy(*key, "__region")
     span = {s: (F.min(F.when(F.col("__side") == s, F.col("y0"))).over(region), F.max(F.when(F.col("__side") == s, F.col("y1"))).over(region)) for s in ("left", "right")}
     overlap = F.least(span["left"][1], span["right"][1]) - F.greatest(span["left"][0], span["right"][0])
-    two = (F.count_if(F.col("__side").isNull()).over(region) == 0) & (F.coalesce(overlap, F.lit(-1.0)) > 5)
+    both = span["left"][1].isNotNull() & span["right"][1].isNotNull()  # least and greatest pass over nulls
+    two = (F.count_if(F.col("__side").isNull()).over(region) == 0) & both & (overlap > 5)
     df = df.withColumn("__two", two).withColumn("__column", F.when(F.col("__two") & (F.col("__side") == "right"), 1).otherwise(0))
     order = page.orderBy("__region", "__column", F.round("y0", 2), F.round("x0", 2), "source_index")
     df = df.withColumn("reading_order", F.row_number().over(order) - 1).withColumn("two_columns", F.max("__two").over(page))
@@ -211,3 +212,36 @@ def metadata_winner(candidates: DataFrame, keep_from: float = 0.7) -> DataFrame:
         return F.when(stay | c["value"].isNull(), a).otherwise(F.struct(c["value"].alias("value"), c["source"].alias("source"), c["confidence"].alias("confidence")))
 
     return candidates.groupBy("paper_id", "field").agg(F.aggregate(seq, none, step).alias("w")).select("paper_id", "field", "w.*")
+
+
+def sections(toc: DataFrame, heads: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """SC21: section ranges from a document's table of contents (key, position, title, page) where it has one, else from its headings. Entries without
+    a title or a page are dropped; pages beyond the last are the last. pages: (key, n_pages)."""
+    t = toc.withColumn("name", T.strip(F.coalesce("title", F.lit("")))).where("name <> '' AND page >= 1").join(pages, key)
+    t = t.select(key, F.col("position").alias("line"), F.least("page", "n_pages").alias("page"), "name")
+    rest = heads.join(t.select(key).distinct(), key, "left_anti").select(key, "line", "page", "name")
+    return section_ranges(t.unionByName(rest), pages, key)
+
+
+def section_catalogue(sections_: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """SET8: (key, names): a document's section names in order, then those that only chunks have, each once. sections_: (key, section_index, name);
+    chunks: (key, chunk_index, section)."""
+    named = sections_.select(key, F.struct(F.lit(0).alias("kind"), F.col("section_index").cast("long").alias("place")).alias("at"), F.col("name"))
+    more = chunks.select(key, F.struct(F.lit(1).alias("kind"), F.col("chunk_index").cast("long").alias("place")).alias("at"), F.col("section").alias("name"))
+    first = named.unionByName(more).where("name IS NOT NULL AND name <> ''").groupBy(key, "name").agg(F.min("at").alias("at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda r: r["name"]).alias("names"))
+
+
+def scope_problems(requests: DataFrame, catalogue: DataFrame, page_counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """FLT3: (request_id, rule): the section must exist, bounds come in pairs and in order, and the last page lies within the document."""
+    j = requests.join(catalogue, key, "left").join(page_counts, key, "left")
+    low, high, section = F.col("page_start"), F.col("page_end"), F.coalesce("section", F.lit(""))
+    rules = {
+        "section_exists": (section == "") | F.coalesce(F.array_contains("names", section), F.lit(False)), "paired_bounds": low.isNull() == high.isNull(),
+        "ordered_bounds": F.coalesce((low >= 1) & (low <= high), F.lit(True)), "within_document": F.coalesce(high <= F.coalesce("page_count", F.lit(0)), F.lit(True))}
+    return j.select("request_id", F.explode(F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]))).alias("rule"))
+
+
+def hierarchical(depth: Column, pages: Column, chars: Column, page_limit: int = 20, char_limit: int = 60_000) -> Column:
+    """FLT23: is a document analysed in parts?"""
+    return F.coalesce(depth == "deep", F.lit(False)) | (pages > page_limit) | (chars > char_limit)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..schemas import DEFAULTS
+from .retrieval import overlaps_pages
 
 
 def evidence_ids(ranked: DataFrame, query_number: Column) -> DataFrame:
@@ -15,11 +19,14 @@ def evidence_ids(ranked: DataFrame, query_number: Column) -> DataFrame:
     return ranked.withColumn("evidence_id", F.format_string("ev_q%03d_r%03d", query_number, F.col("rank")))
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, key: str = "scope", width: int = 1) -> DataFrame:
-    """JN7: the chunks right before and after a hit in the unscoped list of its document, if of the same section."""
+def neighbours(hits: DataFrame, chunks: DataFrame, key: str = "scope", width: int = 1, pages: tuple[int, int] | None = None) -> DataFrame:
+    """JN7: the chunks right before and after a hit in the unscoped list of its document, if of the same section and, where a range of pages is
+    asked for, overlapping it."""
     near = hits.select("query_id", F.col("chunk_id").alias("hit_id"), key, F.col("section").alias("hit_section"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("relation"), (F.col("chunk_index") + d).alias("chunk_index")) for n, d in (("before", -width), ("after", width))])).alias("x"))
     near = near.select("query_id", "hit_id", key, "hit_section", "x.*")
+    if pages:
+        chunks = chunks.where(overlaps_pages(F.col("page_start"), F.col("page_end"), F.lit(pages[0]), F.lit(pages[1])))
     j = near.join(chunks.select(key, "chunk_index", "chunk_id", "section", "text"), [key, "chunk_index"])
     return j.where(F.col("section").eqNullSafe(F.col("hit_section"))).select("query_id", "hit_id", "relation", "chunk_id", "section", "text")
 
@@ -125,3 +132,47 @@ def conversation_archive(messages: DataFrame, cited: DataFrame | None = None, ke
         per = cited.groupBy("message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id", "text"))), lambda r: F.struct(r["evidence_id"].alias("id"), r["text"].alias("text"))).alias("evidence"))
         messages, row = messages.join(per, "message_id", "left"), [*row, F.col("evidence")]
     return messages.groupBy(key).agg(F.count("*").alias("messages"), F.to_json(F.array_sort(F.collect_list(F.struct(*row)))).alias("archive"))
+
+
+def location(page_start: Column, page_end: Column, section: Column) -> Column:
+    """SC29: where a passage stands."""
+    start, end = page_start.cast("string"), page_end.cast("string")
+    page = F.when(page_start.isNull(), "unknown page").when(page_end.isNull() | (page_start == page_end), F.concat(F.lit("page "), start)).otherwise(F.concat(F.lit("pages "), start, F.lit("-"), end))
+    return F.concat(page, F.lit(", "), F.coalesce(F.nullif(section, F.lit("")), F.lit("unknown section")))
+
+
+def context(passages: DataFrame, key: str = "query_id", most: int | None = None) -> DataFrame:
+    """SC29: (key, context): the passages (rank, chunk_id, evidence_id or null, page_start, page_end, section, text) of a prompt as blocks in rank order."""
+    head = F.concat(F.when(F.col("evidence_id").isNotNull(), F.concat(F.lit("[Evidence ID: "), "evidence_id", F.lit("]\n"))).otherwise(""), F.lit("[Chunk ID: "), F.col("chunk_id"), F.lit("]\n"))
+    block = F.concat(head, F.lit("[Location: "), location(F.col("page_start"), F.col("page_end"), F.col("section")), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    some = passages.where(F.col("rank") <= most) if most else passages
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda r: r["block"])
+    return some.groupBy(key).agg(F.array_join(rows, "\n\n---\n\n").alias("context"))
+
+
+ALLOWED = "struct<payload:string,removed:int>"
+
+
+@F.pandas_udf(ALLOWED)
+def whitelisted_json(payload: pd.Series, allowed: pd.Series) -> pd.DataFrame:
+    """FLT15 at any depth: every list under a key evidence_ids of a JSON value keeps only the allowed ids; canonical JSON and the number removed."""
+    out = []
+    for text, ids in zip(payload, allowed, strict=True):
+        if text is None:
+            out.append((None, 0))
+            continue
+        ok, gone, value = set(() if ids is None else ids), 0, json.loads(text)
+        todo = [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    if k == "evidence_ids" and isinstance(v, list):
+                        x[k] = [i for i in v if isinstance(i, str) and i in ok]
+                        gone += len(v) - len(x[k])
+                    else:
+                        todo.append(v)
+            elif isinstance(x, list):
+                todo += x
+        out.append((json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")), gone))
+    return pd.DataFrame(out, columns=["payload", "removed"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -101,6 +104,15 @@ def soft_deleted(rows: DataFrame, gone: DataFrame, key: str, now: Column) -> Dat
     return hit.withColumn("deleted_at", F.when(F.col("__hit"), now).otherwise(F.col("deleted_at"))).drop("__hit")
 
 
+# Which states an action may be taken in, and the state it leads to.
+ACTIONS = {
+    "task": {"claim": (["pending"], "running"), "cancel": (["pending", "running"], "canceled"), "complete": (["running"], "completed"), "fail": (["pending", "running"], "failed"),
+             "retry": (["failed", "canceled"], "pending"), "resume": (["failed", "canceled"], "pending"), "recover": (["running"], "pending")},
+    "message": {"stream": (["pending"], "streaming"), "cancel": (["pending", "streaming"], "canceled"), "complete": (["streaming"], "completed"), "fail": (["pending", "streaming"], "failed")},
+    "comparison": {"claim": (["pending", "failed"], "running"), "complete": (["running"], "completed"), "fail": (["running"], "failed"), "retry": (["failed"], "pending")},
+}
+
+
 def transition(tasks: DataFrame, wanted: dict[str, list[str]], target: Column) -> DataFrame:
     """STR9-10: compare-and-set: rows in an allowed state take the target state, others stay and are flagged."""
     ok = F.lit(False)
@@ -110,6 +122,21 @@ def transition(tasks: DataFrame, wanted: dict[str, list[str]], target: Column) -
     return tasks.withColumn("changed", ok).withColumn("attempt_count", attempt).withColumn("status", F.when(ok, target).otherwise(F.col("status")))
 
 
+def replayed_states(actions: DataFrame, machine: str, key: str, order: str, start: str = "pending") -> DataFrame:
+    """STR10: (key, status, applied, refused) after all actions (key, order, action) in order; an action that the state does not allow is refused. A fold
+    over each key's actions (names only)."""
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, "action"))), lambda r: r["action"])
+    zero = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
+
+    def step(a: Column, action: Column) -> Column:
+        to = F.lit(None).cast("string")
+        for name, (froms, target) in ACTIONS[machine].items():
+            to = F.when((action == name) & a["status"].isin(froms), target).otherwise(to)
+        return F.struct(F.coalesce(to, a["status"]).alias("status"), (a["applied"] + to.isNotNull().cast("int")).alias("applied"), (a["refused"] + to.isNull().cast("int")).alias("refused"))
+
+    return actions.groupBy(key).agg(F.aggregate(seq, zero, step).alias("s")).select(key, "s.*")
+
+
 def progress(stage: Column) -> Column:
     """STR12."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in PROGRESS.items() for x in kv]), stage)
@@ -136,10 +163,30 @@ def usage_deltas(counters: DataFrame, key: str, order: str, values: list[str]) -
     return counters.select(key, order, *[(F.col(v) - F.coalesce(F.lag(v).over(w), F.lit(0))).alias(v) for v in values])
 
 
+# Parts of key names that mark a secret.
+SENSITIVE = ["api_key", "apikey", "token", "secret", "password", "authorization"]
+
+
 def public_json(c: Column) -> Column:
     """FLT14: top-level keys of a JSON object that name no secret, scalars as strings."""
     m = F.from_json(c, "map<string,string>")
-    return F.map_filter(m, lambda k, v: ~F.lower(k).rlike("api_?key|token|secret|password|credential|authorization|cookie"))
+    return F.map_filter(m, lambda k, v: ~F.lower(k).rlike("|".join(SENSITIVE)))
+
+
+@F.pandas_udf("string")
+def public_metadata(s: pd.Series) -> pd.Series:
+    """FLT14 at any depth: a JSON object without keys that name a secret; objects inside are treated alike, lists keep their scalars. Canonical JSON;
+    anything but an object becomes an empty one."""
+
+    def clean(x: object) -> dict:
+        out = {}
+        for k, v in x.items() if isinstance(x, dict) else ():
+            if any(part in k.lower() for part in SENSITIVE):
+                continue
+            out[k] = clean(v) if isinstance(v, dict) else [i for i in v if not isinstance(i, (dict, list))] if isinstance(v, list) else v
+        return out
+
+    return s.map(lambda x: None if x is None else json.dumps(clean(json.loads(x)), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 def sse_frame(sequence: Column, kind: Column, data: Column) -> Column:
@@ -156,3 +203,39 @@ def sse_fields(frame: Column) -> Column:
 def query_digest(c: Column) -> Column:
     """SC37."""
     return F.substring(F.sha2(T.strip(c), 256), 1, 12)
+
+
+def report_search(sections: DataFrame, term: str) -> DataFrame:
+    """FLT21: sections (title, content, claims array of texts) with the term in any of them, case ignored."""
+    return sections.where(contains(F.concat_ws(" ", "title", "content", F.array_join(F.coalesce("claims", F.array().cast("array<string>")), " ")), term))
+
+
+def paper_picker(tasks: DataFrame, term: str, most: int = 5) -> DataFrame:
+    """FLT22: papers by title, or id where they have none; the first ``most`` can be picked."""
+    return tasks.where(contains(F.coalesce(F.col("title"), F.col("task_id").cast("string")), term)).orderBy("task_id").limit(most)
+
+
+# Words of the section titles that a template keeps.
+TEMPLATES = {"review": ["TL;DR", "贡献", "局限", "strength", "limitation", "contribution"], "reproducibility": ["方法", "实验", "复现", "method", "experiment", "reproduc"]}
+
+
+def report_sections(sections: DataFrame, key: str = "report_id") -> DataFrame:
+    """FLT20: sections (key, section_order, title, depth, template): a quick report has its first four; a template keeps those whose title holds one of its
+    words, or all if none does."""
+    n = F.row_number().over(W.partitionBy(key).orderBy("section_order"))
+    s = sections.withColumn("__n", n).where((F.coalesce("depth", F.lit("")) != "quick") | (F.col("__n") <= 4))
+    hit = F.lit(True)
+    for name, words in TEMPLATES.items():
+        found = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower("title"), w))
+        hit = F.when(F.col("template") == name, found).otherwise(hit)
+    s = s.withColumn("__hit", F.coalesce(hit, F.lit(True))).withColumn("__any", F.max("__hit").over(W.partitionBy(key)))
+    return s.where("__hit OR NOT __any").drop("__n", "__hit", "__any")
+
+
+#: Columns that hold text of papers or questions.
+CONTENT = ["text", "content", "question", "query", "answer", "passage", "embedding", "prompt"]
+
+
+def content_free(df: DataFrame) -> DataFrame:
+    """FLT18: df without columns that hold content, for reports that are shown to all."""
+    return df.drop(*[c for c in df.columns if c in CONTENT])

@@ -1,8 +1,8 @@
 """All queries of the engine and their SQL twins, gathered from the plan modules."""
 
-from . import documents, evaluation, ranking, review, streams, tables
+from . import documents, evaluation, layout, ranking, review, streams, tables
 
-MODULES = (documents, ranking, evaluation, review, tables, streams)
+MODULES = (documents, layout, ranking, evaluation, review, tables, streams)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
