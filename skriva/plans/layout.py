@@ -206,9 +206,9 @@ SELECT doc_id AS request_id, 'section_exists' AS rule FROM j WHERE s <> '' AND N
 UNION ALL SELECT doc_id, 'ordered_bounds' FROM j WHERE a > b UNION ALL SELECT doc_id, 'within_document' FROM j WHERE b > n_pages""",
     "hierarchical_flags": f"WITH {PAGED} SELECT doc_id, doc_id % 9 = 0 OR max(page) > 3 OR max(char_start + length(text)) > 10000 AS hierarchical FROM paged GROUP BY doc_id",
     "metadata_winner": "WITH " + values([("p1", "title", "D", "text", 0.9), ("p1", "year", "1999", "text", 0.62), ("p2", "year", "2000", "text", 0.7), ("p3", "doi", "y", "llm", 0.2)], "paper_id string, field string, value string, source string, confidence double", "w") + " SELECT * FROM w",
-    "paper_metadata": r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS t FROM documents)
+    "paper_metadata": r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS t, chr(10) || 'Keywords: alpha, beta；gamma ;, ' AS k_ FROM documents)
 SELECT doc_id, CASE WHEN k < 3 THEN 'Ann Lee|Bo Ek' ELSE 'University of X' END AS authors, k < 3 AS author_line, k < 3 AS placeholder,
- sha256(CASE WHEN length(t) >= 79 THEN trim(t) ELSE '' END) AS abstract, 'alpha|beta|gamma' AS keywords FROM d""",
+ sha256(CASE WHEN length(t) >= 79 THEN trim(t) WHEN length(t || k_) >= 79 THEN trim(regexp_replace(t || k_, '\s+', ' ', 'g')) ELSE '' END) AS abstract, 'alpha|beta|gamma' AS keywords FROM d""",
     "joined_lines": r"""SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS joined FROM documents""",
     "evidence_context": f"""WITH {FLAT}, h AS (SELECT l.query_id, l.rank, c.chunk_id, c.chunk_index AS n, c.source, c.text FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 4),
 b AS (SELECT query_id, rank, CASE WHEN rank <> 4 THEN '[Evidence ID: E' || rank || ']' || chr(10) ELSE '' END || '[Chunk ID: ' || chunk_id || ']' || chr(10) || '[Location: ' || CASE WHEN n % 4 = 0 THEN 'unknown page' WHEN n % 3 = 0 OR n % 2 = 0 THEN 'page ' || n ELSE 'pages ' || n || '-' || (n + 1) END
