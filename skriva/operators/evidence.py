@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..schemas import DEFAULTS
@@ -150,7 +151,7 @@ def context(passages: DataFrame, key: str = "query_id", most: int | None = None)
     return some.groupBy(key).agg(F.array_join(rows, "\n\n---\n\n").alias("context"))
 
 
-ALLOWED = "struct<payload:string,removed:int>"
+ALLOWED = StructType([StructField("payload", StringType()), StructField("removed", IntegerType())])
 
 
 @F.pandas_udf(ALLOWED)

@@ -5,11 +5,12 @@ checkpoint location a restarted query goes on where it stopped."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NUMBERED = "key long, event_id long, ts timestamp, event_type string, sequence long"
@@ -89,3 +90,61 @@ def drained(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str,
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def retried(calls: DataFrame, key: str, retries: int = 2, budget: float = 60.0, base: float = 0.5, cap: float = 8.0) -> DataFrame:
+    """STR14: (key, attempts, waited, outcome) of calls (key, statuses array: the answer of each attempt, retry_after or null, jitter from 0 to 1): rate limits
+    and server errors are asked again after a doubling delay, or what the server said, while the total budget lasts. A fold over each call's few attempts."""
+    zero = F.struct(F.lit(0).cast("long").alias("attempts"), F.lit(0.0).alias("waited"), F.lit(None).cast("string").alias("outcome"))
+
+    def step(a, s):
+        delay = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), a["attempts"]))
+        wait = F.coalesce(F.col("retry_after"), delay + F.col("jitter") * F.least(F.lit(0.25), delay * 0.1))
+        again = (s == 429) | (s >= 500)
+        end = F.when(s.between(200, 299), "ok").when(~again, "refused").when(a["attempts"] >= retries, "exhausted").when(wait >= budget - a["waited"], "budget")
+        return F.when(a["outcome"].isNotNull(), a).otherwise(F.struct((a["attempts"] + 1).alias("attempts"), F.when(end.isNull(), a["waited"] + wait).otherwise(a["waited"]).alias("waited"), end.alias("outcome")))
+
+    return calls.select(key, F.aggregate("statuses", zero, step).alias("r")).select(key, "r.*")
+
+
+BRANCHES = "report_id long, position int, task_id string, status string, attempts int, error_class string, notes string"
+
+
+def fan_out(tasks: DataFrame, run: Callable[[str, str, int], str], retries: int = 1, parts: int | None = None) -> DataFrame:
+    """STR13: BRANCHES of tasks (report_id, position, task_id, payload): run(task_id, payload, attempt) for each, retried, with failures kept as rows. The
+    number of partitions bounds how many run at once."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                notes = error = None
+                for attempt in range(1, retries + 2):
+                    try:
+                        notes, error = run(r.task_id, r.payload, attempt), None
+                        break
+                    except Exception as e:  # a failed branch is a gap, not a failed job
+                        error = type(e).__name__
+                out.append((r.report_id, r.position, r.task_id, "failed" if error else "success", attempt, error, notes))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BRANCHES.split(", ")])
+
+    return (tasks.repartition(parts) if parts else tasks).mapInPandas(work, BRANCHES)
+
+
+def gathered(branches: DataFrame) -> DataFrame:
+    """STR13: per report the notes in plan order, the tasks that failed, and counts."""
+    rows = F.array_sort(F.collect_list(F.struct("position", "task_id", "status", "notes")))
+    g = branches.groupBy("report_id").agg(rows.alias("r"), F.count("*").alias("branches"), F.count_if(F.col("status") == "failed").alias("failed_branches"), F.sum("attempts").alias("attempts"))
+    good = F.filter("r", lambda x: x["status"] == "success")
+    bad = F.filter("r", lambda x: x["status"] == "failed")
+    return g.select("report_id", F.array_join(F.transform(good, lambda x: x["notes"]), "\n").alias("notes"), F.transform(bad, lambda x: x["task_id"]).alias("gaps"), "branches", "failed_branches", "attempts")
+
+
+def resumed(events: DataFrame, cursors: DataFrame, terminal: list[str], limit: int = 1000) -> DataFrame:
+    """STR2-3: what a consumer that comes back is sent: cursors (key, after, header): from the greater of both on, a header that is no number
+    counting as after, nothing behind the key's first terminal event, at most ``limit`` rows a key."""
+    c = cursors.select("key", F.coalesce("after", F.lit(0)).alias("after"), F.try_to_number("header", F.lit("999999999999")).cast("long").alias("last_event_id"))
+    ends = events.where(F.col("event_type").isin(terminal)).groupBy("key").agg(F.min("sequence").alias("__end"))
+    shown = events.join(ends, "key", "left").where(F.col("__end").isNull() | (F.col("sequence") <= F.col("__end"))).drop("__end")
+    new = shown.join(c.select("key", F.greatest("after", F.coalesce("last_event_id", F.lit(0))).alias("__c")), "key").where(F.col("sequence") > F.col("__c")).drop("__c")
+    return new.withColumn("__n", F.row_number().over(W.partitionBy("key").orderBy("sequence"))).where(F.col("__n") <= limit).drop("__n")
