@@ -1,8 +1,8 @@
 """All queries of the engine and their SQL twins, gathered from the plan modules."""
 
-from . import documents, evaluation, layout, ranking, reports, review, streams, tables
+from . import documents, evaluation, files, layout, ranking, reports, review, streams, tables
 
-MODULES = (documents, layout, ranking, evaluation, review, reports, tables, streams)
+MODULES = (documents, layout, ranking, evaluation, review, reports, files, tables, streams)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..session import scratch_path, table
 from ..streaming import sequences as Q
 from .tables import ORACLES as TABLES
+from .tables import SEQ, event_sequence
 
 
 def _place(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/skriva-stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 def stream_sequence(spark, sf_dir):
@@ -29,6 +27,72 @@ def stream_until_terminal(spark, sf_dir):
     return out.groupBy("key").agg(F.count("*").alias("shown"), F.max("sequence").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sequence, stream_until_terminal)}
+def _twice(spark, sf_dir):
+    """The events as two files, the second one with half of them again: what a reconnecting source delivers."""
+    place = _place(spark)
+    e = table(spark, sf_dir, "events")
+    e.coalesce(1).write.parquet(f"{place}/in/a")
+    e.where("event_id % 2 = 0").coalesce(1).write.parquet(f"{place}/in/b")
+    return Q.event_stream(spark, f"{place}/in/*"), place
+
+
+def stream_deduplicated(spark, sf_dir):
+    """STR5: repeated deliveries within the delay are dropped."""
+    s, place = _twice(spark, sf_dir)
+    out = Q.drained(Q.deduplicated(s, "400 days"), spark, f"{place}/out", f"{place}/state")
+    return out.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+
+
+def stream_accumulated(spark, sf_dir):
+    """STR7: messages put together from pieces that arrive in two batches."""
+    m = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
+    m = m.groupBy("message_id").agg(F.max("text").alias("text"))
+    p = m.select("message_id", F.posexplode(F.split("text", "(?<= )")).alias("sequence", "piece"))
+    place = _place(spark)
+    p.where("sequence % 2 = 0").write.mode("append").parquet(f"{place}/in")
+    p.where("sequence % 2 = 1").write.mode("append").parquet(f"{place}/in")
+    s = spark.readStream.schema(p.schema).parquet(f"{place}/in")
+    return Q.drained(Q.accumulated(s), spark, f"{place}/out", f"{place}/state", "complete").select("message_id", F.sha2("content", 256).alias("content"), F.col("last").cast("long").alias("last"))
+
+
+def stream_windowed(spark, sf_dir):
+    """An extension: counts per hour and type over the whole stream."""
+    place = _place(spark)
+    s = Q.event_stream(spark, f"{sf_dir}/events.parquet")
+    out = Q.drained(Q.windowed(s, "1 hour", "10 minutes"), spark, f"{place}/out", f"{place}/state", "complete")
+    return out.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_stalled(spark, sf_dir):
+    """STR4, STR11: keys of the first half of the stream that stay silent until the second, a year later, arrives."""
+    place = _place(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    e.where("key % 2 = 0").coalesce(1).write.parquet(f"{place}/in/a")
+    late = e.where("key % 2 = 1").withColumn("ts", F.col("ts") + F.expr("INTERVAL 365 DAYS"))
+    late.coalesce(1).write.parquet(f"{place}/in/b")
+    spark.createDataFrame([(-1, )], "key long").select("key", (F.expr("TIMESTAMP '2024-01-01 00:00:00'") + F.expr("INTERVAL 366 DAYS")).alias("ts")).coalesce(1).write.parquet(f"{place}/in/c")
+    s = spark.readStream.schema("key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{place}/in/*")
+    return Q.drained(Q.stalled(s, 3600), spark, f"{place}/out", f"{place}/state").where("key % 2 = 0").select("key", "last_beat")
+
+
+def resumed_stream(spark, sf_dir):
+    """STR2: clients that come back with a cursor, a header, both or a broken header."""
+    e = event_sequence(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    k = F.col("key")
+    cursors = e.select("key").distinct().select("key", F.when(k % 4 != 0, k % 6).alias("after"), F.when(k % 3 == 0, "3").when(k % 3 == 1, "x7").alias("header"))
+    return Q.resumed(e, cursors, ["error"], 4).select("key", "sequence", "event_id")
+
+
+QUERIES = {f.__name__: f for f in (stream_sequence, stream_until_terminal, stream_deduplicated, stream_accumulated, stream_windowed, stream_stalled, resumed_stream)}
 #: The stream reads a table of one file in one batch, so the order within a key is that of the batch query.
-ORACLES = {"stream_sequence": TABLES["event_sequence"], "stream_until_terminal": TABLES["until_terminal"]}
+ORACLES = {
+    "stream_sequence": TABLES["event_sequence"], "stream_until_terminal": TABLES["until_terminal"],
+    "stream_deduplicated": "SELECT user_id AS key, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY ALL",
+    "stream_accumulated": """WITH m AS (SELECT conv_id * 1000 + turn AS message_id, max(text) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL)
+SELECT message_id, sha256(t) AS content, (len(string_split(t, ' ')) - 1)::BIGINT AS last FROM m""",
+    "stream_windowed": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_stalled": "SELECT user_id AS key, date_trunc('millisecond', max(ts)) AS last_beat FROM events WHERE user_id % 2 = 0 GROUP BY user_id",
+    "resumed_stream": f"""WITH {SEQ}, e AS (SELECT key, min(sequence) AS stop FROM seq WHERE event_type = 'error' GROUP BY key),
+c AS (SELECT s.*, row_number() OVER (PARTITION BY key ORDER BY sequence) AS n FROM seq s LEFT JOIN e USING (key) WHERE (stop IS NULL OR sequence <= stop) AND sequence > greatest(CASE WHEN key % 4 <> 0 THEN key % 6 ELSE 0 END, CASE WHEN key % 3 = 0 THEN 3 ELSE 0 END))
+SELECT key, sequence, event_id FROM c WHERE n <= 4""",
+}

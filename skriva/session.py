@@ -24,11 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. A temporary one stands in only in local mode, where one machine is all there is."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/skriva"
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/skriva-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder (spark.checkpoint.dir; a temporary one only where that is unset): for what a plan
-    reads several times, and costs more to compute than to read."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/skriva"
-    path = f"{shared.rstrip('/')}/skriva-table-{uuid.uuid4().hex}"
+    """The rows of df as a table in the shared folder: for what a plan reads several times, and costs more to compute than to read. Such tables live as
+    long as the folder."""
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,28 @@ def report_markdown(sections: DataFrame) -> DataFrame:
     return sections.groupBy("report_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("markdown"))
 
 
+def report_json(sections: DataFrame) -> DataFrame:
+    """SNK1: (report_id, json): the report as one object, its sections in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("section_order").alias("order"), "title", F.coalesce("content", F.lit("")).alias("content"), "evidence_ids")))
+    return sections.groupBy("report_id").agg(F.to_json(F.struct(F.first("report_id").alias("report_id"), rows.alias("sections"))).alias("json"))
+
+
+def state_json(chunks: DataFrame) -> DataFrame:
+    """SNK1: (paper_id, json): states as ``readers.states`` reads them, from chunks (paper_id, position, chunk_id, text, section, page_start, page_end)."""
+    c = F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text", "section", "page_start", "page_end"))), lambda r: F.struct(*[r[n].alias(n) for n in ("chunk_id", "text", "section", "page_start", "page_end")]))
+    meta = F.struct(F.first("paper_id").cast("string").alias("paper_id"))
+    return chunks.groupBy("paper_id").agg(F.to_json(F.struct(F.struct(meta.alias("metadata"), c.alias("chunks")).alias("document"))).alias("json"))
+
+
+def conversation_markdown(messages: DataFrame, cited: DataFrame, key: str = "conv_id") -> DataFrame:
+    """SNK4: (key, markdown): messages (key, message_id, turn, role, text) in order, each with the evidence (message_id, place, evidence_id, text) it cites."""
+    line = F.concat(F.lit("> ["), "evidence_id", F.lit("] "), T.short(F.col("text")))
+    per = cited.groupBy("message_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"]), "\n").alias("quotes"))
+    part = F.concat(F.lit("**"), "role", F.lit("**\n\n"), F.coalesce("text", F.lit("")), F.when(F.col("quotes").isNotNull(), F.concat(F.lit("\n\n"), "quotes")).otherwise(""))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "message_id", part.alias("part"))))
+    return messages.join(per, "message_id", "left").groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("markdown"))
+
+
 def report_html(sections: DataFrame) -> DataFrame:
     """SNK2: (report_id, html)."""
     part = F.concat(F.lit("<section><h2>"), T.html_escape(F.col("title")), F.lit("</h2><p>"), T.html_escape(F.coalesce("content", F.lit(""))), F.lit("</p></section>"))

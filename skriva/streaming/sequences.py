@@ -55,7 +55,8 @@ def stalled(beats: DataFrame, seconds: int) -> DataFrame:
         if state.exists:
             newest = max(newest, state.get[0])
         state.update((newest,))
-        state.setTimeoutTimestamp(newest + 1000 * seconds)
+        # A beat that comes late may be due already; it is reported with the next trigger.
+        state.setTimeoutTimestamp(max(newest + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
 
     return beats.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(
         run, "key long, last_beat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -79,15 +80,19 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     # A stream reads folders; a single file is picked out of its own.
-    if files.getFileStatus(where).isFile():
+    if "*" not in path and files.getFileStatus(where).isFile():
         reader, path = reader.option("pathGlobFilter", where.getName()), str(where.getParent())
     s = reader.parquet(path)
     return s.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
 def drained(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into Parquet (append) and read it back."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there, into Parquet and read it back. With mode complete each batch replaces the table."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").option("path", path).start()
+    else:
+        query = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
     return spark.read.parquet(path)
 
