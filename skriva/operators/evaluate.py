@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..session import written
 
 
 def observations(cases: DataFrame, ranked: DataFrame, k: int = 6, candidates: int = 20) -> DataFrame:
@@ -128,10 +132,15 @@ def gates(results: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def thresholds(scores: DataFrame, value: str = "score") -> DataFrame:
-    """WIN11: the observed values and the midpoints between neighbours. Distinct values are few (scores of one evaluation)."""
-    seen = scores.select(F.round(value, 6).alias("t")).distinct()
-    mid = seen.withColumn("t", F.round((F.col("t") + F.lead("t").over(W.orderBy("t"))) / 2, 9)).where("t IS NOT NULL")
-    return seen.unionByName(mid).distinct().select(F.col("t").alias("threshold"))
+    """WIN11: the observed values and the midpoints between neighbours. The order over all values comes from a range partitioning: neighbours inside a part
+    from a window over it, the last value's neighbour from the parts' least values (one row per part)."""
+    seen = scores.select(F.round(value, 6).alias("t")).where("t IS NOT NULL").distinct()
+    parts = written(seen.repartitionByRange("t").withColumn("part", F.spark_partition_id()))
+    least = parts.groupBy("part").agg(F.min("t").alias("least"))
+    after = least.select(F.col("part").alias("part"), F.lead("least").over(W.orderBy("part")).alias("after"))
+    mid = parts.join(F.broadcast(after), "part").withColumn("next", F.coalesce(F.lead("t").over(W.partitionBy("part").orderBy("t")), F.col("after")))
+    mid = mid.where("next IS NOT NULL").select(F.round((F.col("t") + F.col("next")) / 2, 9).alias("t"))
+    return parts.select("t").unionByName(mid).distinct().select(F.col("t").alias("threshold"))
 
 
 def hash_split(rows: DataFrame, key: str, seed: str, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
@@ -170,47 +179,88 @@ def first_mode(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return c.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("seen"))).alias("m")).select(key, "m.*")
 
 
-def compare_modes(runs: DataFrame) -> DataFrame:
-    """AGG26: serial against parallel runs of the same data: deltas, speed-up, recommendation."""
-    s, p = runs.where("mode = 'serial'").alias("s"), runs.where("mode = 'parallel'").alias("p")
-    j = s.join(p, ["dataset_version", "case_count"])
-    faster, worse = F.col("s.latency_p95_ms") / F.col("p.latency_p95_ms"), F.col("p.report_quality") < F.col("s.report_quality") - 0.02
-    return j.select("dataset_version", F.round(faster, 6).alias("speedup_p95"), F.round(F.col("p.report_quality") - F.col("s.report_quality"), 6).alias("quality_delta"),
-                    F.when(worse, "keep_serial").when(faster >= 1.2, "use_parallel").otherwise("no_clear_gain").alias("recommendation"))
+SAME = ["dataset_version", "frozen_test_sha256", "configuration_sha256", "case_count"]
+MEASURED = ["latency_p50_ms", "latency_p95_ms", "total_input_tokens", "total_output_tokens", "estimated_cost_usd", "evidence_recall", "report_quality", "coverage_gap_rate"]
 
 
-def pilot_sample(cases: DataFrame, quotas: dict[str, int], per_paper: int) -> DataFrame:
-    """TOP10: greedy sample with exact quotas per stratum and a cap per paper. The choice is a sequence, so it runs in one task; it reads
-    no more candidates of a stratum than all quotas together could block (each pick blocks at most one more row) plus its own quota."""
-    order = W.partitionBy("stratum", "paper_id").orderBy(F.sha2(F.col("case_id").cast("string"), 256))
-    few = cases.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_paper)
-    top = W.partitionBy("stratum").orderBy(F.sha2(F.concat_ws(":", "paper_id", "case_id"), 256))
-    few = few.withColumn("m", F.row_number().over(top)).where(F.col("m") <= 4 * max(quotas.values()) * len(quotas))
+def compare_modes(runs: DataFrame, tolerance: float = 0.0, strict: bool = True) -> DataFrame:
+    """AGG26: per run the serial against the parallel mode (rows run, mode, SAME, MEASURED): deltas, speed-up, and parallel where nothing got worse and no
+    gap opened. Modes that do not measure the same thing are an error, or named where not ``strict``."""
+    side = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c))).alias(f"{mode[0]}_{c}")
+    j = runs.groupBy("run").agg(*[side(m, c) for m in ("serial", "parallel") for c in [*SAME, *MEASURED]])
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"s_{c}").eqNullSafe(F.col(f"p_{c}")), F.lit(c)) for c in SAME]))
+    if strict:
+        wrong = F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("modes differ in "), F.array_join(wrong, ", "))).cast("array<string>")).otherwise(wrong)
+    good = (F.col("p_evidence_recall") + tolerance >= F.col("s_evidence_recall")) & (F.col("p_report_quality") + tolerance >= F.col("s_report_quality")) & (F.col("p_coverage_gap_rate") == 0)
+    delta = lambda c: F.col(f"p_{c}") - F.col(f"s_{c}")
+    j = j.withColumn("mismatches", wrong).withColumn("quality_not_degraded", good & (F.size("mismatches") == 0))
+    return j.select("run", "mismatches", F.round(F.col("s_latency_p95_ms") / F.nullif(F.col("p_latency_p95_ms"), F.lit(0.0)), 6).alias("p95_speedup"), *[(F.round(delta(c), 6) if "tokens" not in c else delta(c)).alias(f"{c}_delta") for c in MEASURED],
+                    "quality_not_degraded", F.when(F.col("quality_not_degraded"), "parallel").otherwise("serial").alias("recommendation"))
+
+
+TYPES = ["extractive", "free_form", "yes_no", "unanswerable"]
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        left, out = dict(quotas), []
-        for r in g.sort_values(["m", "stratum"]).itertuples():
-            if left.get(r.stratum, 0) > 0 and used.get(r.paper_id, 0) < per_paper:
-                left[r.stratum] -= 1
-                used[r.paper_id] = used.get(r.paper_id, 0) + 1
-                out.append((r.case_id, r.paper_id, r.stratum))
-        return pd.DataFrame(out, columns=["case_id", "paper_id", "stratum"])
 
-    return few.select(F.lit(0).alias("all"), "case_id", "paper_id", "stratum", "m").groupBy("all").applyInPandas(choose, "case_id long, paper_id string, stratum string")
+def best_mix(limits: list[int], wanted: list[int], cap: int) -> tuple[int, ...]:
+    """How many cases of each type to take from a paper: as many as the cap allows, then those that are a larger share of what is still wanted, then more
+    of the earlier types."""
+    mixes = [m for m in itertools.product(*(range(x + 1) for x in limits)) if 0 < sum(m) <= cap]
+    return max(mixes, key=lambda m: (sum(m), sum(x / max(1, w) for x, w in zip(m, wanted, strict=True)), m), default=())
 
 
-def balanced_folds(papers: DataFrame, folds: int = 5) -> DataFrame:
-    """TOP11: papers (paper_id, cases, positives), largest first, each to the fold that it unbalances least. A sequence over papers of one
-    evaluation set; the input is one row per paper."""
+def pilot_sample(cases: DataFrame, papers: DataFrame, quotas: dict[str, int], per_paper: int = 4, seed: str = "pilot") -> DataFrame:
+    """TOP10: (paper_id, case_id, answer_type): cases that fill the quotas of all types exactly, paper by paper: the paper that fills most comes next, of those
+    the one whose index is cheapest per case (batches of eight chunks), then by a seeded hash. cases: (case_id, paper_id, answer_type); papers:
+    (paper_id, chunks).
+
+    The choice is a sequence, so it runs in one task, on few rows: papers alike in their capped numbers of cases differ in cost and hash only, so of
+    each of the at most (per_paper + 1) ** 4 kinds no more can be chosen than all quotas together."""
+    total = sum(quotas.values())
+    counts = cases.groupBy("paper_id").agg(*[F.least(F.count_if(F.col("answer_type") == t), F.lit(per_paper)).alias(t) for t in TYPES])
+    p = counts.join(papers.select("paper_id", F.ceil(F.col("chunks") / 8).alias("batches")), "paper_id").withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "paper_id"), 256))
+    few = p.withColumn("n", F.row_number().over(W.partitionBy(*TYPES).orderBy("batches", "h"))).where(F.col("n") <= total).drop("n")
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        wanted, out = [quotas.get(t, 0) for t in TYPES], []
+        left = {r.paper_id: ([int(getattr(r, t)) for t in TYPES], int(r.batches), r.h) for r in g.itertuples()}
+        while sum(wanted):
+            offers = []
+            for name, (has, batches, h) in left.items():
+                mix = best_mix([min(x, w, per_paper) for x, w in zip(has, wanted, strict=True)], wanted, per_paper)
+                if mix:
+                    offers.append(((-sum(mix), batches / sum(mix), batches, h), name, mix))
+            if not offers:
+                raise ValueError(f"no papers left for {dict(zip(TYPES, wanted, strict=True))}")
+            _, name, mix = min(offers)
+            del left[name]
+            wanted = [w - x for w, x in zip(wanted, mix, strict=True)]
+            out.append((name, *mix))
+        return pd.DataFrame(out, columns=["paper_id", *TYPES])
+
+    chosen = few.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "paper_id string, " + ", ".join(f"{t} int" for t in TYPES))
+    take = F.coalesce(*[F.when(F.col("answer_type") == t, F.col(t)) for t in TYPES])
+    j = cases.join(chosen, "paper_id").withColumn("n", F.row_number().over(W.partitionBy("paper_id", "answer_type").orderBy("case_id")))
+    return j.where(F.col("n") <= take).select("paper_id", "case_id", "answer_type")
+
+
+def balanced_folds(cases: DataFrame, folds: int = 5, seed: str = "fold") -> DataFrame:
+    """TOP11: (paper_id, fold) of cases (paper_id, answer_type): papers, largest first, each to the fold where the squared loads of all types and of all cases,
+    in shares of a fold's even part, grow least; the first papers open one fold each. A sequence over the papers of one evaluation set, in
+    one task: one short row per paper."""
+    sizes = cases.groupBy("paper_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("answer_type") == t).alias(t) for t in TYPES]).withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "paper_id"), 256))
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
-        load, out = [[0, 0] for _ in range(folds)], []
-        for r in g.sort_values(["cases", "paper_id"], ascending=[False, True]).itertuples():
-            i = min(range(folds), key=lambda f: (load[f][0], load[f][1], f))
-            load[i][0] += r.cases
-            load[i][1] += r.positives
-            out.append((r.paper_id, i))
-        return pd.DataFrame(out, columns=["paper_id", "fold"])
-
-    return papers.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(assign, "paper_id string, fold int")
+        g = g.sort_values(["n", "h"], ascending=[False, True])
+        many = min(folds, len(g))
+        own = g[[*TYPES, "n"]].to_numpy(float)
+        even = own.sum(axis=0) / many
+        used = even > 0
+        load, out = np.zeros((many, len(even))), []
+        for i, row in enumerate(own):
+            cost = (((load[:, used] + row[used]) / even[used]) ** 2).sum(axis=1)
+            at = i if i < many else min(range(many), key=lambda f: (cost[f], load[f, -1], f))
+            load[at] += row
+            out.append(at)
+        return pd.DataFrame({"paper_id": g["paper_id"], "fold": out})
+
+    return sizes.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(assign, "paper_id string, fold int")

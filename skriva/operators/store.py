@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..session import written
 
 TERMINAL = ["completed", "failed", "canceled", "deleted"]
 # Progress shown for each stage.
@@ -41,12 +42,22 @@ def message_order() -> list[Column]:
 
 
 def sequenced(events: DataFrame, key: str, order: list[str], last: DataFrame | None = None) -> DataFrame:
-    """SNK8, AGG5: the next numbers of each key, behind the highest stored one (last: key, sequence)."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long")
+    """SNK8, AGG5: the next numbers of each key, behind the highest stored one (last: key, sequence).
+
+    A key may hold any share of the events: they are dealt by ranges of key and order, numbered inside each part, and each part of a key begins behind the
+    rows of the parts before it (one row per key and part)."""
+    parts = written(events.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(key, "__part").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(key, "__part", before.alias("__before"))
+    # Only keys that go over several parts have anything to add, at most two in each part.
+    split = starts.where("__before > 0")
+    n = F.row_number().over(W.partitionBy(key, "__part").orderBy(*order)).cast("long")
+    out = parts.withColumn("__n", n).join(F.broadcast(split), [key, "__part"], "left").withColumn("__n", F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__before", "__part")
     if last is None:
-        return events.withColumn("sequence", n)
+        return out.withColumnRenamed("__n", "sequence")
     top = last.groupBy(key).agg(F.max("sequence").alias("__top"))
-    return events.withColumn("__n", n).join(top, key, "left").withColumn("sequence", F.col("__n") + F.coalesce("__top", F.lit(0))).drop("__n", "__top")
+    return out.join(top, key, "left").withColumn("sequence", F.col("__n") + F.coalesce("__top", F.lit(0))).drop("__n", "__top")
 
 
 def after(events: DataFrame, cursors: DataFrame, key: str, limit: int = 1000) -> DataFrame:

@@ -147,14 +147,20 @@ def first_mode(spark, sf_dir):
     return out.select("source", "lang", F.col("n"))
 
 
+def _typed(spark, sf_dir):
+    """Every document as a case; a paper holds the documents of a source whose numbers share a remainder."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    kind = F.element_at(F.array(*map(F.lit, E.TYPES)), (F.pmod(F.col("doc_id") * 7 + F.length("source"), F.lit(4)) + 1).cast("int"))
+    return d.select(F.col("doc_id").alias("case_id"), F.concat_ws("-", "source", (F.col("doc_id") % 7).cast("string")).alias("paper_id"), kind.alias("answer_type"))
+
+
 def pilot_sampling(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("case_id"), F.col("source").alias("paper_id"), F.col("lang").alias("stratum"))
-    return E.pilot_sample(d, {"en": 12, "fr": 8, "de": 6, "es": 4}, 3)
+    c = _typed(spark, sf_dir)
+    return E.pilot_sample(c, c.groupBy("paper_id").agg((F.count("*") * 3).alias("chunks")), {"extractive": 9, "free_form": 8, "yes_no": 6, "unanswerable": 4}, 4)
 
 
 def balanced_folds(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return E.balanced_folds(d.groupBy(F.col("source").alias("paper_id")).agg(F.count("*").alias("cases"), F.sum("quality").alias("positives")))
+    return E.balanced_folds(_typed(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (

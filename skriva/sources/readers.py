@@ -29,13 +29,13 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC6: (file, line from 1, value, reason) of every line that is blank, no JSON, or lacks a field of the schema. Line numbers need whole files, which
+def jsonl_errors(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """SRC6: (file, line from 1, value, reason) of every line that is blank, no JSON object, lacks a required field or has one of another type. Line numbers need whole files, which
     for lists of cases are small; the rows themselves are read by ``jsonl``."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("n", "value"))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     fields = [f.strip().split(" ")[0] for f in re.split(r",\s*(?![^<>]*>)", schema)]
-    missing = F.concat_ws(",", *[F.when(F.get_json_object("value", f"$.{n}").isNull(), F.lit(n)) for n in fields])
+    missing = F.concat_ws(",", F.lit(None).cast("string"), *[F.when(F.get_json_object("value", f"$.{n}").isNull(), F.lit(n)) for n in required])
     wrong = F.concat_ws(",", *[F.when(F.get_json_object("value", f"$.{n}").isNotNull() & parsed[n].isNull(), F.lit(n)) for n in fields])
     reason = F.when(F.trim("value") == "", "blank").when(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), "no object").when(missing != "", F.concat(F.lit("missing "), missing)).when(
         wrong != "", F.concat(F.lit("wrong type "), wrong))

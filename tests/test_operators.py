@@ -148,8 +148,6 @@ def test_metrics_of_empty_answers(spark):
 
 
 def test_modes_and_best_config(spark):
-    r = spark.createDataFrame([("serial", "v", 3, 300.0, 0.9), ("parallel", "v", 3, 180.0, 0.9)], "mode string, dataset_version string, case_count int, latency_p95_ms double, report_quality double")
-    assert evaluate.compare_modes(r).first().recommendation == "use_parallel"
     g = spark.createDataFrame([(2, 1.0), (1, 1.0), (3, 0.5)], "config int, quality double")
     assert evaluate.best_config(g, [F.col("quality")]).first().config == 1
 
