@@ -30,7 +30,7 @@ class Engine:
 
     def ask_context(self, queries: DataFrame, chunks: DataFrame, min_score: float = 0.0) -> DataFrame:
         """Ranked evidence after the score filter, within the token budget."""
-        top = retrieval.ranked(retrieval.bm25(queries, chunks, self.params), self.params.candidates).where(F.col("score") >= min_score)
+        top = retrieval.ranked(retrieval.bm25(queries, chunks, self.params, k=self.params.candidates), self.params.candidates).where(F.col("score") >= min_score)
         top = retrieval.ranked(top.drop("rank"), self.params.evidence)
         return evidence.evidence_budget(top.join(chunks.select("chunk_id", "text"), "chunk_id"), self.params.evidence_tokens)
 

@@ -10,27 +10,42 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..schemas import DEFAULTS
 
 
+def spans_of(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of the spans of a stripped text that are not blank."""
+    n, step = len(text), size - overlap
+    for start in range(0, 1 if n <= size else n - size + step, step):
+        part = text[start : start + size].strip(T.SPACES)
+        if part:
+            yield start, min(start + size, n), part
+
+
 def chunk_spans(pages: DataFrame, key: str = "doc_id", text: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """SC13-15, WIN15: one row per span (key, chunk_index from 1, char_start, char_end, text), plus all other columns of pages.
 
     Spans of ``size`` characters start every size - overlap; blank spans are skipped and numbering closes up. All of a page's
-    spans come from one row, so the number is a position in an array and nothing is shuffled."""
-    step = size - overlap
+    spans come from one row in an Arrow batch, where a place in a text is found at once however long it is; nothing is shuffled."""
     others = [c for c in pages.columns if c != text]
-    df = pages.withColumn("__t", T.strip(F.coalesce(text, F.lit("")))).where("__t <> ''").withColumn("__n", F.length("__t"))
-    n = F.col("__n")
-    count = F.when(n <= size, F.lit(1)).otherwise(1 + F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    spans = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct((i * step).alias("char_start"), F.least(i * step + size, n).alias("char_end"), T.strip(F.substring("__t", i * step + 1, F.lit(size))).alias("text")),
-    )
-    df = df.select(*others, F.posexplode(F.filter(spans, lambda s: s["text"] != "")).alias("i", "s"))
-    return df.select(*others, (F.col("i") + 1).alias("chunk_index"), "s.char_start", "s.char_end", F.col("s.text").alias(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [(r, k, *s) for r, t in enumerate(part.column(len(others)).to_pylist()) if t for k, s in enumerate(spans_of(t.replace("\0", "").strip(T.SPACES), size, overlap), 1)]
+                at, number, start, end, texts = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(j).take(take) for j in range(len(others))), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(texts, pa.string())],
+                    names=[*(f"c{j}" for j in range(len(others))), "chunk_index", "char_start", "char_end", "text"])
+
+    inner = pages.select(*others, text).toDF(*(f"c{j}" for j in range(len(others))), "text")
+    schema = StructType([*inner.schema.fields[:-1], StructField("chunk_index", IntegerType()), StructField("char_start", IntegerType()), StructField("char_end", IntegerType()), StructField("text", StringType())])
+    return inner.mapInArrow(run, schema).toDF(*others, "chunk_index", "char_start", "char_end", text)
 
 
 def chunk_id(paper: Column, page: Column, index: Column) -> Column:

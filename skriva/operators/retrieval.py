@@ -5,6 +5,7 @@ Queries: (query_id, query[, scope]). Chunks: (scope, chunk_id, position, text ..
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,42 +47,36 @@ def scoped(chunks: DataFrame, section: str | None = None, pages: tuple[int, int]
     return out.where(overlaps_pages(F.col("page_start"), F.col("page_end"), F.lit(pages[0]), F.lit(pages[1]))) if pages else out
 
 
-def counted(rows: DataFrame, key: list[str], whole: bool = False) -> DataFrame:
-    """(key..., doc_len, term, tf) from (key..., terms): counted inside the Arrow batch, so no token is shuffled. With ``whole`` the empty term
-    stands once for every row, so that the same table gives a scope's size and average length."""
+class Numbers(dict):
+    """Token -> its number, in the order of their first use."""
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        return n
+
+
+def counted(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., doc_len, terms, tfs) from (key..., text): the distinct terms of each row and how often each occurs, cut and counted inside the Arrow batch, so no
+    token is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                terms = part.column("terms")
-                row, code = pc.list_parent_indices(terms).to_numpy(), terms.flatten().dictionary_encode()
-                words = code.dictionary
-                n = np.bincount(row, minlength=part.num_rows)
-                found, tf = np.unique(row.astype(np.int64) * (len(words) + 1) + code.indices.to_numpy(), return_counts=True)
-                at, word = found // (len(words) + 1), found % (len(words) + 1)
-                if whole:
-                    words = pa.concat_arrays([words, pa.array([""], words.type)])
-                    at, word = np.concatenate([at, np.arange(part.num_rows)]), np.concatenate([word, np.full(part.num_rows, len(words) - 1)])
-                    tf = np.concatenate([tf, np.ones(part.num_rows, np.int64)])
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).take(take) for k in key), pa.array(n[at].astype(np.int64)), words.take(pa.array(word)), pa.array(tf.astype(np.int64))], names=[*key, "doc_len", "term", "tf"])
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                lists = [T.term_list(t) if t else [] for t in part.column("text").to_pylist()]
+                counts = [Counter(x) for x in lists]
+                offsets = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+                terms = pa.ListArray.from_arrays(offsets, pa.array([t for c in counts for t in c], pa.string()))
+                tfs = pa.ListArray.from_arrays(offsets, pa.array([n for c in counts for n in c.values()], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in key), pa.array([len(x) for x in lists], pa.int64()), terms, tfs], names=[*key, "doc_len", "terms", "tfs"])
 
     kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key]
-    return rows.select(*key, "terms").mapInArrow(run, ", ".join([*kinds, "doc_len long, term string, tf long"]))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(scope, chunk_id, position, doc_len, term, tf) of every term of every chunk, and of the empty term; row by row."""
-    df = T.normalised(chunks.select("scope", "chunk_id", "position", "text"), "text").withColumn("terms", T.terms(F.col("text")))
-    return counted(df, ["scope", "chunk_id", "position"], whole=True)
+    return rows.select(*key, "text").mapInArrow(run, ", ".join([*kinds, "doc_len long, terms array<string>, tfs array<int>"]))
 
 
 def index(chunks: DataFrame) -> DataFrame:
-    """The postings as a written table in the order of terms: built once, read by every search over the same chunks. A frequent term spreads
-    over several parts."""
-    return written(postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+    """(scope, chunk_id, position, doc_len, terms, tfs) per chunk as a written table: built once, read by every search over the same chunks."""
+    return written(counted(chunks, ["scope", "chunk_id", "position"]))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -92,36 +87,153 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS, indexed: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS, indexed: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """SC4, AGG1-2, JN2: (query_id, scope, chunk_id, position, score) with score > 0. Statistics come from each scope alone. ``indexed``: the index of
-    the chunks, where there is one."""
+    the chunks, where there is one. With ``k``, at least the k best of each query, for ``ranked`` to choose from.
+
+    Two passes over the index: one counts the documents of the wanted terms, one scores. While the query set is measured small, its weights are shipped and
+    a batch of chunks is scored at once, so of a query's many hits only the best of each batch are shuffled; else all by joins."""
     if params.k1 <= 0 or not 0 <= params.b <= 1:
         raise ValueError("k1 must be positive and b within 0..1")
+    rows = index(chunks) if indexed is None else indexed
     q = query_terms(queries)
-    # Broadcast only what is measured small; the batch of queries is the caller's, not the corpus's.
-    terms = q.select("term").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("term")))
-    hint = F.broadcast if fits(q, F.octet_length("term") + F.octet_length("scope") + 64) else (lambda df: df)
-    # The wanted terms prune before anything is shuffled.
-    counts = (postings(chunks) if indexed is None else indexed).join(hint(terms), "term", "left_semi")
-    counts = counts if indexed is not None else written(counts)
-    stats = counts.where("term = ''").groupBy("scope").agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("doc_len"), F.lit(1.0)).alias("avg_len"))
-    df = counts.groupBy("scope", "term").agg(F.count("*").cast("double").alias("df"))
-    weights = hint(q.join(df, ["scope", "term"]).join(stats, "scope"))
-    hits = counts.join(weights, ["scope", "term"])
+    small = fits(q, F.octet_length("term") + F.octet_length("scope") + 64)
+    hint = F.broadcast if small else (lambda df: df)
+    n, length = F.count("*").cast("double"), F.greatest(F.avg("doc_len"), F.lit(1.0))
+    stats = rows.groupBy("scope").agg(n.alias("n"), length.alias("avg_len"))
+    wanted = q.select("scope", "term").distinct()
+    df = rows.select("scope", F.explode("terms").alias("term")).join(hint(wanted), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(n.alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    rest = tf + params.k1 * (1 - params.b + params.b * F.col("doc_len") / F.col("avg_len"))
-    part = F.col("times") * idf * tf * (params.k1 + 1) / rest
+    weights = q.join(hint(df), ["scope", "term"]).join(stats, "scope").select("query_id", "scope", "term", (F.col("times") * idf * (params.k1 + 1)).alias("weight"), "avg_len")
+    if small:
+        return _scored(rows, weights, params, k)
+    hits = rows.select("scope", "chunk_id", "position", "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("*", F.col("x.terms").alias("term"), F.col("x.tfs").cast("double").alias("tf"))
+    hits = hits.join(weights, ["scope", "term"])
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("doc_len") / F.col("avg_len")))
     out = hits.groupBy("query_id", "scope", "chunk_id", "position").agg(F.round(F.sum(part), PLACES).alias("score"))
     return out.where("score > 0")
 
 
+def _scored(rows: DataFrame, weights: DataFrame, params: Params, k: int | None, block: int = 2048) -> DataFrame:
+    """BM25 by batches: weights (query_id, scope, term, weight, avg_len) of a small query set, a block of queries at a time."""
+    found = weights.orderBy("query_id", "scope", "term").toArrow()
+    names = np.unique(found.column("query_id").to_numpy()) if len(found) else np.empty(0, np.int64)
+    frames = []
+    for at in range(0, max(len(names), 1), block):
+        ids = names[at : at + block]
+        own = found.filter(pc.is_in(found.column("query_id"), pa.array(ids))) if len(ids) else found.slice(0, 0)
+        # Per scope: its average length, each term's number, and behind its first entry the queries with that term and their weights.
+        table: dict[str, tuple] = {}
+        by_scope: dict[str, dict[str, list]] = {}
+        lengths: dict[str, float] = {}
+        for query, scope, term, weight, length in zip(*(own.column(c).to_pylist() for c in ("query_id", "scope", "term", "weight", "avg_len")), strict=True):
+            by_scope.setdefault(scope, {}).setdefault(term, []).append((int(np.searchsorted(ids, query)), weight))
+            lengths[scope] = length
+        for scope, terms in by_scope.items():
+            n = np.array([len(x) for x in terms.values()], np.int64)
+            pairs = [p for x in terms.values() for p in x]
+            table[scope] = (lengths[scope], {t: i for i, t in enumerate(terms)}, n, np.cumsum(n) - n, np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs]))
+        frames.append(_scored_block(rows, ids, table, params, k))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _scored_block(rows: DataFrame, ids: np.ndarray, table: dict[str, tuple], params: Params, k: int | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                scopes = batch.column("scope").dictionary_encode()
+                for s, scope in enumerate(scopes.dictionary.to_pylist()):
+                    if scope not in table:
+                        continue
+                    part = batch.filter(pc.equal(scopes.indices, s))
+                    length, numbers, n, first, query, weight = table[scope]
+                    lists = part.column("terms")
+                    code = lists.flatten().dictionary_encode()
+                    number = np.array([numbers.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)[code.indices.to_numpy()]
+                    hit = np.flatnonzero(number >= 0)
+                    if not len(hit):
+                        continue
+                    row, tf, number = pc.list_parent_indices(lists).to_numpy()[hit], part.column("tfs").flatten().to_numpy()[hit].astype(float), number[hit]
+                    doc_len = part.column("doc_len").to_numpy().astype(float)[row]
+                    share = tf / (tf + params.k1 * (1 - params.b + params.b * doc_len / length))
+                    # Every hit once for each query with that term.
+                    times = n[number]
+                    entry = np.repeat(first[number] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    cell = np.repeat(row, times).astype(np.int64) * len(ids) + query[entry]
+                    scores = np.bincount(cell, weight[entry] * np.repeat(share, times), part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+                    position = part.column("position").to_numpy()
+                    i, j = best_of(np.round(scores, PLACES), position, k)
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[j], pa.int64()), part.column("scope").take(take), part.column("chunk_id").take(take), pa.array(position[i]), pa.array(np.round(scores[i, j], PLACES))],
+                        names=["query_id", "scope", "chunk_id", "position", "score"])
+
+    return rows.mapInArrow(run, "query_id long, scope string, chunk_id string, position long, score double")
+
+
 def ranked(scored: DataFrame, k: int | None = None, by: str = "score", key: str = "query_id") -> DataFrame:
     """WIN1, TOP1: rank by falling score, ties by position."""
     df = scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(by).desc(), "position")))
     return df.where(F.col("rank") <= k) if k else df
 
 
+def best_of(scores: np.ndarray, position: np.ndarray, k: int | None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of each column above zero and from ``least`` on, ties by position; of all such rows without k."""
+    if k is None:
+        return np.nonzero((scores > 0) & (scores >= least) & np.isfinite(scores))
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for j in range(scores.shape[1]):
+        s = np.where(np.isfinite(scores[:, j]), scores[:, j], -1)
+        some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > 4 * k else np.arange(len(s))
+        best = some[np.lexsort((position[some], -s[some]))[:k]]
+        best = best[(s[best] > 0) & (s[best] >= least)]
+        rows.append(best)
+        columns.append(np.full(len(best), j))
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = None, threshold: float = 0.0, block: int = 4096) -> DataFrame:
+    """JN3, FLT5: (query_id, vec_id, position, score) of a stated set of queries (query_id, q) against every vector, by matrix products over Arrow batches:
+    the k best of each batch (of which a rank over the result picks the best of all), or all from the threshold on. The queries are shipped
+    ``block`` at a time."""
+    names = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
+    frames = []
+    for at in range(0, max(len(names), 1), block):
+        some = names[at : at + block]
+        found = {r["query_id"]: r["q"] for r in queries.where(F.col("query_id").between(some[0], some[-1])).collect()} if some else {}
+        ids = np.array(sorted(found), np.int64)
+        q = np.array([found[i] for i in ids.tolist()], float).reshape(len(ids), -1)
+        norms = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        frames.append(_vector_block(vectors, ids, (q / np.where(norms == 0, 1, norms)).T, k, threshold))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _vector_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int | None, threshold: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                if not len(ids):
+                    continue
+                v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                scores = np.round((v / np.where(norms == 0, 1, norms)) @ q, PLACES)
+                position = batch.column("position").to_numpy(zero_copy_only=False)
+                i, j = best_of(scores, position, k, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), batch.column("vec_id").take(pa.array(i)), pa.array(position[i]), pa.array(scores[i, j])], names=["query_id", "vec_id", "position", "score"])
+
+    good = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("position").cast("long").alias("position"), V.doubles(F.col("embedding")).alias("embedding"))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return good.mapInArrow(run, f"query_id long, vec_id {kind}, position long, score double")
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """JN3: (query_id, vec_id, position, score) of every query against every vector, in blocks of the query set.
 
@@ -180,17 +292,17 @@ def _hashed_block(slots: DataFrame, chunks: DataFrame, names: list, k: int, dime
         q[some.column("slot").to_numpy(), np.searchsorted(ids, some.column("query_id").to_numpy())] = some.column("n").to_numpy()
         q /= np.sqrt((q * q).sum(axis=0, keepdims=True))
 
-    def dense(lists: pa.Array, memo: dict[str, int]) -> np.ndarray:
-        code = lists.flatten().dictionary_encode()
-        for t in code.dictionary.to_pylist():
+    def dense(texts: list[str | None], memo: dict[str, int]) -> np.ndarray:
+        numbers, lists = Numbers(), [T.eval_list(t) if t else [] for t in texts]
+        n = np.array([len(x) for x in lists], np.int64)
+        code = np.fromiter((numbers[t] for x in lists for t in x), np.int64, int(n.sum()))
+        if len(memo) > 500_000:
+            memo.clear()
+        for t in numbers:
             if t not in memo:
-                if len(memo) > 500_000:
-                    memo.clear()
                 memo[t] = int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dimensions
-        slot = np.array([memo.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
-        for j in np.flatnonzero(slot < 0):  # the memo was emptied on the way
-            slot[j] = int(hashlib.sha256(code.dictionary[int(j)].as_py().encode()).hexdigest()[:8], 16) % dimensions
-        out = np.bincount(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * dimensions + slot[code.indices.to_numpy()], minlength=len(lists) * dimensions).astype(float).reshape(len(lists), dimensions)
+        slot = np.array([memo[t] for t in numbers], np.int64)
+        out = np.bincount(np.repeat(np.arange(len(n)), n) * dimensions + slot[code], minlength=len(n) * dimensions).astype(float).reshape(len(n), dimensions)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1, norms)
 
@@ -199,22 +311,15 @@ def _hashed_block(slots: DataFrame, chunks: DataFrame, names: list, k: int, dime
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                scores = np.round(dense(batch.column("t"), memo) @ q, PLACES)
+                scores = np.round(dense(batch.column("text").to_pylist(), memo) @ q, PLACES)
                 position = batch.column("position").to_numpy(zero_copy_only=False)
-                rows, columns = [], []
-                for j in range(len(ids)):
-                    best = np.lexsort((position, -scores[:, j]))[:k]
-                    best = best[scores[best, j] > 0]
-                    rows.append(best)
-                    columns.append(np.full(len(best), j))
-                if rows:
-                    i, j = np.concatenate(rows), np.concatenate(columns)
+                i, j = best_of(scores, position, k)
+                if len(i):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[j], pa.int64()), batch.column("chunk_id").take(pa.array(i)), pa.array(position[i], pa.int64()), pa.array(scores[i, j], pa.float64())],
                         names=["query_id", "chunk_id", "position", "score"])
 
-    tokens = chunks.select("chunk_id", "position", T.eval_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return tokens.mapInArrow(run, "query_id long, chunk_id string, position long, score double")
+    return chunks.select("chunk_id", "position", "text").mapInArrow(run, "query_id long, chunk_id string, position long, score double")
 
 
 def rrf(rankings: list[DataFrame], k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -256,7 +361,8 @@ def search(
 ) -> DataFrame:
     """The search façade: BM25 over the chunks in scope, fused with vector rankings where given; top_k with snippet."""
     chunks = scoped(chunks, section, pages) if section or pages else chunks
-    lexical = ranked(bm25(queries, chunks, params), max(top_k, params.candidates))
+    depth = max(top_k, params.candidates)
+    lexical = ranked(bm25(queries, chunks, params, k=depth), depth)
     inside = [v.join(chunks.select("chunk_id"), "chunk_id", "left_semi") for v in vectors] if section or pages else vectors
     scored = rrf([lexical, *inside], params.rrf_k) if vectors else lexical.drop("rank")
     top = ranked(scored, top_k)

@@ -49,9 +49,8 @@ def chunk_spans(spark, sf_dir):
 
 
 def terms_freq(spark, sf_dir):
-    docs = T.normalised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     # Counted in the row; only partial sums by term are shuffled.
-    t = R.counted(docs.select("doc_id", T.terms(F.col("text")).alias("terms")), ["doc_id"])
+    t = R.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).select(F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
     return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

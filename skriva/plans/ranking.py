@@ -27,7 +27,7 @@ def indexed(spark, sf_dir):
 
 
 def lexical(spark, sf_dir, k):
-    return R.ranked(R.bm25(questions(spark, sf_dir), None, indexed=indexed(spark, sf_dir)), k)
+    return R.ranked(R.bm25(questions(spark, sf_dir), None, indexed=indexed(spark, sf_dir), k=k), k)
 
 
 
@@ -56,13 +56,13 @@ def vector_topk(spark, sf_dir):
     """Every vector whose id is divisible by 20 against all others."""
     v = _vectors(spark, sf_dir)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.ranked(R.positive(R.vector_scores(q, v)), 6).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", _score())
+    return R.ranked(R.vector_hits(q, v, 6), 6).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", _score())
 
 
 def vector_threshold(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = R.positive(R.vector_scores(q, v), 0.25).groupBy("query_id").agg(F.count("*").alias("passed"), F.max("score").alias("best"))
+    s = R.vector_hits(q, v, threshold=0.25).groupBy("query_id").agg(F.count("*").alias("passed"), F.max("score").alias("best"))
     return s.select("query_id", "passed", _score("best"))
 
 
