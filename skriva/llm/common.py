@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, as in tests, a temporary one stands in where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skriva-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -38,10 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage; they live in the shared folder, so a lost executor costs no recomputation."""
+    """Written tables that cut lineage; they live in the shared folder, so a lost executor costs no recomputation. What is not dropped before goes
+    when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/skriva-{label}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as a plain table scan."""

@@ -136,6 +136,37 @@ def test_binomial_tail(spark, k, n, p):
     assert got == pytest.approx(want if k < n * p else 1.0, rel=1e-6)
 
 
+def test_quality_rules_against_sql_on_enough_labels(spark, folder):
+    """With a thousand and more labels in a language cutoffs are certified there, and the query agrees with its SQL twin; too few certify nothing elsewhere."""
+    import duckdb
+
+    from skriva.llm.oracles import ORACLES
+    from skriva.llm.queries import QUERIES
+
+    rnd = random.Random(12)
+    docs, labels = [], []
+    for i in range(3200):
+        bad, lang = i % 4 == 0, "en" if i < 2900 else "fr"
+        symbols = rnd.randint(40, 80) if bad else rnd.choice([0] * 30 + [1, 2, 50])
+        lines = "\n".join([prose(20, rnd), prose(25, rnd), prose(22, rnd)] + (["same old line"] * rnd.randint(0, 3) if bad else []))
+        docs.append((i, f"{lines} {'#' * symbols}", lang, "a"))
+        if i % 9:
+            labels.append((i, 0 if bad else 1, 0))
+    d = folder(docs, labels=labels)
+    out = QUERIES["op5_quality_rules"](spark, d)
+    columns = sorted(out.columns)
+    got = sorted(tuple(r[c] for c in columns) for r in out.collect())
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet/*.parquet')")
+    found = con.execute(ORACLES["op5_quality_rules"])
+    names = [x[0] for x in found.description]
+    assert got == sorted(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
+    kept = {r.doc_id: r.kept for r in out.collect()}
+    assert sum(not kept[i] for i in range(2900) if i % 4 == 0) > 500 and all(kept[i] for i in range(2900, 3200))
+    assert sum(not kept[i] for i in range(2900) if i % 4) < 0.04 * 2175
+
+
 def test_removal_of_benchmark_spans(spark, folder):
     bench = [(1, prose(30, random.Random(8)))]
     inside = f"Start here, please. {bench[0][1].upper()}! And go on with quite a lot of other words that are no part of any benchmark at all, " + prose(60)
