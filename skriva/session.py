@@ -35,12 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skriva-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skriva-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{path.toString()}/{name}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder: for what a plan reads several times, and costs more to compute than to read. Such tables live as
-    long as the folder."""
+    """The rows of df as a table in the shared folder: for what a plan reads several times and costs more to compute than to read."""
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
