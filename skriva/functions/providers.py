@@ -236,3 +236,18 @@ class EchoClient:
 def question_prompts(chunks: DataFrame) -> DataFrame:
     """UDF8: (id, prompt) that ask for a candidate question about each chunk (position, section, text)."""
     return chunks.select(F.col("position").alias("id"), F.concat(F.lit("Write one question that this passage alone answers, as {\"question\": ...}.\nSection: "), F.coalesce("section", F.lit("none")), F.lit("\n"), T.short(F.col("text"))).alias("prompt"))
+
+
+class Agent:
+    """UDF5: a role of the analysis: a template of named columns, the client that answers, the keys that its answers must have."""
+
+    def __init__(self, name: str, template: str, required: list[str], client: LLMClient, retries: int = 1):
+        self.name, self.template, self.required, self.client, self.retries = name, template, required, client, retries
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """rows (id, and the columns that the template names) with the answer as a map, null where none was accepted."""
+        prompt = F.lit(self.template)
+        for c in rows.columns:
+            prompt = F.replace(prompt, F.lit("{" + c + "}"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+        found = structured(rows.select("id", prompt.alias("prompt")), self.client, self.required, self.name, self.retries)
+        return rows.join(found.select("id", F.from_json("value", "map<string,string>").alias(self.name)), "id", "left")

@@ -233,3 +233,19 @@ def adjudicated(current: DataFrame, proposals: DataFrame, attested: DataFrame, f
     return j.select("paper_id", "field", pick(F.col("new"), F.col("old")).alias("values"), pick(F.lit("llm"), F.col("source")).alias("source"), pick(F.col("trust"), F.col("sure")).alias("confidence"))
 
 
+def frozen_digest(cases: DataFrame, papers: DataFrame) -> DataFrame:
+    """SNK7, SC26: (rows, sha256) of the test split of one dataset: the digests of its rows in order, so that any change of a frozen test shows."""
+    row = lambda df, kind: df.where("split = 'test'").select(F.sha2(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) for c in sorted(df.columns)]), 256).alias("h"))
+    both = row(cases, "case").unionByName(row(papers, "paper"))
+    return both.agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("sha256"))
+
+
+def chunks_digest(chunks: DataFrame, key: str = "paper_id") -> DataFrame:
+    """SC26: (key, chunks, sha256) over a paper's chunks (position, chunk_id, text) in order: what an index was built from."""
+    rows = F.array_sort(F.collect_list(F.struct("position", F.sha2(F.concat_ws("\n", "chunk_id", "text"), 256).alias("h"))))
+    return chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), ""), 256).alias("sha256"))
+
+
+def cache_key(digest: Column, provider: str, model: str, schema: int) -> Column:
+    """SC26: under what name an index is stored."""
+    return F.sha2(F.concat_ws("\n", digest, F.lit(provider), F.lit(model), F.lit(schema).cast("string")), 256)

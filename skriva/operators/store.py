@@ -251,3 +251,28 @@ CONTENT = ["text", "content", "question", "query", "answer", "passage", "embeddi
 def content_free(df: DataFrame) -> DataFrame:
     """FLT18: df without columns that hold content, for reports that are shown to all."""
     return df.drop(*[c for c in df.columns if c in CONTENT])
+
+
+def sorted_json(config: Column) -> Column:
+    """SC25: a map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(config))))
+
+
+def task_key(pdf_sha256: Column, question: Column, language: Column, config: Column) -> Column:
+    """SC25: the key under which equal tasks are found: file, question (case folded, white space collapsed), language, configuration."""
+    return dedup_key([pdf_sha256, F.trim(F.regexp_replace(T.casefolded(F.coalesce(question, F.lit(""))), r"(?U)\s+", " ")), language, sorted_json(config)])
+
+
+def remaining_stages(tasks: DataFrame, checkpoints: DataFrame, stages: list[str] = list(PROGRESS), always: tuple[str, ...] = ("index",)) -> DataFrame:
+    """STR8: (task_id, place, stage) that a resumed task still has to run: those without a checkpoint, and stages that are always built anew."""
+    each = tasks.select("task_id", F.posexplode(F.array(*map(F.lit, stages))).alias("place", "stage"))
+    done = checkpoints.where(~F.col("stage").isin(*always)).select("task_id", "stage").distinct()
+    return each.join(done, ["task_id", "stage"], "left_anti").select("task_id", "place", "stage")
+
+
+def comparison_rules() -> dict[str, Column]:
+    """SC35: a request (paper_ids, custom_sections, focus): two to five papers, each once; up to twenty sections of 1 to 80 characters."""
+    papers, sections = F.col("paper_ids"), F.coalesce("custom_sections", F.array().cast("array<string>"))
+    return {
+        "paper_count": F.size(papers).between(2, 5), "papers_unique": F.size(F.array_distinct(papers)) == F.size(papers), "section_count": F.size(sections) <= 20,
+        "section_length": F.forall(sections, lambda x: F.length(F.trim(x)).between(1, 80))}

@@ -79,9 +79,9 @@ def line_dedup_margin(spark, sf_dir):
 
 
 def section_ranges(spark, sf_dir):
-    """Lines that begin with a number or a heading word stand for headings, synthetic pages for pages."""
+    """Every line that is not blank stands for a heading, synthetic pages for pages. (``headings`` and ``toc_sections`` run the heading rule.)"""
     lines = paged_lines(spark, sf_dir)
-    heads = lines.where(F.col("line") % 4 == 0).withColumn("name", F.trim(F.substring("text", 1, 40))).where("name <> ''")
+    heads = lines.withColumn("name", F.trim("text")).where("name <> ''")
     pages = lines.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
     out = C.section_ranges(heads, pages)
     return out.select("doc_id", F.col("section_index").cast("long").alias("section_index"), "name", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
@@ -94,7 +94,7 @@ def heading_lines(spark, sf_dir):
 
 def range_join_section(spark, sf_dir):
     lines = paged_lines(spark, sf_dir)
-    heads = lines.where(F.col("line") % 4 == 0).withColumn("name", F.trim(F.substring("text", 1, 40))).where("name <> ''")
+    heads = lines.withColumn("name", F.trim("text")).where("name <> ''")
     pages = lines.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
     all_pages = lines.select("doc_id", "page").distinct()
     out = C.first_section(all_pages, C.section_ranges(heads, pages))
@@ -114,12 +114,12 @@ def metadata_regex(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return d.select(
         "doc_id", T.doi(F.col("t")).alias("doi"), T.arxiv_id(F.col("t")).alias("arxiv_id"), T.year(F.col("t")).cast("long").alias("year"), T.language(F.col("t")).alias("language"),
-        T.estimate_tokens(F.col("t")).alias("tokens"), T.block_type(F.substring("t", 1, 200), F.lit(10.0), F.lit(10.0)).alias("block_type"))
+        T.estimate_tokens(F.col("t")).alias("tokens"), T.block_type(F.col("t"), F.lit(10.0), F.lit(10.0)).alias("block_type"))
 
 
 def dedup_key(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    q = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 200)), r"\s+", " "))
+    q = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     d = d.select("doc_id", S.dedup_key([F.sha2(F.col("text"), 256), q, F.col("lang")]).alias("dedup_key"))
     return d.groupBy("dedup_key").agg(F.count("*").alias("tasks"), F.max("doc_id").alias("newest"))
 
@@ -137,9 +137,9 @@ def split_leakage(spark, sf_dir):
 
 
 def paragraph_mapping(spark, sf_dir):
-    """The first line of each document against all of its lines, by exclusion reason."""
+    """Every line of each document as evidence against all of its lines, by exclusion reason."""
     lines = C.lines(table(spark, sf_dir, "documents"))
-    ev = lines.where("line = 0").select(F.col("doc_id").alias("evidence_id"), "doc_id", "text")
+    ev = lines.select(F.concat_ws(":", "doc_id", "line").alias("evidence_id"), "doc_id", "text")
     out = E.mapped_paragraphs(ev, lines.select("doc_id", "line", "text"))
     return out.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.coalesce("place", F.lit(0))).cast("long").alias("places"))
 
@@ -193,11 +193,11 @@ def parsing_summary(spark, sf_dir):
 
 
 def citation_merge(spark, sf_dir):
-    """AGG23: lines as branch notes: texts in order without repeats, their words' first letters as items, blank ones failed."""
+    """AGG23: lines as branch notes: texts in order without repeats, their first letters as items, short ones failed."""
     from ..operators import evidence as V_
 
-    lines = C.lines(table(spark, sf_dir, "documents")).where("line < 6")
-    n = lines.select(F.col("doc_id").alias("report_id"), F.col("line").alias("position"), F.concat(F.lit("q"), F.col("line").cast("string")).alias("question"), F.substring("text", 1, 20).alias("text"),
+    lines = C.lines(table(spark, sf_dir, "documents"))
+    n = lines.select(F.col("doc_id").alias("report_id"), F.col("line").alias("position"), F.concat(F.lit("q"), F.col("line").cast("string")).alias("question"), F.col("text"),
                      F.array(F.substring("text", 1, 1)).alias("items"), (F.length("text") < 20).alias("failed"))
     m = V_.merged_notes(n)
     return m.select("report_id", "text", F.array_join("items", ",").alias("items"), F.array_join("gaps", ",").alias("gaps"), "branches", "failed_branches")
@@ -214,7 +214,7 @@ QUERIES = {f.__name__: f for f in (
 
 SIGNATURE = r"trim(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '\s+', ' ', 'g'))"
 PAGED = LINES + f", paged AS (SELECT *, 1 + char_start // {PAGE} AS page FROM lines)"
-RANGES = PAGED + r""", heads AS (SELECT doc_id, line, page, trim(substr(text, 1, 40), ' ') AS name FROM paged WHERE line % 4 = 0 AND trim(substr(text, 1, 40), ' ') <> ''),
+RANGES = PAGED + r""", heads AS (SELECT doc_id, line, page, trim(text, ' ') AS name FROM paged WHERE trim(text, ' ') <> ''),
 pages AS (SELECT doc_id, max(page) AS n_pages FROM paged GROUP BY doc_id),
 ordered AS (SELECT h.*, n_pages, row_number() OVER w AS section_index, lead(page) OVER w AS nxt FROM heads h JOIN pages USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 sections AS (SELECT doc_id, section_index, name, page AS page_start, greatest(page, CASE WHEN nxt IS NULL THEN n_pages WHEN nxt > page THEN nxt - 1 ELSE nxt END) AS page_end FROM ordered)"""
@@ -263,15 +263,15 @@ SELECT c.doc_id, chunk_index, count(DISTINCT line) AS n_lines, min(line) AS firs
 SELECT doc_id, nullif(regexp_replace(regexp_extract(t, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+'), '[.,]+$', ''), '') AS doi,
  nullif(regexp_extract(t, '(?i)(?:arXiv\s*:\s*)?(\d{4}\.\d{4,5}(?:v\d+)?)', 1), '') AS arxiv_id,
  nullif(regexp_extract(substr(t, 1, 6000), '\b((?:19|20)\d{2})\b', 1), '')::BIGINT AS year, 'en' AS language, ceil(length(t) / 4.0)::BIGINT AS tokens,
- CASE WHEN regexp_matches(trim(substr(t, 1, 200)), '(?i)^(?:fig(?:ure)?\.?|table)\s*\d+') THEN 'caption'
-  WHEN regexp_matches(trim(substr(t, 1, 200)), '(?i)^(?:(?:\d+(?:\.\d+)*)\s+)?(?:abstract|introduction|background|methods?|methodology|experiments?|results?|discussion|limitations?|conclusions?|references)\b') THEN 'heading'
-  WHEN length(trim(substr(t, 1, 200))) <= 2 AND NOT regexp_matches(t, '[A-Za-z0-9]') THEN 'other' ELSE 'body' END AS block_type FROM d""",
-    "dedup_key": r"""WITH k AS (SELECT doc_id, sha256(sha256(text) || chr(10) || trim(regexp_replace(lower(substr(text, 1, 200)), '\s+', ' ', 'g')) || chr(10) || lang) AS dedup_key FROM documents WHERE text IS NOT NULL)
+ CASE WHEN regexp_matches(trim(t), '(?i)^(?:fig(?:ure)?\.?|table)\s*\d+') THEN 'caption'
+  WHEN regexp_matches(trim(t), '(?i)^(?:(?:\d+(?:\.\d+)*)\s+)?(?:abstract|introduction|background|methods?|methodology|experiments?|results?|discussion|limitations?|conclusions?|references)\b') THEN 'heading'
+  WHEN length(trim(t)) <= 2 AND NOT regexp_matches(t, '[A-Za-z0-9]') THEN 'other' ELSE 'body' END AS block_type FROM d""",
+    "dedup_key": r"""WITH k AS (SELECT doc_id, sha256(sha256(text) || chr(10) || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || chr(10) || lang) AS dedup_key FROM documents WHERE text IS NOT NULL)
 SELECT dedup_key, count(*) AS tasks, max(doc_id) AS newest FROM k GROUP BY dedup_key""",
     "hash_split": f"WITH {SPLIT} SELECT doc_id, place, split FROM parts",
     "split_leakage": f"""WITH {SPLIT}, d AS (SELECT sha256(text) AS digest, split FROM documents JOIN parts USING (doc_id) WHERE text IS NOT NULL)
 SELECT digest, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM d GROUP BY digest HAVING count(DISTINCT split) > 1""",
-    "paragraph_mapping": rf"""WITH {LINES}, e AS (SELECT doc_id, text FROM lines WHERE line = 0), j AS (SELECT e.doc_id, e.text, count(l.line) AS times, min(l.line) AS place FROM e LEFT JOIN lines l ON l.doc_id = e.doc_id AND l.text = e.text GROUP BY ALL),
+    "paragraph_mapping": rf"""WITH {LINES}, e AS (SELECT doc_id, line AS own, text FROM lines), j AS (SELECT e.doc_id, e.own, e.text, count(l.line) AS times, min(l.line) AS place FROM e LEFT JOIN lines l ON l.doc_id = e.doc_id AND l.text = e.text GROUP BY ALL),
 r AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^(?:figure|table|float)\b') THEN 'figure_or_table' WHEN trim(text) = '' THEN 'missing' WHEN times = 0 THEN 'unmapped' WHEN times > 1 THEN 'ambiguous_duplicate' ELSE 'mapped' END AS reason FROM j)
 SELECT reason, count(*) AS n, sum(CASE WHEN times = 1 THEN place ELSE 0 END)::BIGINT AS places FROM r GROUP BY reason""",
     "greedy_selection": f"WITH {SELECTED} SELECT doc_id, pick, chunk_id, round(score, 6) AS score, array_to_string(dims, ',') AS dimensions FROM selected",
@@ -287,7 +287,7 @@ SELECT d.doc_id, greatest(coalesce(a, 0), coalesce(b, 0), CASE WHEN d.doc_id % 3
     "parsing_summary": f"""WITH {LINES}, p AS (SELECT doc_id, 1 + char_start // {PAGE} AS page, count(*) AS n, sum(length(text)) AS c FROM lines GROUP BY ALL)
 SELECT count(*) AS total_pages, count(*) FILTER (c > 0 AND page % 5 <> 0) AS layout_pages, 0::BIGINT AS legacy_pages, count(*) FILTER (c > 0 AND page % 5 = 0) AS fallback_pages, count(*) FILTER (c = 0) AS empty_pages,
  count(*) FILTER (n % 2 = 1) AS single_column_pages, count(*) FILTER (n % 2 = 0) AS double_column_pages, sum(n)::BIGINT AS blocks_retained, count(*) AS header_footer_blocks_removed FROM p""",
-    "citation_merge": f"""WITH {LINES}, n AS (SELECT doc_id, line, substr(text, 1, 20) AS t, substr(text, 1, 1) AS i, length(text) < 20 AS f FROM lines WHERE line < 6),
+    "citation_merge": f"""WITH {LINES}, n AS (SELECT doc_id, line, text AS t, substr(text, 1, 1) AS i, length(text) < 20 AS f FROM lines),
 t AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT doc_id, t, min(line) AS line FROM n WHERE t <> '' GROUP BY ALL) GROUP BY doc_id),
 i AS (SELECT doc_id, string_agg(i, ',' ORDER BY line) AS items FROM (SELECT doc_id, i, min(line) AS line FROM n GROUP BY ALL) GROUP BY doc_id),
 g AS (SELECT doc_id, coalesce(string_agg('q' || line, ',' ORDER BY line) FILTER (f), '') AS gaps, count(*) AS branches, count(*) FILTER (f) AS failed_branches FROM n GROUP BY doc_id)

@@ -166,6 +166,25 @@ def state_index(spark, sf_dir):
     return readers.state_index(entries, stored).groupBy("valid").agg(F.count("*").alias("n"))
 
 
+def index_digests(spark, sf_dir):
+    """SC26: what each paper's index was built from, and its name."""
+    from ..operators import review as V
+
+    c = chunks(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), "position", "chunk_id", "text")
+    return V.chunks_digest(c).select("paper_id", "chunks", "sha256", V.cache_key(F.col("sha256"), "mock", "m1", 2).alias("cache_key"))
+
+
+def frozen_dataset(spark, sf_dir):
+    """SNK7: a freeze does not change with the order of rows, and does with a row."""
+    from ..operators import review as V
+    from .review import CASE, CASES, PAPER, PAPERS
+
+    one = V.frozen_digest(rows_of(spark, CASES, CASE), rows_of(spark, PAPERS, PAPER)).first()
+    other = V.frozen_digest(rows_of(spark, CASES[::-1], CASE).repartition(3), rows_of(spark, PAPERS[::-1], PAPER)).first()
+    changed = V.frozen_digest(rows_of(spark, [c if c[0] != "c5" else (*c[:-1], True) for c in CASES], CASE), rows_of(spark, PAPERS, PAPER)).first()
+    return rows_of(spark, [(one["rows"], one == other, one["sha256"] != changed["sha256"])], "rows long, stable boolean, sensitive boolean")
+
+
 def content_addressed(spark, sf_dir):
     """SNK6: texts appended under their digest, in two runs of which the second repeats half."""
     d, place = _docs(spark, sf_dir), scratch_path(spark, "content")
@@ -251,7 +270,7 @@ def stalled_tasks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pdf_pages, docx_texts, plain_pages, state_scan, jsonl_errors, jsonl_round_trip, benchmark_papers, benchmark_questions, upload_problems, prompt_templates, latest_report, vector_index, legacy_import, state_index, content_addressed,
+    pdf_pages, docx_texts, plain_pages, state_scan, jsonl_errors, jsonl_round_trip, benchmark_papers, benchmark_questions, upload_problems, prompt_templates, latest_report, vector_index, legacy_import, state_index, index_digests, frozen_dataset, content_addressed,
     replaced_partitions, resumed_evaluation, report_files, conversation_markdown, matrix_markdown, strided_picks, mode_comparison, stalled_tasks)}
 
 _REPORT = FLAT + """, s AS (SELECT l.query_id AS report_id, rank, 4 - rank AS o, c.text FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3)"""
@@ -275,6 +294,9 @@ SELECT doc_id, page, count(*) OVER (PARTITION BY doc_id) AS n_pages, CASE WHEN t
     "vector_index": "SELECT load, CASE WHEN load = 'right' THEN (SELECT count(*) FROM embeddings) END AS vectors FROM (VALUES ('right'), ('digest'), ('model'), ('dimension'), ('missing')) v(load)",
     "legacy_import": "SELECT count(*) FILTER (o_orderkey % 50 <> 0 AND o_custkey % 3 = 0) AS imported, count(*) FILTER (o_orderkey % 50 <> 0 AND o_custkey % 3 <> 0) AS skipped, count(*) FILTER (o_orderkey % 50 = 0) AS failed FROM orders",
     "state_index": f"WITH {SPANS} SELECT doc_id % 5 <> 0 AS valid, count(DISTINCT doc_id) AS n FROM chunks GROUP BY ALL",
+    "index_digests": f"""WITH {SPANS}, d AS (SELECT doc_id AS paper_id, count(*) AS chunks, sha256(string_agg(sha256(chunk_id || chr(10) || text), '' ORDER BY chunk_index)) AS sha256 FROM chunks GROUP BY doc_id)
+SELECT *, sha256(sha256 || chr(10) || 'mock' || chr(10) || 'm1' || chr(10) || '2') AS cache_key FROM d""",
+    "frozen_dataset": "SELECT 4::BIGINT AS rows, true AS stable, true AS sensitive",
     "content_addressed": "SELECT count(DISTINCT coalesce(text, '')) AS stored, count(DISTINCT coalesce(text, '')) AS digests FROM documents",
     "replaced_partitions": "SELECT lang, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END::BIGINT AS run, count(*) AS n FROM documents WHERE lang <> 'fr' OR doc_id % 2 = 0 GROUP BY ALL",
     "resumed_evaluation": "SELECT doc_id % 3 AS third, count(*) AS n, sum(quality)::BIGINT AS good FROM labels GROUP BY ALL",

@@ -236,6 +236,41 @@ def structured_calls(spark, sf_dir):
     return out.select("id", F.col("attempts").cast("long").alias("attempts"), "ok", "error", F.get_json_object("value", "$.answer").alias("answer"))
 
 
+def agent_notes(spark, sf_dir):
+    """UDF5: a reader answers for every message, a critic for every answer."""
+    m = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("id")).agg(F.max("role").alias("role"), F.regexp_replace(F.max("text"), "\n", " ").alias("text"))
+    read = P.Agent("reader", "As {role}:\n{text}", ["answer"], P.EchoClient()).run(m)
+    notes = read.select("id", F.concat(F.lit("Re: "), F.element_at("reader", "answer")).alias("notes"))
+    out = P.Agent("critic", "Check\n{notes}", ["answer"], P.EchoClient()).run(notes)
+    return out.select("id", F.element_at("critic", "answer").alias("notes"))
+
+
+def task_keys(spark, sf_dir):
+    """SC25 over whole texts, with configurations in any order."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("q"), F.create_map(F.lit("z"), (F.col("event_id") % 3).cast("string"), F.lit("a"), F.lit("1")).alias("config"))
+    k = e.select("event_id", S.task_key(F.sha2(F.coalesce("q", F.lit("")), 256), F.concat(F.lit("  Straße  "), F.upper("q"), F.lit("\n X")), F.lit("en"), F.col("config")).alias("dedup_key"))
+    return k.groupBy("dedup_key").agg(F.count("*").alias("tasks"), F.max("event_id").alias("newest"))
+
+
+def remaining_stages(spark, sf_dir):
+    """STR8: orders as tasks with checkpoints by line number."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("task_id"))
+    names = F.array(*map(F.lit, S.PROGRESS))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.element_at(names, F.col("l_linenumber").cast("int")).alias("stage"))
+    return S.remaining_stages(o, c).select("task_id", F.col("place").cast("long").alias("place"), "stage")
+
+
+def comparison_requests(spark, sf_dir):
+    """SC35: requests made of the documents' numbers."""
+    from ..schemas import validate
+
+    i = F.col("doc_id")
+    ids = F.transform(F.sequence(F.lit(1), (i % 7 + 1).cast("int")), lambda k: F.when(i % 5 == 0, F.lit("p")).otherwise(k.cast("string")))
+    sections = F.when(i % 4 != 0, F.array_repeat(F.repeat(F.lit("x"), (i % 90).cast("int")), (i % 23).cast("int")))
+    d = table(spark, sf_dir, "documents").select("doc_id", ids.alias("paper_ids"), sections.alias("custom_sections"))
+    return validate(d, S.comparison_rules(), "doc_id")
+
+
 def question_prompts(spark, sf_dir):
     """UDF8: one prompt per chunk."""
     c = chunks(spark, sf_dir)
@@ -251,7 +286,7 @@ def scoped_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     safe_metadata, nested_whitelist, public_rows, report_sections, report_search, paper_picker, text_helpers, failure_kinds, stage_progress, ideograph_terms, ideograph_budget, ideograph_history, replayed_states, soft_deletes,
-    appended_sequence, cited_evidence, cited_archive, retry_schedule, fan_out, concept_vectors, provider_rerank, store_topk, structured_calls, question_prompts, scoped_search)}
+    appended_sequence, cited_evidence, cited_archive, retry_schedule, fan_out, concept_vectors, provider_rerank, store_topk, structured_calls, question_prompts, scoped_search, agent_notes, task_keys, remaining_stages, comparison_requests)}
 
 CJK_SQL = "replace(replace(replace({}, 'e', '深'), 'a', '度'), 't', '的')"
 _TOK = r"(len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9fff}}]')) + ceil((length({0}) - len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9fff}}]'))) / 4.0))::BIGINT"
@@ -334,5 +369,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, po
 SELECT id, CASE WHEN b OR f THEN 2 ELSE 1 END::BIGINT AS attempts, NOT b AS ok, CASE WHEN b THEN 'parse' END AS error, CASE WHEN NOT b THEN replace(t, chr(10), ' ') END AS answer FROM k""",
     "question_prompts": rf"""WITH {SPANS}, c AS (SELECT doc_id * 10000 + chunk_index AS id, coalesce(source, 'none') AS s, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM chunks)
 SELECT id, sha256('Write one question that this passage alone answers, as {{"question": ...}}.' || chr(10) || 'Section: ' || s || chr(10) || CASE WHEN length(w) <= 520 THEN w ELSE rtrim(substr(w, 1, 519)) || '…' END) AS prompt FROM c""",
+    "agent_notes": """SELECT conv_id * 1000 + turn AS id, CASE WHEN NOT contains(max(text), 'broken') THEN 'Re: ' || replace(max(text), chr(10), ' ') END AS notes FROM conversations WHERE text IS NOT NULL GROUP BY ALL""",
+    "task_keys": """SELECT sha256(sha256(event_type) || chr(10) || 'strasse ' || lower(event_type) || ' x' || chr(10) || 'en' || chr(10) || '{"a":"1","z":"' || event_id % 3 || '"}') AS dedup_key, count(*) AS tasks, max(event_id) AS newest FROM events GROUP BY ALL""",
+    "remaining_stages": """WITH s AS (SELECT unnest(['parse', 'chunk', 'plan', 'index', 'retrieve', 'read', 'critic', 'write', 'verify', 'done']) AS stage, unnest(range(10)) AS place)
+SELECT o_orderkey AS task_id, place, stage FROM orders CROSS JOIN s WHERE o_orderstatus = 'P' AND (stage = 'index' OR (o_orderkey, place + 1) NOT IN (SELECT (l_orderkey, l_linenumber::BIGINT) FROM lineitem))""",
+    "comparison_requests": """WITH d AS (SELECT doc_id, doc_id % 7 + 1 AS n, doc_id % 5 = 0 AS same, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 23 ELSE 0 END AS m, doc_id % 90 AS l FROM documents)
+SELECT doc_id::VARCHAR AS key, 'paper_count' AS rule FROM d WHERE n NOT BETWEEN 2 AND 5 UNION ALL SELECT doc_id::VARCHAR, 'papers_unique' FROM d WHERE same AND n > 1 UNION ALL SELECT doc_id::VARCHAR, 'section_count' FROM d WHERE m > 20
+UNION ALL SELECT doc_id::VARCHAR, 'section_length' FROM d WHERE m > 0 AND l NOT BETWEEN 1 AND 80""",
     "scoped_search": "WITH " + FLAT.replace("text, list_filter(", "text, list_filter(", 1).replace(" AS w FROM chunks)", " AS w FROM chunks WHERE source = 'src7' AND 1 + char_start // 3000 BETWEEN 1 AND 2)", 1) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lexical WHERE rank <= 3",
 }

@@ -206,6 +206,7 @@ round_even((sum(event_id % 1000)::DOUBLE * 0.4::DOUBLE + sum(event_id % 77)::DOU
     "usage_deltas": f"WITH {SEQ} SELECT key, sequence, (3 * event_id - coalesce(lag(3 * event_id) OVER (PARTITION BY key ORDER BY sequence), 0))::BIGINT AS tokens FROM seq",
     "json_props": """WITH k AS (SELECT event_type, unnest(json_keys(props)) AS k, props FROM events) SELECT event_type, k, count(*) AS n, sum(json_extract_string(props, '$.' || k)::BIGINT)::BIGINT AS total FROM k WHERE NOT regexp_matches(lower(k), 'token|secret|password') GROUP BY ALL""",
     "sse_round_trip": f"WITH {SEQ} SELECT key, sequence, event_type AS event, coalesce(props, '') AS data FROM seq",
+    "lenient_json": """SELECT conv_id, turn, '{"text":' || to_json(coalesce(text, ''))::VARCHAR || ',"turn":' || turn || '}' AS parsed FROM conversations""",
     "request_validation": """WITH m AS (SELECT conv_id || '-' || turn AS key, CASE WHEN turn % 3 <> 0 THEN turn END AS a, CASE WHEN turn % 4 <> 0 THEN 3 END AS b FROM conversations)
 SELECT key, 'paired_bounds' AS rule FROM m WHERE (a IS NULL) <> (b IS NULL) UNION ALL SELECT key, 'ordered_bounds' FROM m WHERE a > b""",
     "expired_files": f"WITH {TASKS} SELECT task_id, dedup_key FROM t WHERE status = 'completed' AND created_at <= TIMESTAMP '1997-12-02 00:00:00' AND task_id % 7 <> 0",
