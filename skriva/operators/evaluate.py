@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..session import written
+from .retrieval import fits
 
 
 def observations(cases: DataFrame, ranked: DataFrame, k: int = 6, candidates: int = 20) -> DataFrame:
@@ -102,11 +103,11 @@ def token_f1(pairs: DataFrame, key: list[str], predicted: str, expected: str) ->
 def replay(scores: DataFrame, cases: DataFrame, grid: DataFrame, k: int = 6) -> DataFrame:
     """JN16: every grid point (config, min_score, top_k) over stored scores (query_id, chunk_id, rank, score); metrics per config.
 
-    The grid is the broadcast side of a stated size; scores stay partitioned. Each case's list is short (the stored depth)."""
+    The grid is stated by the caller, and broadcast where it is measured small; scores stay partitioned. Each case's list is short (the stored depth)."""
     none = F.array().cast("array<string>")
     stored = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda r: r)
     lists = cases.join(scores.groupBy("query_id").agg(stored.alias("stored")), "query_id", "left")
-    x = lists.crossJoin(F.broadcast(grid))
+    x = lists.crossJoin(F.broadcast(grid) if fits(grid, F.lit(32)) else grid)
     kept = F.filter(F.coalesce("stored", F.array().cast("array<struct<rank:int,chunk_id:string,score:double>>")), lambda r: r["score"] >= F.col("min_score"))
     found = F.transform(kept, lambda r: r["chunk_id"])
     x = x.withColumn("relevant", F.coalesce("relevant", none)).withColumn("found", found).withColumn("top", F.slice(found, 1, F.col("top_k")))

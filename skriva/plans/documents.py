@@ -23,7 +23,7 @@ cut AS (SELECT doc_id, lang, source, s AS char_start, least(s + 1200, length(t))
   regexp_replace(regexp_replace(substr(t, s + 1, 1200), '^\s+', ''), '\s+$', '') AS text FROM starts),
 chunks AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) AS chunk_index, char_start, char_end, text,
   doc_id || '_page_1_chunk_' || row_number() OVER (PARTITION BY doc_id ORDER BY char_start) AS chunk_id FROM cut WHERE text <> '')"""
-STOP = "('a','an','and','are','for','in','is','of','on','or','the','to','was','were')"
+STOP = f"({', '.join(map(repr, T.ENGLISH_STOPWORDS))})"
 TERMS = rf"list_filter(regexp_extract_all(replace(lower({{}}), '’', ''''), '[A-Za-z0-9_]+|[\x{{{{3400}}}}-\x{{{{9fff}}}}]+'), lambda x: x NOT IN {STOP})"
 LINES = r"""raw AS (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
 numbered AS (SELECT doc_id, lang, source, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM raw),
@@ -181,7 +181,8 @@ def page_counts(spark, sf_dir):
 def unknown_sections(spark, sf_dir):
     """FLT3: every language asked for every source; the pairs that no document has."""
     c = chunks(spark, sf_dir).select(F.col("lang").alias("scope"), "section")
-    asked = c.select("scope").distinct().crossJoin(F.broadcast(c.select("section").distinct()))
+    sections = c.select("section").distinct()
+    asked = c.select("scope").distinct().crossJoin(F.broadcast(sections) if R.fits(sections, F.octet_length("section")) else sections)
     return C.unknown_sections(asked, c.where("section <> 'src3' OR scope = 'en'")).select("scope", "section")
 
 
@@ -259,12 +260,10 @@ SELECT p.doc_id, p.page, min_by(s.name, s.section_index) AS section FROM all_pag
     "interval_overlap": f"""WITH {SPANS}, pieces AS (SELECT doc_id, string_split(t, chr(10)) AS p FROM docs), each AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM pieces),
 placed AS (SELECT doc_id, line, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(text) AS n FROM each)
 SELECT c.doc_id, chunk_index, count(DISTINCT line) AS n_lines, min(line) AS first_line, max(line) AS last_line FROM chunks c JOIN placed b ON b.doc_id = c.doc_id AND b.a < c.char_end AND b.a + b.n > c.char_start GROUP BY ALL""",
-    "metadata_regex": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, nullif(regexp_replace(regexp_extract(t, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+'), '[.,]+$', ''), '') AS doi,
- nullif(regexp_extract(t, '(?i)(?:arXiv\s*:\s*)?(\d{4}\.\d{4,5}(?:v\d+)?)', 1), '') AS arxiv_id,
- nullif(regexp_extract(substr(t, 1, 6000), '\b((?:19|20)\d{2})\b', 1), '')::BIGINT AS year, 'en' AS language, ceil(length(t) / 4.0)::BIGINT AS tokens,
- CASE WHEN regexp_matches(trim(t), '(?i)^(?:fig(?:ure)?\.?|table)\s*\d+') THEN 'caption'
-  WHEN regexp_matches(trim(t), '(?i)^(?:(?:\d+(?:\.\d+)*)\s+)?(?:abstract|introduction|background|methods?|methodology|experiments?|results?|discussion|limitations?|conclusions?|references)\b') THEN 'heading'
+    "metadata_regex": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, nullif(regexp_replace(regexp_extract(t, '{T.DOI}'), '[.,]+$', ''), '') AS doi, nullif(regexp_extract(t, '{T.ARXIV}', 1), '') AS arxiv_id,
+ nullif(regexp_extract(substr(t, 1, 6000), '{T.YEAR}', 1), '')::BIGINT AS year, 'en' AS language, ceil(length(t) / 4.0)::BIGINT AS tokens,
+ CASE WHEN regexp_matches(trim(t), '{T.CAPTION}') THEN 'caption' WHEN regexp_matches(trim(t), '(?i)^(?:(?:\d+(?:\.\d+)*)\s+)?(?:{T.HEADINGS})\b') THEN 'heading'
   WHEN length(trim(t)) <= 2 AND NOT regexp_matches(t, '[A-Za-z0-9]') THEN 'other' ELSE 'body' END AS block_type FROM d""",
     "dedup_key": r"""WITH k AS (SELECT doc_id, sha256(sha256(text) || chr(10) || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || chr(10) || lang) AS dedup_key FROM documents WHERE text IS NOT NULL)
 SELECT dedup_key, count(*) AS tasks, max(doc_id) AS newest FROM k GROUP BY dedup_key""",
@@ -278,7 +277,7 @@ SELECT reason, count(*) AS n, sum(CASE WHEN times = 1 THEN place ELSE 0 END)::BI
     "compare_matrix": f"WITH {SELECTED} SELECT dimension, doc_id, evidence FROM cells",
     "compare_gaps": f"""WITH {SELECTED} SELECT dimension, count(*) AS documents FROM (SELECT DISTINCT doc_id FROM chunks) CROSS JOIN (SELECT unnest([{', '.join(repr(d) for d in SAMPLE_DIMENSIONS)}]) AS dimension)
 ANTI JOIN cells USING (doc_id, dimension) GROUP BY dimension""",
-    "heading_lines": PAGED and rf"""WITH {PAGED}, h AS (SELECT doc_id, line, page, trim(regexp_replace(regexp_extract(text, '(?i)^\s*((?:\d+(?:\.\d+)*|[一二三四五六七八九十]+)[.、]?\s+[^\n]{{2,90}}|(?:abstract|摘要|introduction|引言|background|背景|method(?:ology)?|方法|experiments?|实验|results?|结果|discussion|讨论|limitations?|局限|conclusion|结论|references|参考文献))\s*$', 1), '\s+', ' ', 'g')) AS name FROM paged),
+    "heading_lines": rf"""WITH {PAGED}, h AS (SELECT doc_id, line, page, trim(regexp_replace(regexp_extract(text, '{T.HEADING_LINE}', 1), '\s+', ' ', 'g')) AS name FROM paged),
 f AS (SELECT *, lag(name) OVER w AS a, lag(page) OVER w AS b FROM h WHERE name <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line))
 SELECT doc_id, line, page, name FROM f WHERE NOT coalesce(a = name AND b = page, false)""",
     "page_counts": f"""WITH {SPANS}, {LINES}, a AS (SELECT doc_id, max(1 + (char_end - 1) // {PAGE}) AS a FROM chunks GROUP BY doc_id), b AS (SELECT doc_id, count(DISTINCT 1 + char_start // {PAGE}) AS b FROM lines GROUP BY doc_id)
