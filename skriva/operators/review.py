@@ -249,3 +249,52 @@ def chunks_digest(chunks: DataFrame, key: str = "paper_id") -> DataFrame:
 def cache_key(digest: Column, provider: str, model: str, schema: int) -> Column:
     """SC26: under what name an index is stored."""
     return F.sha2(F.concat_ws("\n", digest, F.lit(provider), F.lit(model), F.lit(schema).cast("string")), 256)
+
+
+# --- Public benchmarks as datasets ---------------------------------------------------------------------------------------
+
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+
+
+def adapted_cases(questions: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """AGG16, AGG22, AGG24, JN13: one row per question (paper_id, question_id, question, annotations array of answers as readers.ANSWER): the reason why it is
+    excluded, or null and answer_type (the most frequent, of equals the first), minimum_sets of chunk ids, gold_answers. paragraphs: (paper_id,
+    chunk_id, place, text).
+
+    Evidence is known by its text alone: it must stand in the paper exactly as often as it is cited, or once. The first annotation that
+    fails decides."""
+    p = paragraphs.select("paper_id", "chunk_id", "place", squeezed(F.col("text")).alias("text")).where("text <> ''")
+    p = p.groupBy("paper_id", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda r: r["chunk_id"]).alias("chunks"))
+    key = ["paper_id", "question_id"]
+    a = questions.select(*key, F.posexplode("annotations").alias("n", "a"))
+    cited = a.select(*key, "n", F.posexplode(F.coalesce("a.evidence", F.array().cast("array<string>"))).alias("at", "e")).select(*key, "n", "at", squeezed(F.col("e")).alias("text")).where("text <> ''")
+    cited = cited.groupBy(*key, "n", "text").agg(F.min("at").alias("at"), F.count("*").alias("times")).join(p, ["paper_id", "text"], "left")
+    many = F.size(F.coalesce("chunks", F.array().cast("array<string>")))
+    wrong = F.when(many == 0, "unmapped_evidence").when((many != F.col("times")) & (many > 1), "ambiguous_duplicate_evidence").when(F.col("times") > many, "unmapped_evidence")
+    rows = F.array_sort(F.collect_list(F.struct("at", wrong.alias("wrong"), F.slice(F.coalesce("chunks", F.array().cast("array<string>")), 1, F.col("times").cast("int")).alias("chunks"))))
+    sets = cited.groupBy(*key, "n").agg(F.max(F.upper("text").contains("FLOAT SELECTED")).alias("figure"), rows.alias("r"))
+    sets = sets.select(*key, "n", "figure", F.get(F.filter(F.transform("r", lambda x: x["wrong"]), lambda x: x.isNotNull()), F.lit(0)).alias("wrong"), F.array_distinct(F.flatten(F.transform("r", lambda x: x["chunks"]))).alias("set"))
+    answer = F.col("a")
+    kind = F.when(F.coalesce(answer["unanswerable"], F.lit(False)), "unanswerable").when(answer["yes_no"].isNotNull(), "yes_no").when(F.size(F.coalesce(answer["extractive_spans"], F.array().cast("array<string>"))) > 0, "extractive").otherwise("free_form")
+    gold = F.when(kind == "yes_no", F.array(F.when(answer["yes_no"], "yes").otherwise("no"))).when(kind == "extractive", F.transform(answer["extractive_spans"], squeezed)).when(
+        kind == "free_form", F.array(squeezed(answer["free_form_answer"]))).otherwise(F.array().cast("array<string>"))
+    each = a.select(*key, "n", kind.alias("kind"), gold.alias("gold")).join(sets, [*key, "n"], "left")
+    failed = F.when(F.col("kind") == "unanswerable", None).when(F.coalesce("figure", F.lit(False)), "figure_or_table").when(F.col("set").isNull(), "missing_evidence").otherwise(F.col("wrong"))
+    each = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "kind", "gold", "set", failed.alias("failed")))).alias("r"))
+    q = questions.select(*key, squeezed(F.col("question")).alias("question")).join(each, key, "left")
+    kinds = F.transform("r", lambda x: x["kind"])
+    refused = F.size(F.filter(kinds, lambda k: k == "unanswerable"))
+    first = F.get(F.filter(F.transform("r", lambda x: x["failed"]), lambda x: x.isNotNull()), F.lit(0))
+    reason = F.when(F.col("r").isNull(), "missing_annotations").when((refused > 0) & (refused < F.size("r")), "answerability_disagreement").when(refused == 0, first)
+    reason = F.coalesce(reason, F.when(F.col("question") == "", "blank_question"))
+    score = F.transform(F.array_distinct(kinds), lambda k: F.struct(F.size(F.filter(kinds, lambda x: x == k)).alias("n"), (-F.array_position(kinds, k)).alias("at"), k.alias("kind")))
+    out = q.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    texts = F.array_distinct(F.filter(F.flatten(F.transform("r", lambda x: x["gold"])), lambda t: t != ""))
+    return out.select(*key, "question", "reason", F.when(good, F.array_max(score)["kind"]).alias("answer_type"), F.when(good, F.filter(F.transform("r", lambda x: x["set"]), lambda x: x.isNotNull())).alias("minimum_sets"), F.when(good, texts).alias("gold_answers"))
+
+
+def exclusions(adapted: DataFrame) -> DataFrame:
+    """AGG24: questions by the reason of their exclusion."""
+    return adapted.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))

@@ -276,3 +276,18 @@ def comparison_rules() -> dict[str, Column]:
     return {
         "paper_count": F.size(papers).between(2, 5), "papers_unique": F.size(F.array_distinct(papers)) == F.size(papers), "section_count": F.size(sections) <= 20,
         "section_length": F.forall(sections, lambda x: F.length(F.trim(x)).between(1, 80))}
+
+
+def client_view(deliveries: DataFrame, key: str, arrival: str, ident: str, keep: int = 200) -> DataFrame:
+    """STR5: what a client shows of its deliveries: ids that do not go beyond the greatest one before them are dropped, the last ``keep`` stay."""
+    before = F.max(ident).over(W.partitionBy(key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
+    new = deliveries.withColumn("__top", before).where(F.col("__top").isNull() | (F.col(ident) > F.col("__top"))).drop("__top")
+    return new.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.col(ident).desc()))).where(F.col("__n") <= keep).drop("__n")
+
+
+def heartbeats(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """STR4: (key, at, n): the heartbeats that an idle stream sends: one after each ``seconds`` without an event, counted from the last one."""
+    gap = F.unix_micros(F.lead(at).over(W.partitionBy(key).orderBy(at))) - F.unix_micros(F.col(at))
+    due = F.floor((gap - 1) / (1_000_000 * seconds))
+    idle = events.select(key, at, due.alias("due")).where("due > 0").select(key, at, F.explode(F.sequence(F.lit(1).cast("long"), F.col("due"))).alias("n"))
+    return idle.select(key, F.timestamp_micros(F.unix_micros(F.col(at)) + F.col("n") * 1_000_000 * seconds).alias(at), "n")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import compare as P
@@ -121,6 +125,30 @@ def upload_problems(spark, sf_dir):
     return out.select("path", F.array_join("problems", ",").alias("problems"))
 
 
+def verified_import(spark, sf_dir):
+    """SRC8: a file under its digest, and under another one, which fails."""
+    text = "some benchmark\n"
+    place = _files(spark, sf_dir, "verified", [("file", text.strip())])
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    good = readers.verified(spark, f"{place}/file/part-*", digest).select(F.length("content").cast("long").alias("n")).first()["n"]
+    try:
+        readers.verified(spark, f"{place}/file/part-*", "0" * 64).collect()
+        refused = False
+    except PySparkException as e:
+        refused = "digest differs" in str(e)
+    return rows_of(spark, [(good, refused)], "bytes long, refused boolean")
+
+
+def relational_scan(spark, sf_dir):
+    """SRC9: orders in the database that Spark brings along (it lives in the driver, so this query runs in local mode; elsewhere the table is read as Parquet)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("K"), F.col("o_custkey").alias("C"), F.col("o_orderstatus").alias("S"))
+    if spark.sparkContext.master.startswith("local"):
+        url = f"jdbc:derby:memory:skriva{uuid.uuid4().hex};create=true"
+        o.write.format("jdbc").option("url", url).option("dbtable", "orders").option("createTableColumnTypes", "S VARCHAR(8)").save()
+        o = readers.relational(spark, url, "orders", "K", 4)
+    return o.where("S <> 'P'").groupBy(F.col("S").alias("s")).agg(F.count("*").alias("n"), F.sum("C").alias("c"))
+
+
 def prompt_templates(spark, sf_dir):
     """SRC13, SC30: templates with fingerprints, rendered for every document."""
     place = _files(spark, sf_dir, "templates", [("ask", "Read {title} of {{x}}:\n{text}\n{title}")])
@@ -270,7 +298,7 @@ def stalled_tasks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pdf_pages, docx_texts, plain_pages, state_scan, jsonl_errors, jsonl_round_trip, benchmark_papers, benchmark_questions, upload_problems, prompt_templates, latest_report, vector_index, legacy_import, state_index, index_digests, frozen_dataset, content_addressed,
+    pdf_pages, docx_texts, plain_pages, state_scan, jsonl_errors, jsonl_round_trip, benchmark_papers, benchmark_questions, upload_problems, verified_import, relational_scan, prompt_templates, latest_report, vector_index, legacy_import, state_index, index_digests, frozen_dataset, content_addressed,
     replaced_partitions, resumed_evaluation, report_files, conversation_markdown, matrix_markdown, strided_picks, mode_comparison, stalled_tasks)}
 
 _REPORT = FLAT + """, s AS (SELECT l.query_id AS report_id, rank, 4 - rank AS o, c.text FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3)"""
@@ -288,6 +316,8 @@ SELECT doc_id, page, count(*) OVER (PARTITION BY doc_id) AS n_pages, CASE WHEN t
     "benchmark_papers": "WITH " + values(_PARAGRAPHS, "paper_id string, title string, section_name string, section_place long, place long, paragraph string", "p") + " SELECT * FROM p",
     "benchmark_questions": "WITH " + values(_QUESTIONS, _QUESTION, "q") + " SELECT * FROM q",
     "upload_problems": "SELECT * FROM (VALUES ('good.pdf', ''), ('bad.pdf', 'header,mime'), ('note.txt', 'suffix,size')) v(path, problems)",
+    "verified_import": "SELECT 15::BIGINT AS bytes, true AS refused",
+    "relational_scan": "SELECT o_orderstatus AS s, count(*) AS n, sum(o_custkey)::BIGINT AS c FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL",
     "prompt_templates": """SELECT doc_id, sha256('Read {title} of {{x}}:' || chr(10) || '{text}' || chr(10) || '{title}' || chr(10)) AS sha256, 'title,text' AS variables,
  sha256('Read ' || source || ' of {{x}}:' || chr(10) || coalesce(text, '') || chr(10) || source || chr(10)) AS prompt FROM documents""",
     "latest_report": "SELECT 1::BIGINT AS n",

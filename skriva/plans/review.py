@@ -194,9 +194,41 @@ def metadata_adjudication(spark, sf_dir):
     return out.select("paper_id", "field", F.array_join("values", "|").alias("value"), "source", "confidence")
 
 
+PARAGRAPHS = [("p1", "a", 1, "One  text"), ("p1", "b", 2, "Twice"), ("p1", "c", 3, "Twice"), ("p1", "d", 4, "Thrice"), ("p1", "e", 5, "Thrice"), ("p1", "f", 6, "Thrice"), ("p1", "g", 7, " "), ("p2", "h", 1, "One text")]
+
+
+def _answer(evidence=(), spans=(), free="", yes=None, none=False):
+    return (none, list(spans), free, yes, list(evidence))
+
+
+ASKED = [
+    ("p1", "q1", " What  now?", [_answer(["One text"], spans=["s", " s "]), _answer(["One text", "Twice", "Twice"], free="f")]), ("p1", "q2", "Q", [_answer(none=True), _answer(none=True)]), ("p1", "q3", "Q", [_answer(none=True), _answer(["One text"], yes=True)]),
+    ("p1", "q4", "Q", [_answer(["float selected: Figure 1"], yes=False)]), ("p1", "q5", "Q", [_answer(["Twice"], free="x")]), ("p1", "q6", "Q", [_answer(["Nowhere"], free="x")]), ("p1", "q7", "Q", [_answer([" "], free="x")]), ("p1", "q8", " ", [_answer(["One text"], free="x")]),
+    ("p1", "q9", "Q", []), ("p1", "q10", "Q", [_answer(["One text", "One text"], free="x")]), ("p1", "q11", "Q", [_answer(["Thrice"] * 3 + ["One text"], yes=True), _answer(["One text"], yes=True), _answer(["One text"], free="z")]), ("p2", "q12", "Q", [_answer(["Twice"], free="x")])]
+ANSWERED = "paper_id string, question_id string, question string, annotations array<struct<unanswerable:boolean,extractive_spans:array<string>,free_form_answer:string,yes_no:boolean,evidence:array<string>>>"
+#: What the rules give, question by question.
+ADAPTED = [
+    ("q1", None, "extractive", "a;a,b,c", "s|f"), ("q2", None, "unanswerable", "", ""), ("q3", "answerability_disagreement", None, None, None), ("q4", "figure_or_table", None, None, None), ("q5", "ambiguous_duplicate_evidence", None, None, None),
+    ("q6", "unmapped_evidence", None, None, None), ("q7", "missing_evidence", None, None, None), ("q8", "blank_question", None, None, None), ("q9", "missing_annotations", None, None, None), ("q10", "unmapped_evidence", None, None, None),
+    ("q11", None, "yes_no", "d,e,f,a;a;a", "yes|z"), ("q12", "unmapped_evidence", None, None, None)]
+
+
+def _adapted(spark):
+    return V.adapted_cases(rows_of(spark, ASKED, ANSWERED), rows_of(spark, PARAGRAPHS, "paper_id string, chunk_id string, place int, text string"))
+
+
+def adapted_cases(spark, sf_dir):
+    """AGG16, AGG22, AGG24, JN13 on questions of every kind."""
+    return _adapted(spark).select("question_id", "reason", "answer_type", F.array_join(F.transform("minimum_sets", lambda x: F.array_join(x, ",")), ";").alias("sets"), F.array_join("gold_answers", "|").alias("gold"))
+
+
+def exclusion_counts(spark, sf_dir):
+    return V.exclusions(_adapted(spark))
+
+
 QUERIES = {f.__name__: f for f in (
     eligible_cases, unused_versions, dataset_ratios, paper_languages, invalid_references, missing_distractors, dataset_rules, scenario_summary, scenario_failures, answer_quality, candidate_totals, index_stats,
-    confidences, call_stats, production_mode, config_selection, config_fallback, failure_counters, score_boundaries, metadata_adjudication)}
+    confidences, call_stats, production_mode, config_selection, config_fallback, failure_counters, score_boundaries, metadata_adjudication, adapted_cases, exclusion_counts)}
 
 LABELLED = """labelled AS (SELECT l.doc_id AS case_id, d.source AS paper_id, d.lang AS language, CASE l.doc_id % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'analysis' END AS split,
   CASE WHEN l.doc_id % 7 = 0 THEN 'candidate' ELSE 'reviewed' END AS review_status, l.quality = 1 AS answerable, d.n_chars::DOUBLE AS latency_ms FROM labels l JOIN documents d USING (doc_id))"""
@@ -270,5 +302,7 @@ SELECT 'paper_id' AS dimension, paper_id AS value, count(*) AS n FROM f GROUP BY
 UNION ALL SELECT 'answerability', CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'failure_reason', x, count(*) FROM (SELECT unnest(reasons) AS x FROM f) GROUP BY ALL""",
     "score_boundaries": f"""WITH {FLAT}, s AS (SELECT DISTINCT round(score, 1) AS v FROM lexical WHERE rank <= 3), d AS (SELECT unnest(quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS t FROM s UNION SELECT unnest([0::DOUBLE, 25])),
 m AS (SELECT t, lead(t) OVER (ORDER BY t) AS u FROM d) SELECT DISTINCT round(t, 6) AS threshold FROM (SELECT t FROM d UNION SELECT (t + u) / 2 FROM m WHERE u IS NOT NULL)""",
+    "adapted_cases": f"WITH {values(ADAPTED, 'question_id string, reason string, answer_type string, sets string, gold string', 'a')} SELECT * FROM a",
+    "exclusion_counts": f"WITH {values(ADAPTED, 'question_id string, reason string, answer_type string, sets string, gold string', 'a')} SELECT reason, count(*) AS n FROM a WHERE reason IS NOT NULL GROUP BY reason",
     "metadata_adjudication": f"WITH {values(ADJUDICATED, 'paper_id string, field string, value string, source string, confidence double', 'a')} SELECT * FROM a",
 }

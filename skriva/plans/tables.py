@@ -172,8 +172,20 @@ def state_transitions(spark, sf_dir):
     return t.groupBy("status", "changed").agg(F.count("*").alias("n"), F.sum("attempt_count").cast("long").alias("attempts"))
 
 
+def client_view(spark, sf_dir):
+    """STR5: deliveries with numbers that come again."""
+    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("arrival"), (F.col("event_id") - F.col("event_id") * 7 % 400).alias("id"))
+    return S.client_view(d, "key", "arrival", "id", 5).select("key", "arrival", "id")
+
+
+def heartbeats(spark, sf_dir):
+    """STR4: a heartbeat after each hour without an event of a user."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return S.heartbeats(e, "key", "at", 3600).groupBy("key").agg(F.count("*").alias("beats"), F.max("n").alias("longest"))
+
+
 QUERIES = {f.__name__: f for f in (
-    history_budget, previous_user_turn, conversation_search, message_page, conversation_archive, task_page, task_count, active_parent_join, event_sequence, events_after_cursor,
+    client_view, heartbeats, history_budget, previous_user_turn, conversation_search, message_page, conversation_archive, task_page, task_count, active_parent_join, event_sequence, events_after_cursor,
     latest_state, until_terminal, stale_keys, trace_rollup, usage_deltas, json_props, sse_round_trip, lenient_json, request_validation,
     expired_files, active_duplicates, checkpoint_upsert, cascade_delete, state_transitions)}
 
@@ -182,6 +194,10 @@ TASKS = """t AS (SELECT o_orderkey AS task_id, o_custkey AS dedup_key, CASE o_or
 STRIP = r"regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '')"
 
 ORACLES = {
+    "client_view": """WITH d AS (SELECT user_id AS key, event_id AS arrival, event_id - event_id * 7 % 400 AS id FROM events), t AS (SELECT *, max(id) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id DESC) AS n FROM t WHERE top IS NULL OR id > top) SELECT key, arrival, id FROM n WHERE n <= 5""",
+    "heartbeats": """WITH g AS (SELECT user_id AS key, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events), b AS (SELECT key, (gap - 1) // 3600000000 AS n FROM g WHERE gap > 3600000000)
+SELECT key, sum(n)::BIGINT AS beats, max(n) AS longest FROM b GROUP BY key""",
     "history_budget": f"""WITH m AS (SELECT conv_id, turn, role, {STRIP} AS t FROM conversations), e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM m WHERE t <> '' AND role IN ('user', 'assistant')),
 c AS (SELECT *, ceil((2 * length(role) + 5) / 4.0)::BIGINT AS w, ceil(length(t) / 4.0)::BIGINT AS k FROM e WHERE n <= 4), s AS (SELECT *, sum(w + k) OVER (PARTITION BY conv_id ORDER BY n) AS spent FROM c)
 SELECT conv_id, turn, role, CASE WHEN spent <= 60 THEN length(t) ELSE length(regexp_replace(substr(t, 1, ((60 - w) * 4 - 2)::BIGINT), '\\s+$', '')) + 2 END::BIGINT AS n_chars FROM s WHERE spent <= 60 OR (n = 1 AND w < 60)""",

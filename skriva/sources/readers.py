@@ -177,3 +177,13 @@ def state_index(entries: DataFrame, states_: DataFrame) -> DataFrame:
     digest; a missing state is not valid."""
     j = entries.join(states_, "digest", "left")
     return j.select("paper_id", "digest", "value", F.coalesce(content_digest(F.col("value")) == F.col("digest"), F.lit(False)).alias("valid"))
+
+
+def relational(spark: SparkSession, url: str, name: str, key: str, parts: int = 8, **options: str) -> DataFrame:
+    """SRC9: a table of a relational database, read in ranges of a numeric key; filters and columns are pushed to the database."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    low, high = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {name}").load().first()
+    reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", name)
+    if low is None or low == high:
+        return reader.load()
+    return reader.option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", str(parts)).load()
