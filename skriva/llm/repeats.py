@@ -169,7 +169,7 @@ def survey(docs: DataFrame, scratch: Scratch, hot: int) -> tuple[np.ndarray, np.
             bits = [np.packbits(c > k).tobytes() for k in (1, hot)]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array(bits[:1], pa.binary()), pa.array(bits[1:], pa.binary())], names=["block", "twice", "hot"])
 
-    sent = keyed(docs).mapInArrow(send, "block int, slots binary").repartition(block, "block")
+    sent = keyed(docs).mapInArrow(send, "block int, slots binary").repartition("block")
     found = scratch.keep(sent.mapInArrow(merge, "block int, twice binary, hot binary"), "slots")
     out = np.zeros((2, block, width // 8), np.uint8)
     for r in found.collect():  # at most one row per block: 2 * SLOTS / 8 bytes

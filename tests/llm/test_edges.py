@@ -65,3 +65,33 @@ def test_defined_results(spark, odd):
     text = {(r.page_id, r.url): r for r in queries.QUERIES["op8_html_wrapper"](spark, odd).collect()}
     assert text[1, None].text == "" and text[1, None].n_chars == 0 and text[4, "://"].text == "deep"
     assert text[2, "http://A.example.com/en/x?y#z"].text == "x & y"
+
+
+def test_ties(spark, folder):
+    """Equal texts, equal rules, equal scores: the smaller id, the longer host, block before allow, the lenient cutoff."""
+    passage = " ".join(f"tie{i} word{i % 9}" for i in range(40))
+    d = folder([(5, passage, "en", "a"), (3, passage, "en", "a"), (4, passage + " more", "en", "a"), (3, passage, "en", "a")], benchmark=[(2, passage), (10, passage), (1, passage[:80])])
+    near = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in queries.QUERIES["op3_minhash_neardup"](spark, d).collect()}
+    assert near == {(5, 76): (3, False), (3, 76): (3, True), (4, 77): (3, False)}
+    cut = sorted((r.doc_id, r.n_removed) for r in queries.QUERIES["op10_repeats"](spark, d).collect())
+    assert cut == [(3, 0), (3, 0), (4, len(passage)), (5, len(passage))]
+    hit = {r.doc_id: r for r in queries.QUERIES["op6_decontaminate"](spark, d).collect()}
+    import hashlib
+
+    assert hit[5].n_items == 3 and hit[5].items_sha256 == hashlib.sha256(b"1,10,2").hexdigest()  # sorted as strings
+    from skriva.llm import urlfilter
+
+    rules = spark.createDataFrame([("a.b", "/cc", "allow"), ("b", "/cc/d", "block"), ("b", "/cc/d", "allow")], "host string, path string, action string")
+    urls = spark.createDataFrame([(1, "http://x.a.b/cc/d", None), (2, "http://a.b/cc/", None), (3, "http://c.b/cc/d", None)], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(urls, rules).collect()} == {1: ("a.b/cc", "allow"), 2: ("a.b/cc", "allow"), 3: ("b/cc/d", "block")}
+
+
+def test_clashing_columns_pass_through(spark, odd):
+    """Operators that keep other columns keep those named like their own."""
+    from skriva.llm import bpe, pii
+    import public_tokenizers as P
+
+    docs = table(spark, odd, "documents")
+    assert pii.pseudonymise(docs, b"k").columns == docs.columns
+    out = bpe.decode(bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert sorted(out.columns) == sorted(docs.columns) and {r.n_words for r in out.collect()} == {"extra"}
