@@ -212,40 +212,37 @@ def gathered(docs: DataFrame, tables: Broadcast, any_hot: bool, only_hot: bool =
     return keyed(docs).mapInArrow(run, ROW)
 
 
-def parted(rows: DataFrame, lo: int, hi: int) -> list[tuple[int, int, DataFrame]]:
-    """(lo, hi, ROW) for BANDS parts of the window starts lo..hi before the anchors of rows: h is the hash of the anchor and of all bytes that equal
-    windows of the band share, and the bytes are cut to those of the band's windows."""
-    cuts = sorted({lo + (hi + 1 - lo) * i // BANDS for i in range(BANDS + 1)})
-    out = []
-    for a, b in zip(cuts, [c - 1 for c in cuts[1:]], strict=False):
-        right = F.octet_length("bytes") - F.col("back")
-        left, ahead = F.least(F.col("back"), F.lit(b)), F.least(right, F.lit(LENGTH - a))
-        some = rows.where((F.col("back") >= a) & (right >= LENGTH - b) & (left + ahead >= LENGTH))
-        shared = F.substring("bytes", F.col("back") - a + 1, F.lit(LENGTH + a - b))
-        out.append((a, b, some.select(
-            F.xxhash64("h", F.lit(a), shared).alias("h"), "doc", "key", "place", left.alias("back"), F.substring("bytes", F.col("back") - left + 1, left + ahead).alias("bytes"))))
-    return out
+def parted(rows: DataFrame) -> DataFrame:
+    """ROW with lo and hi: each row in BANDS parts of its window starts lo..hi before the anchor. h becomes the hash of the anchor and of all bytes
+    that equal windows of the band share, and the bytes are cut to those of the band's windows; rows without a window there go."""
+    wide = F.col("hi") + 1 - F.col("lo")
+    cut = lambda i: F.col("lo") + F.floor(wide * i / BANDS).cast("int")
+    bands = F.filter(F.array(*[F.struct(cut(i).alias("a"), (cut(i + 1) - 1).alias("b")) for i in range(BANDS)]), lambda x: x["a"] <= x["b"])
+    x = rows.withColumn("x", F.explode(bands)).select("h", "doc", "key", "place", "back", "bytes", "x.*")
+    right = F.octet_length("bytes") - F.col("back")
+    x = x.withColumn("left", F.least("back", "b")).withColumn("ahead", F.least(right, LENGTH - F.col("a")))
+    x = x.where((F.col("back") >= F.col("a")) & (right >= LENGTH - F.col("b")) & (F.col("left") + F.col("ahead") >= LENGTH))
+    shared = F.substring("bytes", F.col("back") - F.col("a") + 1, LENGTH + F.col("a") - F.col("b"))
+    return x.select(F.xxhash64("h", "a", shared).alias("h"), "doc", "key", "place", F.col("left").alias("back"),
+                    F.substring("bytes", F.col("back") - F.col("left") + 1, F.col("left") + F.col("ahead")).alias("bytes"), F.col("a").alias("lo"), F.col("b").alias("hi"))
 
 
 def hot_parts(docs: DataFrame, tables: Broadcast, scratch: Scratch, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The rows of anchors in hot slots, as ROW: parts of at most ``hot`` rows each, for the tree; and the rows of single windows that are
-    still hotter."""
-    todo, cool, single = [(0, SPAN - 1, gathered(docs, tables, True, only_hot=True))], [], []
-    while todo:
-        lo, hi, rows = todo.pop()
-        rows = scratch.keep(rows, f"part-{lo}-{hi}")
+    still hotter. One level of parts after the other, at most as many as it takes to come down to one window."""
+    rows, cool, single, level = gathered(docs, tables, True, only_hot=True).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(SPAN - 1)), [], [], 0
+    while True:
+        rows = scratch.keep(rows, f"part-{level}")
         # At most one in ``hot`` rows.
-        crowded = scratch.keep(rows.groupBy("h").count().where(F.col("count") > hot).select("h"), f"crowded-{lo}-{hi}")
+        crowded = scratch.keep(rows.groupBy("h").count().where(F.col("count") > hot).select("h"), f"crowded-{level}")
+        done = crowded.isEmpty()
         crowded = measured(crowded, 16)
-        cool.append(rows.join(crowded, "h", "left_anti"))
+        cool.append(rows.join(crowded, "h", "left_anti").select(*NAMES))
+        if done:
+            return cool, single
         rest = rows.join(crowded, "h", "left_semi")
-        if crowded.isEmpty():
-            continue
-        if lo == hi:
-            single.append(rest)
-        else:
-            todo += parted(rest, lo, hi)
-    return cool, single
+        single.append(rest.where("lo = hi").select(*NAMES))
+        rows, level = parted(rest.where("lo < hi")), level + 1
 
 
 # --- The interval tree of one anchor hash -------------------------------------------------------------------------------
