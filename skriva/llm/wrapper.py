@@ -67,9 +67,9 @@ MAYBE = frozenset(
     " share sharing signup skip social sponsor sponsored subscribe toolbar widget".split())
 #: Words that say nothing of their own beside those.
 PLAIN = frozenset(
-    "area article articles bar block body bottom box btn button buttons center col column container desktop fixed global group icon icons inner item items left"
-    " link links list main message mobile module outer page panel policy post posts primary reader region right row secondary section site slot sticky stories"
-    " story text thread top unit user users wrap wrapper zone".split())
+    "area article articles bar block body bottom box btn button buttons center close col collapse column container desktop fixed full global group icon icons info inner"
+    " item items large law left link links list main message mini mobile module outer overlay page panel policy post posts primary reader region right row secondary"
+    " section site slot small sticky stories story tablet text thread toggle toggler top trail unit user users width wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = re.compile(r"[a-z]+")
 NOT_WORDS = re.compile(r"[^\W\d_a-z]")
