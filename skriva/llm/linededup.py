@@ -70,33 +70,38 @@ def shared(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return lines.groupBy("key").agg(n.alias("n_docs"), F.max("id").alias("last")).where(F.col("n_docs") >= min_docs)
 
 
+def mask_of(at: str) -> Column:
+    """For sorted positions, one flag per position up to the last: false at these, true between them."""
+    gap = lambda p, j: p - F.when(j > 0, F.get(at, j - 1)).otherwise(F.lit(-1)) - 1
+    return F.flatten(F.transform(at, lambda p, j: F.concat(F.array_repeat(F.lit(True), gap(p, j)), F.array(F.lit(False)))))
+
+
 def marked(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with ``__at``, the positions of the lines to drop (null: none)."""
+    """docs with ``__n``, how many lines to drop (null: none), and ``__mask``, a flag per line up to the last of these."""
     lines = scratch.keep(exploded(docs, min_chars), "lines")
     over = scratch.keep(shared(lines, min_docs), "shared")
     away = lines.join(measured(over, 40), "key").where(~F.col("id").eqNullSafe(F.col("last")))
-    # Rows that agree in id and text lose the same lines.
-    drops = scratch.keep(away.groupBy("id", "body").agg(F.collect_set("at").alias("__at")), "drops")
+    # Rows that agree in id and text lose the same lines. The mask is written, so that nothing later makes it again for every line.
+    sets = away.groupBy("id", "body").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    drops = scratch.keep(sets.select("id", "body", F.size("at").alias("__n"), mask_of("at").alias("__mask")), "drops")
     scratch.drop("lines")
-    drops = measured(drops, 24 + 4 * F.size("__at"))
+    drops = measured(drops, 32 + F.size("__mask"))
     ready = docs.withColumn("__body", _body())
     out = ready.join(drops, ready["doc_id"].eqNullSafe(drops["id"]) & (ready["__body"] == drops["body"]), "left")
-    return out.select(*[ready[c] for c in docs.columns], "__at")
+    return out.select(*[ready[c] for c in docs.columns], "__n", "__mask")
 
 
 def kept_text() -> Column:
-    """The text without the lines at ``__at``."""
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
-    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return F.when(F.col("__at").isNull(), F.col("text")).otherwise(text)
+    """The text without the masked lines."""
+    left = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("__mask", i), F.lit(True)))
+    return F.when(F.col("__n").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
 def drop_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with their shared lines dropped; n_chars, if there, follows the text."""
     out = marked(docs, scratch, min_chars, min_docs).withColumn("text", kept_text())
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__n").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
@@ -106,5 +111,5 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return docs.select(
-        "doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias("n_dropped"),
+        "doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
