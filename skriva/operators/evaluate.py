@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..session import written
+from . import scans
 from .retrieval import fits
 
 
@@ -74,8 +75,12 @@ def sliced(obs: DataFrame, dimensions: list[str]) -> DataFrame:
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """AGG7: exact percentiles by linear interpolation."""
-    p = lambda q: F.round(F.percentile(F.col(value).cast("double"), F.lit(q)), 6)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    found = scans.quantiles(df, by, value, {"p50": 0.5, "p95": 0.95}).withColumnsRenamed({c: f"__{c}" for c in by})
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return counts.join(found, same, "left").select(*by, "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def any_set_covered(sets: Column, top: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..schemas import DEFAULTS
+from ..session import written
+from . import scans
 from .retrieval import overlaps_pages
 
 
@@ -67,13 +69,13 @@ def history(messages: DataFrame, limit: int = DEFAULTS.history_messages, budget:
 
 def previous_user_turn(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """WIN10: for each user turn the latest earlier user text that differs from it, and both joined as the fallback query."""
-    users = messages.where("role = 'user'").withColumn("q", T.strip(F.coalesce("text", F.lit(""))))
-    order = W.partitionBy(key).orderBy("turn")
+    users = messages.where("role = 'user'").select(key, "turn", T.strip(F.coalesce("text", F.lit(""))).alias("q"))
+    parts = scans.parted(users, key, ["turn"])
     # Runs of equal texts share their predecessor: the text before the run.
-    df = users.withColumn("changed", F.coalesce(F.lag("q").over(order) != F.col("q"), F.lit(True)))
-    df = df.withColumn("prior", F.when(F.col("changed"), F.lag("q").over(order)))
-    df = df.withColumn("previous", F.last("prior", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    df = df.withColumn("previous", F.coalesce("previous", F.lit("")))
+    df = scans.previous(parts, ["q"], keep=True)
+    df = df.withColumn("prior", F.when(F.coalesce(F.col("__before_q") != F.col("q"), F.lit(True)), F.col("__before_q")))
+    df = scans.last_known(scans.Parts(written(df), key, parts.order), "prior", "earlier")
+    df = df.withColumn("previous", F.coalesce("prior", "earlier", F.lit("")))
     return df.select(key, "turn", "previous", F.concat_ws(" ", F.nullif(F.col("previous"), F.lit("")), F.nullif(F.col("q"), F.lit(""))).alias("fallback_query"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import scans
 
 SPLITS = {"analysis": 0.6, "validation": 0.2, "test": 0.2}
 ANSWER_TYPES = ["extractive", "yes_no", "free_form", "unanswerable"]
@@ -114,15 +115,17 @@ def scenario_summary(rows: DataFrame) -> DataFrame:
     mean = lambda c, who: F.round(F.coalesce(F.avg(F.when(who, c)), F.lit(0.0)), 6)
     flag = lambda c: c.cast("int")
     reason = lambda r, who: mean(flag(F.coalesce(F.col("refusal_reason") == r, F.lit(False))), who)
-    ms = F.col("latency_ms").cast("double")
     failed = F.when(yes, F.coalesce("recall", F.lit(0.0)) < 1).otherwise(~F.col("refused"))
-    return rows.groupBy("scenario").agg(
+    ms = scans.quantiles(rows, ["scenario"], "latency_ms", {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    ms = ms.select(F.col("scenario").alias("__scenario"), *[F.round(c, 6).alias(c) for c in ("latency_p50_ms", "latency_p95_ms")])
+    out = rows.groupBy("scenario").agg(
         F.count("*").alias("case_count"), mean(F.col("recall"), yes).alias("recall_at_6"), mean(F.col("precision"), yes).alias("precision_at_6"), mean(F.col("mrr"), yes).alias("mrr"),
         mean(flag(F.col("refused")), no).alias("unanswerable_refusal_rate"), mean(flag(F.col("refused")), yes).alias("answerable_false_refusal_rate"),
         reason("answerability_threshold", all_).alias("answerability_refusal_rate"), reason("evidence_filter_empty", all_).alias("evidence_empty_rate"),
-        mean(F.col("token_f1"), all_).alias("answer_token_f1"), F.round(F.percentile(ms, F.lit(0.5)), 6).alias("latency_p50_ms"), F.round(F.percentile(ms, F.lit(0.95)), 6).alias("latency_p95_ms"),
+        mean(F.col("token_f1"), all_).alias("answer_token_f1"),
         mean(flag(F.col("degraded_reason").isNotNull()), all_).alias("degradation_rate"), F.count_if(failed).alias("failures"),
         F.array_sort(F.collect_set("effective_mode")).alias("effective_modes"), F.array_sort(F.collect_set("degraded_reason")).alias("degraded_reasons"))
+    return out.join(ms, F.col("scenario").eqNullSafe(F.col("__scenario")), "left").drop("__scenario")
 
 
 def answer_quality(rows: DataFrame) -> DataFrame:
@@ -188,10 +191,12 @@ def failure_counters(cases: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def boundaries(scores: DataFrame, fixed: list[float], value: str = "score") -> DataFrame:
-    """WIN11: the fixed thresholds, the deciles of the observed distinct values, and the midpoints of neighbours. Deciles come from one
-    aggregate; what is put in order is at most eleven values and the fixed ones."""
+    """WIN11: the fixed thresholds, the deciles of the observed distinct values, and the midpoints of neighbours. Deciles are selected by
+    ranges; what is put in order here is at most eleven values and the fixed ones."""
     seen = scores.select(F.col(value).cast("double").alias("v")).where(~F.isnan("v") & (F.abs("v") < float("inf"))).distinct()
-    deciles = seen.agg(F.percentile("v", F.array(*[F.lit(i / 10) for i in range(11)])).alias("d"))
+    tenths = scans.quantiles(seen, [], "v", {f"d{i}": i / 10 for i in range(11)}).select(F.array(*[f"d{i}" for i in range(11)]).alias("d"))
+    # One row, also where nothing is observed.
+    deciles = tenths.agg(F.first("d").alias("d"))
     all_ = F.array_sort(F.array_distinct(F.concat(F.array(*[F.lit(float(x)) for x in fixed]), F.coalesce("d", F.array().cast("array<double>")))))
     both = F.array_distinct(F.concat("a", F.transform(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), lambda x, i: (x + F.get("a", i)) / 2)))
     return deciles.select(all_.alias("a")).select(F.explode(F.array_sort(both)).alias("threshold"))

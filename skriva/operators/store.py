@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..session import written
+from . import scans
 
 TERMINAL = ["completed", "failed", "canceled", "deleted"]
 # Progress shown for each stage.
@@ -135,18 +136,10 @@ def transition(tasks: DataFrame, wanted: dict[str, list[str]], target: Column) -
 
 
 def replayed_states(actions: DataFrame, machine: str, key: str, order: str, start: str = "pending") -> DataFrame:
-    """STR10: (key, status, applied, refused) after all actions (key, order, action) in order; an action that the state does not allow is refused. A fold
-    over each key's actions (names only)."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(order, "action"))), lambda r: r["action"])
-    zero = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
-
-    def step(a: Column, action: Column) -> Column:
-        to = F.lit(None).cast("string")
-        for name, (froms, target) in ACTIONS[machine].items():
-            to = F.when((action == name) & a["status"].isin(froms), target).otherwise(to)
-        return F.struct(F.coalesce(to, a["status"]).alias("status"), (a["applied"] + to.isNotNull().cast("int")).alias("applied"), (a["refused"] + to.isNull().cast("int")).alias("refused"))
-
-    return actions.groupBy(key).agg(F.aggregate(seq, zero, step).alias("s")).select(key, "s.*")
+    """STR10: (key, status, applied, refused) after all actions (key, order, action) in order; an action that the state does not allow is refused. A key may hold
+    any share of the actions: its parts fold to maps between states, which are composed."""
+    named = actions.select(key, F.col(order).alias("order"), "action")
+    return scans.states(scans.parted(named, key, ["order", "action"]), "action", start, ACTIONS[machine])
 
 
 def progress(stage: Column) -> Column:
@@ -171,8 +164,8 @@ def trace_rollup(trace: DataFrame, by: list[str], input_rate: float, output_rate
 
 def usage_deltas(counters: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """AGG34: the change of cumulative counters from row to row."""
-    w = W.partitionBy(key).orderBy(order)
-    return counters.select(key, order, *[(F.col(v) - F.coalesce(F.lag(v).over(w), F.lit(0))).alias(v) for v in values])
+    rows = scans.previous(scans.parted(counters.select(key, order, *values), key, [order]), values)
+    return rows.select(key, order, *[(F.col(v) - F.coalesce(f"__before_{v}", F.lit(0))).alias(v) for v in values])
 
 
 # Parts of key names that mark a secret.
@@ -198,7 +191,13 @@ def public_metadata(s: pd.Series) -> pd.Series:
             out[k] = clean(v) if isinstance(v, dict) else [i for i in v if not isinstance(i, (dict, list))] if isinstance(v, list) else v
         return out
 
-    return s.map(lambda x: None if x is None else json.dumps(clean(json.loads(x)), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    def read(x: str) -> object:
+        try:
+            return json.loads(x)
+        except ValueError:
+            return None
+
+    return s.map(lambda x: None if x is None else json.dumps(clean(read(x)), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 def sse_frame(sequence: Column, kind: Column, data: Column) -> Column:
@@ -280,14 +279,14 @@ def comparison_rules() -> dict[str, Column]:
 
 def client_view(deliveries: DataFrame, key: str, arrival: str, ident: str, keep: int = 200) -> DataFrame:
     """STR5: what a client shows of its deliveries: ids that do not go beyond the greatest one before them are dropped, the last ``keep`` stay."""
-    before = F.max(ident).over(W.partitionBy(key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    new = deliveries.withColumn("__top", before).where(F.col("__top").isNull() | (F.col(ident) > F.col("__top"))).drop("__top")
+    new = scans.running_max(scans.parted(deliveries, key, [arrival]), ident, "__top").where(F.col("__top").isNull() | (F.col(ident) > F.col("__top"))).drop("__top")
     return new.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.col(ident).desc()))).where(F.col("__n") <= keep).drop("__n")
 
 
 def heartbeats(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """STR4: (key, at, n): the heartbeats that an idle stream sends: one after each ``seconds`` without an event, counted from the last one."""
-    gap = F.unix_micros(F.lead(at).over(W.partitionBy(key).orderBy(at))) - F.unix_micros(F.col(at))
+    rows = scans.following(scans.parted(events.select(key, at), key, [at]), at, "__next")
+    gap = F.unix_micros("__next") - F.unix_micros(F.col(at))
     due = F.floor((gap - 1) / (1_000_000 * seconds))
-    idle = events.select(key, at, due.alias("due")).where("due > 0").select(key, at, F.explode(F.sequence(F.lit(1).cast("long"), F.col("due"))).alias("n"))
+    idle = rows.select(key, at, due.alias("due")).where("due > 0").select(key, at, F.explode(F.sequence(F.lit(1).cast("long"), F.col("due"))).alias("n"))
     return idle.select(key, F.timestamp_micros(F.unix_micros(F.col(at)) + F.col("n") * 1_000_000 * seconds).alias(at), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evidence as E
+from ..operators import postings as P
 from ..operators import retrieval as R
 from ..session import table
 from .documents import SPANS, TERMS, chunks
@@ -18,19 +19,31 @@ def questions(spark, sf_dir):
 _INDEXES: dict = {}
 
 
-def indexed(spark, sf_dir):
-    """The index of the documents' chunks: built once in a session, shared by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _state(spark, path):
+    """Names, sizes and times of a table's files: what is kept for a table goes with them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def _kept(spark, sf_dir, name, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
-        _INDEXES[key] = R.index(chunks(spark, sf_dir))
+        _INDEXES[key] = make()
     return _INDEXES[key]
 
 
-def lexical(spark, sf_dir, k):
-    return R.ranked(R.bm25(questions(spark, sf_dir), None, indexed=indexed(spark, sf_dir), k=k), k)
+def indexed(spark, sf_dir):
+    """The forward index of the documents' chunks: built once in a session for the same files, shared by all queries."""
+    return _kept(spark, sf_dir, "forward", lambda: R.index(chunks(spark, sf_dir)))
+
 
+def postings(spark, sf_dir):
+    return _kept(spark, sf_dir, "postings", lambda: P.build(indexed(spark, sf_dir)))
 
 
+def lexical(spark, sf_dir, k):
+    return R.ranked(P.search(questions(spark, sf_dir), postings(spark, sf_dir), k).hits, k)
 
 
 def _score(name="score", places=6):
@@ -45,7 +58,8 @@ def bm25_scoped(spark, sf_dir):
     """The same within one language: statistics of that scope alone."""
     c = chunks(spark, sf_dir).withColumn("scope", F.col("lang"))
     q = questions(spark, sf_dir).withColumn("scope", F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr"))
-    return R.ranked(R.bm25(q, c), 6).select("query_id", "scope", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
+    index = _kept(spark, sf_dir, "postings by language", lambda: P.build(R.index(c)))
+    return R.ranked(P.search(q, index, 6).hits, 6).select("query_id", "scope", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
 
 
 def _vectors(spark, sf_dir):
