@@ -243,6 +243,15 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
 
 
+def same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): every id whose rows have different sets, with the node of each of these sets."""
+    marks = rows.select("doc_id", "fp_hi", "fp_lo").distinct()
+    fp = F.struct("fp_hi", "fp_lo")
+    several = marks.groupBy("doc_id").agg(F.min(fp).alias("least"), F.max(fp).alias("most")).where("least <> most").select("doc_id")
+    named = marks.join(several, "doc_id").join(nodes.select("fp_hi", "fp_lo", "node"), ["fp_hi", "fp_lo"])
+    return named.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.lit(None).cast("long"))
 
@@ -343,7 +352,9 @@ def link(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, crowd: int =
     spots = buckets(nodes, scratch)
     stars = spots.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     stars = scratch.keep(near(stars, nodes, percent), "stars")
-    edges = scratch.keep(confirmed(stars, scratch.keep(full_sets(ends(stars), docs), "sets-0"), percent), "edges-0")
+    edges = confirmed(stars, scratch.keep(full_sets(ends(stars), docs), "sets-0"), percent)
+    # Different sets under one id are one document: each is linked with the id's smallest node, and stands for its own node and that id.
+    edges = scratch.keep(edges.unionByName(same_id(some, nodes)), "edges-0")
     labels = scratch.keep(components(edges, scratch, "cc-0"), "labels-0")
     scratch.drop("sets-0", "stars")
     mixed = spots.where("n > 2").join(labels, "node", "left").select("band", "salt", "n", "node", "pivot", F.coalesce("component", "node").alias("c"))

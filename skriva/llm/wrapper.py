@@ -39,7 +39,10 @@ from .common import Scratch, measured, table
 DEPTH, FAN = 48, 64
 TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']*+)|[\"'])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other, each with its value, so that a name is never looked for inside a value or another name.
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+#: What a tag that hides its element holds somewhere.
+HIDES = re.compile("hidden|display", re.I)
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea".split())
@@ -60,10 +63,10 @@ IMPLIED = {
 }
 # Words in class or id, and roles, that mark an excluded zone; the second ones may name a part of an article as well.
 SURE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle breadcrumb breadcrumbs comment comments consent cookie cookies"
-    " disqus footer gdpr nav navbar navigation pagination sidebar".split())
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle breadcrumb breadcrumbs comment comments"
+    " disqus footer nav navbar navigation pagination sidebar".split())
 MAYBE = frozenset(
-    "banner form header login masthead menu modal newsletter notice notices notification notifications pager popup promo promoted related respond search"
+    "banner consent cookie cookies form gdpr header login masthead menu modal newsletter notice notices notification notifications pager popup promo promoted related respond search"
     " share sharing signup skip social sponsor sponsored subscribe toolbar widget".split())
 #: Words that say nothing of their own beside those.
 PLAIN = frozenset(
@@ -99,20 +102,27 @@ def marks(value: str, article: bool) -> int:
     return found
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Lower-case names and values of a tag's attributes; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def unseen(found: dict[str, str]) -> bool:
+    """Whether the attributes hide their element."""
+    return "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+
+
 def read_attributes(rest: str, article: bool = False) -> tuple[str, int]:
     """The class words (for the node's key) and whether the element is an excluded zone; article: whether it is inside one."""
-    names, out = [], IN
-    for m in ATTRIBUTE.finditer(rest):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if kind in ("class", "id"):
-            if kind == "class":
-                names = sorted(set(value.split()))
-            out = max(out, marks(value, article))
-        elif kind == "role":
-            out = max(out, OUT if value in ROLES else IN)
-        elif kind == "hidden" or (kind == "style" and "display:none" in value.replace(" ", "")):
-            out = OUT
-    return ".".join(re.sub(r"\d+", "#", n) for n in names), out
+    found = attributes(rest)
+    if unseen(found) or found.get("role") in ROLES:
+        out = OUT
+    else:
+        out = max(marks(found.get("class", ""), article), marks(found.get("id", ""), article))
+    return ".".join(re.sub(r"\d+", "#", n) for n in sorted(set(found.get("class", "").split()))), out
 
 
 class Page:
@@ -204,13 +214,11 @@ class Page:
         del self.stack[i:]
 
     def inline(self, name: str, rest: str) -> None:
-        """Inline elements make no node; only an excluded one must be followed to its end."""
+        """Inline elements make no node, and their names tell nothing; only a hidden one must be followed to its end."""
         if self.stack[-1][0] == "head" and name != "noscript":
             self.pop_to(len(self.stack) - 1)
-        if rest and len(rest) > 5:
-            _, out = read_attributes(rest, True)
-            if out >= WORDED and self.stack[-1][2] != OUT:
-                self.push(name, self.stack[-1][1], OUT)
+        if HIDES.search(rest) and self.stack[-1][2] != OUT and unseen(attributes(rest)):
+            self.push(name, self.stack[-1][1], OUT)
 
     def open(self, name: str, rest: str) -> None:
         self.flush()
@@ -358,6 +366,59 @@ def fold(group: pd.DataFrame) -> pd.DataFrame:
 SITE = ["host", "frame"]
 
 
+def words_of(key: str) -> list[str]:
+    """The class words of a node's key."""
+    return [w for w in key.rstrip("?").split(".")[1:] if w]
+
+
+def reduced(tree: tuple[list[int], list[str]], rare: frozenset[str]) -> tuple[list[int], list[str], list[int]]:
+    """A tree without the rare class words: its parents and keys, like siblings folded, and the new node of each old one."""
+    parents, keys, to, children = [-1], [tree[1][0]], [0], [{}]
+    for parent, key in zip(tree[0][1:], tree[1][1:], strict=True):
+        kept = ".".join([key.rstrip("?").split(".")[0], *(w for w in words_of(key) if w not in rare)]) + "?" * key.endswith("?")
+        above = to[parent]
+        node = children[above].get(kept)
+        if node is None:
+            node = children[above][kept] = len(keys)
+            parents.append(above)
+            keys.append(kept)
+            children.append({})
+        to.append(node)
+    return parents, keys, to
+
+
+def plainer(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, frame, skeleton, tree_hash, tree, to, n): every skeleton (its hash) less the class words that fewer than one in FAN of its site's
+    layouts have, such as generated names. As a constant text stands in most layouts, they tell no template; without them a wrapper does not
+    grow with its site's layouts. Sites of up to FAN layouts keep all words."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = sorted({w for k in json.loads(batch.column("tree")[i].as_py())[1] for w in words_of(k)})
+                same = [pa.array([batch.column(c)[i].as_py()] * len(words), batch.column(c).type) for c in (*SITE, "tree_hash")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(words, pa.string())], names=[*SITE, "tree_hash", "word"])
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [reduced(json.loads(t), frozenset(r or ())) for t, r in zip(batch.column("tree").to_pylist(), batch.column("rare").to_pylist(), strict=True)]
+            trees = [json.dumps([p, k], separators=(",", ":")) for p, k, _ in made]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*SITE, "tree_hash")), pa.array([skeleton_hash(t) for t in trees], pa.int64()), pa.array(trees, pa.string()), pa.array([to for *_, to in made], pa.list_(pa.int32())),
+                 batch.column("n")], names=[*SITE, "skeleton", "tree_hash", "tree", "to", "n"])
+
+    sizes = skeletons.groupBy(*SITE).agg(F.count("*").alias("layouts")).where(F.col("layouts") > FAN)
+    large = skeletons.join(sizes, SITE)
+    words = large.select(*SITE, "tree_hash", "tree").mapInArrow(exploded, "host string, frame long, tree_hash long, word string")
+    words = scratch.keep(words, "words")
+    rare = words.groupBy(*SITE, "word").agg(F.count("*").alias("k")).join(sizes, SITE).where(FAN * F.col("k") < F.col("layouts")).select(*SITE, "word")
+    # A tree's own words at most.
+    own = words.join(rare, [*SITE, "word"]).groupBy(*SITE, "tree_hash").agg(F.collect_list("word").alias("rare"))
+    ready = skeletons.join(own, [*SITE, "tree_hash"], "left").select(*SITE, "tree_hash", "tree", "rare", "n")
+    out = ready.mapInArrow(without, "host string, frame long, skeleton long, tree_hash long, tree string, to array<int>, n long")
+    return scratch.keep(out, "plainer")
+
+
 def induce(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
     """skeletons: (host, frame, tree_hash, tree, n), distinct. Returns the wrappers (host, frame, tree), one per site."""
     trees, level = skeletons, 0
@@ -416,7 +477,7 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
 
 
 def decide(group: pd.DataFrame) -> pd.DataFrame:
-    """The content nodes of one site's wrapper, and those where constant texts are template. From its tree and one row per node: its
+    """For each node of one site's wrapper, whether it is content and whether constant texts are template there. From its tree and one row per node: its
     characters on all different pages, and how many of them stand in constant texts (bounded by the tree)."""
     parents, keys = json.loads(group["wrapper"].iloc[0])
     size = len(parents)
@@ -443,12 +504,12 @@ def decide(group: pd.DataFrame) -> pd.DataFrame:
     inside = under(articles if articles and (not mains or 2 * mass >= sum(below[i] for i in mains)) else mains or {0})
     whole, varying = sum(chars[i] for i in inside), sum(chars[i] - constant[i] for i in inside)
     if 10 * varying < whole:  # copies of one page: constancy tells nothing
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [sorted(inside)], "template": [[]]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [[i in inside for i in range(size)]], "template": [[False] * size]})
     # What is perhaps no part of the article goes where all it holds is constant.
     gone = under({i for i in inside if keys[i].endswith("?") and same[i] == below[i]})
     articles_ = under(articles | mains)
-    template = [i for i in inside if constant[i] and not (tag[i] in HEADINGS and i in articles_)]
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [sorted(inside - gone)], "template": [template]})
+    template = [i in inside and constant[i] > 0 and not (tag[i] in HEADINGS and i in articles_) for i in range(size)]
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "frame": [group["frame"].iloc[0]], "content": [[i in inside and i not in gone for i in range(size)]], "template": [template]})
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -456,8 +517,12 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     seen = scratch.keep(parsed(pages, texts=False), "seen")
     skeletons = seen.groupBy(*SITE, F.col("skeleton").alias("tree_hash")).agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
     skeletons = scratch.keep(skeletons, "skeletons")
-    wrappers = induce(skeletons, scratch)
-    maps = scratch.keep(aligned(skeletons.join(wrappers, SITE)), "maps")
+    plain = plainer(skeletons, scratch)
+    trees = scratch.keep(plain.groupBy(*SITE, "tree_hash").agg(F.first("tree").alias("tree"), F.sum("n").alias("n")), "trees")
+    wrappers = induce(trees, scratch)
+    maps = aligned(trees.join(wrappers, SITE)).withColumnRenamed("skeleton", "tree_hash")
+    maps = plain.join(maps, [*SITE, "tree_hash"]).select(*SITE, "skeleton", F.transform("to", lambda i: F.get("map", i)).alias("map"))
+    maps = scratch.keep(maps, "maps")
     # Copies of a page count once; (skeleton, page, nodes) settles the other columns.
     blocks = F.arrays_zip("nodes", "hashes", "chars")
     different = seen.groupBy(*SITE, "skeleton", "page", "nodes").agg(F.first(F.array_distinct(blocks)).alias("blocks"))
@@ -471,13 +536,13 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.keep(texts.select(*SITE, "node", "hash", "chars", "constant"), "texts")
     stats = texts.groupBy(*SITE, "node").agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("constant"), F.col("chars")).otherwise(0)).alias("constant"))
     stats = wrappers.join(stats, SITE, "left").select(*SITE, "wrapper", F.coalesce("node", F.lit(-1)).alias("node"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("chars", "constant")))
-    decided = stats.groupBy(*SITE).applyInPandas(lambda g: decide(g), "host string, frame long, content array<int>, template array<int>")
+    decided = stats.groupBy(*SITE).applyInPandas(lambda g: decide(g), "host string, frame long, content array<boolean>, template array<boolean>")
     # A constant text stands on most pages of its site, so a site has no more of them than two of its pages have blocks.
     fixed = texts.where("constant").groupBy(*SITE).agg(F.collect_list(F.struct("node", "hash")).alias("fixed"))
     roles = maps.join(decided, SITE).join(fixed, SITE, "left")
     # For each node of a page's skeleton: does it belong to the content? And which texts in it are template?
-    role = F.transform("map", lambda i: (i < 0) | F.array_contains("content", i))
-    here = F.filter(F.coalesce("fixed", F.array().cast("array<struct<node:int,hash:bigint>>")), lambda x: F.array_contains("template", x["node"]) & F.array_contains("map", x["node"]))
+    role = F.transform("map", lambda i: F.when(i < 0, F.lit(True)).otherwise(F.get("content", i)))
+    here = F.filter(F.coalesce("fixed", F.array().cast("array<struct<node:int,hash:bigint>>")), lambda x: F.get("template", x["node"]) & F.array_contains("map", x["node"]))
     drop = F.transform(here, lambda x: F.struct((F.array_position("map", x["node"]) - 1).cast("int").alias("nodes"), x["hash"].alias("hashes")))
     roles = scratch.keep(roles.select(*SITE, "skeleton", role.alias("role"), drop.alias("drop")), "roles")
     roles = measured(roles, F.size("role") + 16 * F.size("drop") + F.octet_length("host") + 64)

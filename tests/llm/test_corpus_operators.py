@@ -78,6 +78,15 @@ def test_buckets_of_boilerplate_are_not_paired(spark, folder, monkeypatch):
     assert out == {i: twins.get(i, i) for i in range(len(texts))}
 
 
+def test_rows_of_one_id_are_one_document(spark, folder):
+    """Different texts under one id link the groups of both, in whatever order; also where the ids of a chain are all repeated."""
+    a, b, c, d = (prose(60, random.Random(i)) for i in range(30, 34))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (9, c), (9, d), (8, d + " more words"), (20, prose(60, random.Random(40))), (21, None), (21, ""), (22, prose(70, random.Random(41))), (22, prose(70, random.Random(42)))]
+    out = neardup.link(table(spark, folder([(i, t, "en", "a") for i, t in rows]), "documents"), Scratch(spark, "t")).collect()
+    assert sorted({(r.doc_id, r.component_id, r.kept) for r in out}) == [
+        (1, 1, True), (2, 1, False), (3, 1, False), (8, 1, False), (9, 1, False), (20, 20, True), (21, 21, True), (22, 22, True)]
+
+
 def test_stage_drops_near_copies_from_a_similarity_of_80_percent(spark, folder):
     words = [f"u{i}" for i in range(100)]
     docs = {}
@@ -246,6 +255,50 @@ def test_names_hide_no_part_of_an_article(spark, folder, name, kind):
     assert {r.page_id: r.text for r in out} == {i: f"Head {i}\nPart {i}\nText {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize(("part", "want"), [
+    ("See <a href='/hidden-gems/{i}'>gems {i}</a> now", "See gems {i} now"), ("<a href=/p?id=comments>there {i}</a>", "there {i}"), ("<span data-role=form>in {i}</span>", "in {i}"),
+    ("<span class='token comment'># set {i}</span>", "# set {i}"), ("<span class=nav>n {i}</span>", "n {i}"), ("<abbr class='ad' title='x'>AD {i}</abbr>", "AD {i}"), ("<b aria-hidden='true'>seen {i}</b>", "seen {i}"),
+    ("<b hidden>x</b>y {i}", "y {i}"), ("<b style='display: none'>x</b>y {i}", "y {i}"), ("<b title='style=display:none'>z {i}</b>", "z {i}"), ("<b title = hidden>z {i}</b>", "z {i}"), ("<b a=1 HIDDEN=''>x</b>y {i}", "y {i}")])
+def test_only_attributes_of_their_own_hide_inline_text(spark, folder, part, want):
+    pages = [(i, "https://a.example.com/", f"<article><h1>Head {i}</h1><p>{part.replace('{i}', str(i))}</p></article>") for i in range(6)]
+    out = wrapper.extract(table(spark, folder(pages=pages), "pages"), Scratch(spark, "t")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Head {i}\n{want.replace('{i}', str(i))}" for i in range(6)}
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p title='A hidden cost'>Text</p>", ["Text"]), ("<div aria-hidden='false'>Text</div>", ["Text"]), ("<div data-role='form'>Text</div>", ["Text"]), ("<div data-id='nav'>Text</div>", ["Text"]),
+    ("<div aria-hidden=true>Text</div>", ["Text"]), ("<div hidden>No</div><div id=x hidden=''>No</div><p>Text</p>", ["Text"]), ("<div id='a' id='nav'>Text</div>", ["Text"]), ("<div role=navigation>No</div>", []),
+    ("<div title='\"' class=\"sidebar\">No</div>", ["No"]), ("<article><div class='consent'>I consent to the study</div></article>", ["I consent to the study"])])
+def test_attributes(source, want):
+    assert [t for _, t in wrapper.Page(source).blocks] == want
+
+
+def test_generated_class_names_do_not_swell_the_wrapper(spark, folder):
+    """1,500 layouts, each with class names of its own: the wrapper stays small, and what is template is still told."""
+    rnd = random.Random(5)
+    word = lambda: "c" + "".join(rnd.choices("bcdfghjklm", k=8))
+    body = lambda i: "".join(f"<div class='{word()}'><p class='{word()}'>Text {i} {j}</p></div>" for j in range(rnd.randrange(2, 9)))
+    pages = [(i, "https://a.example.com/", f"<div class='page {word()}'>{body(i)}<div class='bottom'><p>All rights reserved</p></div></div>") for i in range(1500)]
+    docs = table(spark, folder(pages=pages), "pages")
+    scratch = Scratch(spark, "t")
+    out = {r.page_id: r.text for r in wrapper.extract(docs, scratch).collect()}
+    assert all(t and "All rights" not in t and all(line.startswith(f"Text {i} ") for line in t.split("\n")) for i, t in out.items())
+    wide = spark.read.parquet(f"{scratch.root}/trees").agg({"tree": "count"}).first()[0]
+    assert wide < 20  # of 1,500 skeletons
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_trees_without_rare_words(seed):
+    rnd = random.Random(seed)
+    keys = ["#"] + [rnd.choice(["div", "p", "div.a", "div.a.x1", "div.x2", "p.x3?", "p?"]) for _ in range(30)]
+    parents = [-1] + [rnd.randrange(i) for i in range(1, 31)]
+    new_parents, new_keys, to = wrapper.reduced((parents, keys), frozenset(["x1", "x2", "x3"]))
+    plain = lambda k: k.replace(".x1", "").replace(".x2", "").replace(".x3", "")
+    assert [new_keys[to[i]] for i in range(31)] == [plain(k) for k in keys]
+    assert all(new_parents[to[i]] == to[parents[i]] for i in range(1, 31))
+    assert len({(p, k) for p, k in zip(new_parents, new_keys)}) == len(new_keys)
+
+
 @pytest.mark.parametrize("tag", "video title svg iframe canvas audio button select option object noscript math template".split())
 def test_unclosed_elements_hide_nothing_behind_them(tag):
     texts = lambda source: [t for _, t in wrapper.Page(source).blocks]
