@@ -8,6 +8,9 @@ A search reads the heads of the wanted terms' blocks, scores each question's LEA
 of the other ranges only those whose bound reaches the threshold are scored. What is skipped cannot be among the k best, so the result is that of a full scan. Blocks
 are stored by buckets of terms, so only the buckets of the wanted terms are opened.
 
+Where a set of questions asks for more postings than the whole index holds (each counted once per question), one scan of the forward index that scores batches of
+chunks for all questions at once is less work; the counts in the heads tell. The result is the same.
+
 A block never holds more than RANGE postings, so a word that stands in every chunk is many rows that no task has to gather."""
 
 from __future__ import annotations
@@ -27,16 +30,18 @@ from ..schemas import DEFAULTS, Params
 from ..session import scratch_path, written
 from . import retrieval as R
 
-RANGE, BUCKETS, LEAD = 256, 64, 4
+RANGE, BUCKETS, LEAD = 64, 64, 4
 _BLOCK = "scope string, range long, term string, n int, max_tf int, min_len long, slots array<int>, tfs array<int>, lens array<long>, chunk_ids array<string>, positions array<long>"
 
 
 @dataclass(frozen=True)
 class Postings:
-    """blocks: (bucket, scope, range, term, n, max_tf, min_len, slots, tfs, lens). ranges: (scope, range, n, lens, chunk_ids, positions) by slot."""
+    """blocks: (bucket, scope, range, term, n, max_tf, min_len, slots, tfs, lens). ranges: (scope, range, n, postings, lens, chunk_ids, positions), arrays by slot.
+    forward: (scope, chunk_id, position, doc_len, terms, tfs)."""
 
     blocks: DataFrame
     ranges: DataFrame
+    forward: DataFrame
 
 
 def build(forward: DataFrame) -> Postings:
@@ -61,7 +66,7 @@ def build(forward: DataFrame) -> Postings:
     path = scratch_path(forward.sparkSession, "postings")
     out.write.partitionBy("bucket").parquet(path)
     stored = forward.sparkSession.read.schema(out.schema).parquet(path)
-    return Postings(stored.where("bucket >= 0").drop("chunk_ids", "positions"), stored.where("bucket = -1").select("scope", "range", "n", "lens", "chunk_ids", "positions"))
+    return Postings(stored.where("bucket >= 0").drop("chunk_ids", "positions"), stored.where("bucket = -1").select("scope", "range", "n", F.col("min_len").alias("postings"), "lens", "chunk_ids", "positions"), forward)
 
 
 def _blocks(part: pa.RecordBatch, scope: str, number: int) -> pa.RecordBatch:
@@ -84,8 +89,8 @@ def _blocks(part: pa.RecordBatch, scope: str, number: int) -> pa.RecordBatch:
     most = np.maximum.reduceat(tf, first) if size else np.empty(0, np.int64)
     least = np.minimum.reduceat(lens[slot], first) if size else np.empty(0, np.int64)
     columns = [
-        pa.array([scope] * (size + 1), pa.string()), pa.array(np.full(size + 1, number), pa.int64()), pa.array([*code.dictionary.to_pylist(), None], pa.string()), pa.array(np.append(n, part.num_rows), pa.int32()),
-        pa.array(np.append(most, 0), pa.int32()), pa.array(np.append(least, 0), pa.int64()), lists_of(slot, pa.int32()), lists_of(tf, pa.int32()), of, own, places]
+        pa.array([scope] * (size + 1), pa.string()), pa.array(np.full(size + 1, number), pa.int64()), pa.concat_arrays([code.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(n, part.num_rows), pa.int32()),
+        pa.array(np.append(most, 0), pa.int32()), pa.array(np.append(least, len(slot)), pa.int64()), lists_of(slot, pa.int32()), lists_of(tf, pa.int32()), of, own, places]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
@@ -103,12 +108,14 @@ class Search:
     blocks: DataFrame
 
 
-def search(queries: DataFrame, index: Postings, k: int, params: Params = DEFAULTS, lead: int = LEAD) -> Search:
-    """JN2, AGG1-2, TOP1: the k best chunks of each query (query_id, query[, scope]), exactly as a full scan ranks them."""
+def search(queries: DataFrame, index: Postings, k: int, params: Params = DEFAULTS, lead: int = LEAD, scan: bool | None = None) -> Search:
+    """JN2, AGG1-2, TOP1: the k best chunks of each query (query_id, query[, scope]), exactly as a full scan ranks them. ``scan`` decides between the
+    postings and the forward index; by default their counts do."""
     if params.k1 <= 0 or not 0 <= params.b <= 1 or k < 1:
         raise ValueError("k and k1 must be positive and b within 0..1")
     q = written(R.query_terms(queries))
-    hint = F.broadcast if R.fits(q, F.octet_length("term") + F.octet_length("scope") + 64) else (lambda df: df)
+    small = R.fits(q, F.octet_length("term") + F.octet_length("scope") + 64)
+    hint = F.broadcast if small else (lambda df: df)
     buckets = [r["bucket"] for r in q.select(F.pmod(F.xxhash64("scope", "term"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct().collect()]  # BUCKETS at most
     blocks = index.blocks.where(F.col("bucket").isin(buckets)).drop("bucket")
     heads = blocks.select("scope", "term", "range", "n", "max_tf", "min_len").join(hint(q.select("scope", "term").distinct()), ["scope", "term"], "left_semi")
@@ -118,6 +125,12 @@ def search(queries: DataFrame, index: Postings, k: int, params: Params = DEFAULT
     df = heads.groupBy("scope", "term").agg(F.sum("n").cast("double").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = written(q.join(df, ["scope", "term"]).join(stats, "scope").select("query_id", "scope", "term", (F.col("times") * idf * (params.k1 + 1)).alias("weight"), "avg_len"))
+    if scan is None:
+        asked = heads.groupBy("scope", "term").agg(F.sum("n").alias("n")).join(hint(q), ["scope", "term"]).agg(F.sum("n")).first()[0] or 0
+        scan = small and asked > (index.ranges.agg(F.sum("postings")).first()[0] or 0)
+    if scan:
+        met = heads.join(hint(weights), ["scope", "term"]).groupBy("query_id").agg(F.count("*").alias("blocks"))
+        return Search(R.scored(index.forward, weights, params, k), met.withColumn("blocks_read", F.col("blocks")))
     top = F.sum(F.col("weight") * share(F.col("max_tf"), F.col("min_len"), params))
     bounds = written(heads.join(hint(weights), ["scope", "term"]).groupBy("query_id", "scope", "range").agg(top.alias("bound"), F.count("*").alias("blocks")))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "range"))

@@ -106,7 +106,7 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(hint(df), ["scope", "term"]).join(stats, "scope").select("query_id", "scope", "term", (F.col("times") * idf * (params.k1 + 1)).alias("weight"), "avg_len")
     if small:
-        return _scored(rows, weights, params, k)
+        return scored(rows, weights, params, k)
     hits = rows.select("scope", "chunk_id", "position", "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("*", F.col("x.terms").alias("term"), F.col("x.tfs").cast("double").alias("tf"))
     hits = hits.join(weights, ["scope", "term"])
     part = F.col("weight") * F.col("tf") / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("doc_len") / F.col("avg_len")))
@@ -114,7 +114,7 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS
     return out.where("score > 0")
 
 
-def _scored(rows: DataFrame, weights: DataFrame, params: Params, k: int | None, block: int = 2048) -> DataFrame:
+def scored(rows: DataFrame, weights: DataFrame, params: Params, k: int | None, block: int = 2048) -> DataFrame:
     """BM25 by batches: weights (query_id, scope, term, weight, avg_len) of a small query set, a block of queries at a time."""
     found = weights.orderBy("query_id", "scope", "term").toArrow()
     names = np.unique(found.column("query_id").to_numpy()) if len(found) else np.empty(0, np.int64)
@@ -133,14 +133,14 @@ def _scored(rows: DataFrame, weights: DataFrame, params: Params, k: int | None,
             n = np.array([len(x) for x in terms.values()], np.int64)
             pairs = [p for x in terms.values() for p in x]
             table[scope] = (lengths[scope], {t: i for i, t in enumerate(terms)}, n, np.cumsum(n) - n, np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs]))
-        frames.append(_scored_block(rows, ids, table, params, k))
+        frames.append(scored_block(rows, ids, table, params, k))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def _scored_block(rows: DataFrame, ids: np.ndarray, table: dict[str, tuple], params: Params, k: int | None) -> DataFrame:
+def scored_block(rows: DataFrame, ids: np.ndarray, table: dict[str, tuple], params: Params, k: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):

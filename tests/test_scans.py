@@ -112,12 +112,15 @@ def test_postings_find_the_best(spark, monkeypatch, lead):
     chunks = [("big", f"b{i}", i, text(i)) for i in range(1500)] + [("small", f"s{i}", i, f"common word {i % 3}") for i in range(40)] + [("big", "empty", 5000, ""), ("big", "null", 5001, None)]
     queries = [(1, "big", "common rare3"), (2, "big", "common"), (3, "small", "common word 1"), (4, "big", "rare1 rare1 w17 w18 common"), (5, "big", "nowhere"), (6, "gone", "common"), (7, "big", "rare0 rare7"), (8, "big", "")]
     index = P.build(R.index(spark.createDataFrame(chunks, "scope string, chunk_id string, position long, text string")))
-    found = P.search(spark.createDataFrame(queries, "query_id long, scope string, query string"), index, 6, lead=lead)
+    asked = spark.createDataFrame(queries, "query_id long, scope string, query string")
+    found = P.search(asked, index, 6, lead=lead, scan=False)
     got = defaultdict(list)
     for r in R.ranked(found.hits, 6).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.chunk_id, r.score))
     want = {q: rows for q, rows in plain_bm25(queries, chunks, 6).items() if rows}
     assert dict(got) == want
+    whole = R.ranked(P.search(asked, index, 6, scan=True).hits, 6)
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in whole.collect()) == sorted((q, i + 1, c) for q, rows in got.items() for i, (c, _) in enumerate(rows))
     read = {r.query_id: r.blocks_read / r.blocks for r in found.blocks.collect()}
     assert read[1] < 0.6 and read[7] <= 1 and max(read.values()) <= 1
 
