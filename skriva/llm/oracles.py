@@ -38,7 +38,7 @@ good AS (SELECT s.* FROM s WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 *
 c AS (SELECT lang, rule, step, bin, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM b JOIN q USING (doc_id) GROUP BY ALL),
 a AS (SELECT lang, rule, step, bin - 1 AS c, sum(good) OVER w AS k, sum(bad) OVER w AS hit, sum(good) OVER (PARTITION BY lang, rule) AS n, sum(bad) OVER (PARTITION BY lang, rule) AS nb FROM c WINDOW w AS (PARTITION BY lang, rule ORDER BY bin DESC)),
 tail AS (SELECT *, CASE WHEN k >= n * {_P} THEN 1 ELSE list_sum(list_transform(range(k::BIGINT + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) END AS tail FROM a WHERE c >= 0 AND n > 0),
-ok AS (SELECT *, hit::DOUBLE / greatest(nb, 1) - 10 * k::DOUBLE / greatest(n, 1) AS gain FROM tail WHERE tail <= 0.05::DOUBLE / ({len(RULES)} * greatest(1, (SELECT count(DISTINCT coalesce(lang, '')) FROM c)))),
+ok AS (SELECT *, hit::DOUBLE / greatest(nb, 1) - 10 * k::DOUBLE / greatest(n, 1) AS gain FROM tail WHERE tail <= 0.05::DOUBLE / ({len(RULES)} * greatest(1, (SELECT count(*) FROM (SELECT DISTINCT lang FROM c))))),
 best AS (SELECT lang, rule, c * step AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, c DESC) AS k1 FROM ok WHERE gain > 0) WHERE k1 = 1),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_REJECT}) AS kept FROM f s"""

@@ -112,7 +112,7 @@ def certified_cutoffs(
     rows = labelled.where(~base_failed()).select(F.col(stratum).alias("stratum"), "quality", parts.alias("x"))
     counts = scratch.keep(rows.groupBy("stratum", "x.rule", "x.step", "x.bin").agg(
         F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")), "counts")
-    n_strata = max(1, counts.select(F.coalesce("stratum", F.lit(""))).distinct().count())
+    n_strata = max(1, counts.select("stratum").distinct().count())  # a null stratum is one, an empty one another
     # A score in bin b exceeds exactly the cutoffs step * c with c < b.
     key = ["stratum", "rule"]
     above = Window.partitionBy(*key).orderBy(F.col("bin").desc())

@@ -280,9 +280,9 @@ class Page:
     def skeleton(self) -> str:
         return json.dumps([self.parents, self.keys], separators=(",", ":"))
 
-    def frame(self) -> int:
-        """The first element that frames the page, as a hash. Pages of a host with the same frame are one site."""
-        return skeleton_hash(next((k for k in self.keys if re.split(r"[.?]", k)[0] in FRAME), ""))
+    def frame(self) -> str:
+        """The key of the first element that frames the page."""
+        return next((k for k in self.keys if re.split(r"[.?]", k)[0] in FRAME), "")
 
 
 def skeleton_hash(skeleton: str) -> int:
@@ -387,6 +387,19 @@ def reduced(tree: tuple[list[int], list[str]], rare: frozenset[str]) -> tuple[li
     return parents, keys, to
 
 
+def framed(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, frame, tree_hash, tree, n) of skeletons (host, skeleton, tree, frame, n): those of a host whose framing elements agree in tag and class words are one site.
+    Words that fewer than one in FAN of the host's layouts have there, such as generated names, do not count."""
+    parts = F.split(F.rtrim(F.col("frame"), F.lit("?")), r"\.")
+    words = skeletons.select("host", "skeleton", F.explode(F.array_distinct(F.slice(parts, 2, 1 << 30))).alias("word"))
+    layouts = skeletons.groupBy("host").agg(F.count("*").alias("layouts"))
+    often = words.groupBy("host", "word").agg(F.count("*").alias("k")).join(layouts, "host").where(FAN * F.col("k") >= F.col("layouts")).select("host", "word")
+    kept = words.join(often, ["host", "word"]).groupBy("host", "skeleton").agg(F.array_join(F.sort_array(F.collect_list("word")), ".").alias("names"))
+    out = skeletons.join(kept, ["host", "skeleton"], "left")
+    frame = F.xxhash64(F.get(parts, F.lit(0)), F.coalesce("names", F.lit("")), F.col("frame").endswith("?"))
+    return scratch.keep(out.select("host", frame.alias("frame"), F.col("skeleton").alias("tree_hash"), "tree", "n"), "skeletons")
+
+
 def plainer(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, frame, skeleton, tree_hash, tree, to, n): every skeleton (its hash) less the class words that fewer than one in FAN of its site's
     layouts have, such as generated names. As a constant text stands in most layouts, they tell no template; without them a wrapper does not
@@ -452,10 +465,10 @@ def aligned(rows: DataFrame) -> DataFrame:
 
 
 def parsed(pages: DataFrame, texts: bool) -> DataFrame:
-    """Per page: page_id, url, host, frame, skeleton (hash), and per block its node and the hash of its text; with ``texts`` the block texts,
-    else the blocks' lengths, the tree and the hash of all text."""
-    schema = "page_id long, url string, host string, frame long, skeleton long, nodes array<int>, hashes array<long>, "
-    schema += "texts array<string>" if texts else "chars array<int>, tree string, page long"
+    """Per page: page_id, url, host, skeleton (hash), and per block its node and the hash of its text; with ``texts`` the block texts,
+    else the blocks' lengths, the tree, the hash of all text and the frame's key."""
+    schema = "page_id long, url string, host string, skeleton long, nodes array<int>, hashes array<long>, "
+    schema += "texts array<string>" if texts else "chars array<int>, tree string, page long, frame string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,12 +478,12 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
                 trees = [p.skeleton() for p in found]
                 lists = lambda of, kind: pa.array([[of(n, t) for n, t in p.blocks] for p in found], pa.list_(kind))
                 columns = [
-                    part.column("page_id"), part.column("url"), pa.array([host_of(u) for u in part.column("url").to_pylist()]), pa.array([p.frame() for p in found], pa.int64()),
+                    part.column("page_id"), part.column("url"), pa.array([host_of(u) for u in part.column("url").to_pylist()]),
                     pa.array([skeleton_hash(t) for t in trees], pa.int64()), lists(lambda n, _: n, pa.int32()), lists(lambda _, t: skeleton_hash(t), pa.int64())]
                 if texts:
                     columns.append(lists(lambda _, t: t, pa.string()))
                 else:
-                    columns += [lists(lambda _, t: len(t), pa.int32()), pa.array(trees), pa.array([skeleton_hash("\n".join(t for _, t in p.blocks)) for p in found], pa.int64())]
+                    columns += [lists(lambda _, t: len(t), pa.int32()), pa.array(trees), pa.array([skeleton_hash("\n".join(t for _, t in p.blocks)) for p in found], pa.int64()), pa.array([p.frame() for p in found])]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
@@ -515,8 +528,9 @@ def decide(group: pd.DataFrame) -> pd.DataFrame:
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, text, n_chars per row of pages."""
     seen = scratch.keep(parsed(pages, texts=False), "seen")
-    skeletons = seen.groupBy(*SITE, F.col("skeleton").alias("tree_hash")).agg(F.min("tree").alias("tree"), F.count("*").alias("n"))
-    skeletons = scratch.keep(skeletons, "skeletons")
+    # A skeleton settles its frame and, with the host, its site.
+    skeletons = seen.groupBy("host", "skeleton").agg(F.min("tree").alias("tree"), F.min("frame").alias("frame"), F.count("*").alias("n"))
+    skeletons = framed(scratch.keep(skeletons, "layouts"), scratch)
     plain = plainer(skeletons, scratch)
     trees = scratch.keep(plain.groupBy(*SITE, "tree_hash").agg(F.first("tree").alias("tree"), F.sum("n").alias("n")), "trees")
     wrappers = induce(trees, scratch)
@@ -525,11 +539,11 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     maps = scratch.keep(maps, "maps")
     # Copies of a page count once; (skeleton, page, nodes) settles the other columns.
     blocks = F.arrays_zip("nodes", "hashes", "chars")
-    different = seen.groupBy(*SITE, "skeleton", "page", "nodes").agg(F.first(F.array_distinct(blocks)).alias("blocks"))
-    slots = different.select(*SITE, "skeleton", F.explode("blocks").alias("x")).groupBy(*SITE, "skeleton", "x").agg(F.count("*").alias("pages"))
-    slots = slots.join(maps, [*SITE, "skeleton"]).select(*SITE, F.get("map", "x.nodes").alias("node"), F.col("x.hashes").alias("hash"), "x.chars", "pages")
+    different = seen.groupBy("host", "skeleton", "page", "nodes").agg(F.first(F.array_distinct(blocks)).alias("blocks"))
+    slots = different.select("host", "skeleton", F.explode("blocks").alias("x")).groupBy("host", "skeleton", "x").agg(F.count("*").alias("pages"))
+    slots = slots.join(maps, ["host", "skeleton"]).select(*SITE, F.get("map", "x.nodes").alias("node"), F.col("x.hashes").alias("hash"), "x.chars", "pages")
     texts = slots.groupBy(*SITE, "node", "hash").agg(F.sum("pages").alias("pages"), F.count("*").alias("layouts"), F.sum(F.col("pages") * F.col("chars")).alias("chars"))
-    sizes = different.groupBy(*SITE, "skeleton").agg(F.count("*").alias("n")).groupBy(*SITE).agg(F.sum("n").alias("all_pages"), F.count("*").alias("all_layouts"))
+    sizes = different.groupBy("host", "skeleton").agg(F.count("*").alias("n")).join(maps.select(*SITE, "skeleton"), ["host", "skeleton"]).groupBy(*SITE).agg(F.sum("n").alias("all_pages"), F.count("*").alias("all_layouts"))
     texts = texts.join(sizes, SITE).where("node >= 0")
     # On most of the site's different pages and in most of its layouts.
     texts = texts.withColumn("constant", F.expr("pages >= 3 AND 2 * pages > all_pages AND 2 * layouts > all_layouts"))
@@ -544,9 +558,9 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     role = F.transform("map", lambda i: F.when(i < 0, F.lit(True)).otherwise(F.get("content", i)))
     here = F.filter(F.coalesce("fixed", F.array().cast("array<struct<node:int,hash:bigint>>")), lambda x: F.get("template", x["node"]) & F.array_contains("map", x["node"]))
     drop = F.transform(here, lambda x: F.struct((F.array_position("map", x["node"]) - 1).cast("int").alias("nodes"), x["hash"].alias("hashes")))
-    roles = scratch.keep(roles.select(*SITE, "skeleton", role.alias("role"), drop.alias("drop")), "roles")
+    roles = scratch.keep(roles.select("host", "skeleton", role.alias("role"), drop.alias("drop")), "roles")
     roles = measured(roles, F.size("role") + 16 * F.size("drop") + F.octet_length("host") + 64)
-    out = parsed(pages, texts=True).join(roles, [*SITE, "skeleton"], "left")
+    out = parsed(pages, texts=True).join(roles, ["host", "skeleton"], "left")
     blocks = F.arrays_zip("nodes", "hashes", "texts")
     constant = lambda x: F.array_contains("drop", F.struct(x["nodes"].alias("nodes"), x["hashes"].alias("hashes")))
     chosen = F.filter(blocks, lambda x: F.coalesce(F.get("role", x["nodes"]), F.lit(True)) & ~F.coalesce(constant(x), F.lit(False)))
