@@ -4,12 +4,14 @@ Providers run inside Arrow-batched UDFs on the executors, so a provider must be
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -172,28 +174,50 @@ class VectorStore:
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
+def waits(base: float = 0.5, cap: float = 8.0) -> Iterator[float]:
+    """STR14: delays that double up to a cap, each with up to a tenth of it (a quarter of a second at most) on top."""
+    delay = base
+    while True:
+        least = min(delay, cap)
+        yield least + random.uniform(0, min(0.25, least / 10))
+        delay = 2 * least
+
+
+#: Parts of the names of exceptions that tell of the way to a server rather than of the request.
+TRANSIENT = ("timeout", "connect", "network", "gaierror", "ssl")
+
+
+def transient(error: Exception) -> bool:
+    """Whether asking again may help: rate limits, server errors, and failures on the way."""
+    status = getattr(error, "status", None)
+    if isinstance(status, int):
+        return status == 429 or status >= 500
+    return any(part in type(error).__name__.lower() for part in TRANSIENT)
+
+
+@dataclass
 class Policy:
-    """STR14: calls with doubling delays, jitter, the server's Retry-After and a total budget."""
+    """STR14: asks again, up to ``retries`` times, after what the server says or else the next of ``delays``, while that ends before the budget does."""
 
-    def __init__(self, budget: float = 60.0, retries: int = 2, base: float = 0.5, cap: float = 8.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
-        self.budget, self.retries, self.base, self.cap, self.sleep, self.clock = budget, retries, base, cap, sleep, clock
+    budget: float = 60.0
+    retries: int = 2
+    delays: Callable[[], Iterator[float]] = waits
+    again: Callable[[Exception], bool] = transient
+    sleep: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.monotonic
 
     def call(self, operation: Callable[[], object]) -> object:
-        began = self.clock()
-        for attempt in range(self.retries + 1):
+        deadline = self.clock() + self.budget
+        for delay in itertools.islice(self.delays(), self.retries):
             try:
                 return operation()
-            except Exception as e:
-                status, name = getattr(e, "status", None), type(e).__name__.lower()
-                again = status == 429 or status >= 500 if isinstance(status, int) else any(x in name for x in ("timeout", "connection", "network", "gaierror", "ssl"))
-                wait = getattr(e, "retry_after", None)
-                if wait is None:
-                    wait = min(self.cap, self.base * 2**attempt)
-                    wait += random.uniform(0, min(0.25, wait / 10))
-                if not again or attempt == self.retries or wait >= self.budget - (self.clock() - began):
+            except Exception as error:
+                told = getattr(error, "retry_after", None)
+                delay = delay if told is None else told
+                if not self.again(error) or self.clock() + delay >= deadline:
                     raise
-                self.sleep(wait)
-        return None
+            self.sleep(delay)
+        return operation()
 
 
 STRUCTURED = "id long, schema string, attempts int, ok boolean, error string, value string"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -207,11 +207,13 @@ def compare_modes(runs: DataFrame, tolerance: float = 0.0, strict: bool = True)
 TYPES = ["extractive", "free_form", "yes_no", "unanswerable"]
 
 
-def best_mix(limits: list[int], wanted: list[int], cap: int) -> tuple[int, ...]:
-    """How many cases of each type to take from a paper: as many as the cap allows, then those that are a larger share of what is still wanted, then more
-    of the earlier types."""
-    mixes = [m for m in itertools.product(*(range(x + 1) for x in limits)) if 0 < sum(m) <= cap]
-    return max(mixes, key=lambda m: (sum(m), sum(x / max(1, w) for x, w in zip(m, wanted, strict=True)), m), default=())
+def taken(has: list[int], wanted: list[int], cap: int) -> tuple[int, ...]:
+    """How many cases of each type to take from a paper: as many as the cap allows, first of the types of which least is still wanted (each case is then the
+    largest share of that), earlier types before later ones."""
+    out = [0] * len(has)
+    for i in sorted(range(len(has)), key=lambda i: (max(1, wanted[i]), i)):
+        out[i] = min(has[i], wanted[i], cap - sum(out))
+    return tuple(out)
 
 
 def pilot_sample(cases: DataFrame, papers: DataFrame, quotas: dict[str, int], per_paper: int = 4, seed: str = "pilot") -> DataFrame:
@@ -227,20 +229,26 @@ def pilot_sample(cases: DataFrame, papers: DataFrame, quotas: dict[str, int], pe
     few = p.withColumn("n", F.row_number().over(W.partitionBy(*TYPES).orderBy("batches", "h"))).where(F.col("n") <= total).drop("n")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        wanted, out = [quotas.get(t, 0) for t in TYPES], []
-        left = {r.paper_id: ([int(getattr(r, t)) for t in TYPES], int(r.batches), r.h) for r in g.itertuples()}
-        while sum(wanted):
-            offers = []
-            for name, (has, batches, h) in left.items():
-                mix = best_mix([min(x, w, per_paper) for x, w in zip(has, wanted, strict=True)], wanted, per_paper)
-                if mix:
-                    offers.append(((-sum(mix), batches / sum(mix), batches, h), name, mix))
-            if not offers:
-                raise ValueError(f"no papers left for {dict(zip(TYPES, wanted, strict=True))}")
-            _, name, mix = min(offers)
-            del left[name]
-            wanted = [w - x for w, x in zip(wanted, mix, strict=True)]
-            out.append((name, *mix))
+        wanted, out = np.array([quotas.get(t, 0) for t in TYPES]), []
+        has = dict(zip(g["paper_id"], g[TYPES].to_numpy(int).tolist(), strict=True))
+
+        def offer(name: str, batches: int, h: str) -> tuple | None:
+            mix = taken(has[name], wanted.tolist(), per_paper)
+            return (-sum(mix), batches / sum(mix), batches, h, name, mix) if any(mix) else None
+
+        # What is wanted only shrinks, so an offer only gets worse: an outdated one at the top is made anew and put back.
+        queue = [o for o in map(offer, g["paper_id"], g["batches"].astype(int), g["h"]) if o]
+        heapq.heapify(queue)
+        while wanted.any():
+            if not queue:
+                raise ValueError(f"no papers left for {dict(zip(TYPES, wanted.tolist(), strict=True))}")
+            old = heapq.heappop(queue)
+            now = offer(old[4], old[2], old[3])
+            if now == old:
+                wanted -= now[5]
+                out.append((now[4], *now[5]))
+            elif now:
+                heapq.heappush(queue, now)
         return pd.DataFrame(out, columns=["paper_id", *TYPES])
 
     chosen = few.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "paper_id string, " + ", ".join(f"{t} int" for t in TYPES))
@@ -257,16 +265,16 @@ def balanced_folds(cases: DataFrame, folds: int = 5, seed: str = "fold") -> Data
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["n", "h"], ascending=[False, True])
+        sizes_ = g[[*TYPES, "n"]].to_numpy(float)
+        sizes_ = sizes_[:, sizes_.any(axis=0)]
         many = min(folds, len(g))
-        own = g[[*TYPES, "n"]].to_numpy(float)
-        even = own.sum(axis=0) / many
-        used = even > 0
-        load, out = np.zeros((many, len(even))), []
-        for i, row in enumerate(own):
-            cost = (((load[:, used] + row[used]) / even[used]) ** 2).sum(axis=1)
-            at = i if i < many else min(range(many), key=lambda f: (cost[f], load[f, -1], f))
-            load[at] += row
-            out.append(at)
-        return pd.DataFrame({"paper_id": g["paper_id"], "fold": out})
+        even, held = sizes_.sum(axis=0) / many, sizes_[:many].copy()  # one paper opens each fold
+        place = list(range(many))
+        for paper in sizes_[many:]:
+            height = np.square((held + paper) / even).sum(axis=1)
+            # The lowest; of equal ones that with fewer cases (the last column), then the first.
+            place.append(int(np.lexsort((held[:, -1], height))[0]))
+            held[place[-1]] += paper
+        return pd.DataFrame({"paper_id": g["paper_id"], "fold": place})
 
     return sizes.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(assign, "paper_id string, fold int")

@@ -164,8 +164,13 @@ def balanced_folds(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    ir_metrics, ir_metrics_sliced, latency_percentiles, evidence_coverage_any, set_f1, token_f1, grid_replay, grid_replay_best, worst_fold, gate_failures, threshold_midpoints,
-    dataset_violations, adjudicated_view, failure_attribution, first_mode, pilot_sampling, balanced_folds)}
+    ir_metrics, ir_metrics_sliced, latency_percentiles, evidence_coverage_any, set_f1, token_f1, grid_replay, grid_replay_best, worst_fold,
+    gate_failures, threshold_midpoints, dataset_violations, adjudicated_view, failure_attribution, first_mode, pilot_sampling,
+)}
+#: Cases that the tables cannot hold, or that one task or a stand-in for a service works on: run by the tests, not registered.
+FIXED = {f.__name__: f for f in (
+    balanced_folds,
+)}
 
 GOLD = FLAT + """,
 gold AS (SELECT b.item_id AS query_id, list(c.chunk_id ORDER BY c.chunk_id) AS relevant FROM benchmark b JOIN chunks c ON contains(c.text, b.text) GROUP BY ALL),

@@ -298,8 +298,14 @@ def stalled_tasks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pdf_pages, docx_texts, plain_pages, state_scan, jsonl_errors, jsonl_round_trip, benchmark_papers, benchmark_questions, upload_problems, verified_import, relational_scan, prompt_templates, latest_report, vector_index, legacy_import, state_index, index_digests, frozen_dataset, content_addressed,
-    replaced_partitions, resumed_evaluation, report_files, conversation_markdown, matrix_markdown, strided_picks, mode_comparison, stalled_tasks)}
+    plain_pages, state_scan, jsonl_round_trip, relational_scan, prompt_templates, vector_index, legacy_import, state_index, index_digests,
+    content_addressed, replaced_partitions, resumed_evaluation, report_files, conversation_markdown, matrix_markdown, strided_picks, stalled_tasks,
+)}
+#: Cases that the tables cannot hold, or that one task or a stand-in for a service works on: run by the tests, not registered.
+FIXED = {f.__name__: f for f in (
+    pdf_pages, docx_texts, jsonl_errors, benchmark_papers, benchmark_questions, upload_problems, verified_import, latest_report, frozen_dataset,
+    mode_comparison,
+)}
 
 _REPORT = FLAT + """, s AS (SELECT l.query_id AS report_id, rank, 4 - rank AS o, c.text FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3)"""
 _HTML = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
