@@ -93,8 +93,9 @@ def last_known(parts: Parts, value: str, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(own, "__carried")).drop("__carried", "__part")
 
 
-def states(parts: Parts, action: str, start: str, moves: dict[str, tuple[list[str], str]]) -> DataFrame:
+def states(parts: Parts, action: str, start: str, moves: dict[str, tuple[list[str], str]], begun: DataFrame | None = None) -> DataFrame:
     """(key, status, applied, refused) after all of a key's actions in order; ``moves``: action -> (states it may be taken in, the state it leads to).
+    ``begun``: (key, status, applied, refused) of keys that do not begin at ``start``.
 
     A part's actions fold to a map from each state that it may be entered in to the one that it leaves, with what was applied and refused on the way.
     Maps are composed along the parts of a key, which is the same as folding all actions one by one."""
@@ -119,7 +120,12 @@ def states(parts: Parts, action: str, start: str, moves: dict[str, tuple[list[st
         there = F.element_at(m, F.array_position(F.array(*map(F.lit, names)), a["status"]).cast("int"))
         return F.struct(there["status"].alias("status"), (a["applied"] + there["applied"]).alias("applied"), (a["refused"] + there["refused"]).alias("refused"))
 
-    done = maps.groupBy(parts.key).agg(F.aggregate(in_order, fresh(start), compose).alias("s"))
+    done = maps.groupBy(parts.key).agg(in_order.alias("__maps"))
+    first = fresh(start)
+    if begun is not None:
+        done = done.join(begun.select(F.col(parts.key).alias("__key"), F.struct("status", F.col("applied").cast("long").alias("applied"), F.col("refused").cast("long").alias("refused")).alias("__begun")), F.col(parts.key).eqNullSafe(F.col("__key")), "left")
+        first = F.coalesce("__begun", first)
+    done = done.select(parts.key, F.aggregate("__maps", first, compose).alias("s"))
     return done.select(parts.key, F.col("s.status").alias("status"), F.col("s.applied").cast("int").alias("applied"), F.col("s.refused").cast("int").alias("refused"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table
+from ..operators import store as S
 from ..streaming import sequences as Q
+from ..streaming import steps as P
+from .reports import _machine
 from .tables import ORACLES as TABLES
 from .tables import SEQ, event_sequence
 
@@ -15,15 +18,16 @@ def _place(spark) -> str:
 
 
 def stream_sequence(spark, sf_dir):
+    """STR1."""
     place = _place(spark)
-    s = Q.numbered(Q.event_stream(spark, f"{sf_dir}/events.parquet"))
-    return Q.drained(s, spark, f"{place}/out", f"{place}/state").select("key", "event_id", "sequence")
+    out = P.stepped(Q.event_stream(spark, f"{sf_dir}/events.parquet"), spark, f"{place}/run", f"{place}/offsets", P.numbering(), P.NUMBERS)
+    return out.select("key", "event_id", "sequence")
 
 
 def stream_until_terminal(spark, sf_dir):
+    """STR3."""
     place = _place(spark)
-    s = Q.numbered(Q.event_stream(spark, f"{sf_dir}/events.parquet"), ["error"])
-    out = Q.drained(s, spark, f"{place}/out", f"{place}/state")
+    out = P.stepped(Q.event_stream(spark, f"{sf_dir}/events.parquet"), spark, f"{place}/run", f"{place}/offsets", P.numbering(["error"]), P.NUMBERS)
     return out.groupBy("key").agg(F.count("*").alias("shown"), F.max("sequence").alias("last"))
 
 
@@ -83,9 +87,39 @@ def resumed_stream(spark, sf_dir):
     return Q.resumed(e, cursors, ["error"], 4).select("key", "sequence", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_sequence, stream_until_terminal, stream_deduplicated, stream_accumulated, stream_windowed, stream_stalled, resumed_stream)}
+def _halves(spark, rows, order, again):
+    """Numbered rows as a stream of two deliveries, cut within every key; ``again``: the second one repeats the first."""
+    place = _place(spark)
+    rows.where(F.col(order) <= 30).write.parquet(f"{place}/in/a")
+    (rows if again else rows.where(F.col(order) > 30)).write.parquet(f"{place}/in/b")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in/*"), place
+
+
+def stream_delivered(spark, sf_dir):
+    """STR2: consumers with a cursor each, over deliveries that repeat themselves."""
+    e = event_sequence(spark, sf_dir).select("key", "sequence", "event_id")
+    s, place = _halves(spark, e, "sequence", True)
+    cursors = e.groupBy("key").agg((F.col("key") % 6).cast("long").alias("cursor"))
+    out = P.stepped(s, spark, f"{place}/run", f"{place}/offsets", P.delivering(cursors), P.CURSORS)
+    return out.select("key", "sequence", "event_id")
+
+
+def stream_states(spark, sf_dir):
+    """STR9-10: each user's events as actions on a task, in two batches; the last state that each key was left in."""
+    e = event_sequence(spark, sf_dir)
+    actions = S.ACTIONS["task"]
+    named = e.select("key", F.col("sequence").alias("at"), F.element_at(F.array(*map(F.lit, actions)), (F.col("event_id") % len(actions) + 1).cast("int")).alias("action"))
+    s, place = _halves(spark, named, "at", False)
+    out = P.stepped(s, spark, f"{place}/run", f"{place}/offsets", P.moving(actions, "pending"), P.STATES)
+    last = out.groupBy("key").agg(F.max_by("status", F.col("applied") + F.col("refused")).alias("status"), F.max("applied").cast("long").alias("applied"), F.max("refused").cast("long").alias("refused"))
+    return last.select(F.lit("task").alias("machine"), "key", "status", "applied", "refused")
+
+
+QUERIES = {f.__name__: f for f in (stream_states, stream_delivered, stream_sequence, stream_until_terminal, stream_deduplicated, stream_accumulated, stream_windowed, stream_stalled, resumed_stream)}
 #: The stream reads a table of one file in one batch, so the order within a key is that of the batch query.
 ORACLES = {
+    "stream_states": "WITH RECURSIVE " + SEQ + ", " + _machine("task") + " SELECT 'task' AS machine, key, last(status ORDER BY sequence) AS status, last(applied ORDER BY sequence) AS applied, last(refused ORDER BY sequence) AS refused FROM task_s GROUP BY key",
+    "stream_delivered": f"WITH {SEQ} SELECT key, sequence, event_id FROM seq WHERE sequence > key % 6",
     "stream_sequence": TABLES["event_sequence"], "stream_until_terminal": TABLES["until_terminal"],
     "stream_deduplicated": "SELECT user_id AS key, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY ALL",
     "stream_accumulated": """WITH m AS (SELECT conv_id * 1000 + turn AS message_id, max(text) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL)
