@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..session import written
 from . import scans
-from .retrieval import fits
 
 
 def observations(cases: DataFrame, ranked: DataFrame, k: int = 6, candidates: int = 20) -> DataFrame:
@@ -38,6 +37,10 @@ def case_metrics(obs: DataFrame) -> DataFrame:
         .withColumn("noise", F.size("top") - hits).withColumn("returned", F.size("top")))
 
 
+METRICS = [
+    "recall_at_6", "precision_at_6", "mrr", "candidate_recall_at_20", "evidence_coverage", "noise_rate", "no_answer_refusal_rate", "false_refusal_rate", "average_returned"]
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
@@ -108,16 +111,49 @@ def token_f1(pairs: DataFrame, key: list[str], predicted: str, expected: str) ->
 def replay(scores: DataFrame, cases: DataFrame, grid: DataFrame, k: int = 6) -> DataFrame:
     """JN16: every grid point (config, min_score, top_k) over stored scores (query_id, chunk_id, rank, score); metrics per config.
 
-    The grid is stated by the caller, and broadcast where it is measured small; scores stay partitioned. Each case's list is short (the stored depth)."""
+    A sweep: a case's results change with min_score only at its own stored scores, so between two of these each metric is one value for all grid points there. It is
+    added where the stretch begins and taken off where it ends, summed per top_k and place, and sums over the places give the metrics of all grid
+    points. The work is cases x stored depth x top_ks, however fine the grid; only its thresholds and top_ks, which the caller states, are known to all tasks."""
+    points = sorted(r["min_score"] for r in grid.select(F.col("min_score").cast("double").alias("min_score")).distinct().collect())
+    tops = sorted(r["top_k"] for r in grid.select("top_k").distinct().collect())
+    if not points:
+        return grid.limit(0).select("config", "min_score", "top_k", F.lit(0).cast("long").alias("cases"), *[F.lit(0.0).alias(n) for n in METRICS])
     none = F.array().cast("array<string>")
-    stored = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda r: r)
-    lists = cases.join(scores.groupBy("query_id").agg(stored.alias("stored")), "query_id", "left")
-    x = lists.crossJoin(F.broadcast(grid) if fits(grid, F.lit(32)) else grid)
-    kept = F.filter(F.coalesce("stored", F.array().cast("array<struct<rank:int,chunk_id:string,score:double>>")), lambda r: r["score"] >= F.col("min_score"))
-    found = F.transform(kept, lambda r: r["chunk_id"])
-    x = x.withColumn("relevant", F.coalesce("relevant", none)).withColumn("found", found).withColumn("top", F.slice(found, 1, F.col("top_k")))
-    x = x.withColumn("should_refuse", F.size("relevant") == 0).withColumn("refused", F.size("top") == 0)
-    return metrics(x, ["config", "min_score", "top_k"])
+    lists = scores.where(F.col("score").isNotNull()).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("stored"))
+    x = cases.join(lists, "query_id", "left").withColumn("relevant", F.coalesce("relevant", none))
+    # A case's own scores from the highest on, and how many of the grid's thresholds each reaches.
+    x = x.withColumn("marks", F.coalesce(F.sort_array(F.array_distinct(F.transform("stored", lambda r: r["score"].cast("double"))), asc=False), F.array().cast("array<double>")))
+    grid_points = F.array(*[F.lit(float(g)) for g in points])
+    x = x.withColumn("reach", F.transform("marks", lambda s: F.size(F.filter(grid_points, lambda g: g <= s)) - 1))
+    begins, ends = F.concat(F.array(F.lit(len(points) - 1)), "reach"), F.concat("reach", F.array(F.lit(-1)))
+    stretches = F.zip_with(begins, ends, lambda first, last: F.struct(first.alias("first"), last.alias("last")))
+    stretches = F.filter(F.transform(stretches, lambda r, i: F.struct(r["first"].alias("first"), r["last"].alias("last"), i.alias("mark"))), lambda r: r["first"] > r["last"])
+    x = x.withColumn("at", F.explode(stretches))
+    kept = F.filter("stored", lambda r: r["score"] >= F.get("marks", F.col("at.mark") - 1))
+    found = F.when(F.col("at.mark") == 0, none).otherwise(F.transform(kept, lambda r: r["chunk_id"]))
+    x = x.select("query_id", "relevant", "at", found.alias("found")).withColumn("top_k", F.explode(F.array(*map(F.lit, tops)))).withColumn("top", F.slice("found", 1, F.col("top_k")))
+    m = case_metrics(x.withColumn("should_refuse", F.size("relevant") == 0).withColumn("refused", F.size("top") == 0))
+    refuse, refused = F.col("should_refuse"), F.col("refused")
+    one = lambda c: c.cast("long")
+    parts = {
+        "cases": F.lit(1).cast("long"), "answer": one(~refuse), **{c: F.coalesce(c, F.lit(0.0)) for c in ("recall", "precision", "reciprocal_rank", "candidate_recall")},
+        **{c: one(F.col(c)) for c in ("covered", "allowed", "noise", "returned")}, "kept_off": one(refuse & refused), "lost": one(~refuse & refused)}
+    ends_ = F.explode(F.array(F.struct(F.col("at.first").alias("place"), F.lit(1).alias("sign")), F.struct(F.col("at.last").alias("place"), F.lit(-1).alias("sign")))).alias("e")
+    moves = m.select("top_k", ends_, *[c.alias(n) for n, c in parts.items()]).where("e.place >= 0").groupBy("top_k", F.col("e.place").alias("place")).agg(*[F.sum(F.col(n) * F.col("e.sign")).alias(n) for n in parts])
+    # One row per top_k and threshold from here on.
+    place = lambda c: F.array_position(grid_points, c.cast("double")).cast("int") - 1
+    asked = grid.select("top_k", place(F.col("min_score")).alias("place")).distinct()
+    sums = moves.join(asked, ["top_k", "place"], "full")
+    above = W.partitionBy("top_k").orderBy(F.col("place").desc()).rowsBetween(W.unboundedPreceding, 0)
+    sums = sums.select("top_k", "place", *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(n) for n in parts])
+    out = grid.withColumn("place", place(F.col("min_score"))).join(sums, ["top_k", "place"]).where("cases > 0")
+    mean = lambda c: _ratio(F.col(c), F.col("answer"))
+    found = {
+        "recall_at_6": mean("recall"), "precision_at_6": mean("precision"), "mrr": mean("reciprocal_rank"), "candidate_recall_at_20": mean("candidate_recall"),
+        "evidence_coverage": _ratio(F.col("covered"), F.col("allowed")), "noise_rate": _ratio(F.col("noise"), F.col("returned")),
+        "no_answer_refusal_rate": _ratio(F.col("kept_off"), F.col("cases") - F.col("answer")), "false_refusal_rate": F.col("lost") / F.greatest("answer", F.lit(1)),
+        "average_returned": F.col("returned") / F.col("cases")}
+    return out.select("config", "min_score", "top_k", "cases", *[F.round(c, 6).alias(n) for n, c in found.items()])
 
 
 def best_config(results: DataFrame, keys: list[Column], by: list[str] | None = None) -> DataFrame:

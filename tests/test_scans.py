@@ -134,3 +134,25 @@ def test_metadata_that_is_no_json(spark):
     rows = [("{bad",), ('{"a": 1, "Token": 2}',), ("[1]",), ("",), (None,), ('{"a": NaN}',)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string").select(store.public_metadata(F.col("s"))).collect()]
     assert got[:5] == ["{}", '{"a":1}', "{}", "{}", None]
+
+
+def test_grid_replay_is_that_of_every_point(spark):
+    """The sweep against metrics of each grid point by itself: scores that do not fall with the rank, ties, cases without results or relevant chunks, unordered thresholds."""
+    from skriva.operators import evaluate as E
+
+    rnd = random.Random(9)
+    scores = [(q, f"c{r}", r, rnd.choice([1.0, 2.0, 2.5, 3.0, 7.25, None])) for q in range(40) for r in range(1, rnd.randrange(2, 12))]
+    cases = [(q, [f"c{rnd.randrange(1, 12)}" for _ in range(rnd.randrange(3))] if q % 5 else None) for q in range(44)]
+    grid = [(i, g, t) for i, (g, t) in enumerate((g, t) for g in (2.5, 0.0, 2.4, 9.0, 3.0, 7.25) for t in (1, 3, 6))] + [(99, 2.5, 3)]
+    s, c = spark.createDataFrame(scores, "query_id long, chunk_id string, rank int, score double"), spark.createDataFrame(cases, "query_id long, relevant array<string>")
+    g = spark.createDataFrame(grid, "config int, min_score double, top_k int")
+    got = {r.config: r.asDict() for r in E.replay(s, c, g).collect()}
+    assert set(got) == {i for i, *_ in grid}
+    for config, least, top_k in grid:
+        lists = s.where(F.col("score") >= least).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l"))
+        none = F.array().cast("array<string>")
+        x = c.join(lists, "query_id", "left").select("query_id", F.coalesce("relevant", none).alias("relevant"), F.coalesce(F.transform("l", lambda r: r["chunk_id"]), none).alias("found"))
+        x = x.withColumn("top", F.slice("found", 1, top_k)).withColumn("should_refuse", F.size("relevant") == 0).withColumn("refused", F.size("top") == 0)
+        want = E.metrics(x).first().asDict()
+        assert {k: v for k, v in got[config].items() if k in want} == pytest.approx(want, abs=2e-6)
+    assert E.replay(s, c, g.limit(0)).collect() == []
