@@ -124,16 +124,56 @@ def section_ranges(heads: DataFrame, pages: DataFrame, key: str = "doc_id", page
     return df.select(key, "section_index", "name", F.col(page).alias("page_start"), F.greatest(F.col(page), end).alias("page_end"))
 
 
-def first_section(pages: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """JN5: the first section whose pages hold the page; null if none. The equi-key bounds the range join to one document."""
-    j = pages.join(sections, (pages[key] == sections[key]) & F.col("page").between(F.col("page_start"), F.col("page_end")), "left")
-    return j.groupBy(pages[key], "page").agg(F.min_by("name", "section_index").alias("section"))
+#: Levels of dyadic ranges: page numbers below 2 ** LEVELS.
+LEVELS = 31
+
+
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The ranges [node * 2 ** level, (node + 1) * 2 ** level) that make up first..last, at most two per level, as structs (level, node)."""
+    start = F.struct(first.cast("long").alias("a"), last.cast("long").alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
 
+    def up(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        left, right = (a <= b) & (a % 2 == 1), (a <= b) & (b % 2 == 0)
+        own = F.array_compact(F.array(
+            F.when(left, F.struct(level.alias("level"), a.alias("node"))), F.when(right & ~(left & (a == b)), F.struct(level.alias("level"), b.alias("node")))))
+        return F.struct(
+            F.when(a > b, a).otherwise(F.floor((a + left.cast("int")) / 2)).alias("a"), F.when(a > b, b).otherwise(F.floor((b - right.cast("int")) / 2)).alias("b"),
+            F.concat(state["nodes"], own).alias("nodes"))
 
-def chunk_blocks(chunks: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """JN6: for each chunk the blocks whose half-open span overlaps, in order, distinct."""
-    c, b = chunks.alias("c"), blocks.alias("b")
-    hit = (F.col(f"c.{key}") == F.col(f"b.{key}")) & (F.col("b.char_start") < F.col("c.char_end")) & (F.col("b.char_end") > F.col("c.char_start"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, up, lambda s: s["nodes"])
+
+
+def first_section(pages: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """JN5: the first section whose pages hold the page; null if none.
+
+    A section stands at the few dyadic ranges that make up its pages, and each range keeps its first section. A page looks at the one range per level that holds it. So a
+    document with many pages and sections that overlap costs their sum times the logarithm of its pages, and its ranges are keys of their own."""
+    nodes = sections.where("page_start <= page_end").select(F.col(key).alias("__key"), "section_index", "name", F.explode(dyadic_cover(F.col("page_start"), F.col("page_end"))).alias("x"))
+    first = nodes.groupBy("__key", "x.level", "x.node").agg(F.min(F.struct("section_index", "name")).alias("s"))
+    asked = pages.select(key, "page").distinct()
+    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    above = F.transform(levels, lambda l: F.struct(l.alias("level"), F.floor(F.col("page") / F.pow(F.lit(2), l)).alias("node")))
+    each = asked.select(key, "page", F.explode(above).alias("y"))
+    found = each.join(first, (each[key] == first["__key"]) & (F.col("y.level") == first["level"]) & (F.col("y.node") == first["node"]))
+    best = found.groupBy(F.col(key).alias("__key"), F.col("page").alias("__page")).agg(F.min("s").alias("s"))
+    return asked.join(best, (F.col(key) == F.col("__key")) & (F.col("page") == F.col("__page")), "left").select(key, "page", F.col("s.name").alias("section"))
+
+
+def chunk_blocks(chunks: DataFrame, blocks: DataFrame, key: str = "doc_id", width: int = 1024) -> DataFrame:
+    """JN6: for each chunk the blocks whose half-open span overlaps, in order, distinct.
+
+    Spans meet in the bins of ``width`` characters that they touch, so that the work goes with the spans' lengths and what overlaps, and a long document
+    is many keys. A pair counts in the bin where the later of the two begins."""
+
+    def binned(rows: DataFrame, *columns: str) -> DataFrame:
+        place = lambda at: F.floor(at / width)
+        bins = F.sequence(place(F.col("char_start")), place(F.greatest(F.col("char_end") - 1, F.col("char_start"))))
+        return rows.select(key, *columns, "char_start", "char_end", place(F.col("char_start")).alias("begins"), F.explode(bins).alias("bin"))
+
+    c, b = binned(chunks, "chunk_index").alias("c"), binned(blocks, "line").alias("b")
+    hit = (F.col(f"c.{key}") == F.col(f"b.{key}")) & (F.col("c.bin") == F.col("b.bin")) & (F.col("c.bin") == F.greatest("c.begins", "b.begins"))
+    hit = hit & (F.col("b.char_start") < F.col("c.char_end")) & (F.col("b.char_end") > F.col("c.char_start"))
     return c.join(b, hit).groupBy(f"c.{key}", "c.chunk_index").agg(F.array_sort(F.collect_set("b.line")).alias("lines"))
 
 

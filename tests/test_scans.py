@@ -156,3 +156,35 @@ def test_grid_replay_is_that_of_every_point(spark):
         want = E.metrics(x).first().asDict()
         assert {k: v for k, v in got[config].items() if k in want} == pytest.approx(want, abs=2e-6)
     assert E.replay(s, c, g.limit(0)).collect() == []
+
+
+def test_spans_that_overlap(spark):
+    from skriva.operators import chunks as C
+
+    rnd = random.Random(3)
+    span = lambda most: (lambda a: (a, a + rnd.choice([0, 1, rnd.randrange(most)])))(rnd.randrange(9000))
+    cs = [(d, i, *span(3000)) for d, n in ((1, 150), (2, 3)) for i in range(n)] + [(1, 900, 0, 9000), (1, 901, 1024, 2048)]
+    bs = [(d, i, *span(400)) for d, n in ((1, 600), (2, 5), (3, 4)) for i in range(n)] + [(1, 900, 0, 20_000), (1, 901, 1024, 1024), (1, 902, 2048, 2048)]
+    got = C.chunk_blocks(spark.createDataFrame(cs, "doc_id long, chunk_index int, char_start int, char_end int"), spark.createDataFrame(bs, "doc_id long, line int, char_start int, char_end int"))
+    want = {(d, i): sorted({j for e, j, x, y in bs if e == d and x < b and y > a}) for d, i, a, b in cs}
+    assert {(r.doc_id, r.chunk_index): r.lines for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_first_section_of_a_page(spark):
+    from skriva.operators import chunks as C
+
+    rnd = random.Random(7)
+    sections = [(d, i, f"s{i}", a, a + rnd.choice([0, 0, 3, 40, 900])) for d in (1, 2) for i, a in enumerate(rnd.randrange(1000) for _ in range(60))] + [(1, 99, "all", 0, 5000), (2, 98, "none", 5, 4)]
+    pages = [(d, p) for d in (1, 2, 3) for p in range(0, 1100, 3)] + [(1, 5000), (1, 5001)]
+    got = C.first_section(spark.createDataFrame(pages, "doc_id long, page int"), spark.createDataFrame(sections, "doc_id long, section_index int, name string, page_start int, page_end int"))
+    first = lambda d, p: min(((i, n) for e, i, n, a, b in sections if e == d and a <= p <= b), default=(0, None))[1]
+    assert {(r.doc_id, r.page): r.section for r in got.collect()} == {(d, p): first(d, p) for d, p in pages}
+
+
+def test_a_long_document_is_no_square(spark):
+    """20,000 chunks and 200,000 lines in one document: 4 * 10**9 pairs, of which some 10**6 overlap."""
+    from skriva.operators import chunks as C
+
+    c = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 1000).cast("int").alias("char_start"), (F.col("id") * 1000 + 1200).cast("int").alias("char_end"))
+    b = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line"), (F.col("id") * 100).cast("int").alias("char_start"), (F.col("id") * 100 + 99).cast("int").alias("char_end"))
+    assert C.chunk_blocks(c, b).agg(F.sum(F.size("lines"))).first()[0] == 20_000 * 12 - 2
