@@ -32,9 +32,25 @@ def contains(c: Column, term: str) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lit(term.lower())), F.lit(False))
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """TOP3."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+#: Rows up to which a page is cut from the first rows of a sort.
+SHALLOW = 10_000
+
+
+def page(df: DataFrame, order: list[Column], offset: int, limit: int, shallow: int = SHALLOW) -> DataFrame:
+    """TOP3: rows offset to offset + limit in order. The first pages come from the least rows, which each task keeps; for deeper ones the rows are sorted by ranges and
+    written once with their place, the counts of the ranges tell where the page begins, and only the files that hold it are opened."""
+    if offset + limit <= shallow:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed)
+    sizes = placed.groupBy(F.shiftright("__at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row per range
+    here, before = F.lit(False), 0
+    for p, n in sizes:
+        first, end = max(offset - before, 0), min(offset + limit - before, n)
+        if first < end:
+            here = here | F.col("__at").between((p << 33) + first, (p << 33) + end - 1)
+        before += n
+    return placed.where(here).orderBy("__at").drop("__at")
 
 
 def message_order() -> list[Column]:

@@ -51,6 +51,13 @@ def task_page(spark, sf_dir):
     return S.page(rows, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 40, 20).select("o_orderkey", "o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
+def last_page(spark, sf_dir):
+    """TOP3: the last twenty lines, the newest first."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    order = [F.col("l_shipdate").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return S.page(rows, order, max(rows.count() - 20, 0), 20).select("l_orderkey", "l_linenumber")
+
+
 def task_count(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status")
     return S.listing(o, F.col("o_orderpriority"), F.col("o_orderkey").cast("string"), "F", "URG").agg(F.count("*").alias("total"))
@@ -185,7 +192,7 @@ def heartbeats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    client_view, heartbeats, history_budget, previous_user_turn, conversation_search, message_page, conversation_archive, task_page, task_count, active_parent_join, event_sequence, events_after_cursor,
+    client_view, heartbeats, history_budget, previous_user_turn, conversation_search, message_page, conversation_archive, task_page, last_page, task_count, active_parent_join, event_sequence, events_after_cursor,
     latest_state, until_terminal, stale_keys, trace_rollup, usage_deltas, json_props, sse_round_trip, lenient_json, request_validation,
     expired_files, active_duplicates, checkpoint_upsert, cascade_delete, state_transitions)}
 
@@ -194,6 +201,7 @@ TASKS = """t AS (SELECT o_orderkey AS task_id, o_custkey AS dedup_key, CASE o_or
 STRIP = r"regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '')"
 
 ORACLES = {
+    "last_page": """WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS i, count(*) OVER () AS n FROM lineitem) SELECT l_orderkey, l_linenumber FROM r WHERE i > n - 20""",
     "client_view": """WITH d AS (SELECT user_id AS key, event_id AS arrival, event_id - event_id * 7 % 400 AS id FROM events), t AS (SELECT *, max(id) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id DESC) AS n FROM t WHERE top IS NULL OR id > top) SELECT key, arrival, id FROM n WHERE n <= 5""",
     "heartbeats": """WITH g AS (SELECT user_id AS key, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events), b AS (SELECT key, (gap - 1) // 3600000000 AS n FROM g WHERE gap > 3600000000)

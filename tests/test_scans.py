@@ -188,3 +188,14 @@ def test_a_long_document_is_no_square(spark):
     c = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 1000).cast("int").alias("char_start"), (F.col("id") * 1000 + 1200).cast("int").alias("char_end"))
     b = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line"), (F.col("id") * 100).cast("int").alias("char_start"), (F.col("id") * 100 + 99).cast("int").alias("char_end"))
     assert C.chunk_blocks(c, b).agg(F.sum(F.size("lines"))).first()[0] == 20_000 * 12 - 2
+
+
+@pytest.mark.parametrize(("offset", "limit"), [(0, 7), (990, 20), (500, 100), (1500, 10), (999, 1)])
+def test_deep_pages(spark, offset, limit):
+    rnd = random.Random(1)
+    rows = [(rnd.randrange(50), i) for i in range(1000)]
+    order = [F.col("a").desc(), F.col("b")]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))[offset : offset + limit]
+    for shallow in (0, 10_000):
+        assert [tuple(r) for r in store.page(df, order, offset, limit, shallow).collect()] == want
