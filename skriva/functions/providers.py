@@ -164,12 +164,12 @@ class VectorStore:
         return self.rows.count() if self.rows is not None else 0
 
     def search(self, queries: DataFrame, k: int) -> DataFrame | None:
-        """(query_id, vec_id, score, rank); queries: (query_id, q), a stated set."""
+        """(query_id, vec_id, score, rank); queries: (query_id, q), a stated set. Matrix products over Arrow batches: only the k best of each batch are shuffled."""
         if self.rows is None:
             return None
-        from ..operators.retrieval import vector_scores
+        from ..operators.retrieval import vector_hits
 
-        scored = vector_scores(queries, self.rows.withColumnRenamed("v", "embedding"))
+        scored = vector_hits(queries, self.rows.withColumnRenamed("v", "embedding"), k, -math.inf, above=-math.inf, last_first=True)
         order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("position").desc())
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 

@@ -181,25 +181,25 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "score", key: str
     return df.where(F.col("rank") <= k) if k else df
 
 
-def best_of(scores: np.ndarray, position: np.ndarray, k: int | None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best rows of each column above zero and from ``least`` on, ties by position; of all such rows without k."""
+def best_of(scores: np.ndarray, position: np.ndarray, k: int | None, least: float = 0.0, above: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of each column ``above`` a value (zero) and from ``least`` on, ties by position; of all such rows without k."""
     if k is None:
-        return np.nonzero((scores > 0) & (scores >= least) & np.isfinite(scores))
+        return np.nonzero((scores > above) & (scores >= least) & np.isfinite(scores))
     rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for j in range(scores.shape[1]):
-        s = np.where(np.isfinite(scores[:, j]), scores[:, j], -1)
+        s = np.where(np.isfinite(scores[:, j]), scores[:, j], -np.inf)
         some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > 4 * k else np.arange(len(s))
         best = some[np.lexsort((position[some], -s[some]))[:k]]
-        best = best[(s[best] > 0) & (s[best] >= least)]
+        best = best[(s[best] > above) & (s[best] >= least)]
         rows.append(best)
         columns.append(np.full(len(best), j))
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = None, threshold: float = 0.0, block: int = 4096) -> DataFrame:
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = None, threshold: float = 0.0, block: int = 4096, above: float = 0.0, last_first: bool = False) -> DataFrame:
     """JN3, FLT5: (query_id, vec_id, position, score) of a stated set of queries (query_id, q) against every vector, by matrix products over Arrow batches:
     the k best of each batch (of which a rank over the result picks the best of all), or all from the threshold on. The queries are shipped
-    ``block`` at a time."""
+    ``block`` at a time. Scores must be ``above`` zero or another value; of equal ones the greater position comes first with ``last_first``."""
     names = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
     frames = []
     for at in range(0, max(len(names), 1), block):
@@ -208,14 +208,14 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = None, th
         ids = np.array(sorted(found), np.int64)
         q = np.array([found[i] for i in ids.tolist()], float).reshape(len(ids), -1)
         norms = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        frames.append(_vector_block(vectors, ids, (q / np.where(norms == 0, 1, norms)).T, k, threshold))
+        frames.append(_vector_block(vectors, ids, (q / np.where(norms == 0, 1, norms)).T, k, threshold, above, last_first))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def _vector_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int | None, threshold: float) -> DataFrame:
+def _vector_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int | None, threshold: float, above: float, last_first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -226,7 +226,7 @@ def _vector_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int | N
                 norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
                 scores = np.round((v / np.where(norms == 0, 1, norms)) @ q, PLACES)
                 position = batch.column("position").to_numpy(zero_copy_only=False)
-                i, j = best_of(scores, position, k, threshold)
+                i, j = best_of(scores, -position if last_first else position, k, threshold, above)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), batch.column("vec_id").take(pa.array(i)), pa.array(position[i]), pa.array(scores[i, j])], names=["query_id", "vec_id", "position", "score"])
 
     good = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("position").cast("long").alias("position"), V.doubles(F.col("embedding")).alias("embedding"))
