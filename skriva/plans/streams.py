@@ -87,20 +87,23 @@ def resumed_stream(spark, sf_dir):
     return Q.resumed(e, cursors, ["error"], 4).select("key", "sequence", "event_id")
 
 
-def _halves(spark, rows, order, again):
-    """Numbered rows as a stream of two deliveries, cut within every key; ``again``: the second one repeats the first."""
+def _halves(spark, rows, order, again, step, schema):
+    """Numbered rows through a stream that takes two deliveries, cut within every key, and is restarted between them; ``again``: the second one repeats the first.
+
+    A delivery is one batch: its files are finished in any order and a key may lie in several, so a batch of only some of them could hold a key's later rows before its earlier ones."""
     place = _place(spark)
-    rows.where(F.col(order) <= 30).write.parquet(f"{place}/in/a")
-    (rows if again else rows.where(F.col(order) > 30)).write.parquet(f"{place}/in/b")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in/*"), place
+    for name, some in (("a", rows.where(F.col(order) <= 30)), ("b", rows if again else rows.where(F.col(order) > 30))):
+        some.write.parquet(f"{place}/in/{name}")
+        s = spark.readStream.schema(rows.schema).parquet(f"{place}/in/*")
+        out = P.stepped(s, spark, f"{place}/run", f"{place}/offsets", step, schema)
+    return out
 
 
 def stream_delivered(spark, sf_dir):
     """STR2: consumers with a cursor each, over deliveries that repeat themselves."""
     e = event_sequence(spark, sf_dir).select("key", "sequence", "event_id")
-    s, place = _halves(spark, e, "sequence", True)
     cursors = e.groupBy("key").agg((F.col("key") % 6).cast("long").alias("cursor"))
-    out = P.stepped(s, spark, f"{place}/run", f"{place}/offsets", P.delivering(cursors), P.CURSORS)
+    out = _halves(spark, e, "sequence", True, P.delivering(cursors), P.CURSORS)
     return out.select("key", "sequence", "event_id")
 
 
@@ -109,8 +112,7 @@ def stream_states(spark, sf_dir):
     e = event_sequence(spark, sf_dir)
     actions = S.ACTIONS["task"]
     named = e.select("key", F.col("sequence").alias("at"), F.element_at(F.array(*map(F.lit, actions)), (F.col("event_id") % len(actions) + 1).cast("int")).alias("action"))
-    s, place = _halves(spark, named, "at", False)
-    out = P.stepped(s, spark, f"{place}/run", f"{place}/offsets", P.moving(actions, "pending"), P.STATES)
+    out = _halves(spark, named, "at", False, P.moving(actions, "pending"), P.STATES)
     last = out.groupBy("key").agg(F.max_by("status", F.col("applied") + F.col("refused")).alias("status"), F.max("applied").cast("long").alias("applied"), F.max("refused").cast("long").alias("refused"))
     return last.select(F.lit("task").alias("machine"), "key", "status", "applied", "refused")
 
