@@ -9,13 +9,13 @@ of the other ranges only those whose bound reaches the threshold are scored. Wha
 are stored by buckets of terms, so only the buckets of the wanted terms are opened.
 
 Where a set of questions asks for more postings than the whole index holds (each counted once per question), one scan of the forward index that scores batches of
-chunks for all questions at once is less work; the counts in the heads tell. The result is the same.
+chunks for all questions at once is less work; the counts in the heads tell. The result is the same. ``best`` asks this of the forward index, before there are postings.
 
 A block never holds more than RANGE postings, so a word that stands in every chunk is many rows that no task has to gather."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,6 +152,18 @@ def search(queries: DataFrame, index: Postings, k: int, params: Params = DEFAULT
     return Search(hits, all_.join(read, "query_id"))
 
 
+def best(queries: DataFrame, forward: DataFrame, postings: Callable[[], Postings], k: int, params: Params = DEFAULTS) -> DataFrame:
+    """The hits of ``search`` for a forward index whose postings need not exist: the counts of the wanted terms, taken from the forward index, tell whether one scan of it is
+    less work. Only if it is not are the postings made, which writes and shuffles every one of them."""
+    q = written(R.query_terms(queries))
+    if R.fits(q, F.octet_length("term") + F.octet_length("scope") + 64):
+        counts = written(R.document_counts(q, forward, F.broadcast))
+        asked = counts.join(F.broadcast(q), ["scope", "term"]).agg(F.sum("df")).first()[0] or 0
+        if asked > (forward.agg(F.sum(F.size("tfs"))).first()[0] or 0):
+            return R.bm25(queries, None, params, forward, k, counts)
+    return search(queries, postings(), k, params).hits
+
+
 def _scores(chosen: DataFrame, weights: DataFrame, blocks: DataFrame, hint, params: Params) -> DataFrame:
     """(query_id, scope, range, slot, score) of the chunks in the chosen ranges (query_id, scope, range)."""
     wanted = chosen.select("query_id", "scope", "range").join(hint(weights), ["query_id", "scope"])

@@ -74,9 +74,9 @@ def counted(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "text").mapInArrow(run, ", ".join([*kinds, "doc_len long, terms array<string>, tfs array<int>"]))
 
 
-def index(chunks: DataFrame) -> DataFrame:
-    """(scope, chunk_id, position, doc_len, terms, tfs) per chunk as a written table: built once, read by every search over the same chunks."""
-    return written(counted(chunks, ["scope", "chunk_id", "position"]))
+def index(chunks: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, chunk_id, position, more..., doc_len, terms, tfs) per chunk as a written table: built once, read by every search over the same chunks."""
+    return written(counted(chunks, ["scope", "chunk_id", "position", *more]))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -87,9 +87,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS, indexed: DataFrame | None = None, k: int | None = None) -> DataFrame:
+def document_counts(terms: DataFrame, rows: DataFrame, hint) -> DataFrame:
+    """(scope, term, df): in how many rows of the index each of the terms (scope, term) stands."""
+    wanted = terms.select("scope", "term").distinct()
+    return rows.select("scope", F.explode("terms").alias("term")).join(hint(wanted), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count("*").cast("double").alias("df"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS, indexed: DataFrame | None = None, k: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """SC4, AGG1-2, JN2: (query_id, scope, chunk_id, position, score) with score > 0. Statistics come from each scope alone. ``indexed``: the index of
-    the chunks, where there is one. With ``k``, at least the k best of each query, for ``ranked`` to choose from.
+    the chunks, where there is one. With ``k``, at least the k best of each query, for ``ranked`` to choose from. ``counts``: the document counts of
+    the queries' terms, where they are known.
 
     Two passes over the index: one counts the documents of the wanted terms, one scores. While the query set is measured small, its weights are shipped and
     a batch of chunks is scored at once, so of a query's many hits only the best of each batch are shuffled; else all by joins."""
@@ -101,8 +108,7 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, params: Params = DEFAULTS
     hint = F.broadcast if small else (lambda df: df)
     n, length = F.count("*").cast("double"), F.greatest(F.avg("doc_len"), F.lit(1.0))
     stats = rows.groupBy("scope").agg(n.alias("n"), length.alias("avg_len"))
-    wanted = q.select("scope", "term").distinct()
-    df = rows.select("scope", F.explode("terms").alias("term")).join(hint(wanted), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(n.alias("df"))
+    df = document_counts(q, rows, hint) if counts is None else counts
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(hint(df), ["scope", "term"]).join(stats, "scope").select("query_id", "scope", "term", (F.col("times") * idf * (params.k1 + 1)).alias("weight"), "avg_len")
     if small:

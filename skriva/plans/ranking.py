@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import postings as P
 from ..operators import retrieval as R
-from ..session import table
+from ..session import table, written
 from .documents import SPANS, TERMS, chunks
 
 
@@ -35,7 +35,7 @@ def _kept(spark, sf_dir, name, make):
 
 def indexed(spark, sf_dir):
     """The forward index of the documents' chunks: built once in a session for the same files, shared by all queries."""
-    return _kept(spark, sf_dir, "forward", lambda: R.index(chunks(spark, sf_dir)))
+    return _kept(spark, sf_dir, "forward", lambda: R.index(chunks(spark, sf_dir), ("lang",)))
 
 
 def postings(spark, sf_dir):
@@ -43,7 +43,8 @@ def postings(spark, sf_dir):
 
 
 def lexical(spark, sf_dir, k):
-    return R.ranked(P.search(questions(spark, sf_dir), postings(spark, sf_dir), k).hits, k)
+    """The k best chunks of each question, as a written table: it is small, so a query may read it several times and join it to texts without shuffling these."""
+    return written(R.ranked(P.best(questions(spark, sf_dir), indexed(spark, sf_dir), lambda: postings(spark, sf_dir), k), k))
 
 
 def _score(name="score", places=6):
@@ -56,10 +57,10 @@ def bm25_topk(spark, sf_dir):
 
 def bm25_scoped(spark, sf_dir):
     """The same within one language: statistics of that scope alone."""
-    c = chunks(spark, sf_dir).withColumn("scope", F.col("lang"))
+    forward = indexed(spark, sf_dir).withColumn("scope", F.col("lang"))
     q = questions(spark, sf_dir).withColumn("scope", F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr"))
-    index = _kept(spark, sf_dir, "postings by language", lambda: P.build(R.index(c)))
-    return R.ranked(P.search(q, index, 6).hits, 6).select("query_id", "scope", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
+    found = P.best(q, forward, lambda: _kept(spark, sf_dir, "postings by language", lambda: P.build(forward)), 6)
+    return R.ranked(found, 6).select("query_id", "scope", F.col("rank").cast("long").alias("rank"), "chunk_id", _score())
 
 
 def _vectors(spark, sf_dir):

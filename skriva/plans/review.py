@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..operators import review as V
-from ..session import table
+from ..session import table, written
 from .evaluation import GOLD, METRICS, _case_sql, cases, observations
 from .literals import rows_of, values
 from .ranking import FLAT, HASHED, hashed, lexical, questions
@@ -93,7 +93,7 @@ def answer_quality(spark, sf_dir):
 
 def candidate_totals(spark, sf_dir):
     """AGG10 over BM25 and hashed vectors with a threshold."""
-    b, v = lexical(spark, sf_dir, 20), R.ranked(hashed(spark, sf_dir), 20)
+    b, v = lexical(spark, sf_dir, 20), written(R.ranked(hashed(spark, sf_dir), 20))
     kept = R.positive(v, 0.6)
     count = lambda df, n: df.groupBy("query_id").agg(F.count("*").alias(n))
     fused = R.rrf([b, R.ranked(kept.drop("rank"))])
