@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import retrieval as R
-from ..session import table
+from ..session import table, written
 from .documents import chunks
 from .ranking import FLAT, TOKENS, indexed, lexical, questions
 
@@ -27,7 +27,10 @@ def gold(spark, sf_dir):
     probed, short = q.where("term IS NOT NULL"), q.where("term IS NULL")
     hint = F.broadcast if R.fits(q, F.octet_length("query") + 64) else (lambda df: df)
     near = indexed(spark, sf_dir).select("chunk_id", F.explode("terms").alias("term")).join(hint(probed), "term").select("chunk_id", "query_id", "query")
-    hits = near.join(c, "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
+    # The few chunks with a probe, measured, go to the texts, not all texts to them.
+    near = written(near)
+    some = F.broadcast(near) if R.fits(near, F.octet_length("query") + F.octet_length("chunk_id") + 64) else near
+    hits = c.join(some, "chunk_id").where(F.contains("text", "query")).select("query_id", "chunk_id")
     found = hits
     if not short.isEmpty():
         found = hits.unionByName(c.join(hint(short), F.contains("text", "query")).select("query_id", "chunk_id"))
