@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import store as S
-from ..session import table
+from ..session import spread, table, written
 
 NOW = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -160,11 +160,11 @@ def active_duplicates(spark, sf_dir):
 
 def checkpoint_upsert(spark, sf_dir):
     """Line items as checkpoints (order, line): odd lines come again with a later version."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("long").alias("step"), F.lit(1).cast("long").alias("version"), F.round("l_quantity", 2).alias("state"))
-    new = rows.where("step % 2 = 1").withColumn("version", F.lit(2).cast("long")).withColumn("state", F.round(F.col("state") + 1, 2))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").cast("long").alias("step"), F.round("l_quantity", 2).alias("state"))
     # A table may hold a key several times already; the largest state of a version stands for it.
-    one = lambda df: df.groupBy("task_id", "step", "version").agg(F.max("state").alias("state"))
-    return S.upsert(one(rows), one(new), ["task_id", "step"], "version").select("task_id", "step", "version", "state")
+    stored = written(spread(rows, "task_id", "step").groupBy("task_id", "step").agg(F.max("state").alias("state"))).withColumn("version", F.lit(1).cast("long"))
+    new = stored.where("step % 2 = 1").withColumn("version", F.lit(2).cast("long")).withColumn("state", F.round(F.col("state") + 1, 2))
+    return S.upsert(stored, new, ["task_id", "step"], "version").select("task_id", "step", "version", "state")
 
 
 def cascade_delete(spark, sf_dir):
