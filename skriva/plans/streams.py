@@ -110,11 +110,10 @@ def stream_delivered(spark, sf_dir):
 def stream_states(spark, sf_dir):
     """STR9-10: each user's events as actions on a task, in two batches; the last state that each key was left in."""
     e = event_sequence(spark, sf_dir)
-    actions = S.ACTIONS["task"]
-    named = e.select("key", F.col("sequence").alias("at"), F.element_at(F.array(*map(F.lit, actions)), (F.col("event_id") % len(actions) + 1).cast("int")).alias("action"))
-    out = _halves(spark, named, "at", False, P.moving(actions, "pending"), P.STATES)
-    last = out.groupBy("key").agg(F.max_by("status", F.col("applied") + F.col("refused")).alias("status"), F.max("applied").cast("long").alias("applied"), F.max("refused").cast("long").alias("refused"))
-    return last.select(F.lit("task").alias("machine"), "key", "status", "applied", "refused")
+    named = e.select("key", F.col("sequence").alias("at"), S.action_of("task", F.col("event_id")).alias("action"))
+    out = _halves(spark, named, "at", False, P.moving(S.ACTIONS["task"], "pending"), P.STATES)
+    last = out.groupBy("key").agg(F.max_by("status", F.col("applied") + F.col("refused")).alias("status"), F.max("applied").alias("applied"), F.max("refused").alias("refused"))
+    return S.owned(last, "key").select(F.lit("task").alias("machine"), "key", "status", "applied", "refused")
 
 
 QUERIES = {f.__name__: f for f in (stream_states, stream_delivered, stream_sequence, stream_until_terminal, stream_deduplicated, stream_accumulated, stream_windowed, stream_stalled, resumed_stream)}
