@@ -101,7 +101,7 @@ def _halves(spark, rows, order, again, step, schema):
 
 def stream_delivered(spark, sf_dir):
     """STR2: consumers with a cursor each, over deliveries that repeat themselves."""
-    e = event_sequence(spark, sf_dir).select("key", "sequence", "event_id")
+    e = event_sequence(spark, sf_dir).where("key IS NOT NULL").select("key", "sequence", "event_id")  # no consumer without a key
     cursors = e.groupBy("key").agg((F.col("key") % 6).cast("long").alias("cursor"))
     out = _halves(spark, e, "sequence", True, P.delivering(cursors), P.CURSORS)
     return out.select("key", "sequence", "event_id")

@@ -75,9 +75,9 @@ def numbering(terminal: list[str] | None = None) -> Step:
     def step(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         live = events.select("key", "event_id", "ts", "event_type").join(state.where("closed").select("key"), "key", "left_anti")
         rows = written(store.sequenced(live, "key", ["ts", "event_id"], state.select("key", "sequence")))
-        ends = F.min(F.when(F.col("event_type").isin(terminal or []), F.col("sequence")))
+        ends = F.min(F.when(F.col("key").isNotNull() & F.col("event_type").isin(terminal or []), F.col("sequence")))  # nothing ends the events without a key
         last = rows.groupBy("key").agg(F.max("sequence").alias("__last"), ends.alias("__end"))
-        shown = rows.join(last.select("key", "__end"), "key").where(F.col("__end").isNull() | (F.col("sequence") <= F.col("__end"))).drop("__end")
+        shown = rows.join(last.select("key", "__end"), "key", "left").where(F.col("__end").isNull() | (F.col("sequence") <= F.col("__end"))).drop("__end")
         return shown, last.select("key", F.coalesce("__end", "__last").alias("sequence"), F.col("__end").isNotNull().alias("closed"))
 
     return step
